@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from massspark.llm import chat, langid, media, packing, secrets, tokens
+from massspark.llm import chat, decontam, langid, media, packing, secrets, tokens
 from massspark.llm.common import table
 from massspark.llm.neardup import near_duplicates
 
@@ -35,6 +35,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.parsed(chat.format_best(chat.trees(turns)).select("conv_id", "formatted")))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.as_media(table(spark, sf_dir, "documents"))).drop("error")
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op5_length_buckets": op5_length_buckets,
     "op7_chat_format": op7_chat_format,
+    "op8_decontamination": op8_decontamination,
     "op9_media_columns": op9_media_columns,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
