@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from massspark.llm import chat, decontam, langid, media, packing, secrets, tokens
+from massspark.llm import chat, decontam, langid, media, packing, secrets, suffix, tokens
 from massspark.llm.common import table
 from massspark.llm.neardup import near_duplicates
 
@@ -29,6 +29,10 @@ def op5_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.byte_tokens())
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_strings(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", _HOSTILE), (-1, 1, "assistant", _HOSTILE)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -52,6 +56,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_token_files": op3_token_files,
     "op5_length_buckets": op5_length_buckets,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_chat_format": op7_chat_format,
     "op8_decontamination": op8_decontamination,
     "op9_media_columns": op9_media_columns,
