@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from massspark.llm import chat, decontam, langid, media, packing, secrets, suffix, tokens
+from massspark.llm import chat, decontam, htmltext, langid, media, packing, secrets, suffix, tokens
 from massspark.llm.common import table
 from massspark.llm.neardup import near_duplicates
 
@@ -25,6 +25,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_files(table(spark, sf_dir, "documents")).read().drop("ids")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.byte_tokens())
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
     "op3_token_files": op3_token_files,
+    "op4_html_extraction": op4_html_extraction,
     "op5_length_buckets": op5_length_buckets,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_chat_format": op7_chat_format,
