@@ -200,19 +200,37 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, q: int = Q, window:
     The items are the query set: they are read in blocks of bounded size, each one pass over the documents, which stay
     where they are. Nothing is shuffled.
     """
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
+    out = None
+    for index in _blocks(benchmark, q, window, edits):
+        found = docs.mapInArrow(_search(index), _FOUND)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _blocks(benchmark: DataFrame, q: int = Q, window: int = WINDOW, edits: float = EDITS) -> Iterator[Windows]:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
-    out = None
     for i in range(blocks):
         own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i).orderBy("item_id", "text").collect()
-        found = docs.mapInArrow(_search(Windows([tuple(r) for r in own], q, window, edits)), _FOUND)
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield Windows([tuple(r) for r in own], q, window, edits)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that hold no part of a benchmark item."""
-    found = contaminated(documents, benchmark).select("doc_id").distinct()
-    return documents.join(found, "doc_id", "left_anti").select(*documents.columns)
+    """The rows, with all their columns, that hold no part of a benchmark item; filtered where they are, pass by pass."""
+
+    def without(index: Windows):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):
+                x, starts, _ = folded(*byte_view(batch.column("text")))
+                keep = np.ones(len(batch), bool)
+                for _, _, _, end in index.search(x):
+                    keep[np.searchsorted(starts, end - 1, "right") - 1] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for index in _blocks(benchmark):
+        documents = documents.mapInArrow(without(index), documents.schema)
+    return documents

@@ -106,25 +106,35 @@ def distances(codes: np.ndarray, union: np.ndarray, ranks: np.ndarray, profile:
     return apart.sum(axis=0), len(top) * profile
 
 
-def _predict(profiles: dict[str, np.ndarray], profile: int):
+def _predictor(profiles: dict[str, np.ndarray], profile: int):
     langs = sorted(profiles)
     union = np.unique(np.concatenate([profiles[x] for x in langs])) if langs else np.zeros(0, np.uint64)
     ranks = np.full((len(union), len(langs)), profile, np.int64)
     for i, x in enumerate(langs):
         ranks[np.searchsorted(union, profiles[x]), i] = np.arange(len(profiles[x]))
 
+    def predict(texts: list[str | None]) -> tuple[list[str], list[float]]:
+        preds, scores = [], []
+        for codes in grams(texts):
+            if not len(codes) or not langs:
+                preds.append("und")
+                scores.append(0.0)
+                continue
+            apart, most = distances(codes, union, ranks, profile)
+            best = int(np.argmin(apart))
+            preds.append(langs[best])
+            scores.append(1 - float(apart[best]) / most)
+        return preds, scores
+
+    return predict
+
+
+def _predict(profiles: dict[str, np.ndarray], profile: int):
+    predict = _predictor(profiles, profile)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            preds, scores = [], []
-            for codes in grams(batch.column("text").to_pylist()):
-                if not len(codes) or not langs:
-                    preds.append("und")
-                    scores.append(0.0)
-                    continue
-                apart, most = distances(codes, union, ranks, profile)
-                best = int(np.argmin(apart))
-                preds.append(langs[best])
-                scores.append(1 - float(apart[best]) / most)
+            preds, scores = predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
@@ -139,3 +149,15 @@ def identify(documents: DataFrame, profiles: dict[str, np.ndarray], profile: int
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_predict(profiles, profile), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def recognised(documents: DataFrame, profiles: dict[str, np.ndarray], least: float, profile: int = PROFILE) -> DataFrame:
+    """The rows, with all their columns, whose text is in a learned language with a score of `least` or more."""
+    predict = _predictor(profiles, profile)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            preds, scores = predict(batch.column("text").to_pylist())
+            yield batch.filter(pa.array([p != "und" and s >= least for p, s in zip(preds, scores, strict=True)], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
