@@ -227,7 +227,7 @@ def ranked_peaks(peaks: DataFrame, ties: list[str]) -> DataFrame:
 def strongest_match(theoretical: DataFrame, peaks: DataFrame, width: float) -> DataFrame:
     """For each (spec_index, ion, low, high) the most intense peak inside, the greatest mz of equals; none if there is none."""
     bins = F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width)))
-    spread = theoretical.withColumn("_bin", bins)
+    spread = theoretical.select("spec_index", "ion", "low", "high", bins.alias("_bin"))
     keyed = peaks.select("spec_index", F.floor(F.col("mz") / width).alias("_bin"), "mz", "intensity")
     found = spread.join(keyed, ["spec_index", "_bin"]).where("mz between low and high")
     return found.groupBy("spec_index", "ion").agg(F.max(F.struct("intensity", "mz")).alias("best")).select("spec_index", "ion", F.col("best.mz").alias("mz"), F.col("best.intensity").alias("intensity"))

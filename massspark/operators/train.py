@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from massspark.functions import chem
+from massspark.operators.matching import Ion, ion_kinds, ranked_peaks, strongest_match
+from massspark.sources.model import Fragment, Model
+
 
 def quantile_starts(rows: DataFrame, by: list[str], value: str, ties: list[str], parts: int) -> DataFrame:
     """by, part, value: where each of `parts` groups of equal counts starts, exactly, in the order of value and ties."""
@@ -25,3 +32,195 @@ def spearman(rows: DataFrame, by: str, x: str, y: str, tie: str) -> DataFrame:
     key = Window.partitionBy(by)
     ranked = rows.select(by, F.row_number().over(key.orderBy(x, tie)).alias("x"), F.row_number().over(key.orderBy(y, tie)).alias("y"))
     return ranked.groupBy(by).agg(F.corr("x", "y").alias("rho"))
+
+
+@dataclass(frozen=True)
+class Training:
+    tolerance: float = 0.5  # nodes lie on the nominal grid, up to a tenth of a Da beside their residues
+    segments: int = 2
+    least_spectra: int = 50
+    most_groups: int = 8
+    most_ions: int = 6
+    least_frequency: float = 0.15
+    max_rank: int = 150
+    error_scale: int = 100
+    rank_prior: float = 0.005
+    error_prior: float = 0.01
+    least_peaks: int = 20
+    mass_mismatch: float = 0.1
+
+
+def screened(spectra: DataFrame, how: Training = Training()) -> DataFrame:
+    """Annotated spectra with sites, mass (neutral) and reject_reason: the first that holds, null for those kept."""
+    rows = spectra.withColumn("sites", chem.residues(F.col("seq"), leading=True))
+    mass = F.aggregate("sites", F.lit(chem.WATER), lambda a, s: a + chem.site_mass(s))
+    observed = (F.col("precursor_mz") - chem.PROTON) * F.col("charge")
+    reason = (
+        F.when(F.coalesce("seq", F.lit("")) == "", "no annotation").when(F.coalesce("charge", F.lit(0)) <= 0, "no charge").when(F.size("peaks") < how.least_peaks, "few peaks")
+        .when(F.col("sites").isNull(), "bad peptide").when(~F.size("sites").between(6, 50), "length").when(~F.element_at("sites", -1)["aa"].isin("K", "R"), "not tryptic")
+        .when(F.abs(observed - F.col("mass")) > how.mass_mismatch, "mass mismatch")
+    )
+    return rows.withColumn("mass", mass).withColumn("reject_reason", reason)
+
+
+def corpus_counts(spectra: DataFrame, how: Training = Training()) -> DataFrame:
+    return screened(spectra, how).groupBy(F.coalesce("reject_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def decoy_sites(sites: Column, seed: Column) -> Column:
+    """The residues between the first and the last in an order that a hash of the peptide gives; four are the least."""
+    inner = F.slice(sites, F.lit(2), F.greatest(F.size(sites) - 2, F.lit(0)))
+    mixed = F.array_sort(F.transform(inner, lambda s, i: F.struct(F.xxhash64(seed, i).alias("h"), s.alias("s"))))
+    whole = F.concat(F.slice(sites, 1, 1), F.transform(mixed, lambda x: x["s"]), F.slice(sites, -1, 1))
+    return F.when(F.size(sites) < 4, sites).otherwise(whole)
+
+
+def _theoretical(kept: DataFrame, kinds: list[Ion], how: Training) -> DataFrame:
+    """A row for each peptide bond, kind of ion, and peptide or decoy: spec_index, ion, low, high, and where it counts."""
+    both = kept.select("spec_index", "charge", "mass", "part", F.explode(F.array(F.struct(F.lit(False).alias("decoy"), F.col("sites").alias("s")), F.struct(F.lit(True).alias("decoy"), decoy_sites(F.col("sites"), F.col("seq")).alias("s")))).alias("x"))
+    sums = F.transform(F.sequence(F.lit(1), F.size("x.s") - 1), lambda i: F.aggregate(F.slice("x.s", F.lit(1), i), F.lit(0.0), lambda a, s: a + chem.site_mass(s)))
+    bonds = both.select("spec_index", "charge", "mass", "part", "x.decoy", F.posexplode(sums).alias("bond", "prefix"), F.lit(0).alias("_"))
+    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i.prefix).alias("is_prefix"), F.lit(i.charge).alias("z"), F.lit(i.offset).alias("offset")) for k, i in enumerate(kinds)])
+    rows = bonds.select("*", F.explode(table).alias("kind")).where(F.col("kind.z") <= F.col("charge"))
+    part = F.when(F.col("kind.is_prefix"), F.col("prefix")).otherwise(F.col("mass") - chem.WATER - F.col("prefix"))
+    mz = part / F.col("kind.z") + F.col("kind.offset")
+    segment = F.greatest(F.least(F.floor(mz / F.col("mass") * how.segments), F.lit(how.segments - 1)), F.lit(0)).cast("int")
+    return rows.select("spec_index", "charge", "part", segment.alias("segment"), "decoy", "bond", F.col("kind.k").alias("k"), mz.alias("mz"), "mass", F.struct("decoy", "bond", F.col("kind.k").alias("k")).alias("ion"), (mz - how.tolerance).alias("low"), (mz + how.tolerance).alias("high"))
+
+
+def precursor_offsets(kept: DataFrame, peaks: DataFrame, how: Training) -> list[tuple[int, int, float, bool, float, float]]:
+    """Offsets at which a charge's reduced precursors often have a peak: above 0.15 and twice the median rate, eight at most."""
+    water = chem.WATER / chem.NOMINAL
+    steps = sorted({-1, 0, 1, -int(water), -int(water) - 1})
+    table = F.array(*[F.lit(float(s)) for s in steps])
+    rows = kept.select("spec_index", "charge", "mass", F.explode(F.expr("sequence(0, charge - 1)")).alias("reduced")).select("*", F.explode(table).alias("step"))
+    z = F.col("charge") - F.col("reduced")
+    centre = (F.col("mass") + z * chem.PROTON) / z + F.col("step") / z
+    rows = rows.withColumns({"ion": F.struct("reduced", "step"), "low": centre - how.tolerance, "high": centre + how.tolerance})
+    hits = strongest_match(rows, peaks, 1.0).select("spec_index", "ion", F.lit(1).alias("hit"))
+    rates = rows.join(hits, ["spec_index", "ion"], "left").groupBy("charge", "reduced", "step").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("rate")).collect()
+    out = []
+    for c in sorted({r["charge"] for r in rates}):
+        own = sorted((r for r in rates if r["charge"] == c), key=lambda r: (-r["rate"], r["reduced"], r["step"]))
+        middle = sorted(r["rate"] for r in own)[len(own) // 2]
+        out += [(c, r["reduced"], r["step"] / (c - r["reduced"]), False, how.tolerance, r["rate"]) for r in own if r["rate"] >= max(how.least_frequency, 2 * middle)][:8]
+    return out
+
+
+def train(spectra: DataFrame, how: Training = Training()) -> Model:
+    """A scoring model from annotated spectra. All counts are Spark aggregates; what comes to the driver has the model's size.
+
+    The same spectra give the same bytes. Raises ValueError if no spectrum passes the screen.
+    """
+    kept = screened(spectra, how).where("reject_reason is null").select("spec_index", "charge", "mass", "sites", "seq", "peaks")
+    sizes = {r["charge"]: r["n"] for r in kept.groupBy("charge").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        raise ValueError("no annotated spectrum to train on")
+    starts: dict[int, list[float]] = {}
+    for c, n in sizes.items():
+        groups = max(1, min(how.most_groups, n // how.least_spectra))
+        found = quantile_starts(kept.where(F.col("charge") == c), ["charge"], "mass", ["spec_index"], groups).collect()
+        starts[c] = sorted({float(np.float32(r["mass"])) for r in found})
+    part = F.lit(0)
+    for c, own in starts.items():
+        for i, s in enumerate(own[1:], 1):
+            part = F.when((F.col("charge") == c) & (F.col("mass") >= s), i).otherwise(part)
+    kept = kept.withColumn("part", part)
+    peaks = kept.select("spec_index", F.posexplode("peaks").alias("pos", "p")).select("spec_index", "pos", "p.mz", "p.intensity")
+    ranks = ranked_peaks(peaks, ["pos"]).select("spec_index", "mz", "intensity", "rank")
+    kinds = ion_kinds(max(sizes))
+    sites = _theoretical(kept, kinds, how)
+    matched = strongest_match(sites, peaks, 1.0).join(ranks, ["spec_index", "mz", "intensity"]).groupBy("spec_index", "ion").agg(F.min("rank").alias("rank"), F.first("mz").alias("hit"))
+    both = sites.join(matched, ["spec_index", "ion"], "left")
+    bin_ = F.when(F.col("rank").isNull(), how.max_rank).otherwise(F.least("rank", F.lit(how.max_rank)) - 1)
+    counts = both.groupBy("charge", "part", "segment", "decoy", "k", bin_.alias("bin")).agg(F.count("*").alias("n")).collect()
+    order = sorted((c, s, float(np.float32(starts[c][p])), p) for c in sizes for s in range(how.segments) for p in range(len(starts[c])))
+    model = Model(tolerance=how.tolerance, deconvolution_tolerance=how.tolerance, charges=sorted(sizes.items()), segments=how.segments, max_rank=how.max_rank, error_scale=how.error_scale)
+    model.partitions = [(c, m, s) for c, s, m, _ in order]
+    model.precursors = precursor_offsets(kept, peaks, how)
+    table: dict[tuple, np.ndarray] = {}
+    for r in counts:
+        row = table.setdefault((r["charge"], r["segment"], r["part"], r["decoy"], r["k"]), np.zeros(how.max_rank + 1))
+        row[r["bin"]] += r["n"]
+    smooth = lambda row: ((_pooled(row) + how.rank_prior) / (row.sum() + how.rank_prior * len(row))).astype(np.float32)
+    for c, s, _, p in order:
+        found = []
+        for k, ion in enumerate(kinds):
+            row = table.get((c, s, p, False, k))
+            if row is not None and row.sum():
+                found.append((float(row[:-1].sum() / row.sum()), -k, ion, row))
+        found.sort(key=lambda x: x[:2], reverse=True)
+        chosen = [x for x in found if x[0] >= how.least_frequency][: how.most_ions] or found[:1]
+        names, own = set(), []
+        for f, minus, ion, row in chosen:
+            fragment = Fragment(ion.prefix, ion.charge, float(np.float32(ion.offset)), float(np.float32(f)))
+            if fragment.name not in names:
+                names.add(fragment.name)
+                own.append((fragment, row, -minus))
+        noise = sum((table.get((c, s, p, True, k), np.zeros(how.max_rank + 1)) for _, _, k in own if kinds[k].charge == 1), np.zeros(how.max_rank + 1))
+        noise = noise if noise.sum() else sum((table.get((c, s, p, True, k), np.zeros(how.max_rank + 1)) for _, _, k in own), np.zeros(how.max_rank + 1))
+        model.fragments.append([x[0] for x in own])
+        model.ranks.append(np.array([smooth(x[1]) for x in own] + [smooth(noise)]) if own else None)
+    model.errors = _errors(both, kinds, order, how)
+    return model
+
+
+def _pooled(row: np.ndarray) -> np.ndarray:
+    """Each rank's count as the mean over a tenth of the rank to either side; the bin of missing peaks as it is."""
+    sums, n = np.r_[0, np.cumsum(row[:-1])], len(row) - 1
+    rank = np.arange(1, n + 1)
+    reach = np.floor(rank * 0.1 + 0.5).astype(int)
+    low, high = np.maximum(rank - 1 - reach, 0), np.minimum(rank + reach, n)
+    return np.r_[(sums[high] - sums[low]) / (high - low), row[-1]]
+
+
+def _errors(both: DataFrame, kinds: list[Ion], order: list[tuple], how: Training) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of singly charged y ions: the mass errors between neighbours, and how often neither, one, the other or both are seen.
+
+    All counts go to the partitions of a charge's mass group, whatever the segment.
+    """
+    y = next(k for k, i in enumerate(kinds) if not i.prefix and i.charge == 1)
+    own = both.where(F.col("k") == y)
+    by = Window.partitionBy("spec_index", "decoy").orderBy("bond")
+    pairs = own.select("charge", "part", "decoy", "hit", "mz", F.lag("hit").over(by).alias("hit0"), F.lag("mz").over(by).alias("mz0"), F.lag("bond").over(by).alias("bond0")).where("bond0 is not null")
+    state = F.col("hit").isNotNull().cast("int") + 2 * F.col("hit0").isNotNull().cast("int")
+    error = F.floor(((F.col("hit0") - F.col("hit")) - (F.col("mz0") - F.col("mz"))) * how.error_scale + 0.5)
+    bin_ = F.when(state == 3, F.greatest(F.least(error, F.lit(how.error_scale)), F.lit(-how.error_scale)) + how.error_scale)
+    rows = pairs.groupBy("charge", "part", "decoy", state.alias("state"), bin_.alias("bin")).agg(F.count("*").alias("n")).collect()
+    width = 2 * how.error_scale + 1
+    out = []
+    for c, _, _, p in order:
+        signal, noise, exist = np.zeros(width), np.zeros(width), np.zeros(4)
+        for r in rows:
+            if (r["charge"], r["part"]) == (c, p):
+                if not r["decoy"]:
+                    exist[r["state"]] += r["n"]
+                if r["bin"] is not None:
+                    (noise if r["decoy"] else signal)[r["bin"]] += r["n"]
+        norm = lambda x: ((x + how.error_prior) / (x.sum() + how.error_prior * width)).astype(np.float32)
+        out.append((norm(signal), norm(noise), np.maximum((exist + 0.5) / (exist.sum() + 2), 1e-4).astype(np.float32)))
+    return out
+
+
+def synthetic_spectra(peptides: DataFrame, background: int = 40) -> DataFrame:
+    """Annotated spectra of peptide strings (peptide): all y ions, three of four b ions at half intensity, and noise.
+
+    Everything follows from hashes of the peptide. The charge is 2 or 3; columns are those of read_mgf().
+    """
+    mass = chem.neutral_mass(F.col("peptide"))
+    charge = (2 + F.pmod(F.xxhash64("peptide", F.lit("z")), F.lit(2))).cast("int")
+
+    def share(*x) -> Column:
+        return F.pmod(F.xxhash64("peptide", *x), F.lit(100_000)) / 100_000.0
+
+    letters = chem.letters(F.col("peptide"))
+    sums = F.transform(F.sequence(F.lit(1), F.length("peptide") - 1), lambda i: F.aggregate(F.slice(letters, F.lit(1), i), F.lit(0.0), lambda a, r: a + F.element_at(chem.masses(), r)))
+    y = F.transform(sums, lambda p, i: F.struct((mass - p + chem.PROTON).alias("mz"), (F.lit(200.0) + 100 * share(F.lit("y"), i)).alias("intensity")))
+    b = F.filter(F.transform(sums, lambda p, i: F.struct((p + chem.PROTON).alias("mz"), F.when(share(F.lit("b"), i) < 0.75, F.lit(100.0) + 50 * share(F.lit("c"), i)).alias("intensity"))), lambda x: x["intensity"].isNotNull())
+    noise = F.transform(F.sequence(F.lit(1), F.lit(background)), lambda i: F.struct((F.lit(100.0) + share(F.lit("n"), i) * mass).alias("mz"), (F.lit(1.0) + 60 * share(F.lit("i"), i)).alias("intensity")))
+    order = Window.orderBy("peptide")
+    rows = peptides.select("peptide").distinct().where(chem.is_standard(F.col("peptide")) & (F.length("peptide") > 1))
+    return rows.select(
+        F.lit("synthetic").alias("spec_file"), (F.row_number().over(order) - 1).cast("long").alias("spec_index"), F.concat(F.lit("HCD "), "peptide").alias("title"), F.sha1("peptide").alias("scan"),
+        charge.alias("charge"), ((mass + charge * chem.PROTON) / charge).alias("precursor_mz"), F.array_sort(F.concat(y, b, noise)).alias("peaks"), F.col("peptide").alias("seq"),
+    )

@@ -327,3 +327,59 @@ def eval_spearman(spark, sf_dir):
     from massspark.operators.train import spearman
 
     return spearman(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", "o_orderdate", "o_orderkey").select(F.col("o_orderpriority").alias("k"), F.round("rho", 6).alias("rho"))
+
+
+def _annotated(spark, sf_dir):
+    from massspark.operators.train import synthetic_spectra
+
+    return synthetic_spectra(dig.digest(short_proteins(spark, sf_dir), dig.Digest(max_missed=1)).select("peptide").distinct())
+
+
+@query()
+def synthetic_spectra(spark, sf_dir):
+    return _annotated(spark, sf_dir).withColumns({"peaks": F.md5(chem.canonical_peaks(F.col("peaks"))), "n_peaks": F.size("peaks"), "tic": F.round(chem.tic(F.col("peaks")), 4)})
+
+
+@query()
+def corpus_screen(spark, sf_dir):
+    from massspark.operators.train import corpus_counts
+
+    return corpus_counts(_annotated(spark, sf_dir))
+
+
+@query()
+def train_model(spark, sf_dir):
+    """The trained model as one relation of its fragment frequencies."""
+    from massspark.operators.train import train
+    from massspark.sources.model import tables
+
+    return tables(spark, train(_annotated(spark, sf_dir)))["fragments"]
+
+
+@query()
+def model_roundtrip(spark, sf_dir):
+    """Parts of the model after writing and reading its binary stream."""
+    from massspark.operators.train import train
+    from massspark.sources.model import decode, encode, tables
+
+    return tables(spark, decode(encode(train(_annotated(spark, sf_dir)))))["partitions"]
+
+
+@query()
+def search(spark, sf_dir):
+    """Planted peptides searched against targets and reversed decoys, with a model trained on them."""
+    from massspark.operators.search import search as run
+    from massspark.operators.train import train
+
+    spectra = _annotated(spark, sf_dir)
+    return run(spectra.drop("seq"), dig.with_decoys(short_proteins(spark, sf_dir)), train(spectra))
+
+
+@query()
+def rescore(spark, sf_dir):
+    from massspark.operators.search import rescore as run
+    from massspark.operators.train import train
+
+    spectra = _annotated(spark, sf_dir)
+    rows = spectra.select(F.col("spec_index").alias("input_pos"), "scan", F.col("seq").alias("peptide"), "charge")
+    return run(rows, spectra, train(spectra), db_size=1000)
