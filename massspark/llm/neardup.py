@@ -27,7 +27,8 @@ from massspark.llm.graph import components
 BANDS, ROWS = 40, 5
 #: Pivots of an undecided bucket that each round compares with the bucket's other members.
 PIVOTS = 512
-_SIGNED = "doc_id long, n_shingles long, k1 long, k2 long,"
+_SKETCH = [f"p{i}" for i in range(4)]
+_MEMBER = ["key", "node", "size", "common", "sketch", "weight", "comp"]
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -147,18 +148,23 @@ def _sign(k: int, bands: int, rows: int, column: str):
             if len(some):
                 for s, salt in zip(sums, (1, 2), strict=True):
                     s[some] = np.add.reduceat(mix(elements + np.uint64(salt)), starts[some])
+            bits = np.bincount(np.repeat(np.arange(len(counts)), counts) * 256 + (mix(elements + np.uint64(3)) & np.uint64(255)).astype(np.int64), minlength=256 * len(counts)) & 1
+            parity = np.packbits(bits.astype(np.uint8).reshape(-1, 256), axis=1).view(np.int64)
             keys = band_keys(super_minhash(elements, starts, bands * rows), bands, rows).view(np.int64)
             keys_of = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), *(pa.array(s.view(np.int64)) for s in sums), keys_of], ["doc_id", "n_shingles", "k1", "k2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), *(pa.array(s.view(np.int64)) for s in sums), *(pa.array(np.ascontiguousarray(parity[:, i])) for i in range(4)), keys_of], ["doc_id", "n_shingles", "k1", "k2", *_SKETCH, "keys"])
 
     return run
 
 
+_SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, p0 long, p1 long, p2 long, p3 long, keys array<long>"
+
+
 def _sets(k: int, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column):
             elements, starts = shingle_sets(*byte_view(batch.column(column)), k)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), binary([elements[s:e].tobytes() for s, e in zip(starts[:-1], starts[1:], strict=True)])], ["doc_id", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), binary([elements[s:e].tobytes() for s, e in zip(starts[:-1], starts[1:], strict=True)])], ["node", "elements"])
 
     return run
 
@@ -166,7 +172,7 @@ def _sets(k: int, column: str):
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "elements"):
         data, starts = byte_view(batch.column("elements"))
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("doc_id").to_numpy(), np.diff(starts) // 8)), pa.array(np.frombuffer(data.tobytes(), np.int64))], ["node", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), np.diff(starts) // 8)), pa.array(np.frombuffer(data.tobytes(), np.int64))], ["node", "key"])
 
 
 def _verify(percent: int):
@@ -188,14 +194,11 @@ def _verify(percent: int):
     return run
 
 
-def linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int, column: str) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets meet the similarity."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(nodes, "doc_id", "left_semi").select("doc_id", column).mapInArrow(_sets(k, column), "doc_id long, elements binary")
-    sets = written(sets.dropDuplicates(["doc_id"]), "sets")
-    joined = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a")
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets (node, elements) meet the similarity."""
+    joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
     out = written(joined.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "verified")
-    forget(sets)
+    forget(pairs)
     return out
 
 
@@ -203,16 +206,16 @@ def _undecided(buckets: DataFrame, groups: DataFrame) -> DataFrame:
     """The buckets whose members are in more than one component, with it as comp."""
     named = buckets.drop("comp").join(groups.select("node", F.col("root").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     several = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    return named.join(several, "key", "left_semi").select("key", "node", "size", "common", "weight", "comp")
+    return named.join(several, "key", "left_semi").select(_MEMBER)
 
 
-def _buckets(keyed: DataFrame, sizes: DataFrame) -> DataFrame:
-    """key, node, size, common, weight, comp of all buckets of two members or more. weight: the members of all buckets of a node;
+def _buckets(keyed: DataFrame, about: DataFrame) -> DataFrame:
+    """The members (key, node, what is known about it, weight, comp) of all buckets of two members or more. weight: the members of all buckets of a node;
     a text from which copies were made meets more of them than the copies meet of each other, so it makes the best pivot."""
     spread = keyed.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = written(spread.join(shared, "key"), "buckets")
-    weight = buckets.groupBy("node").agg(F.sum("n").alias("weight")).join(sizes, "node")
+    weight = buckets.groupBy("node").agg(F.sum("n").alias("weight")).join(about, "node")
     out = written(buckets.select("key", "node").join(weight, "node").withColumns({"comp": F.col("node"), "common": F.col("size")}), "weighed")
     forget(buckets)
     return out
@@ -220,8 +223,8 @@ def _buckets(keyed: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def _hubs(named: DataFrame) -> DataFrame:
     """One pivot for each bucket, by partial aggregates only."""
-    top = named.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "size", "common", "comp")).alias("top"))
-    return top.select("key", (-F.col("top.minus")).alias("pivot"), F.col("top.comp").alias("pivot_comp"), F.col("top.size").alias("pivot_size"), F.col("top.common").alias("pivot_common"))
+    top = named.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "size", "common", "comp", "sketch")).alias("top"))
+    return top.select("key", (-F.col("top.minus")).alias("pivot"), F.col("top.comp").alias("pivot_comp"), F.col("top.size").alias("pivot_size"), F.col("top.common").alias("pivot_common"), F.col("top.sketch").alias("pivot_sketch"))
 
 
 def _strangers(named: DataFrame) -> DataFrame:
@@ -229,30 +232,31 @@ def _strangers(named: DataFrame) -> DataFrame:
     share = named.groupBy("key", "comp").agg(F.count("*").alias("share"))
     order = Window.partitionBy("key").orderBy("share", "node")
     placed = named.join(share, ["key", "comp"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS)
-    return placed.select("key", F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("size").alias("pivot_size"), F.col("common").alias("pivot_common"))
+    return placed.select("key", F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("size").alias("pivot_size"), F.col("common").alias("pivot_common"), F.col("sketch").alias("pivot_sketch"))
 
 
 def _pairs(named: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """The members of each bucket with its pivots, where what both may have in common could reach the similarity."""
-    close = (100 + percent) * F.least("common", "pivot_common") >= percent * (F.col("size") + F.col("pivot_size"))
+    """The members of each bucket with its pivots, where two exact bounds leave the similarity possible: the elements that
+    both may have in common, and the differing bits of their parity sketches, which are at most the differing elements."""
+    apart = sum((F.bit_count(F.col(f"sketch.{p}").bitwiseXOR(F.col(f"pivot_sketch.{p}"))) for p in _SKETCH), F.lit(0))
+    close = (100 + percent) * apart <= (100 - percent) * (F.col("size") + F.col("pivot_size"))
+    close &= (100 + percent) * F.least("common", "pivot_common") >= percent * (F.col("size") + F.col("pivot_size"))
     pairs = named.join(pivots, "key").where(close & F.expr("comp <> pivot_comp"))
     return written(pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
 
 
-def _prefixes(rest: DataFrame, docs: DataFrame, k: int, percent: int, column: str) -> DataFrame:
+def _prefixes(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Buckets of what is undecided by the rarest shingles, an exact filter: two sets of a similarity of p percent or more
     share one of each set's n - ceil(p n / 100) + 1 rarest elements. Texts that have but a long passage in common, with
     a fifth or more of their own, thus meet nowhere. common: the elements that another undecided text has too."""
-    nodes = rest.select("node", "size").distinct()
-    sets = docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(k, column), "doc_id long, elements binary")
-    spread = sets.mapInArrow(_spread, "node long, key long").distinct()
-    spread = written(spread, "elements")
+    nodes = rest.select("node", "size", "sketch").distinct()
+    spread = written(sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(_spread, "node long, key long"), "elements")
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     common = spread.join(shared, "key")
     order = Window.partitionBy("node").orderBy("n", "key")
     placed = common.withColumn("place", F.row_number().over(order)).withColumn("common", F.count("*").over(Window.partitionBy("node"))).join(nodes, "node")
     length = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
-    out = placed.where(F.col("place") <= length - (F.col("size") - F.col("common"))).select("key", "node", "size", "common", F.lit(0).cast("long").alias("weight"))
+    out = placed.where(F.col("place") <= length - (F.col("size") - F.col("common"))).select("key", "node", "size", "common", "sketch", F.lit(0).cast("long").alias("weight"))
     out = written(out, "prefixes")
     forget(spread)
     return out
@@ -267,29 +271,33 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
     count, a null component and a null kept. Other columns are ignored; an empty table gives an empty result.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias(column))
-    signed = written(docs.mapInArrow(_sign(k, bands, rows, column), f"{_SIGNED} keys array<long>"), "signed")
+    signed = written(docs.mapInArrow(_sign(k, bands, rows, column), _SIGNED), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     members = written(some.select("doc_id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "rep"), "members")
     copies = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = members.where("doc_id = rep").select("doc_id").distinct()
     reps = signed.join(reps, "doc_id", "left_semi")
-    sizes = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"))
-    named = _buckets(reps.select("doc_id", "keys"), sizes)
+    about = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), F.struct(*_SKETCH).alias("sketch"))
+    named = _buckets(reps.select("doc_id", "keys"), about)
+    nodes = named.select(F.col("node").alias("doc_id")).distinct()
+    # the one shuffle of texts; merged at every size, as what is in buckets grows with the input
+    sets = docs.join(nodes.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(k, column), "node long, elements binary")
+    sets = written(sets, "sets")
     pivots = written(_hubs(named), "pivots")
-    links = linked(_pairs(named, pivots, percent), docs, k, percent, column)
+    links = linked(_pairs(named, pivots, percent), sets, percent)
     groups = components(links.unionByName(copies), "a", "b")
     forget(pivots)
     rest = written(_undecided(named, groups), "undecided")
     forget(named)
     if not rest.isEmpty():
-        prefixes = _prefixes(rest, docs, k, percent, column)
+        prefixes = _prefixes(rest, sets, percent)
         forget(rest)
         rest = written(_undecided(prefixes, groups), "undecided")
         forget(prefixes)
     while not rest.isEmpty():
         pivots = written(_strangers(rest), "pivots")
-        found = linked(_pairs(rest, pivots, percent), docs, k, percent, column)
+        found = linked(_pairs(rest, pivots, percent), sets, percent)
         if not found.isEmpty():
             links = links.unionByName(found)
             groups = components(links.unionByName(copies), "a", "b")
@@ -297,6 +305,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
         forget(pivots)
         forget(rest)
         rest = following
+    forget(rest)
     result = signed.select("doc_id", "n_shingles").join(groups.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     component = F.coalesce("root", "doc_id")
     return result.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
