@@ -231,3 +231,10 @@ def strongest_match(theoretical: DataFrame, peaks: DataFrame, width: float) -> D
     keyed = peaks.select("spec_index", F.floor(F.col("mz") / width).alias("_bin"), "mz", "intensity")
     found = spread.join(keyed, ["spec_index", "_bin"]).where("mz between low and high")
     return found.groupBy("spec_index", "ion").agg(F.max(F.struct("intensity", "mz")).alias("best")).select("spec_index", "ion", F.col("best.mz").alias("mz"), F.col("best.intensity").alias("intensity"))
+
+
+def away_from(rows: DataFrame, others: DataFrame, by: list[str], value: str, reach: int = 1) -> DataFrame:
+    """Rows whose whole-number value is more than `reach` from every value of the others with equal `by`: an anti join on
+    the others' neighbourhoods, each listed once."""
+    near = others.select(*by, F.explode(F.sequence(F.col(value) - reach, F.col(value) + reach)).alias(value)).distinct()
+    return rows.join(near, [*by, value], "left_anti")

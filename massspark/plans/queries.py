@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massspark.functions import chem
+from massspark.functions import distributions as dist
 from massspark.operators import digest as dig
 from massspark.operators import fdr as fd
 from massspark.operators import matching as ma
@@ -329,6 +330,33 @@ def eval_spearman(spark, sf_dir):
     return spearman(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", "o_orderdate", "o_orderkey").select(F.col("o_orderpriority").alias("k"), F.round("rho", 6).alias("rho"))
 
 
+@query(f"""WITH p AS (SELECT spec_index, l_linenumber, cents, mz // 1000 AS bin FROM ({PEAKS_SQL})), o AS (SELECT o_orderkey, (10000 + CAST(round(o_totalprice * 100) AS BIGINT) % 150000) // 1000 AS bin FROM orders)
+SELECT spec_index, l_linenumber, cents, bin FROM p WHERE NOT EXISTS (SELECT 1 FROM o WHERE o_orderkey = spec_index AND abs(o.bin - p.bin) <= 1)""")
+def decoy_site_filter(spark, sf_dir):
+    p = peaks(spark, sf_dir).select("spec_index", "l_linenumber", "cents", F.floor(F.col("mz") / 1000).alias("bin"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("spec_index"), F.floor((10000 + F.round(F.col("o_totalprice") * 100).cast("bigint") % 150000) / 1000).alias("bin"))
+    return ma.away_from(p, o, ["spec_index"], "bin").select("spec_index", "l_linenumber", "cents", "bin")
+
+
+_DISTRIBUTIONS_SQL = "SELECT l_orderkey AS k, CAST(l_orderkey % 5 AS INTEGER) - 2 AS min_score, list(l_discount ORDER BY l_discount, l_quantity) AS probs FROM lineitem GROUP BY l_orderkey"
+
+
+def _distributions(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list("l_discount")).alias("probs"))
+    return line.withColumn("min_score", (F.col("k") % 5).cast("int") - 2)
+
+
+@query(f"""SELECT k, round(least(1.0, coalesce(list_sum(probs[greatest(1 - min_score, 0) + 1:]), 0.0)), 9) AS p, min_score + len(probs)::INTEGER AS beyond FROM ({_DISTRIBUTIONS_SQL})""")
+def tail_probability(spark, sf_dir):
+    p = dist.tail_probability(F.col("min_score"), F.col("probs"), F.lit(1))
+    return _distributions(spark, sf_dir).select("k", F.round(p, 9).alias("p"), dist.max_score(F.col("min_score"), F.col("probs")).alias("beyond"))
+
+
+@query(f"""SELECT k % 7 AS g, min_score + i::INTEGER AS score, round(sum(p), 6) AS p FROM (SELECT k, min_score, unnest(range(0, len(probs))) AS i, unnest(probs) AS p FROM ({_DISTRIBUTIONS_SQL})) GROUP BY 1, 2""")
+def merge_distributions(spark, sf_dir):
+    return dist.merged(_distributions(spark, sf_dir).withColumn("g", F.col("k") % 7), ["g"]).withColumn("p", F.round("p", 6))
+
+
 def _annotated(spark, sf_dir):
     from massspark.operators.train import synthetic_spectra
 
