@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from massspark.llm.common import forget, written
+from massspark.llm.common import written
 
 START, END = "<|im_start|>", "<|im_end|>"
 _ESCAPED, _UNESCAPED = "<(!*)\\|", "<!(!*)\\|"
@@ -27,29 +27,35 @@ def unescape(text: Column) -> Column:
 def paths(nodes: DataFrame) -> DataFrame:
     """conv_id, leaf, place, node, rank, total: the nodes of every root-to-leaf path, root first.
 
-    nodes: conv_id, node, parent (null: a root), score. Each round joins the paths' upper ends to their parents, so it
-    runs as often as the deepest path is long and adds one row for each path and node. Branches of a conversation are
-    ranked by the sum of scores, then by leaf. A parent that isn't there makes its child a root; null scores count 0.
-    Nodes must be unique in a conversation, and parents must not form rings (a ring has no root and gives no path).
+    nodes: conv_id, node, parent (null: a root), score. Branches of a conversation are ranked by the sum of scores, then by
+    leaf. A parent that isn't there makes its child a root; null scores count 0. Nodes must be unique in a conversation, and
+    parents must not form rings (a ring has no leaf and gives no path; a leaf below one is an error).
+
+    Self-joins first find the ancestors 1, 2, 4, ... steps up, for as long as a node has one; then each leaf's path is
+    filled in, the longest steps first, every round at most doubling its nodes. So a conversation of n turns takes about
+    2 log n joins, and no more rows are made than the paths have.
     """
     kind = nodes.schema["conv_id"].dataType
     key = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv_id")  # joins and windows see null ids as one
-    known = nodes.select(key, "node", F.col("parent").alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    inner = known.where("up is not null").select("conv_id", F.col("up").alias("node")).distinct()
-    ends = known.join(inner, ["conv_id", "node"], "left_anti").select("conv_id", F.col("node").alias("leaf"), "node", "up", "score", F.lit(0).alias("height"))
-    found, front, height = ends, ends, 0
-    while True:
-        height += 1
-        above = known.select("conv_id", F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"))
-        front = written(front.where("up is not null").select("conv_id", "leaf", "up").join(above, ["conv_id", "up"]).select("conv_id", "leaf", F.col("up").alias("node"), F.col("next").alias("up"), F.col("more").alias("score"), F.lit(height).alias("height")), "paths")
-        if front.isEmpty():
-            forget(front)
-            break
-        found = found.unionByName(front)
+    known = written(nodes.select(key, "node", F.col("parent").alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "nodes")
+    parents = known.select("conv_id", F.col("node").alias("up"))
+    steps, most = [written(known.where("up is not null").select("conv_id", "node", "up").join(parents, ["conv_id", "up"], "left_semi").select("conv_id", "node", "up"), "steps")], known.count()
+    while not steps[-1].isEmpty():
+        if 1 << len(steps) > 2 * most + 2:
+            raise ValueError("parents form a ring")
+        further = steps[-1].select("conv_id", F.col("node").alias("up"), F.col("up").alias("next"))
+        steps.append(written(steps[-1].join(further, ["conv_id", "up"]).select("conv_id", "node", F.col("next").alias("up")), "steps"))
+    inner = steps[0].select("conv_id", F.col("up").alias("node")).distinct()
+    found = known.join(inner, ["conv_id", "node"], "left_anti").select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("height"))
+    for k in range(len(steps) - 2, -1, -1):
+        more = found.join(steps[k], ["conv_id", "node"]).select("conv_id", "leaf", F.col("up").alias("node"), (F.col("height") + (1 << k)).alias("height"))
+        found = written(found.unionByName(more), "paths")
     path = Window.partitionBy("conv_id", "leaf")
+    found = found.join(known.select("conv_id", "node", "score"), ["conv_id", "node"])
     totals = found.groupBy("conv_id", "leaf").agg(F.sum("score").alias("total"))
     ranks = totals.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("total"), "leaf")))
-    return found.join(ranks, ["conv_id", "leaf"]).select(F.when(F.col("conv_id") != "", F.col("conv_id")).cast(kind).alias("conv_id"), "leaf", (F.max("height").over(path) - F.col("height")).alias("place"), "node", "rank", "total")
+    placed = found.join(ranks, ["conv_id", "leaf"])
+    return placed.select(F.when(F.col("conv_id") != "", F.col("conv_id")).cast(kind).alias("conv_id"), "leaf", (F.max("height").over(path) - F.col("height")).alias("place"), "node", "rank", "total")
 
 
 def formatted(turns: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ from massspark.llm.common import slices
 PROFILE = 300
 #: The learner reads so many documents of each language at most, chosen by a hash of doc_id.
 FIT_DOCUMENTS = 5000
+#: Up to so many languages the table of their sizes is broadcast; with more it is joined.
+MOST_LANGUAGES = 10_000
 _letters: np.ndarray | None = None
 
 
@@ -86,6 +88,9 @@ def fit(documents: DataFrame, profile: int = PROFILE, most: int = FIT_DOCUMENTS)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = rows.groupBy("lang").agg(F.count("*").alias("documents"))
+    few = sizes.limit(MOST_LANGUAGES + 1).collect()
+    if len(few) <= MOST_LANGUAGES:  # so small that no text need be shuffled by its language
+        sizes = F.broadcast(rows.sparkSession.createDataFrame([tuple(r) for r in few], sizes.schema))
     chosen = rows.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) * F.col("documents") < most * 1_000_000)
     counted = chosen.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))

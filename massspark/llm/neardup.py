@@ -27,8 +27,9 @@ from massspark.llm.graph import components
 BANDS, ROWS = 40, 5
 #: Pivots of an undecided bucket that each round compares with the bucket's other members.
 PIVOTS = 512
-_SKETCH = [f"p{i}" for i in range(4)]
-_MEMBER = ["key", "node", "size", "common", "sketch", "weight", "comp"]
+#: Longs of a parity sketch, of every set and of those that stay undecided.
+_SKETCH, _WIDE = [f"p{i}" for i in range(4)], [f"p{i}" for i in range(16)]
+_MEMBER = ["key", "node", "size", "common", "place", "sketch", "weight", "comp"]
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -72,7 +73,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     n = len(offsets) - 1
     counts = np.bincount(row, minlength=n)
     grams = words.copy()
-    for t in range(1, k):
+    for t in range(1, min(k, len(words))):
         grams[: len(words) - t] = grams[: len(words) - t] * _BASE + words[t:]
     full = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts) <= np.repeat(counts, counts) - k
     sets, ends = mix(grams[full]), np.cumsum(np.maximum(counts - k + 1, 0))
@@ -138,6 +139,14 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def parities(elements: np.ndarray, counts: np.ndarray, longs: int) -> np.ndarray:
+    """For each set the parity of how many elements fall on each of 64 * longs bits. Two sets differ in no fewer elements
+    than their parities in bits."""
+    size, owner = 64 * longs, np.repeat(np.arange(len(counts)), counts)
+    bits = np.bincount(owner * size + (mix(elements + np.uint64(3)) & np.uint64(size - 1)).astype(np.int64), minlength=size * len(counts)) & 1
+    return np.packbits(bits.astype(np.uint8).reshape(-1, size), axis=1).view(np.int64)
+
+
 def _sign(k: int, bands: int, rows: int, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column, 1 << 20):
@@ -148,8 +157,7 @@ def _sign(k: int, bands: int, rows: int, column: str):
             if len(some):
                 for s, salt in zip(sums, (1, 2), strict=True):
                     s[some] = np.add.reduceat(mix(elements + np.uint64(salt)), starts[some])
-            bits = np.bincount(np.repeat(np.arange(len(counts)), counts) * 256 + (mix(elements + np.uint64(3)) & np.uint64(255)).astype(np.int64), minlength=256 * len(counts)) & 1
-            parity = np.packbits(bits.astype(np.uint8).reshape(-1, 256), axis=1).view(np.int64)
+            parity = parities(elements, counts, len(_SKETCH))
             keys = band_keys(super_minhash(elements, starts, bands * rows), bands, rows).view(np.int64)
             keys_of = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), *(pa.array(s.view(np.int64)) for s in sums), *(pa.array(np.ascontiguousarray(parity[:, i])) for i in range(4)), keys_of], ["doc_id", "n_shingles", "k1", "k2", *_SKETCH, "keys"])
@@ -157,6 +165,7 @@ def _sign(k: int, bands: int, rows: int, column: str):
     return run
 
 
+_OF_PIVOT = ["size", "common", "place", "comp", "sketch"]
 _SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, p0 long, p1 long, p2 long, p3 long, keys array<long>"
 
 
@@ -175,6 +184,13 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), np.diff(starts) // 8)), pa.array(np.frombuffer(data.tobytes(), np.int64))], ["node", "key"])
 
 
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "elements", 1 << 20):
+        data, starts = byte_view(batch.column("elements"))
+        found = parities(np.frombuffer(data.tobytes(), np.uint64), np.diff(starts) // 8, len(_WIDE))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(len(_WIDE)))], ["node", *_WIDE])
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,31 +232,33 @@ def _buckets(keyed: DataFrame, about: DataFrame) -> DataFrame:
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = written(spread.join(shared, "key"), "buckets")
     weight = buckets.groupBy("node").agg(F.sum("n").alias("weight")).join(about, "node")
-    out = written(buckets.select("key", "node").join(weight, "node").withColumns({"comp": F.col("node"), "common": F.col("size")}), "weighed")
+    out = written(buckets.select("key", "node").join(weight, "node").withColumns({"comp": F.col("node"), "common": F.col("size"), "place": F.lit(1).cast("long")}), "weighed")
     forget(buckets)
     return out
 
 
 def _hubs(named: DataFrame) -> DataFrame:
     """One pivot for each bucket, by partial aggregates only."""
-    top = named.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "size", "common", "comp", "sketch")).alias("top"))
-    return top.select("key", (-F.col("top.minus")).alias("pivot"), F.col("top.comp").alias("pivot_comp"), F.col("top.size").alias("pivot_size"), F.col("top.common").alias("pivot_common"), F.col("top.sketch").alias("pivot_sketch"))
+    top = named.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "size", "common", "place", "comp", "sketch")).alias("top"))
+    return top.select("key", (-F.col("top.minus")).alias("pivot"), *[F.col(f"top.{c}").alias(f"pivot_{c}") for c in _OF_PIVOT])
 
 
 def _strangers(named: DataFrame) -> DataFrame:
     """PIVOTS members of each bucket, of its smallest components first: when all but the largest have gone, it is decided."""
     share = named.groupBy("key", "comp").agg(F.count("*").alias("share"))
     order = Window.partitionBy("key").orderBy("share", "node")
-    placed = named.join(share, ["key", "comp"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS)
-    return placed.select("key", F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("size").alias("pivot_size"), F.col("common").alias("pivot_common"), F.col("sketch").alias("pivot_sketch"))
-
-
-def _pairs(named: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """The members of each bucket with its pivots, where two exact bounds leave the similarity possible: the elements that
-    both may have in common, and the differing bits of their parity sketches, which are at most the differing elements."""
-    apart = sum((F.bit_count(F.col(f"sketch.{p}").bitwiseXOR(F.col(f"pivot_sketch.{p}"))) for p in _SKETCH), F.lit(0))
-    close = (100 + percent) * apart <= (100 - percent) * (F.col("size") + F.col("pivot_size"))
-    close &= (100 + percent) * F.least("common", "pivot_common") >= percent * (F.col("size") + F.col("pivot_size"))
+    placed = named.join(share, ["key", "comp"]).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= PIVOTS)
+    return placed.select("key", F.col("node").alias("pivot"), *[F.col(c).alias(f"pivot_{c}") for c in _OF_PIVOT])
+
+
+def _pairs(named: DataFrame, pivots: DataFrame, percent: int, sketch: list[str]) -> DataFrame:
+    """The members of each bucket with its pivots, where exact bounds leave the similarity possible: what both may have in
+    common, in all and from the key's place in the order of rarity on (the first key that two sets share must meet it),
+    and the differing bits of their parity sketches."""
+    whole = F.col("size") + F.col("pivot_size")
+    apart = sum((F.bit_count(F.col(f"sketch.{p}").bitwiseXOR(F.col(f"pivot_sketch.{p}"))) for p in sketch), F.lit(0))
+    most = F.least("common", "pivot_common", F.col("size") - F.col("place") + 1, F.col("pivot_size") - F.col("pivot_place") + 1)
+    close = ((100 + percent) * most >= percent * whole) & ((100 + percent) * apart <= (100 - percent) * whole)
     pairs = named.join(pivots, "key").where(close & F.expr("comp <> pivot_comp"))
     return written(pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
 
@@ -249,14 +267,17 @@ def _prefixes(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Buckets of what is undecided by the rarest shingles, an exact filter: two sets of a similarity of p percent or more
     share one of each set's n - ceil(p n / 100) + 1 rarest elements. Texts that have but a long passage in common, with
     a fifth or more of their own, thus meet nowhere. common: the elements that another undecided text has too."""
-    nodes = rest.select("node", "size", "sketch").distinct()
-    spread = written(sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(_spread, "node long, key long"), "elements")
+    nodes = rest.select("node", "size").distinct()
+    wide = sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(_parities, "node long, " + ", ".join(f"{p} long" for p in _WIDE))
+    nodes = nodes.join(wide.select("node", F.struct(*_WIDE).alias("sketch")), "node")
+    spread = written(sets.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(_spread, "node long, key long"), "elements")
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     common = spread.join(shared, "key")
     order = Window.partitionBy("node").orderBy("n", "key")
     placed = common.withColumn("place", F.row_number().over(order)).withColumn("common", F.count("*").over(Window.partitionBy("node"))).join(nodes, "node")
     length = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
-    out = placed.where(F.col("place") <= length - (F.col("size") - F.col("common"))).select("key", "node", "size", "common", "sketch", F.lit(0).cast("long").alias("weight"))
+    placed = placed.withColumn("place", F.col("place") + F.col("size") - F.col("common"))
+    out = placed.where(F.col("place") <= length).select("key", "node", "size", "common", F.col("place").cast("long").alias("place"), "sketch", F.lit(0).cast("long").alias("weight"))
     out = written(out, "prefixes")
     forget(spread)
     return out
@@ -285,7 +306,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
     sets = docs.join(nodes.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(k, column), "node long, elements binary")
     sets = written(sets, "sets")
     pivots = written(_hubs(named), "pivots")
-    links = linked(_pairs(named, pivots, percent), sets, percent)
+    links = linked(_pairs(named, pivots, percent, _SKETCH), sets, percent)
     groups = components(links.unionByName(copies), "a", "b")
     forget(pivots)
     rest = written(_undecided(named, groups), "undecided")
@@ -297,7 +318,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
         forget(prefixes)
     while not rest.isEmpty():
         pivots = written(_strangers(rest), "pivots")
-        found = linked(_pairs(rest, pivots, percent), sets, percent)
+        found = linked(_pairs(rest, pivots, percent, _WIDE), sets, percent)
         if not found.isEmpty():
             links = links.unionByName(found)
             groups = components(links.unionByName(copies), "a", "b")

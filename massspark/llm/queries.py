@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from massspark.llm import chat, decontam, htmltext, langid, media, packing, secrets, suffix, tokens
 from massspark.llm.common import table
@@ -38,7 +39,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extra = spark.createDataFrame([(-1, 0, "user", _HOSTILE), (-1, 1, "assistant", _HOSTILE)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_HOSTILE).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.digests(chat.parsed(chat.format_best(chat.trees(turns)).select("conv_id", "formatted")))
 

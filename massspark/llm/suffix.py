@@ -132,10 +132,12 @@ def _segments(length: int, gram: int):
     return run
 
 
-def two_stage_order(text: np.ndarray, length: int) -> np.ndarray:
-    """All positions of text, ordered by the first `length` bytes of their suffixes at least (positions of equal ones adjoin).
+def two_stage_order(text: np.ndarray, length: int, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
+    """Positions of text, ordered by the first `length` bytes of their suffixes at least (positions of equal ones adjoin).
 
-    text: uint8, its last character the least of all. Stage one sorts the
+    text: uint8, its last character the least of all. starts, ends: the positions asked for, as ranges whose ends are
+    inclusive; all without them. What follows a range up to its first suffix smaller than the successor is ordered too,
+    as the range is induced from it. Stage one sorts the
     suffixes that are smaller than their successors, eight bytes at a time, going on with ties only. Stage two scans the
     buckets of the first character in ascending order and puts before each found suffix's predecessor, if it is larger,
     behind what its own bucket has of such; a bucket is scanned as one array, runs of one character in waves.
@@ -143,10 +145,19 @@ def two_stage_order(text: np.ndarray, length: int) -> np.ndarray:
     n = len(text)
     step = np.zeros(n, np.int8)
     step[:-1] = np.sign(text[1:].astype(np.int32) - text[:-1].astype(np.int32))
-    step[-1] = -1
+    step[-1] = 1  # nothing follows the last, which comes first of all
     at = np.where(step != 0, np.arange(n), n)
     larger = step[np.minimum.accumulate(at[::-1])[::-1]] < 0  # than its successor
-    small = np.flatnonzero(~larger)
+    if starts is None:
+        asked = np.ones(n, bool)
+    else:
+        following = np.where(larger, n - 1, np.arange(n))
+        following = np.minimum.accumulate(following[::-1])[::-1]  # the first at or behind each that is sorted directly
+        edge = np.zeros(n + 1, np.int8)
+        edge[starts] += 1
+        edge[following[ends] + 1] -= 1
+        asked = np.cumsum(edge[:-1]) > 0
+    small = np.flatnonzero(~larger & asked)
     words = np.r_[_words(text), np.zeros(length + 16, np.uint64)]
     order, group = small, np.zeros(len(small), np.int64)
     active = np.arange(len(small))
@@ -169,7 +180,7 @@ def two_stage_order(text: np.ndarray, length: int) -> np.ndarray:
 
     def induce(positions: np.ndarray) -> np.ndarray:
         before = positions[positions > 0] - 1
-        return before[larger[before]]
+        return before[larger[before] & asked[before]]
 
     def deal(found: np.ndarray) -> None:
         if not len(found):
@@ -181,7 +192,6 @@ def two_stage_order(text: np.ndarray, length: int) -> np.ndarray:
         for s, e in zip(cuts, [*cuts[1:], len(c)], strict=True):
             queues[c[s]].append(found[s:e])
 
-    deal(np.array([n - 1]))  # the sentinel is larger than the nothing after it
     for c in np.flatnonzero(heads):
         wave = np.concatenate(queues[c]) if queues[c] else np.zeros(0, np.int64)
         while len(wave):
@@ -204,7 +214,7 @@ def first_strings(segments: list[bytes], ids: np.ndarray, starts: np.ndarray, le
     inside = np.ones(edges[-1], bool)
     inside[edges[1:] - 1] = False  # a zero ends each segment; bytes count from one, and UTF-8 has no byte 255
     text[inside] = np.frombuffer(b"".join(segments), np.uint8) + np.uint8(1)
-    order = two_stage_order(text, length)
+    order = two_stage_order(text, length, edges[:-1], edges[1:] - 1 - length)
     owner = np.repeat(np.arange(len(segments)), sizes + 1)
     offset = np.arange(edges[-1]) - edges[owner]
     order = order[offset[order] + length <= sizes[owner[order]]]

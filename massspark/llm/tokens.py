@@ -26,7 +26,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
 _MAGIC = b"MTB1"
 #: Data of a block before it is closed, and words of which a worker keeps the ids.
-BLOCK_BYTES, KEPT_WORDS = 4 << 20, 1_000_000
+BLOCK_BYTES, KEPT_WORDS = 4 << 20, 300_000
 _LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8)
 #: A blank before white space or the end is no place to cut a text; elsewhere a word always starts at a blank.
 _NO_CUT, _CUT = re.compile(r" (?:\s|$)"), re.compile(r" (?=\S)")
@@ -69,7 +69,7 @@ def _tokenise(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tail = Encoder(path), np.array([end], "<u4").tobytes()
         small = encoder.tokenizer.get_vocab_size() <= 1 << 16
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             ids = [x + tail for x in encoder.encode(batch.column("text").to_pylist())]
             if small:
                 ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
