@@ -163,7 +163,7 @@ def fixed_mod_mass(spark, sf_dir):
 @query(f"""WITH d AS (SELECT DISTINCT peptide FROM ({_PEPTIDES_SQL})),
 o AS (SELECT peptide, CAST(unnest(range(0, length(peptide))) AS INTEGER) AS pos FROM d),
 s AS (SELECT peptide, pos, 1 AS mod, {_O!r} AS mass FROM o WHERE substr(peptide, pos + 1, 1) = 'M' UNION ALL SELECT peptide, 0, 2, {_A!r} FROM d),
-x AS (SELECT peptide, '' AS placed, 0.0 AS delta FROM d
+x AS (SELECT peptide, '' AS placed, CAST(0 AS DOUBLE) AS delta FROM d
   UNION ALL SELECT peptide, pos || ':' || mod, mass FROM s
   UNION ALL SELECT a.peptide, a.pos || ':' || a.mod || ',' || b.pos || ':' || b.mod, a.mass + b.mass FROM s a JOIN s b USING (peptide) WHERE a.pos <> b.pos AND (a.mod, a.pos) < (b.mod, b.pos))
 SELECT peptide, placed, round(delta, 6) AS delta FROM x""")
