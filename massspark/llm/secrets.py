@@ -7,7 +7,6 @@ in a layer is reported as a span of the source. A layer that was seen before ove
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -33,7 +32,18 @@ _B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
 _B64_RUN = bytes(97 if chr(i) in _B64 else 32 for i in range(256))
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u\{[0-9a-fA-F]{1,6}\}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\x[0-9a-fA-F]{2}|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};")
+#: Escapes that writers of byte strings use beside _ESCAPE; they are undone where compressed bytes may lie under them.
+_SHORT = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "v": "\v", "a": "\a", "0": "\0", "\\": "\\", "'": "'", '"': '"', "/": "/"}
+_BYTE_ESCAPE = re.compile(r"\\[nrtbfva0\\'\"/]|" + _ESCAPE.pattern)
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 broken into lines; the break may itself be written as \n.
+_BREAK = r"[\x20\t]*(?:\r?\n|(?:\\r)?\\n)[\x20\t]*"
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{_BREAK}[A-Za-z0-9+/_-]++)+={{0,2}}")
+_WRAPPED_BYTES = re.compile(_WRAPPED.pattern.encode("ascii"))
+_AT_BREAK = re.compile(_BREAK)
+_MAGIC = r"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|[\x50-\x5f]\x2a\x4d\x18"
+_PACKED, _PACKED_BYTES = re.compile(_MAGIC), re.compile(_MAGIC.encode("ascii"), re.S)
+_WIDE = re.compile("[^\x00-\xff]")
 #: Compressed data that unfolds to more than this many bytes is counted as oversize and not scanned (a memory guard).
 LAYER_BYTES = 64 << 20
 
@@ -53,41 +63,79 @@ def find(text: str, raw: bytes | None = None) -> list[tuple[int, str, int]]:
     return found
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """What compressed bytes hold, None if they are none or are broken. May be LAYER_BYTES + 1 long."""
+def _member(data: bytes, at: int, room: int) -> tuple[bytes, int] | None:
+    """What the compressed member or frame at a place holds, as far as it is whole, and where it ends; None if there is none.
+
+    May be longer than room, and then ends early."""
+    head, step = data[at : at + 8], 4096
+    if not _PACKED_BYTES.match(head):
+        return None
+    if head[1:4] == b"\x2a\x4d\x18":  # a frame of zstd that holds nothing
+        return b"", min(len(data), at + 8 + int.from_bytes(head[4:8], "little"))
+    if head[:3] == b"BZh":
+        unpacker = bz2.BZ2Decompressor()
+    elif head[:1] == b"\xfd":
+        unpacker = lzma.LZMADecompressor(lzma.FORMAT_XZ)
+    elif head[:1] == b"\x28":
+        unpacker, step = zstandard.ZstdDecompressor().decompressobj(), 256  # a block of 4 bytes may hold 128 KiB
+    else:
+        unpacker = zlib.decompressobj(47)
+    limited, out, n = hasattr(unpacker, "needs_input"), [], 0
     try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, LAYER_BYTES + 1)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, LAYER_BYTES + 1)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, LAYER_BYTES + 1)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, LAYER_BYTES + 1)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            return zstandard.ZstdDecompressor().decompressobj().decompress(data)[: LAYER_BYTES + 1]
+        while at < len(data) and n <= room:
+            part = data[at : at + step]
+            out.append(unpacker.decompress(part, room + 1 - n) if limited else unpacker.decompress(part))
+            n += len(out[-1])
+            at += len(part)
+            if unpacker.eof:
+                return b"".join(out), at - len(unpacker.unused_data)
     except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        return None
-    return None
-
-
-def _texts(data: bytes) -> tuple[str | None, bool, bool]:
-    """The text in bytes, with compressed layers taken off; if some were; if one was oversize."""
-    seen, packed = set(), False
-    while (inner := _inflate(data)) is not None:
-        packed = True
-        if len(inner) > LAYER_BYTES:
-            return None, True, True
-        mark = hashlib.sha256(inner).digest()
-        if mark in seen:  # data that unfolds to itself
-            return None, True, False
-        seen.add(mark)
-        data = inner
+        return (b"".join(out), len(data)) if n else None
+    return b"".join(out), at
+
+
+def _unfolded(data: bytes) -> tuple[bytes, int, bool] | None:
+    """What the members at the start of data hold, one after another; where they end; if it is oversize. None if there are none."""
+    out, n, end, at = [], 0, 0, 0
+    while (got := _member(data, at, LAYER_BYTES - n)) is not None:
+        out.append(got[0])
+        n += len(got[0])
+        if n > LAYER_BYTES:
+            return b"", len(data), True
+        at = end = got[1]
+        while data[at : at + 1] == b"\0":  # padding between members
+            at += 1
+    return (b"".join(out), end, False) if end else None
+
+
+def _readings(data: bytes) -> Iterator[tuple[str, np.ndarray]]:
+    """The texts that bytes may be, with the edges of each one's characters in the bytes.
+
+    UTF-16 where a byte order mark says so; else UTF-8, or Latin-1 where that fails or may hold compressed bytes. Bytes
+    with zeros may be UTF-16 without a mark, and are read as such too.
+    """
+
+    def wide(codec: str, start: int) -> tuple[str, np.ndarray]:
+        text = data[start : start + (len(data) - start) // 2 * 2].decode(codec, "surrogatepass")
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        return text, start + np.r_[0, np.cumsum(np.where(codes > 0xFFFF, 4, 2))]
+
+    marked = {b"\xff\xfe": "utf-16-le", b"\xfe\xff": "utf-16-be"}.get(data[:2])
+    if marked:
+        yield wide(marked, 2)
     try:
         text = data.decode("utf-8")
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        yield text, np.r_[0, np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))]
+        plain = data.isascii() or not _PACKED_BYTES.search(data)
     except UnicodeDecodeError:
-        return None, packed, False
-    return (text if packed or all(c.isprintable() or c in "\t\r\n" for c in text) else None), packed, False
+        plain = False
+    if not plain:
+        yield data.decode("latin-1"), np.arange(len(data) + 1)
+    if b"\0" in data:
+        for codec in ("utf-16-le", "utf-16-be"):
+            yield wide(codec, 0)
+            yield wide(codec, 1)
 
 
 class _Layer:
@@ -118,17 +166,14 @@ class _Layer:
             at = b
         return _Layer("".join([*text, self.text[at:]]), np.concatenate([*starts, first[at:]]), np.concatenate([*ends, last[at:]]))
 
-    def cut(self, a: int, b: int, new: str, edges: np.ndarray | None) -> _Layer:
-        """A layer of what [a, b) decodes to. edges: where in [a, b) each character starts and ends."""
-        if edges is None:
-            s, e = self.span(a, b)
-            return _Layer(new, np.full(len(new), s), np.full(len(new), e))
-        first = edges[0] if self.starts is None else self.starts[edges[0]]
-        last = edges[1] if self.starts is None else self.ends[edges[1] - 1]
-        return _Layer(new, first, last)
+    def cut(self, new: str, first: np.ndarray, last: np.ndarray) -> _Layer:
+        """A layer whose characters are decoded from the characters from first up to last (each one's end)."""
+        return _Layer(new, first if self.starts is None else self.starts[first], last if self.ends is None else self.ends[last - 1])
 
 
 def _unescaped(token: str) -> str:
+    if token[0] == "\\" and len(token) == 2:
+        return _SHORT[token[1]]
     if token[0] == "&":
         code = int(token[3:-1], 16) if token[2] in "xX" else int(token[2:-1])
     elif len(token) == 12:
@@ -138,54 +183,86 @@ def _unescaped(token: str) -> str:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
 
 
+def _unquoted(layer: _Layer) -> Iterator[_Layer]:
+    """The layer with URL escapes undone: as UTF-8 where that is sound, and as bytes where they may hold compressed ones."""
+    as_text, as_bytes = [], []
+    for m in _PERCENT.finditer(layer.text):
+        data = bytes.fromhex(m.group().replace("%", ""))
+        try:
+            new = data.decode("utf-8")
+            widths = [3 * len(c.encode("utf-8")) for c in new]
+        except UnicodeDecodeError:
+            new, widths = data.decode("latin-1"), [3] * len(data)
+        as_text.append((m.start(), m.end(), new, widths))
+        as_bytes.append((m.start(), m.end(), data.decode("latin-1"), [3] * len(data)))
+    if not as_text:
+        return
+    yield layer.replaced(as_text)
+    blanks = [(m.start(), m.end(), " ", [1]) for m in re.finditer(r"\+", layer.text)]
+    for pieces in ([as_bytes] if any(a[2] != b[2] for a, b in zip(as_text, as_bytes, strict=True)) else []) + ([sorted(as_bytes + blanks)] if blanks else []):
+        got = layer.replaced(pieces)
+        if _PACKED.search(got.text):
+            yield got
+
+
+def _unpacked(layer: _Layer) -> tuple[list[_Layer], int]:
+    """The layer with compressed bytes, a character each, replaced by the texts they hold."""
+    out, oversize, at, found = [], 0, 0, []
+    while m := _PACKED.search(layer.text, at):
+        wide = _WIDE.search(layer.text, m.start())
+        got = _unfolded(layer.text[m.start() : wide.start() if wide else None].encode("latin-1"))
+        at = m.end()
+        if got is None:
+            continue
+        oversize += got[2]
+        if got[0]:
+            found.append((m.start(), m.start() + got[1], got[0]))
+            at = m.start() + got[1]
+    for a, b, data in found:
+        for text, _ in _readings(data):
+            out.append(layer.replaced([(a, b, text, None)]))
+    if len(found) > 1:
+        out.append(layer.replaced([(a, b, next(_readings(data))[0], None) for a, b, data in found]))
+    return out, oversize
+
+
 def _unwrapped(layer: _Layer) -> tuple[list[_Layer], int]:
-    out, oversize, text = [], 0, layer.text
+    text = layer.text
+    out, oversize = _unpacked(layer)
     if "%" in text:
-        pieces = []
-        for m in _PERCENT.finditer(text):
-            data = bytes.fromhex(m.group().replace("%", ""))
-            inner, packed, big = _texts(data)
-            oversize += big
-            if packed:
-                pieces += [(m.start(), m.end(), inner, None)] if inner else []
-                continue
-            try:
-                new = data.decode("utf-8")
-                widths = [3 * len(c.encode("utf-8")) for c in new]
-            except UnicodeDecodeError:
-                new, widths = data.decode("latin-1"), [3] * len(data)
-            pieces.append((m.start(), m.end(), new, widths))
-        if pieces:
-            out.append(layer.replaced(pieces))
+        out += _unquoted(layer)
     if "\\" in text or "&#" in text:
         pieces = [(m.start(), m.end(), _unescaped(m.group()), None) for m in _ESCAPE.finditer(text)]
         if pieces:
             out.append(layer.replaced(pieces))
+            as_bytes = layer.replaced([(m.start(), m.end(), _unescaped(m.group()), None) for m in _BYTE_ESCAPE.finditer(text)])
+            if _PACKED.search(as_bytes.text):
+                out.append(as_bytes)
     for m in _BASE64.finditer(text):
-        body = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        inner, packed, big = _texts(data)
-        oversize += big
-        if not inner:
-            continue
-        edges = None
-        if not packed:
-            ends = np.cumsum([len(c.encode("utf-8")) for c in inner])
-            edges = m.start() + np.r_[0, ends[:-1]] * 4 // 3, m.start() + np.minimum(-(-ends * 4 // 3), len(body))
-        out.append(layer.cut(m.start(), m.end(), inner, edges))
+        body = m.group().rstrip("=")
+        out += _decoded(layer, body, np.arange(m.start(), m.start() + len(body)))
+    for m in _WRAPPED.finditer(text) if "\n" in text or "\\n" in text else ():
+        breaks = [x.span() for x in _AT_BREAK.finditer(text, m.start(), m.end())]
+        lines = list(zip([m.start(), *(b for _, b in breaks)], [*(a for a, _ in breaks), m.end()], strict=True))
+        body, places = "".join(text[a:b] for a, b in lines).rstrip("="), np.concatenate([np.arange(a, b) for a, b in lines])
+        for shift in range(4) if len(body) >= 16 else ():  # a word on the line before belongs to the run, too
+            out += _decoded(layer, body[shift:], places[shift : len(body)])
     return out, oversize
 
 
+def _decoded(layer: _Layer, body: str, places: np.ndarray) -> Iterator[_Layer]:
+    """What base64 characters, standing in the layer at places, decode to."""
+    body = body[: len(body) - (len(body) % 4 == 1)].replace("-", "+").replace("_", "/")
+    for text, edges in _readings(base64.b64decode(body + "=" * (-len(body) % 4))):
+        if text:
+            yield layer.cut(text, places[edges[:-1] * 4 // 3], places[np.minimum(-(-edges[1:] * 4 // 3), len(body)) - 1] + 1)
+
+
 def scan(text: str, raw: bytes | None = None) -> tuple[list, list, int, int]:
     """Base (start, kind, end); all of them with those of inner layers; layers opened; oversize layers."""
     raw = text.encode("utf-8", "surrogatepass") if raw is None else raw
     base = find(text, raw)
-    if not (b"%" in raw or b"\\" in raw or b"&#" in raw or b"a" * 16 in raw.translate(_B64_RUN)):
+    if not (b"%" in raw or b"\\" in raw or b"&#" in raw or b"a" * 16 in raw.translate(_B64_RUN) or b"\n" in raw and any(m.end() - m.start() > 16 for m in _WRAPPED_BYTES.finditer(raw))):
         return base, base, 0, 0
     everything, work, seen, layers, oversize = set(base), [_Layer(text)], set(), 0, 0
     while work:
