@@ -1,7 +1,8 @@
 """Benchmark decontamination: q-gram lemma filter over diagonal bands, then banded alignment.
 
 Texts and items are compared as lower-cased bytes with every run of blanks and punctuation as one blank. An item is searched
-by windows that overlap by half, so a leak of one and a half windows holds a whole one. A window of w bytes with at most e
+by its windows from every byte on (STRIDE apart), so a leak of WINDOW + STRIDE - 1 compared bytes, wherever it was cut, holds
+a whole one; what is shorter than a window is found only where it is the whole item. A window of w bytes with at most e
 edits shares w + 1 - q - q e q-grams with its match, all on diagonals at most e apart: hits are counted in bands two steps
 wide, a step (at least e) apart, and only bands that reach the bound are aligned.
 """
@@ -19,6 +20,10 @@ from massspark.llm.common import byte_view, slices
 
 #: Bytes of a q-gram and of a window, and edits allowed as a share of a window.
 Q, WINDOW, EDITS = 8, 100, 0.08
+#: Bytes from one window of an item to the next.
+STRIDE = 1
+#: Windows that are aligned at once.
+ALIGNED = 1 << 13
 #: Zeros between texts: more than a window's edits, so that nothing matches across.
 GAP = 16
 #: Items of so many bytes are searched in one pass over the documents; more take more passes.
@@ -62,41 +67,56 @@ def qgrams(x: np.ndarray, q: int = Q) -> np.ndarray:
     return out
 
 
+_WIDTH, _MIDDLE = 1 << 36, 1 << 35
+
+
+def _runs(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first, first + 1 and so on, so many of each."""
+    return np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
 class Windows:
-    """The index of a block of items."""
+    """The index of a block of items. Only q-grams of items are stored; windows are counted from where a q-gram stands."""
 
-    def __init__(self, items: list[tuple[int, str | None]], q: int = Q, window: int = WINDOW, edits: float = EDITS):
+    def __init__(self, items: list[tuple[int, str | None]], q: int = Q, window: int = WINDOW, edits: float = EDITS, stride: int = STRIDE):
         if int(window * edits) >= GAP:
             raise ValueError("a window's edit budget must be below GAP")
-        self.q, self.window, self.step = q, window, max(8, int(window * edits))
-        self.items, self.texts, self.budgets, codes, owner, places = [], [], [], [], [], []
+        self.q, self.stride, self.step = q, stride, max(8, int(window * edits))
+        self.items, texts, codes = [], [], []
         for item, text in items:
             raw = np.frombuffer((text or "").encode("utf-8"), np.uint8)
             x = folded(raw, np.array([0, len(raw)]))[0][:-GAP]
             x = x[: len(x) - 1] if len(x) and x[-1] == 32 else x
             if len(x) < q:  # no q-gram, so nothing to search by
                 continue
-            last = max(0, len(x) - window)
-            for start in sorted({*range(0, last, window // 2), last}):
-                part = x[start : start + window]
-                budget = min(int(len(part) * edits), (len(part) - q) // q)
-                codes.append(qgrams(part, q))
-                owner.append(np.full(len(codes[-1]), len(self.items)))
-                places.append(np.arange(len(codes[-1])))
-                self.items.append(item)
-                self.texts.append(part)
-                self.budgets.append(budget)
-        self.budgets = np.array(self.budgets, np.int64)
-        self.sizes = np.array([len(t) for t in self.texts], np.int64)
+            self.items.append(item)
+            texts.append(x)
+            codes.append(qgrams(x, q))
+        lengths = np.array([len(t) for t in texts], np.int64)
+        self.text, self.text_at = np.concatenate([*texts, np.zeros(0, np.uint8)]), np.cumsum(lengths) - lengths
+        # by item: the size, edits and q-gram bound of its windows, where the last starts, and the first one's number
+        self.sizes = np.minimum(lengths, window)
+        self.budgets = np.minimum((self.sizes * edits).astype(np.int64), (self.sizes - q) // q)
         self.bounds = self.sizes + 1 - q - q * self.budgets
-        codes, owner, places = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (codes, owner, places))
+        self.last = lengths - self.sizes
+        n = -(-self.last // stride) + 1
+        self.base = np.cumsum(n) - n
+        self.n = n
+        owner = np.repeat(np.arange(len(texts)), lengths - q + 1)
+        places = np.concatenate([*(np.arange(len(c)) for c in codes), np.zeros(0, np.int64)])
+        codes = np.concatenate([*codes, np.zeros(0, np.uint64)])
         order = np.argsort(codes, kind="stable")
         self.owner, self.place = owner[order].astype(np.int64), places[order].astype(np.int64)
-        self.codes, self.first = np.unique(codes[order].astype(np.uint64), return_index=True)
+        self.codes, self.first = np.unique(codes[order], return_index=True)
         self.count = np.diff(np.r_[self.first, len(order)])
         self.table = np.zeros(1 << _BITS, bool)
         self.table[self._slots(self.codes)] = True
 
+    def item_of(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The items of windows, and where in them the windows start."""
+        item = np.searchsorted(self.base, window, "right") - 1
+        return item, np.minimum((window - self.base[item]) * self.stride, self.last[item])
+
     @staticmethod
     def _slots(codes: np.ndarray) -> np.ndarray:
         return (codes * _FACTOR) >> np.uint64(64 - _BITS)
@@ -123,28 +143,44 @@ class Windows:
         known = self.codes[np.minimum(slot, len(self.codes) - 1)] == grams[at]
         at, slot = at[known], slot[known]
         counts = self.count[slot]
-        index = np.repeat(self.first[slot] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        window, diagonal = self.owner[index], np.repeat(at, counts) - self.place[index]
-        band = diagonal // self.step
-        width, middle = 1 << 40, 1 << 39
-        key = np.concatenate([window * width + band + middle, window * width + band + middle - 1])
-        found, n = np.unique(key, return_counts=True)
-        window = found // width
-        good = n >= self.bounds[window]
-        return window[good], found[good] % width - middle
+        index = _runs(self.first[slot], counts)
+        item, place, at = self.owner[index], self.place[index], np.repeat(at, counts)
+        # a match of a window is in a band of its item as well: what reaches no bound there is in no window that does
+        found, n = self._counted(item, at - place)
+        good = found[n >= self.bounds[found // _WIDTH]]
+        key = item * _WIDTH + (at - place) // self.step + _MIDDLE
+        known = np.isin(key, good) | np.isin(key - 1, good)
+        item, place, at = item[known], place[known], at[known]
+        low = np.minimum(-(-np.maximum(place + self.q - self.sizes[item], 0) // self.stride), self.n[item] - 1)
+        high = np.where(place >= self.last[item], self.n[item] - 1, place // self.stride)
+        counts = np.maximum(high - low + 1, 0)
+        window = _runs(self.base[item] + low, counts)
+        item = np.repeat(item, counts)
+        start = np.minimum((window - self.base[item]) * self.stride, self.last[item])
+        found, n = self._counted(window, np.repeat(at - place, counts) + start)
+        window = found // _WIDTH
+        good = n >= self.bounds[self.item_of(window)[0]]
+        return window[good], found[good] % _WIDTH - _MIDDLE
+
+    def _counted(self, owner: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of (owner, band) and the hits in each."""
+        key = owner * _WIDTH + diagonal // self.step + _MIDDLE
+        return np.unique(np.concatenate([key, key - 1]), return_counts=True)
 
     def aligned(self, x: np.ndarray, window: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The least edits of each (window, band) on its diagonals and those an edit budget around, and where in x it ends."""
         if not len(window):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        slack = int(self.budgets[window].max())
-        width, rows = 2 * self.step + 2 * slack, int(self.sizes[window].max())
+        item, start = self.item_of(window)
+        sizes = self.sizes[item]
+        slack = int(self.budgets[item].max())
+        width, rows = 2 * self.step + 2 * slack, int(sizes.max())
         left = band * self.step - slack
         padded = np.concatenate([np.zeros(rows + width + abs(int(min(0, left.min()))), np.uint8), x, np.zeros(rows + 2 * width, np.uint8)])
         shift = len(padded) - len(x) - (rows + 2 * width)
-        pattern = np.full((len(window), rows), 255, np.uint8)
-        for i, w in enumerate(window):
-            pattern[i, : self.sizes[w]] = self.texts[w]
+        places = np.arange(rows)
+        source = np.minimum((self.text_at[item] + start)[:, None] + places, len(self.text) - 1)
+        pattern = np.where(places < sizes[:, None], self.text[source], np.uint8(255))
         lanes = np.arange(width)
         costs, best, ends = np.zeros((len(window), width), np.int64), np.zeros(len(window), np.int64), np.zeros(len(window), np.int64)
         for i in range(rows):
@@ -152,7 +188,7 @@ class Windows:
             turned = costs + (text != pattern[:, i : i + 1])
             turned[:, :-1] = np.minimum(turned[:, :-1], costs[:, 1:] + 1)
             costs = np.minimum.accumulate(turned - lanes, axis=1) + lanes
-            done = np.flatnonzero(self.sizes[window] == i + 1)
+            done = np.flatnonzero(sizes == i + 1)
             if len(done):
                 lane = costs[done].argmin(axis=1)
                 best[done], ends[done] = costs[done, lane], left[done] + lane + i + 1
@@ -160,10 +196,15 @@ class Windows:
 
     def search(self, x: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, edits, start, end) of every window found in x; start is the earliest that the edits allow."""
-        window, band = self.bands(x)
-        best, ends = self.aligned(x, window, band)
-        good = best <= self.budgets[window]
-        return [(self.items[w], int(b), int(e - self.sizes[w] - b), int(e)) for w, b, e in zip(window[good], best[good], ends[good], strict=True)]
+        out = []
+        windows, bands = self.bands(x)
+        for i in range(0, len(windows), ALIGNED):
+            window = windows[i : i + ALIGNED]
+            best, ends = self.aligned(x, window, bands[i : i + ALIGNED])
+            item = self.item_of(window)[0]
+            good = np.flatnonzero(best <= self.budgets[item])
+            out += [(self.items[k], int(b), int(e - n - b), int(e)) for k, b, e, n in zip(item[good], best[good], ends[good], self.sizes[item[good]], strict=True)]
+        return out
 
 
 _FOUND = "doc_id long, item_id long, edits long, n_windows long, start long, end long"

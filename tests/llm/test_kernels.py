@@ -223,6 +223,23 @@ def test_alignment():
     assert index.search(x) == [] and len(starts) == 3  # nothing matches across two texts
 
 
+def test_leaks_at_every_offset():
+    """A window's worth of an item is found wherever it was cut, also with edits; the item's end too."""
+    rng = random.Random(6)
+    item = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9))) for _ in range(40))[:240].replace(" ", "i")
+    index = decontam.Windows([(7, "short item of words"), (1, item), (2, item[::-1][:50])])
+    least = decontam.WINDOW
+    for at in range(len(item) - least + 1):
+        leak = item[at : at + least]
+        changed = list(leak)
+        for i in (20, 50, 80):
+            changed[i] = "z"
+        for text in (leak, "".join(changed)):
+            hits = index.search(decontam.folded(*view([f"zzz yyy {text} xxx zzz"]))[0])
+            assert {h[0] for h in hits} == {1} and min(h[1] for h in hits) == (0 if text == leak else 3), at
+    assert {h[0] for h in index.search(decontam.folded(*view([f"zz {item[10:120]} zz"]))[0])} == {1}
+
+
 def test_blocks_and_field():
     page = "<html><head><title>t</title><script>a<p>b</script></head><body><nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>one<b>two</b><br>three<p>four</article><footer>&copy; x"
     got = htmltext.blocks(page)
