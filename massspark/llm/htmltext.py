@@ -24,8 +24,10 @@ _SPLIT = re.compile(r"[^a-z]+")
 #: Elements that end the block before them and start their own.
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never part of a page's prose.
-_HIDDEN = frozenset("script style title textarea select noscript template iframe object svg math button canvas audio video head".split())
+#: Elements whose text is never part of a page's prose; that of all others is left to the field.
+_HIDDEN = frozenset("script style title textarea select template head".split())
+#: Elements that may stand in head. Any other, and text, ends it, as its end tag and the body's start tag may be omitted.
+_IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 _RAW = frozenset("script style title textarea".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "body": {"head"}}
 
@@ -63,8 +65,15 @@ def blocks(source: str | None) -> list[Block]:
             links -= tag == "a"
         del stack[len(stack) - count :]
 
+    def leave_head() -> None:
+        tags = [tag for tag, _ in stack]
+        if "head" in tags and "template" not in tags:
+            pop(len(stack) - tags.index("head"))
+
     while at < len(source):
         m = _TOKEN.search(source, at)
+        if hidden and stack[-1][0] == "head" and source[at : m.start() if m else len(source)].strip():
+            leave_head()
         if not hidden:
             piece = source[at : m.start() if m else len(source)]
             pieces.append(piece)
@@ -82,6 +91,8 @@ def blocks(source: str | None) -> list[Block]:
                     pop(len(stack) - i)
                     break
             continue
+        if hidden and tag not in _IN_HEAD:
+            leave_head()
         if tag in _BLOCKS:
             close()
             gone = _CLOSES.get(tag, set()) | ({"p"} if tag not in ("html", "body", "head") else set())

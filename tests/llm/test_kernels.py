@@ -255,6 +255,18 @@ def test_blocks_and_field():
     assert wrong / total < 0.02
 
 
+def test_blocks_keep_text():
+    """A head without its end tag hides no more than itself; only controls and what is no text are left out."""
+    text = lambda page: [b.text for b in htmltext.blocks(page)]
+    assert text("<html><head><meta charset=x><title>t</title><style>s</style><p>one<p>two") == ["one", "two"]
+    assert text("<head><title>t</title>one <b>two</b>") == ["one two"]
+    assert text("<head><noscript><link rel=x></noscript><template><p>no</p></template><title>t</title></head><body><p>one") == ["one"]
+    for tag in "math noscript object canvas svg audio video button iframe".split():
+        assert text(f"<article><p>one <{tag}>two</{tag}> three</p></article>") == ["one two three"], tag
+    for tag in "script style template title textarea select".split():
+        assert text(f"<article><p>one <{tag}>two</{tag}> three</p></article>") == ["one three"], tag
+
+
 def test_viterbi_is_best():
     field = htmltext.Field({"bias": (0.1, 0.0), "a:nav": (1.0, -1.0), "a:p": (-0.4, 0.6)}, np.array([[0.5, -0.3], [-0.6, 0.4]]))
     page = [htmltext.Block("x", 0, p) for p in (("p",), ("nav",), ("p",), ("p",), ("nav",), ())]
