@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Text bytes that one NumPy pass works on; a longer text is a pass of its own.
 PASS_BYTES = 2 << 20
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, where the session sets no bound of its own.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING, _UNBOUNDED = "spark.sql.execution.arrow.maxBytesPerBatch", 2**31 - 1
+
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -46,6 +51,27 @@ def forget(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _tidied(run: Callable) -> Callable:
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:  # workers are used again by other stages, so what a task has freed goes back to the system
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidied
+
+
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches bounded in bytes and the worker's free memory given back after each task."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH_SETTING, str(_UNBOUNDED))) >= _UNBOUNDED:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(_tidied(run), schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

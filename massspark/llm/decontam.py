@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massspark.llm.common import byte_view, slices
+from massspark.llm.common import byte_view, mapped, slices
 
 #: Bytes of a q-gram and of a window, and edits allowed as a share of a window.
 Q, WINDOW, EDITS = 8, 100, 0.08
@@ -244,7 +244,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, q: int = Q, window:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
     out = None
     for index in _blocks(benchmark, q, window, edits):
-        found = docs.mapInArrow(_search(index), _FOUND)
+        found = docs.transform(mapped, _search(index), _FOUND)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -273,5 +273,5 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     for index in _blocks(benchmark):
-        documents = documents.mapInArrow(without(index), documents.schema)
+        documents = documents.transform(mapped, without(index), documents.schema)
     return documents

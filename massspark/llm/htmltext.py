@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from massspark.llm.common import mapped
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
@@ -322,4 +324,4 @@ def main_text(pages: DataFrame, field: Field | None = None) -> DataFrame:
     table gives an empty result. Pages are worked on where they are; the field (some hundred weights) travels along.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(_extract(field or default_field()), "page_id long, url string, text string, n_chars long")
+    return rows.transform(mapped, _extract(field or default_field()), "page_id long, url string, text string, n_chars long")

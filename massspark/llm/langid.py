@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from massspark.llm.common import slices
+from massspark.llm.common import mapped, slices
 
 #: Grams of a profile.
 PROFILE = 300
@@ -92,7 +92,7 @@ def fit(documents: DataFrame, profile: int = PROFILE, most: int = FIT_DOCUMENTS)
     if len(few) <= MOST_LANGUAGES:  # so small that no text need be shuffled by its language
         sizes = F.broadcast(rows.sparkSession.createDataFrame([tuple(r) for r in few], sizes.schema))
     chosen = rows.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) * F.col("documents") < most * 1_000_000)
-    counted = chosen.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = chosen.select("lang", "text").transform(mapped, _count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counted.withColumn("place", place).where(F.col("place") <= profile).collect()
     out: dict[str, list] = {}
@@ -153,7 +153,7 @@ def identify(documents: DataFrame, profiles: dict[str, np.ndarray], profile: int
     result. The profiles travel with the task: their size is bounded by the number of languages.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predict(profiles, profile), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.transform(mapped, _predict(profiles, profile), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def recognised(documents: DataFrame, profiles: dict[str, np.ndarray], least: float, profile: int = PROFILE) -> DataFrame:
@@ -165,4 +165,4 @@ def recognised(documents: DataFrame, profiles: dict[str, np.ndarray], least: flo
             preds, scores = predict(batch.column("text").to_pylist())
             yield batch.filter(pa.array([p != "und" and s >= least for p, s in zip(preds, scores, strict=True)], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.transform(mapped, run, documents.schema)

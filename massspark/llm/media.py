@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massspark.llm.common import binary, slices
+from massspark.llm.common import binary, mapped, slices
 
 WIDTH = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -150,7 +150,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def as_media(documents: DataFrame, column: str = "text") -> DataFrame:
     """doc_id, n_bytes, media (the PNG, a binary column). Null and empty texts are 64 zero bytes; one row per input row."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
-    return rows.mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
+    return rows.transform(mapped, _encode, "doc_id long, n_bytes long, media binary")
 
 
 _FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
@@ -181,4 +181,4 @@ def media_features(media: DataFrame) -> DataFrame:
 
     Damaged or null media give nulls and an error text; no row is dropped. Extra columns are ignored.
     """
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_read, _FEATURES)
+    return media.select("doc_id", "n_bytes", "media").transform(mapped, _read, _FEATURES)

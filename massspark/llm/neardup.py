@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from massspark.llm.common import binary, byte_view, forget, mix, slices, written
+from massspark.llm.common import binary, byte_view, forget, mapped, mix, slices, written
 from massspark.llm.graph import components
 
 #: 40 bands of 5 slots: a pair at similarity 0.8 shares no bucket with probability (1 - 0.8^5)^40 = 1.2e-7.
@@ -213,7 +213,7 @@ def _verify(percent: int):
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets (node, elements) meet the similarity."""
     joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
-    out = written(joined.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "verified")
+    out = written(joined.select("a", "b", "x", "y").transform(mapped, _verify(percent), "a long, b long"), "verified")
     forget(pairs)
     return out
 
@@ -268,9 +268,9 @@ def _prefixes(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     share one of each set's n - ceil(p n / 100) + 1 rarest elements. Texts that have but a long passage in common, with
     a fifth or more of their own, thus meet nowhere. common: the elements that another undecided text has too."""
     nodes = rest.select("node", "size").distinct()
-    wide = sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(_parities, "node long, " + ", ".join(f"{p} long" for p in _WIDE))
+    wide = sets.join(nodes.select("node"), "node", "left_semi").transform(mapped, _parities, "node long, " + ", ".join(f"{p} long" for p in _WIDE))
     nodes = nodes.join(wide.select("node", F.struct(*_WIDE).alias("sketch")), "node")
-    spread = written(sets.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(_spread, "node long, key long"), "elements")
+    spread = written(sets.join(rest.select("node").distinct(), "node", "left_semi").transform(mapped, _spread, "node long, key long"), "elements")
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     common = spread.join(shared, "key")
     order = Window.partitionBy("node").orderBy("n", "key")
@@ -292,7 +292,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
     count, a null component and a null kept. Other columns are ignored; an empty table gives an empty result.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias(column))
-    signed = written(docs.mapInArrow(_sign(k, bands, rows, column), _SIGNED), "signed")
+    signed = written(docs.transform(mapped, _sign(k, bands, rows, column), _SIGNED), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     members = written(some.select("doc_id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "rep"), "members")
@@ -303,7 +303,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
     named = _buckets(reps.select("doc_id", "keys"), about)
     nodes = named.select(F.col("node").alias("doc_id")).distinct()
     # the one shuffle of texts; merged at every size, as what is in buckets grows with the input
-    sets = docs.join(nodes.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(k, column), "node long, elements binary")
+    sets = docs.join(nodes.hint("merge"), "doc_id", "left_semi").transform(mapped, _sets(k, column), "node long, elements binary")
     sets = written(sets, "sets")
     pivots = written(_hubs(named), "pivots")
     links = linked(_pairs(named, pivots, percent, _SKETCH), sets, percent)

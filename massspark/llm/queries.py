@@ -23,7 +23,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_files(table(spark, sf_dir, "documents")).read().drop("ids")
+    return tokens.token_files(table(spark, sf_dir, "documents")).read(ids=False)
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from massspark.llm.common import mapped
+
 KINDS = ("assign", "access", "hex")
 _PATTERNS = (
     ("assign", re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12),
@@ -308,7 +310,7 @@ def secret_spans(documents: DataFrame, column: str = "text") -> DataFrame:
     One row per input row, repeated rows included. A null or empty text has no spans; a null doc_id is kept. Other
     columns are ignored. An empty table gives an empty result. Partitions are scanned where they are: no shuffle.
     """
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text")).mapInArrow(_scan_batches, _SCHEMA)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text")).transform(mapped, _scan_batches, _SCHEMA)
 
 
 def redact(text: str | None, mask: str = "[SECRET]") -> str | None:
@@ -334,4 +336,4 @@ def redacted(documents: DataFrame, column: str = "text") -> DataFrame:
             i = batch.schema.get_field_index(column)
             yield batch.set_column(i, batch.schema.field(i), pa.array([redact(x) for x in batch.column(i).to_pylist()], batch.schema.field(i).type))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.transform(mapped, run, documents.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massspark.llm.common import binary, byte_view, forget, mix, slices, written
+from massspark.llm.common import binary, byte_view, forget, mapped, mix, slices, written
 
 LENGTH, GRAM = 100, 32
 #: An anchor of more places than this has its strings dealt one by one.
@@ -302,16 +302,16 @@ def repeated_strings(documents: DataFrame, length: int = LENGTH, gram: int = GRA
     """
     least = F.lit(-(1 << 63)).cast("long")
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("id"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text"))
-    counts = docs.select("text").mapInArrow(_gram_counts(length, gram), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = docs.select("text").transform(mapped, _gram_counts(length, gram), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
     counts = written(counts, "counts")  # so the join's sides are plain shuffles, and Spark can split the partition of a very common anchor
-    places = docs.mapInArrow(_gram_places(length, gram), "gram long, id long, place long").join(counts, "gram")
+    places = docs.transform(mapped, _gram_places(length, gram), "gram long, id long, place long").join(counts, "gram")
     flags = places.select("id", F.when(F.col("n") > hot, -F.col("place") - 1).otherwise(F.col("place")).alias("place")).groupBy("id").agg(F.collect_list("place").alias("places"))
     flags = written(flags, "flags")
     forget(counts)
     flagged = docs.join(flags.hint("merge"), "id", "left")
-    segments = flagged.where("places is not null").mapInArrow(_segments(length, gram), "gram long, id long, start long, segment binary")
+    segments = flagged.where("places is not null").transform(mapped, _segments(length, gram), "gram long, id long, start long, segment binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = segments.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_earliest(length), "id long, `from` long, `to` long")
+    kept = segments.repartition(parts, "gram").sortWithinPartitions("gram").transform(mapped, _earliest(length), "id long, `from` long, `to` long")
     kept = kept.groupBy("id").agg(F.collect_list(F.struct("from", "to")).alias("kept"))
-    out = flagged.join(kept.hint("merge"), "id", "left").select("id", "text", "places", "kept").mapInArrow(_removed(length, gram), _RESULT)
+    out = flagged.join(kept.hint("merge"), "id", "left").select("id", "text", "places", "kept").transform(mapped, _removed(length, gram), _RESULT)
     return out.withColumn("doc_id", F.when(F.col("id") != least, F.col("id"))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")

@@ -1,93 +1,161 @@
 """Token ids as a binary output: ids ranked by frequency, byte-aligned variable-length coding, control bytes apart.
 
-A block holds whole documents: magic, the number of documents, their ids, token counts and control and data sizes, then
-all control bytes (four 2-bit lengths each), then all data bytes (1 to 4 for each rank, low byte first). Blocks lie in a
-Parquet table as binary values, in ascending order of doc_id, so Spark's committer writes them on any store.
+A block holds whole documents: magic, the number of documents, which of them have an id, their ids, token counts, the size
+of the control bytes, then all control bytes (four 2-bit lengths each), then all data bytes (1 to 4 for each rank, low byte
+first). Blocks lie in a Parquet table as binary values, in ascending order of doc_id, so Spark's committer writes them on
+any store.
 """
 
 from __future__ import annotations
 
-import re
+import functools
+import json
+import os
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from massspark.llm.common import binary, forget, slices, written
+from massspark.llm.common import byte_view, forget, mapped, slices, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
-_MAGIC = b"MTB1"
+_MAGIC = b"MTB2"
 #: Data of a block before it is closed, and words of which a worker keeps the ids.
-BLOCK_BYTES, KEPT_WORDS = 4 << 20, 300_000
+BLOCK_BYTES, KEPT_WORDS = 1 << 20, 200_000
+#: Words that the tokenizer gets as one string, and strings of one call.
+JOINED, CALL = 64, 64
 _LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8)
-#: A blank before white space or the end is no place to cut a text; elsewhere a word always starts at a blank.
-_NO_CUT, _CUT = re.compile(r" (?:\s|$)"), re.compile(r" (?=\S)")
+#: Bytes that start no white space (of Unicode, too): a blank before one of them starts a word.
+_SOLID = np.ones(256, bool)
+_SOLID[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = False
+
+
+def runs(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first, first + 1 and so on, so many of each."""
+    return np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
 
 
 class Encoder:
-    """Ids of texts as 32-bit little-endian bytes. Texts are cut before words, where the tokenizer's own pattern cuts
-    too whatever stands beside, so that each distinct word goes through the tokenizer once."""
+    """Ids of whole texts. A byte-level tokenizer's own pattern cuts at a blank before a word, whatever stands beside, so
+    texts are cut there and each distinct word goes through the tokenizer once; other tokenizers get the texts as they are.
+    Texts that hold a special token's string are never cut."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.words, self.specials = Tokenizer.from_file(path), {}, ()
-        self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts, whole = [], {}
-        for i, text in enumerate(texts):
-            text = text or ""
-            if any(s in text for s in self.specials):
-                whole[i] = text
-                parts.append([])
-                continue
-            cut = text.split(" ") if not _NO_CUT.search(text) else _CUT.split(text)
-            parts.append(cut)
-        first = {p[0] for p in parts if p}
-        known, words = dict(zip(first, self._ids(list(first)), strict=True)), self.words
-        if len(words) > KEPT_WORDS:
-            words.clear()
-        new = list(set().union(*parts).difference(words))
-        words.update(zip(new, self._ids([" " + w for w in new]), strict=True))
-        out = [known[p[0]] + b"".join([words[w] for w in p[1:]]) if p else b"" for p in parts]
-        for i, ids in zip(whole, self._ids(list(whole.values())), strict=True):
-            out[i] = ids
-        return out
-
-
-def _tokenise(path: str, end: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker on each core
+        self.tokenizer = Tokenizer.from_file(path)
+        how = json.loads(self.tokenizer.to_str())
+        self.cuts = (how.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not how.get("normalizer") and not how["pre_tokenizer"].get("add_prefix_space")
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # a blank's stand-in in byte-level vocabularies
+        self.opens[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = pa.array([], pa.large_binary())
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _call(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for i in range(0, len(texts), CALL):
+            for e in self.tokenizer.encode_batch_fast(texts[i : i + CALL], add_special_tokens=False):
+                yield np.array(e.ids, np.uint32)
+
+    def _learn(self, new: pa.Array) -> None:
+        """Add words to those known. Words with one blank, at the start, are told apart in a joined string by its stand-in."""
+        words = [w.decode("utf-8", "replace") for w in new.to_pylist()]
+        plain = np.fromiter((w.startswith(" ") and w.count(" ") == 1 for w in words), bool, len(words))
+        found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
+        at = np.flatnonzero(plain)
+        groups = [at[i : i + JOINED] for i in range(0, len(at), JOINED)]
+        for group, ids in zip(groups, self._call(["".join(words[i] for i in g) for g in groups]), strict=True):
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) == len(group) and starts[0] == 0:
+                for i, part in zip(group, np.split(ids, starts[1:]), strict=True):
+                    found[i] = part
+            else:
+                plain[group] = False
+        alone = np.flatnonzero(~plain)
+        for i, ids in zip(alone, self._call([words[i] for i in alone]), strict=True):
+            found[i] = ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.words = pa.concat_arrays([self.words, new])
+        self.start = np.r_[self.start, len(self.ids) + np.cumsum(sizes) - sizes]
+        self.size = np.r_[self.size, sizes]
+        self.ids = np.concatenate([self.ids, *found])
+
+    def encode(self, column: pa.Array, tail: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string column on end, and where each row's start (one more for the end); tail ends each row."""
+        data, offsets = byte_view(column)
+        rows = len(offsets) - 1
+        first = np.zeros(len(data) + 1, bool)
+        if self.cuts and len(data):
+            first[:-2] = (data[:-1] == 32) & _SOLID[data[1:]]
+            first[offsets[1:] - 1] = False  # a text's last byte, whatever the next text starts with
+            for special in self.specials:
+                for row in np.flatnonzero(pc.fill_null(pc.match_substring(column, special), False).to_numpy(zero_copy_only=False)):
+                    first[offsets[row] : offsets[row + 1]] = False
+        first[offsets[:-1]] = True
+        first[-1] = False
+        at = np.flatnonzero(first)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.r_[at, len(data)].astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        if len(self.words) > KEPT_WORDS:
+            self._forget()
+        known = pc.index_in(pieces.dictionary, value_set=self.words)
+        new = known.is_null()
+        before = len(self.words)
+        self._learn(pieces.dictionary.filter(new))
+        place = pc.fill_null(known, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[place < 0] = before + np.arange(len(self.words) - before)
+        word = place[pieces.indices.to_numpy()]
+        sizes = self.size[word]
+        ids = self.ids[runs(self.start[word], sizes)]
+        ends = np.r_[0, np.cumsum(sizes)][np.searchsorted(at, offsets)]
+        if tail is None:
+            return ids, ends
+        return np.insert(ids, ends[1:], tail), ends + np.arange(rows + 1)
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
+
+
+def _rows(flat: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The items from one edge to the next as a binary value each."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer((edges * flat.itemsize).astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+
+
+def _tokenise(path: str, end: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = Encoder(path), np.array([end], "<u4").tobytes()
-        small = encoder.tokenizer.get_vocab_size() <= 1 << 16
-        for batch in slices(batches, "text", 1 << 20):
-            ids = [x + tail for x in encoder.encode(batch.column("text").to_pylist())]
-            if small:
-                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([2 if small else 4] * len(ids), pa.int32()), binary(ids)], ["doc_id", "width", "ids"])
+        encoder = _encoder(path)
+        for batch in slices(batches, "text"):
+            ids, edges = encoder.encode(batch.column("text"), end)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _rows(ids.astype(kind), edges)], ["doc_id", "ids"])
 
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(0, np.int64)
-    for batch in batches:
-        for width, ids in zip(batch.column("width").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-            own = np.bincount(np.frombuffer(ids, f"<u{width}"))
+def _count(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(0, np.int64)
+        for batch in batches:
+            own = np.bincount(byte_view(batch.column("ids"))[0].view(kind))
             if len(own) > len(counts):
                 counts = np.r_[counts, np.zeros(len(own) - len(counts), np.int64)]
             counts[: len(own)] += own
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["id", "n"])
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["id", "n"])
+
+    return run
 
 
 def coded(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -113,57 +181,50 @@ def decoded(controls: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def block(doc_ids: list[int], streams: list[tuple[int, bytes, bytes]]) -> bytes:
-    n = len(doc_ids)
-    head = _MAGIC + struct.pack("<I", n) + np.array(doc_ids, "<i8").tobytes() + b"".join(np.array([f(s) for s in streams], "<u8").tobytes() for f in (lambda s: s[0], lambda s: len(s[1]), lambda s: len(s[2])))
-    return head + b"".join(s[1] for s in streams) + b"".join(s[2] for s in streams)
+def block(doc_ids: list[int | None], sizes: list[int], ranks: np.ndarray) -> bytes:
+    """Whole documents of so many ranks each, on end."""
+    controls, data = coded(ranks)
+    head = _MAGIC + struct.pack("<IQ", len(doc_ids), len(controls)) + bytes(i is not None for i in doc_ids)
+    return head + np.array([i or 0 for i in doc_ids], "<i8").tobytes() + np.array(sizes, "<u8").tobytes() + controls + data
 
 
-def documents_in(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
-    """(doc_id, ranks) of each document of a block."""
+def documents_in(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """The doc_ids of a block, the number of ranks of each, and all ranks."""
     if data[:4] != _MAGIC:
         raise ValueError("not a block of token ids")
-    n = struct.unpack("<I", data[4:8])[0]
-    ids = np.frombuffer(data, "<i8", n, 8)
-    tokens, c, d = np.frombuffer(data, "<u8", 3 * n, 8 + 8 * n).reshape(3, n).astype(np.int64)
-    raw = np.frombuffer(data, np.uint8)
-    at = 8 + 32 * n
-    control, payload = at + np.r_[0, np.cumsum(c)], at + int(c.sum()) + np.r_[0, np.cumsum(d)]
-    for i in range(n):
-        yield int(ids[i]), decoded(raw[control[i] : control[i + 1]], raw[payload[i] : payload[i + 1]], int(tokens[i]))
+    n, controls = struct.unpack("<IQ", data[4:16])
+    ids = np.frombuffer(data, "<i8", n, 16 + n)
+    sizes = np.frombuffer(data, "<u8", n, 16 + 9 * n).astype(np.int64)
+    raw, at = np.frombuffer(data, np.uint8), 16 + 17 * n
+    return [int(i) if has else None for i, has in zip(ids, data[16 : 16 + n], strict=True)], sizes, decoded(raw[at : at + controls], raw[at + controls :], int(sizes.sum()))
 
 
-def _code(order: bytes):
+def _blocks(order: bytes, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = np.frombuffer(order, "<u4")
-        rank = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint32)
-        rank[ids] = np.arange(len(ids), dtype=np.uint32)
-        for batch in batches:
-            rows = [np.frombuffer(x, f"<u{w}") for w, x in zip(batch.column("width").to_pylist(), batch.column("ids").to_pylist(), strict=True)]
-            streams = [coded(rank[x]) for x in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in rows], pa.int64()), binary([s[0] for s in streams]), binary([s[1] for s in streams])], ["doc_id", "n_tokens", "controls", "data"])
-
-    return run
+        known = np.frombuffer(order, "<u4")
+        rank = np.zeros(int(known.max()) + 1 if len(known) else 1, np.uint32)
+        rank[known] = np.arange(len(known), dtype=np.uint32)
+        ids, sizes, streams, total, part, before = [], [], [], 0, 0, 0
 
+        def closed():
+            made = block(ids, sizes, np.concatenate(streams))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([total], pa.int64()), pa.array([made], pa.binary())], ["part", "before", "n_tokens", "block"])
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids, streams, size, start, part, before = [], [], 0, 0, 0, 0
-
-    def closed():
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([start - before], pa.int64()), binary([block(ids, streams)])], ["part", "before", "n_tokens", "block"])
+        for batch in batches:
+            for doc_id, own, p in zip(batch.column("doc_id"), batch.column("ids"), batch.column("part"), strict=True):
+                part = p.as_py()
+                ids.append(doc_id.as_py())
+                streams.append(rank[np.frombuffer(own.as_buffer(), kind)])
+                sizes.append(len(streams[-1]))
+                total += sizes[-1]
+                if 2 * total >= BLOCK_BYTES:
+                    yield closed()
+                    before += total
+                    ids, sizes, streams, total = [], [], [], 0
+        if ids:
+            yield closed()
 
-    for batch in batches:
-        for i, n, c, d, p in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "n_tokens", "controls", "data", "part")), strict=True):
-            part = p
-            ids.append(i)
-            streams.append((n, c, d))
-            start += n
-            size += len(c) + len(d)
-            if size >= BLOCK_BYTES:
-                yield closed()
-                ids, streams, size, before = [], [], 0, start
-    if ids:
-        yield closed()
+    return run
 
 
 class TokenFiles:
@@ -172,8 +233,8 @@ class TokenFiles:
     def __init__(self, blocks: DataFrame, ids: np.ndarray):
         self.blocks, self.ids = blocks, ids
 
-    def read(self) -> DataFrame:
-        """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit), ids_crc32, in no order."""
+    def read(self, ids: bool = True) -> DataFrame:
+        """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit, left out if not asked for), ids_crc32, in no order."""
         totals = self.blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row per range
         starts, at = [], 0
         for r in totals:
@@ -186,33 +247,32 @@ class TokenFiles:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = np.frombuffer(order, "<u4")
             for batch in batches:
-                for start, data in zip(batch.column("start").to_pylist(), batch.column("block").to_pylist(), strict=True):
-                    rows, now = [], start
-                    for doc_id, ranks in documents_in(data):
-                        ids = table[ranks].tobytes()
-                        rows.append((doc_id, now, len(ranks), ids, zlib.crc32(ids)))
-                        now += len(ranks)
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
+                for start, data in zip(batch.column("start").to_pylist(), batch.column("block"), strict=True):
+                    doc_ids, sizes, ranks = documents_in(data.as_buffer().to_pybytes())
+                    edges = np.r_[0, np.cumsum(sizes)]
+                    found = table[ranks]
+                    sums = [zlib.crc32(found[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                    columns = {"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(start + edges[:-1]), "n_tokens": pa.array(sizes)} | ({"ids": _rows(found, edges)} if ids else {}) | {"ids_crc32": pa.array(sums, pa.int64())}
+                    yield pa.RecordBatch.from_pydict(columns)
 
         blocks = self.blocks.join(F.broadcast(offsets), "part").select((F.col("first") + F.col("before")).alias("start"), "block")
-        return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
+        return blocks.transform(mapped, run, f"doc_id long, start long, n_tokens long,{' ids binary,' if ids else ''} ids_crc32 long")
 
 
 def token_files(documents: DataFrame, path: str = VOCABULARY, end: int = END, column: str = "text") -> TokenFiles:
     """Write every document's token ids and the end id, in ascending order of doc_id.
 
-    A null text is empty: the end id alone. Rows without doc_id are not written (an id is what a file is read by);
-    repeated ids stay, ordered by their codes. An empty table gives no blocks. Extra columns are ignored.
-    Texts are tokenised where they lie; only coded documents are shuffled, into ranges of doc_id.
+    A null text is empty: the end id alone. A null doc_id is kept and comes first; repeated ids stay, ordered by their
+    tokens. An empty table gives no blocks. Extra columns are ignored. Texts are tokenised where they lie; only ids are
+    shuffled, into ranges of doc_id.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text")).where("doc_id is not null")
-    plain = written(docs.mapInArrow(_tokenise(path, end), "doc_id long, width int, ids binary"), "ids")
-    counts = plain.mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # bounded by the vocabulary
+    kind = "<u2" if max(_encoder(path).tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
+    plain = written(docs.transform(mapped, _tokenise(path, end, kind), "doc_id long, ids binary"), "ids")
+    counts = plain.select("ids").transform(mapped, _count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # bounded by the vocabulary
     order = np.array([r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))], np.uint32)
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    streams = plain.mapInArrow(_code(order.astype("<u4").tobytes()), "doc_id long, n_tokens long, controls binary, data binary")
-    ranges = streams.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "data", "controls").withColumn("part", F.spark_partition_id())
-    blocks = written(ranges.mapInArrow(_blocks, "part int, before long, n_tokens long, block binary"), "blocks")
+    ranges = plain.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids").withColumn("part", F.spark_partition_id())
+    blocks = written(ranges.transform(mapped, _blocks(order.astype("<u4").tobytes(), kind), "part int, before long, n_tokens long, block binary"), "blocks")
     forget(plain)
     return TokenFiles(blocks, order)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -116,16 +117,24 @@ def test_tokens_like_the_library():
     rng = random.Random(5)
     texts = ["", " ", "  a", "x\n \ny", "foo\n\n bar", "<|endoftext|> a b", "é  b　 c", "it's  we'll 'tis 'S", None]
     texts += ["".join(rng.choice(" \n\ta.b'1é\x1c ") for _ in range(rng.randrange(30))) for _ in range(500)]
+    texts += ["".join(rng.choice(["the", " the", " ", "\n", "\u2003", "\xa0", "ab", " é", "<|endoftext|>", "'s", "  "]) for _ in range(rng.randrange(40))) for _ in range(1500)]
     want = [x.ids for x in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+    for part in (range(len(texts)), range(7), range(len(texts) - 1, -1, -1)):
+        ids, edges = encoder.encode(pa.array([texts[i] for i in part], pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == [want[i] for i in part]
+    ids, edges = encoder.encode(pa.array(texts, pa.string()), tail=2)
+    assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == [[*w, 2] for w in want]
+    assert len(encoder.encode(pa.array([], pa.string()))[0]) == 0
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=20), max_size=5))
 def test_token_blocks(rows):
     arrays = [np.array(r, np.uint32) for r in rows]
-    data = tokens.block(list(range(len(rows))), [(len(a), *tokens.coded(a)) for a in arrays])
-    assert [(i, r.tolist()) for i, r in tokens.documents_in(data)] == list(enumerate(rows))
+    names = [None if i == 1 else i - 2 for i in range(len(rows))]
+    data = tokens.block(names, [len(a) for a in arrays], np.concatenate([np.zeros(0, np.uint32), *arrays]))
+    ids, sizes, ranks = tokens.documents_in(data)
+    assert ids == names and [x.tolist() for x in np.split(ranks, np.cumsum(sizes))][:-1] == rows
 
 
 def dec(code):

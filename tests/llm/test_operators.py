@@ -152,6 +152,10 @@ def test_token_files(spark):
         assert (r.start, r.n_tokens, bytes(r.ids), r.ids_crc32) == (start, len(ids), raw, zlib.crc32(raw))
         start += len(ids)
     assert tokens.token_files(documents(spark, texts).limit(0)).read().count() == 0
+    nameless = documents(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") > 1, F.col("doc_id") % 3))
+    rows = tokens.token_files(nameless).read(ids=False).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None, None, 0, 1, 2, 2] and "ids" not in rows[0]
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:]))
 
 
 def test_packing(spark):
