@@ -29,7 +29,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
 _MAGIC = b"MTB2"
 #: Data of a block before it is closed, and words of which a worker keeps the ids.
-BLOCK_BYTES, KEPT_WORDS = 1 << 20, 200_000
+BLOCK_BYTES, KEPT_WORDS = 1 << 20, 500_000
 #: Words that the tokenizer gets as one string, and strings of one call.
 JOINED, CALL = 64, 64
 _LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8)
@@ -63,33 +63,34 @@ class Encoder:
         self.words = pa.array([], pa.large_binary())
         self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _call(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for i in range(0, len(texts), CALL):
-            for e in self.tokenizer.encode_batch_fast(texts[i : i + CALL], add_special_tokens=False):
-                yield np.array(e.ids, np.uint32)
-
-    def _learn(self, new: pa.Array) -> None:
-        """Add words to those known. Words with one blank, at the start, are told apart in a joined string by its stand-in."""
-        words = [w.decode("utf-8", "replace") for w in new.to_pylist()]
-        plain = np.fromiter((w.startswith(" ") and w.count(" ") == 1 for w in words), bool, len(words))
-        found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
-        at = np.flatnonzero(plain)
-        groups = [at[i : i + JOINED] for i in range(0, len(at), JOINED)]
-        for group, ids in zip(groups, self._call(["".join(words[i] for i in g) for g in groups]), strict=True):
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) == len(group) and starts[0] == 0:
-                for i, part in zip(group, np.split(ids, starts[1:]), strict=True):
-                    found[i] = part
-            else:
-                plain[group] = False
-        alone = np.flatnonzero(~plain)
-        for i, ids in zip(alone, self._call([words[i] for i in alone]), strict=True):
-            found[i] = ids
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.words = pa.concat_arrays([self.words, new])
+    def _call(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for i in range(0, len(texts), CALL) for e in self.tokenizer.encode_batch_fast(texts[i : i + CALL], add_special_tokens=False)]
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Add words to those known, and say where they are. Words with one blank, at the start, go to the tokenizer in joined
+        strings, where its stand-in tells them apart."""
+        data, offsets = byte_view(new)
+        blanks = np.r_[0, np.cumsum(data == 32)][offsets]
+        single = np.diff(blanks) == 1
+        single[single] = data[offsets[:-1][single]] == 32
+        together = np.flatnonzero(single)
+        data, offsets = byte_view(new.take(pa.array(together)))
+        edges = np.r_[np.arange(0, len(together), JOINED), len(together)]
+        found = self._call([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[edges[:-1]], offsets[edges[1:]], strict=True)])
+        starts = [np.flatnonzero(self.opens[x]) for x in found]
+        good = np.array([len(x) == n and x[0] == 0 for x, n in zip(starts, np.diff(edges), strict=True)], bool)
+        lost = np.flatnonzero(~good)
+        alone = np.r_[np.flatnonzero(~single), *(together[edges[i] : edges[i + 1]] for i in lost)].astype(np.int64)
+        rest = self._call([w.decode("utf-8", "replace") for w in new.take(pa.array(alone)).to_pylist()])
+        sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(np.r_[s, len(x)]) for x, s, ok in zip(found, starts, good, strict=True) if ok), np.array([len(x) for x in rest], np.int64)])
+        order = np.r_[together[np.repeat(good, np.diff(edges))], alone]
+        where = np.empty(len(new), np.int64)
+        where[order] = len(self.words) + np.arange(len(order))
+        self.words = pa.concat_arrays([self.words, new.take(pa.array(order))])
         self.start = np.r_[self.start, len(self.ids) + np.cumsum(sizes) - sizes]
         self.size = np.r_[self.size, sizes]
-        self.ids = np.concatenate([self.ids, *found])
+        self.ids = np.concatenate([self.ids, *(x for x, ok in zip(found, good, strict=True) if ok), *rest])
+        return where
 
     def encode(self, column: pa.Array, tail: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column on end, and where each row's start (one more for the end); tail ends each row."""
@@ -109,11 +110,8 @@ class Encoder:
         if len(self.words) > KEPT_WORDS:
             self._forget()
         known = pc.index_in(pieces.dictionary, value_set=self.words)
-        new = known.is_null()
-        before = len(self.words)
-        self._learn(pieces.dictionary.filter(new))
         place = pc.fill_null(known, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        place[place < 0] = before + np.arange(len(self.words) - before)
+        place[place < 0] = self._learn(pieces.dictionary.filter(known.is_null()))
         word = place[pieces.indices.to_numpy()]
         sizes = self.size[word]
         ids = self.ids[runs(self.start[word], sizes)]
