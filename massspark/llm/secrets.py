@@ -7,11 +7,14 @@ in a layer is reported as a span of the source. A layer that was seen before ove
 from __future__ import annotations
 
 import base64
+import bisect
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +36,8 @@ _HEX_RUN = bytes(97 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 _B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
 _B64_RUN = bytes(97 if chr(i) in _B64 else 32 for i in range(256))
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+#: Signs escaped over and over: levels that would show nothing but themselves are undone at once, all but the last.
+_CHAIN = re.compile(r"%(?:25){4,}(?=[0-9A-Fa-f]{2})|&(?:#38;){4,}(?=#)|&(?:#[xX]26;){4,}(?=#)|\\(?:u005[cC]){4,}(?=[uUx])|\\(?:x5[cC]){4,}(?=[uUx])")
 _ESCAPE = re.compile(r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u\{[0-9a-fA-F]{1,6}\}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\x[0-9a-fA-F]{2}|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};")
 #: Escapes that writers of byte strings use beside _ESCAPE; they are undone where compressed bytes may lie under them.
 _SHORT = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "v": "\v", "a": "\a", "0": "\0", "\\": "\\", "'": "'", '"': '"', "/": "/"}
@@ -46,8 +51,15 @@ _AT_BREAK = re.compile(_BREAK)
 _MAGIC = r"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|[\x50-\x5f]\x2a\x4d\x18"
 _PACKED, _PACKED_BYTES = re.compile(_MAGIC), re.compile(_MAGIC.encode("ascii"), re.S)
 _WIDE = re.compile("[^\x00-\xff]")
-#: Compressed data that unfolds to more than this many bytes is counted as oversize and not scanned (a memory guard).
-LAYER_BYTES = 64 << 20
+#: Bytes without any of these hold neither a secret nor a further layer.
+_WORTH = re.compile(rb"(?i:passw|secret|token|key)|AKIA|[0-9a-f]{16}|%[0-9A-Fa-f]{2}|\\|&#|[A-Za-z0-9+/_-]{16}|[\n\0]|" + _MAGIC.encode("ascii"), re.S)
+#: Compressed data is put in its place in the text up to this many bytes. What unfolds to more is scanned in windows of
+#: about this size, cut where no secret and no layer can reach across, and only its first and last EDGE bytes are put there.
+WINDOW, EDGE = 8 << 20, 1 << 16
+_SAFE = re.compile(rb"[^A-Za-z0-9+/_.=\-\"':%&#;{}\\\s\x80-\xff\0]|\0{4}")
+_PIECE = 1 << 20
+#: What compressed bytes, a character each, start with in UTF-8.
+_MARKS = tuple(x.encode("utf-8") for x in ("\x1f\x8b\x08", "x\x01", "x^", "x\x9c", "x\xda", "BZh", "7zXZ", "(\xb5/\xfd", "*M\x18"))
 
 
 def find(text: str, raw: bytes | None = None) -> list[tuple[int, str, int]]:
@@ -65,49 +77,83 @@ def find(text: str, raw: bytes | None = None) -> list[tuple[int, str, int]]:
     return found
 
 
-def _member(data: bytes, at: int, room: int) -> tuple[bytes, int] | None:
-    """What the compressed member or frame at a place holds, as far as it is whole, and where it ends; None if there is none.
-
-    May be longer than room, and then ends early."""
-    head, step = data[at : at + 8], 4096
-    if not _PACKED_BYTES.match(head):
-        return None
-    if head[1:4] == b"\x2a\x4d\x18":  # a frame of zstd that holds nothing
-        return b"", min(len(data), at + 8 + int.from_bytes(head[4:8], "little"))
-    if head[:3] == b"BZh":
-        unpacker = bz2.BZ2Decompressor()
-    elif head[:1] == b"\xfd":
-        unpacker = lzma.LZMADecompressor(lzma.FORMAT_XZ)
-    elif head[:1] == b"\x28":
-        unpacker, step = zstandard.ZstdDecompressor().decompressobj(), 256  # a block of 4 bytes may hold 128 KiB
-    else:
-        unpacker = zlib.decompressobj(47)
-    limited, out, n = hasattr(unpacker, "needs_input"), [], 0
-    try:
-        while at < len(data) and n <= room:
-            part = data[at : at + step]
-            out.append(unpacker.decompress(part, room + 1 - n) if limited else unpacker.decompress(part))
-            n += len(out[-1])
-            at += len(part)
-            if unpacker.eof:
-                return b"".join(out), at - len(unpacker.unused_data)
-    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        return (b"".join(out), len(data)) if n else None
-    return b"".join(out), at
-
-
-def _unfolded(data: bytes) -> tuple[bytes, int, bool] | None:
-    """What the members at the start of data hold, one after another; where they end; if it is oversize. None if there are none."""
-    out, n, end, at = [], 0, 0, 0
-    while (got := _member(data, at, LAYER_BYTES - n)) is not None:
-        out.append(got[0])
-        n += len(got[0])
-        if n > LAYER_BYTES:
-            return b"", len(data), True
-        at = end = got[1]
-        while data[at : at + 1] == b"\0":  # padding between members
-            at += 1
-    return (b"".join(out), end, False) if end else None
+class _Members:
+    """What compressed members or frames hold that follow each other in data from a place on, piece by piece. end: behind the
+    last one that began; None if there is none. running: data ended inside of it."""
+
+    def __init__(self, data: bytes, at: int, stop: int):
+        self.data, self.at, self.stop, self.end, self.running = data, at, stop, None, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        while _PACKED_BYTES.match(self.data, self.at, self.stop):
+            if self.data[self.at + 1 : self.at + 4] == b"\x2a\x4d\x18":  # a frame of zstd that holds nothing
+                self.at += 8 + int.from_bytes(self.data[self.at + 4 : self.at + 8], "little")
+                self.running = self.at > self.stop
+                self.at = self.end = min(self.stop, self.at)
+                continue
+            yield from self._member()
+            while self.end == self.at and self.data[self.at : min(self.at + 1, self.stop)] == b"\0":  # padding between members
+                self.at += 1
+            if self.end is None or self.running:
+                return
+
+    def _member(self) -> Iterator[bytes]:
+        head, step = self.data[self.at : self.at + 4], 4096
+        if head[:3] == b"BZh":
+            unpacker = bz2.BZ2Decompressor()
+        elif head[:1] == b"\xfd":
+            unpacker = lzma.LZMADecompressor(lzma.FORMAT_XZ)
+        elif head[:1] == b"\x28":
+            unpacker, step = zstandard.ZstdDecompressor().decompressobj(), 256  # a block of 4 bytes may hold 128 KiB
+        else:
+            unpacker = zlib.decompressobj(47)
+        limited, at, some = hasattr(unpacker, "needs_input"), self.at, False
+        try:
+            while at < self.stop and not unpacker.eof:
+                part = self.data[at : min(at + step, self.stop)]
+                at += len(part)
+                out = unpacker.decompress(part, _PIECE) if limited else unpacker.decompress(part)
+                while True:
+                    if out:
+                        some = True
+                        yield out
+                    if not limited or unpacker.eof or unpacker.needs_input:
+                        break
+                    out = unpacker.decompress(b"", _PIECE)
+        except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
+            if some:
+                self.end = self.stop
+            self.at = self.stop
+            return
+        self.running = not unpacker.eof
+        self.at = self.end = at - (len(unpacker.unused_data) if unpacker.eof else 0)
+
+
+def _windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes of pieces in windows that end where no secret, no encoded run and no compressed member goes on."""
+    held, most = b"", WINDOW
+    parts: list[bytes] = []
+    size = 0
+    for piece in pieces:
+        parts.append(piece)
+        size += len(piece)
+        if size < most:
+            continue
+        held = b"".join(parts)
+        cut = next((last.end() for back in (1 << 12, 1 << 18, len(held)) for last in deque(_SAFE.finditer(held, max(0, len(held) - back)), 1)), 0)
+        at = 0
+        while cut and (m := _PACKED_BYTES.search(held, at, cut)):
+            members = _Members(held, m.start(), len(held))
+            for _ in members:
+                pass
+            if members.running or members.end and members.end > cut:
+                cut = m.start()
+            at = max(m.end(), members.end or 0)
+        if cut:
+            yield held[:cut]
+        most = WINDOW if cut else 2 * len(held)
+        parts, size = [held[cut:]], len(held) - cut
+    yield b"".join(parts)
 
 
 def _readings(data: bytes) -> Iterator[tuple[str, np.ndarray]]:
@@ -207,105 +253,134 @@ def _unquoted(layer: _Layer) -> Iterator[_Layer]:
             yield got
 
 
-def _unpacked(layer: _Layer) -> tuple[list[_Layer], int]:
+def _unpacked(layer: _Layer) -> Iterator[_Layer]:
     """The layer with compressed bytes, a character each, replaced by the texts they hold."""
-    out, oversize, at, found = [], 0, 0, []
+    if not _PACKED.search(layer.text):
+        return
+    data, found, at = layer.text.encode("latin-1", "replace"), [], 0
+    wide = [m.start() for m in _WIDE.finditer(layer.text)]
     while m := _PACKED.search(layer.text, at):
-        wide = _WIDE.search(layer.text, m.start())
-        got = _unfolded(layer.text[m.start() : wide.start() if wide else None].encode("latin-1"))
-        at = m.end()
-        if got is None:
-            continue
-        oversize += got[2]
-        if got[0]:
-            found.append((m.start(), m.start() + got[1], got[0]))
-            at = m.start() + got[1]
-    for a, b, data in found:
-        for text, _ in _readings(data):
-            out.append(layer.replaced([(a, b, text, None)]))
+        stop = bisect.bisect_left(wide, m.start())
+        members = _Members(data, m.start(), wide[stop] if stop < len(wide) else len(data))
+        pieces, parts, size = iter(members), [], 0
+        for piece in pieces:
+            parts.append(piece)
+            size += len(piece)
+            if size > WINDOW:
+                break
+        if size > WINDOW:
+            first, last = b"".join(parts)[:EDGE], b""
+
+            def rest(parts=parts, pieces=pieces):
+                nonlocal last
+                for piece in itertools.chain(parts, pieces):
+                    last = (last + piece)[-EDGE:]
+                    yield piece
+
+            for window in _windows(rest()):
+                if _WORTH.search(window):
+                    for text, _ in _readings(window):
+                        yield _Layer(text, *(np.broadcast_to(np.int64(x), len(text)) for x in layer.span(m.start(), members.stop)))
+            found.append((m.start(), members.end or members.stop, first + b"\0" + last))
+        elif members.end and size:
+            found.append((m.start(), members.end, b"".join(parts)))
+        at = max(m.end(), members.end or 0) if size else m.end()
+    for a, b, inner in found:
+        for text, _ in _readings(inner):
+            yield layer.replaced([(a, b, text, None)])
     if len(found) > 1:
-        out.append(layer.replaced([(a, b, next(_readings(data))[0], None) for a, b, data in found]))
-    return out, oversize
+        yield layer.replaced([(a, b, next(_readings(inner))[0], None) for a, b, inner in found])
 
 
-def _unwrapped(layer: _Layer) -> tuple[list[_Layer], int]:
+def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
+    """The layers right below one, each made when it is asked for."""
     text = layer.text
-    out, oversize = _unpacked(layer)
+    chains = [(m.start(), m.end(), m.group()[0], None) for m in _CHAIN.finditer(text)]
+    if chains:
+        yield layer.replaced(chains)
+        return
+    yield from _unpacked(layer)
     if "%" in text:
-        out += _unquoted(layer)
+        yield from _unquoted(layer)
     if "\\" in text or "&#" in text:
         pieces = [(m.start(), m.end(), _unescaped(m.group()), None) for m in _ESCAPE.finditer(text)]
         if pieces:
-            out.append(layer.replaced(pieces))
+            yield layer.replaced(pieces)
             as_bytes = layer.replaced([(m.start(), m.end(), _unescaped(m.group()), None) for m in _BYTE_ESCAPE.finditer(text)])
             if _PACKED.search(as_bytes.text):
-                out.append(as_bytes)
+                yield as_bytes
     for m in _BASE64.finditer(text):
-        body = m.group().rstrip("=")
-        out += _decoded(layer, body, np.arange(m.start(), m.start() + len(body)))
+        yield from _decoded(layer, m.group().rstrip("="), lambda i, at=m.start(): at + i)
     for m in _WRAPPED.finditer(text) if "\n" in text or "\\n" in text else ():
         breaks = [x.span() for x in _AT_BREAK.finditer(text, m.start(), m.end())]
         lines = list(zip([m.start(), *(b for _, b in breaks)], [*(a for a, _ in breaks), m.end()], strict=True))
         body, places = "".join(text[a:b] for a, b in lines).rstrip("="), np.concatenate([np.arange(a, b) for a, b in lines])
-        for shift in range(4) if len(body) >= 16 else ():  # a word on the line before belongs to the run, too
-            out += _decoded(layer, body[shift:], places[shift : len(body)])
-    return out, oversize
-
+        if len(body) >= 16:
+            yield from _decoded(layer, body, places.__getitem__)
+
+
+def _decoded(layer: _Layer, run: str, place) -> Iterator[_Layer]:
+    """What a run of base64 characters decodes to; place: where in the layer they stand. A path or word before the code, on
+    the line before even, is part of the run, so it is read from each of its first four characters on."""
+    run = run.replace("-", "+").replace("_", "/")
+    for shift in range(min(4, len(run) - 1)):
+        body = run[shift : len(run) - ((len(run) - shift) % 4 == 1)]
+        data = base64.b64decode(body + "=" * (-len(body) % 4))
+        if not _WORTH.search(data):
+            continue
+        for text, edges in _readings(data):
+            if text:
+                yield layer.cut(text, place(shift + edges[:-1] * 4 // 3), place(shift + np.minimum(-(-edges[1:] * 4 // 3), len(body)) - 1) + 1)
 
-def _decoded(layer: _Layer, body: str, places: np.ndarray) -> Iterator[_Layer]:
-    """What base64 characters, standing in the layer at places, decode to."""
-    body = body[: len(body) - (len(body) % 4 == 1)].replace("-", "+").replace("_", "/")
-    for text, edges in _readings(base64.b64decode(body + "=" * (-len(body) % 4))):
-        if text:
-            yield layer.cut(text, places[edges[:-1] * 4 // 3], places[np.minimum(-(-edges[1:] * 4 // 3), len(body)) - 1] + 1)
 
+def scan(text: str, raw: bytes | None = None) -> tuple[list, list, int]:
+    """Base (start, kind, end); all of them with those of inner layers; layers opened.
 
-def scan(text: str, raw: bytes | None = None) -> tuple[list, list, int, int]:
-    """Base (start, kind, end); all of them with those of inner layers; layers opened; oversize layers."""
+    The worklist is a stack of layers that make the next one below them when asked, so no more than one path is held."""
     raw = text.encode("utf-8", "surrogatepass") if raw is None else raw
     base = find(text, raw)
-    if not (b"%" in raw or b"\\" in raw or b"&#" in raw or b"a" * 16 in raw.translate(_B64_RUN) or b"\n" in raw and any(m.end() - m.start() > 16 for m in _WRAPPED_BYTES.finditer(raw))):
-        return base, base, 0, 0
-    everything, work, seen, layers, oversize = set(base), [_Layer(text)], set(), 0, 0
+    if not (b"%" in raw or b"\\" in raw or b"&#" in raw or b"a" * 16 in raw.translate(_B64_RUN) or b"\n" in raw and any(m.end() - m.start() > 16 for m in _WRAPPED_BYTES.finditer(raw)) or any(x in raw for x in _MARKS)):
+        return base, base, 0
+    everything, work, seen, layers = set(base), [_unwrapped(_Layer(text))], set(), 0
     while work:
-        layer = work.pop()
-        inner, big = _unwrapped(layer)
-        oversize += big
-        for x in inner:
-            if not x.text:
-                continue
-            mark = hashlib.sha256(x.text.encode("utf-8", "surrogatepass")).digest(), x.span(0, len(x.text))
-            if mark in seen:
-                continue
-            seen.add(mark)
-            layers += 1
-            for a, kind, b in find(x.text):
-                s, e = x.span(a, b)
-                everything.add((s, kind, e))
-            work.append(x)
-    return base, list(everything), layers, oversize
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if not layer.text:
+            continue
+        mark = hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), layer.span(0, len(layer.text))
+        if mark in seen:
+            continue
+        seen.add(mark)
+        layers += 1
+        for a, kind, b in find(layer.text):
+            s, e = layer.span(a, b)
+            everything.add((s, kind, e))
+        work.append(_unwrapped(layer))
+    return base, list(everything), layers
 
 
 def _joined(found: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, k, e in sorted(found, key=lambda x: (x[0], KINDS.index(x[1]), x[2])))
 
 
-_SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, n_oversize long"
+_SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long"
 
 
 def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for text in batch.column("text").to_pylist():
-            base, everything, layers, oversize = scan(text or "")
+            base, everything, layers = scan(text or "")
             counts = [sum(x[1] == k for x in base) for k in KINDS]
-            rows.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(everything), layers, oversize))
-        columns = list(zip(*rows, strict=True)) or [()] * 7
+            rows.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(everything), layers))
+        columns = list(zip(*rows, strict=True)) or [()] * 6
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.string() if i in (3, 4) else pa.int64()) for i, c in enumerate(columns))], [x.split()[0] for x in _SCHEMA.split(", ")])
 
 
 def secret_spans(documents: DataFrame, column: str = "text") -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256, spans (kind:start:end of the text's code points), n_layers, n_oversize.
+    """doc_id, counts of the base kinds, base_sha256, spans (kind:start:end of the text's code points), n_layers.
 
     One row per input row, repeated rows included. A null or empty text has no spans; a null doc_id is kept. Other
     columns are ignored. An empty table gives an empty result. Partitions are scanned where they are: no shuffle.
