@@ -7,10 +7,13 @@ by its exact gradient (forward-backward) on labelled pages and decoded by Viterb
 
 from __future__ import annotations
 
+import bisect
+import functools
 import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 from massspark.llm.common import mapped
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+_OPENING = re.compile(r"</?[a-zA-Z]")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 #: Elements that end the block before them and start their own.
@@ -34,75 +38,143 @@ _RAW = frozenset("script style title textarea".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "body": {"head"}}
 
 
+class Path:
+    """Names of tags, classes and ids that the elements around a block have, as a list linked upwards: names are those that no
+    element further out has. So blocks of one element share it, however deep they stand."""
+
+    __slots__ = ("parent", "names", "sums")
+
+    def __init__(self, parent: Path | None, names: tuple[str, ...]):
+        self.parent, self.names, self.sums = parent, names, None
+
+    def __iter__(self) -> Iterator[str]:
+        at: Path | None = self
+        while at is not None:
+            yield from at.names
+            at = at.parent
+
+
+_ROOT = Path(None, ())
+
+
 class Block:
-    """A leaf block: its text, the share of it inside links, and its ancestors' tags and names."""
+    """A leaf block: its text, the share of it inside links, its ancestors' names, and the innermost one's."""
+
+    __slots__ = ("text", "linked", "path", "inner")
+
+    def __init__(self, text: str, linked: int, path: Path = _ROOT, inner: str = ""):
+        self.text, self.linked, self.path, self.inner = text, linked, path, inner
 
-    __slots__ = ("text", "linked", "path")
 
-    def __init__(self, text: str, linked: int, path: tuple[str, ...]):
-        self.text, self.linked, self.path = text, linked, path
+class _Tokens:
+    """Comments, declarations and tags of a page, from a place on. A `<` that starts none of them is text; that is known from
+    the quotes and `>` behind it, all looked at once, so a page of broken tags costs no more than another."""
+
+    def __init__(self, source: str):
+        self.source, self.end, self.ends = source, source.rfind(">"), None
+
+    def _closes(self, at: int) -> bool:
+        if self.ends is None:
+            self.places = [m.start() for m in re.finditer("[\"'>]", self.source)]
+            self.ends, after = [False] * (len(self.places) + 1), {'"': len(self.places), "'": len(self.places)}
+            for i in range(len(self.places) - 1, -1, -1):
+                c = self.source[self.places[i]]
+                self.ends[i] = c == ">" or self.ends[min(after[c] + 1, len(self.places))]
+                if c != ">":
+                    after[c] = i
+        return self.ends[bisect.bisect_left(self.places, at)]
+
+    def search(self, at: int) -> re.Match | None:
+        while (at := self.source.find("<", at)) >= 0:
+            if at < self.end or self.source.startswith("<!--", at):
+                if self.ends is None or not self.source[at + 1 : at + 2].strip("!?") or self._closes(at):
+                    if m := _TOKEN.match(self.source, at):
+                        return m
+                    if _OPENING.match(self.source, at):
+                        self._closes(at)
+            at += 1
+        return None
 
 
 def blocks(source: str | None) -> list[Block]:
-    """The leaf blocks with text, in page order. Unclosed and stray tags are taken as browsers would, roughly."""
+    """The leaf blocks with text, in page order. Unclosed and stray tags are taken as browsers would, roughly.
+
+    Takes time in proportion to the page, whatever stands in it."""
     source = source or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], Path, str]] = []
+    opened: Counter[str] = Counter()  # by tag
+    named: Counter[str] = Counter()
+    outer: list[int] = []  # the block elements' places in the stack
     pieces: list[str] = []
-    linked, hidden, links, at = 0, 0, 0, 0
+    tokens = _Tokens(source)
+    linked, hidden, at = 0, 0, 0
 
     def close() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
-            path = tuple(x for tag, names in stack for x in ((tag, *names) if tag in _BLOCKS or names else ()))
-            out.append(Block(text, min(linked, len(text)), path))
+            out.append(Block(text, min(linked, len(text)), *(stack[-1][2:] if stack else ())))
         pieces.clear()
         linked = 0
 
-    def pop(count: int) -> None:
-        nonlocal hidden, links
-        for tag, _ in stack[len(stack) - count :]:
+    def push(tag: str, names: tuple[str, ...]) -> None:
+        nonlocal hidden
+        path, inner = stack[-1][2:] if stack else (_ROOT, "")
+        own = (tag, *names) if tag in _BLOCKS or names else ()
+        new = tuple(dict.fromkeys(n for n in own if not named[n]))
+        named.update(own)
+        opened[tag] += 1
+        if tag in _BLOCKS:
+            outer.append(len(stack))
+        stack.append((tag, own, Path(path, new) if new else path, own[-1] if own else inner))
+        hidden += tag in _HIDDEN
+
+    def pop(depth: int) -> None:
+        """The elements from this depth on end."""
+        nonlocal hidden
+        for tag, own, *_ in stack[depth:]:
             hidden -= tag in _HIDDEN
-            links -= tag == "a"
-        del stack[len(stack) - count :]
+            opened[tag] -= 1
+            named.subtract(own)
+        del stack[depth:]
+        while outer and outer[-1] >= depth:
+            outer.pop()
 
     def leave_head() -> None:
-        tags = [tag for tag, _ in stack]
-        if "head" in tags and "template" not in tags:
-            pop(len(stack) - tags.index("head"))
+        if opened["head"] and not opened["template"]:
+            pop(next(i for i, x in enumerate(stack) if x[0] == "head"))
 
     while at < len(source):
-        m = _TOKEN.search(source, at)
+        m = tokens.search(at)
         if hidden and stack[-1][0] == "head" and source[at : m.start() if m else len(source)].strip():
             leave_head()
         if not hidden:
             piece = source[at : m.start() if m else len(source)]
             pieces.append(piece)
-            linked += len(piece) if links else 0
+            linked += len(piece) if opened["a"] else 0
         if m is None:
             break
         at, tag = m.end(), (m.group(2) or "").lower()
         if not tag:
             continue
         if m.group(1):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if tag in _BLOCKS or any(x[0] in _BLOCKS for x in stack[i:]):
-                        close()
-                    pop(len(stack) - i)
-                    break
+            if opened[tag]:
+                i = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
+                if outer and outer[-1] >= i:
+                    close()
+                pop(i)
             continue
         if hidden and tag not in _IN_HEAD:
             leave_head()
         if tag in _BLOCKS:
             close()
             gone = _CLOSES.get(tag, set()) | ({"p"} if tag not in ("html", "body", "head") else set())
-            for i in range(len(stack) - 1, -1, -1):
+            for i in reversed(outer):
                 if stack[i][0] in gone:
-                    pop(len(stack) - i)
+                    pop(i)
                     break
-                if stack[i][0] in _BLOCKS and stack[i][0] != "p":
+                if stack[i][0] != "p":
                     break
         if tag in _VOID:
             pieces.append(" " if tag == "br" else "")
@@ -112,9 +184,7 @@ def blocks(source: str | None) -> list[Block]:
             value = re.sub(r"([a-z])([A-Z])", r"\1 \2", n.group(1) or n.group(2) or n.group(3) or "")
             names += ["." + w for w in _SPLIT.split(value.lower()) if w]
         if not m.group(3).endswith("/"):
-            stack.append((tag, tuple(names)))
-            hidden += tag in _HIDDEN
-            links += tag == "a"
+            push(tag, tuple(names))
             if tag in _RAW:  # no markup inside: go to its end tag
                 end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
                 at = end.start() if end else len(source)
@@ -122,8 +192,8 @@ def blocks(source: str | None) -> list[Block]:
     return out
 
 
-def features(path: tuple[str, ...]) -> list[str]:
-    return ["bias", f"in:{path[-1] if path else ''}", *{f"a:{x}" for x in path}]
+def features(block: Block) -> list[str]:
+    return ["bias", f"in:{block.inner}", *(f"a:{x}" for x in block.path)]
 
 
 def text_features(block: Block) -> list[str]:
@@ -132,7 +202,7 @@ def text_features(block: Block) -> list[str]:
     return [
         f"len:{min(7, int(math.log2(n)))}",
         f"link:{0 if share == 0 else 1 if share < 0.5 else 2}",
-        f"stop:{block.text.rstrip(chr(34))[-1] in '.!?:;…'}",
+        f"stop:{block.text.rstrip(chr(34))[-1:] in ('.', '!', '?', ':', ';', '…')}",
         f"sign:{any(c in block.text for c in '©®|»›·')}",
     ]
 
@@ -142,20 +212,28 @@ class Field:
 
     def __init__(self, weights: dict[str, tuple[float, float]], change: np.ndarray):
         self.weights, self.change = weights, change
-        self._paths: dict[tuple[str, ...], tuple[float, float]] = {}
 
     def _sum(self, names: list[str]) -> tuple[float, float]:
         pairs = [self.weights[n] for n in names if n in self.weights]
         return sum(p[0] for p in pairs), sum(p[1] for p in pairs)
 
+    def _path(self, path: Path) -> tuple[float, float]:
+        """The sums of a path's names, kept with it."""
+        new, at = [], path
+        while at is not None and (at.sums is None or at.sums[0] is not self):
+            new.append(at)
+            at = at.parent
+        total = at.sums[1:] if at is not None else (0.0, 0.0)
+        for x in reversed(new):
+            own = self._sum([f"a:{n}" for n in x.names])
+            total = total[0] + own[0], total[1] + own[1]
+            x.sums = (self, *total)
+        return total
+
     def scores(self, page: list[Block]) -> list[tuple[float, float]]:
         out = []
         for b in page:
-            if b.path not in self._paths:
-                if len(self._paths) > 50_000:
-                    self._paths.clear()
-                self._paths[b.path] = self._sum(features(b.path))
-            p, t = self._paths[b.path], self._sum(text_features(b))
+            p, t = self._path(b.path), self._sum(["bias", f"in:{b.inner}", *text_features(b)])
             out.append((p[0] + t[0], p[1] + t[1]))
         return out
 
@@ -176,13 +254,40 @@ class Field:
         return [*out, label][::-1]
 
 
+def gradient(rows: list[np.ndarray], labels: np.ndarray, w: np.ndarray, change: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The log likelihood of a page's labels, by forward-backward, and its derivatives by the weights and the changes.
+
+    rows: the features of each block."""
+    n = len(rows)
+    emit = np.array([w[r].sum(axis=0) for r in rows])
+    forward, backward = np.zeros((n, 2)), np.zeros((n, 2))
+    forward[0] = emit[0]
+    for i in range(1, n):
+        forward[i] = np.logaddexp(forward[i - 1, 0] + change[0], forward[i - 1, 1] + change[1]) + emit[i]
+        j = n - 1 - i
+        ahead = emit[j + 1] + backward[j + 1]
+        backward[j] = np.logaddexp(change[:, 0] + ahead[0], change[:, 1] + ahead[1])
+    total = np.logaddexp(*forward[-1])
+    apart = -np.exp(forward + backward - total)
+    apart[np.arange(n), labels] += 1
+    by_change = np.zeros_like(change)
+    for i in range(1, n):
+        by_change -= np.exp(forward[i - 1][:, None] + change + (emit[i] + backward[i])[None, :] - total)
+        by_change[labels[i - 1], labels[i]] += 1
+    by_weight = np.zeros_like(w)
+    for r, a in zip(rows, apart, strict=True):
+        by_weight[r] += a
+    own = emit[np.arange(n), labels].sum() + change[labels[:-1], labels[1:]].sum()
+    return float(own - total), by_weight, by_change
+
+
 def train(pages: list[tuple[list[Block], list[int]]], passes: int = 12, rate: float = 0.3, ridge: float = 1e-3) -> Field:
     """The field that fits labelled pages, by AdaGrad steps along the exact gradient of the log likelihood."""
     index: dict[str, int] = {}
     coded = []
     for page, labels in pages:
         if page:
-            rows = [[index.setdefault(f, len(index)) for f in features(b.path) + text_features(b)] for b in page]
+            rows = [[index.setdefault(f, len(index)) for f in features(b) + text_features(b)] for b in page]
             coded.append(([np.array(r) for r in rows], np.array(labels)))
     w, change = np.zeros((len(index), 2)), np.zeros((2, 2))
     seen_w, seen_c = np.full_like(w, 1e-8), np.full_like(change, 1e-8)
@@ -190,26 +295,9 @@ def train(pages: list[tuple[list[Block], list[int]]], passes: int = 12, rate: fl
     for _ in range(passes):
         order.shuffle(coded)
         for rows, labels in coded:
-            n = len(rows)
-            emit = np.array([w[r].sum(axis=0) for r in rows])
-            forward, backward = np.zeros((n, 2)), np.zeros((n, 2))
-            forward[0] = emit[0]
-            for i in range(1, n):
-                forward[i] = np.logaddexp(forward[i - 1, 0] + change[0], forward[i - 1, 1] + change[1]) + emit[i]
-                j = n - 1 - i
-                ahead = emit[j + 1] + backward[j + 1]
-                backward[j] = np.logaddexp(change[:, 0] + ahead[0], change[:, 1] + ahead[1])
-            total = np.logaddexp(*forward[-1])
-            apart = -np.exp(forward + backward - total)
-            apart[np.arange(n), labels] += 1
-            step_c = -ridge * change
-            for i in range(1, n):
-                step_c -= np.exp(forward[i - 1][:, None] + change + (emit[i] + backward[i])[None, :] - total)
-                step_c[labels[i - 1], labels[i]] += 1
-            step_w = np.zeros_like(w)
-            for r, a in zip(rows, apart, strict=True):
-                step_w[r] += a
+            _, step_w, step_c = gradient(rows, labels, w, change)
             step_w -= ridge * w * (step_w != 0)
+            step_c -= ridge * change
             seen_w += step_w**2
             seen_c += step_c**2
             w += rate * step_w / np.sqrt(seen_w)
@@ -300,6 +388,7 @@ def labelled_blocks(source: str, main: list[str]) -> tuple[list[Block], list[int
     return page, labels
 
 
+@functools.lru_cache
 def default_field(count: int = 500) -> Field:
     """Trained on `count` made-up labelled pages: the bounded sample that the model is fitted on."""
     return train([labelled_blocks(*p) for p in labelled_pages(count)])

@@ -100,11 +100,15 @@ def samples(media: bytes) -> np.ndarray:
         raise ValueError("no PNG signature")
     at, header, packed, ended = 8, None, [], False
     while at < len(media) and not ended:
+        if len(media) < at + 12:
+            raise ValueError("cut inside a chunk's header")
         length, kind = struct.unpack(">I4s", media[at : at + 8])
         body, sum_ = media[at + 8 : at + 8 + length], media[at + 8 + length : at + 12 + length]
         if len(sum_) < 4 or struct.unpack(">I", sum_)[0] != zlib.crc32(body, zlib.crc32(kind)):
             raise ValueError(f"checksum of {kind!r}")
         if kind == b"IHDR":
+            if header or length != 13:
+                raise ValueError("a header of the wrong size or a second one")
             header = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             packed.append(body)
@@ -112,10 +116,13 @@ def samples(media: bytes) -> np.ndarray:
         at += 12 + length
     if not ended or header is None or header[2:] != (8, 0, 0, 0, 0):
         raise ValueError("not a whole 8-bit grey image")
+    size, unpacker = header[1] * (header[0] + 1), zlib.decompressobj()
     try:
-        raw = zlib.decompress(b"".join(packed))
+        raw = unpacker.decompress(b"".join(packed), size + 1)
     except zlib.error as e:
         raise ValueError(str(e)) from e
+    if not header[0] or not header[1] or len(raw) != size or not unpacker.eof:
+        raise ValueError("samples and header differ in size")
     return _unfiltered(np.frombuffer(raw, np.uint8).reshape(header[1], header[0] + 1))
 
 

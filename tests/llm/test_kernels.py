@@ -355,11 +355,108 @@ def test_blocks_keep_text():
 
 def test_viterbi_is_best():
     field = htmltext.Field({"bias": (0.1, 0.0), "a:nav": (1.0, -1.0), "a:p": (-0.4, 0.6)}, np.array([[0.5, -0.3], [-0.6, 0.4]]))
-    page = [htmltext.Block("x", 0, p) for p in (("p",), ("nav",), ("p",), ("p",), ("nav",), ())]
+    page = [htmltext.Block("x", 0, htmltext.Path(None, p)) for p in (("p",), ("nav",), ("p",), ("p",), ("nav",), ())]
     scores = field.scores(page)
     total = lambda y: sum(s[i] for s, i in zip(scores, y, strict=True)) + sum(field.change[a, b] for a, b in itertools.pairwise(y))
     assert total(field.decode(page)) == pytest.approx(max(total(y) for y in itertools.product((0, 1), repeat=6)))
 
 
+def test_field_gradient():
+    """Likelihood and derivatives against sums over all labellings and finite differences."""
+    rng = np.random.default_rng(4)
+    w, change = rng.normal(size=(5, 2)), rng.normal(size=(2, 2))
+    rows, labels = [np.array(r) for r in ([0, 1], [2], [0, 3, 4], [1, 4], [0, 2])], np.array([1, 0, 0, 1, 1])
+
+    def likelihood(w, change):
+        score = lambda y: sum(w[r, k].sum() for r, k in zip(rows, y, strict=True)) + sum(change[a, b] for a, b in itertools.pairwise(y))
+        return score(labels) - np.log(sum(np.exp(score(y)) for y in itertools.product((0, 1), repeat=5)))
+
+    own, by_weight, by_change = htmltext.gradient(rows, labels, w, change)
+    assert own == pytest.approx(likelihood(w, change))
+    for table, by in ((w, by_weight), (change, by_change)):
+        for at in np.ndindex(table.shape):
+            keep = table[at]
+            table[at] = keep + 1e-5
+            up = likelihood(w, change)
+            table[at] = keep - 1e-5
+            down = likelihood(w, change)
+            table[at] = keep
+            assert by[at] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_hostile_pages():
+    """Broken, deep and odd pages neither fail nor take more than time in proportion to their size."""
+    import time
+
+    field = htmltext.default_field(60)
+    for page in ('<p>"</p>', "<p>&quot;&quot;</p>", "<", "<a", "</", "<!", "<!--", "<p", '<p a="', "<p>x<p>\"<p>'", "\0"):
+        field.decode(htmltext.blocks(page))
+    assert [b.text for b in htmltext.blocks('<p>"</p><p>a < b <i c="> d')] == ['"', 'a < b <i c="> d']
+    n = 60_000
+    for page in ("<a " * n, "<!" * n, '<a "' * n, "<a '>\"" * n, "<div class=a>" * n + "<p>x" * n, "<b>" * n + "<hr>" * n, "<b>" * n + "</i>" * n, "<template>" + "<b>" * n, "word " * n * 4):
+        start = time.time()
+        field.decode(htmltext.blocks(page))
+        assert time.time() - start < 10
+
+
+def test_cosine_hash():
+    """Against its definition: means of 32 x 32 cells, the cosine transform's lowest 8 x 8, above their median without the first."""
+    rng = np.random.default_rng(7)
+    for height in (1, 5, 31, 32, 33, 70):
+        image = rng.integers(0, 256, (height, 64), dtype=np.uint8)
+        cell = lambda i, n: slice(i * n // 32, max((i + 1) * n // 32, i * n // 32 + 1))
+        means = np.array([[image[cell(y, height), cell(x, 64)].mean() for x in range(32)] for y in range(32)])
+        low = np.array([[sum(means[y, x] * np.cos(np.pi * u * (2 * y + 1) / 64) * np.cos(np.pi * v * (2 * x + 1) / 64) for y in range(32) for x in range(32)) for v in range(8)] for u in range(8)])
+        bits = np.round(low, 6) > np.median(np.round(low, 6).reshape(-1)[1:])
+        assert media.frequency_hash(image) == f"{int(''.join('01'[int(b)] for b in bits.reshape(-1)), 2):016x}"
+
+
+def test_damaged_media():
+    """Cut anywhere, or with any byte or the header changed, a picture is an error and nothing else."""
+    import struct
+
+    whole = media.png(bytes(range(256)) * 3)
+    for n in range(len(whole)):
+        with pytest.raises(ValueError):
+            media.samples(whole[:n])
+    for i in range(8, len(whole)):
+        with pytest.raises(ValueError):
+            media.samples(whole[:i] + bytes([whole[i] ^ 1]) + whole[i + 1 :])
+    body = whole[33:]
+    for header in (struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0) for w, h in ((64, 11), (64, 13), (63, 12), (0, 12), (64, 0), (2**31, 2**31))):
+        with pytest.raises(ValueError):
+            media.samples(whole[:8] + media._chunk(b"IHDR", header) + body)
+    for header in (b"", b"x" * 12, b"x" * 14):
+        with pytest.raises(ValueError):
+            media.samples(whole[:8] + media._chunk(b"IHDR", header) + body)
+
+
+def test_language_distances():
+    """Ranks, out-of-place distances and the prediction against plain counting."""
+    rng = random.Random(6)
+    make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(n))
+    learn = {"aa": make("abcde", 400), "bb": make("cdefg", 400), "cc": make("éfghz", 300)}
+    size = 40
+
+    def rank(text):
+        counts = Counter()
+        for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            p = f" {word} "
+            counts.update(p[i : i + n] for n in (1, 2, 3) for i in range(len(p) - n + 1) if p[i : i + n] != " ")
+        code = lambda g: sum((32 if c == " " else ord(c)) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))][:size]
+
+    ranks = {lang: rank(text) for lang, text in learn.items()}
+    profiles = {lang: langid.ranked(langid.grams([text])[0], size) for lang, text in learn.items()}
+    assert {lang: [dec(int(c)) for c in p] for lang, p in profiles.items()} == ranks
+    texts = [make(rng.choice(["abcde", "cdefg", "éfghz", "abcdefgz"]), rng.randint(1, 60)) for _ in range(80)]
+    preds, scores = langid._predictor(profiles, size)([*texts, None, "", "12 3"])
+    for text, pred, score in zip(texts, preds, scores, strict=False):
+        own = rank(text)
+        apart = {lang: sum(abs(r.index(g) - i) if g in r else size for i, g in enumerate(own)) for lang, r in ranks.items()}
+        assert pred == min(sorted(apart), key=apart.get) and score == pytest.approx(1 - apart[pred] / (len(own) * size))
+    assert preds[-3:] == ["und"] * 3 and scores[-3:] == [0.0] * 3
+
+
 def test_digest_helpers():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0") and zlib.crc32(b"") == 0
