@@ -9,6 +9,8 @@ wide, a step (at least e) apart, and only bands that reach the bound are aligned
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massspark.llm.common import byte_view, mapped, slices
+from massspark.llm.common import byte_view, forget, mapped, slices, written
 
 #: Bytes of a q-gram and of a window, and edits allowed as a share of a window.
 Q, WINDOW, EDITS = 8, 100, 0.08
@@ -26,14 +28,15 @@ STRIDE = 1
 ALIGNED = 1 << 13
 #: Zeros between texts: more than a window's edits, so that nothing matches across.
 GAP = 16
-#: Items of so many bytes are searched in one pass over the documents; more take more passes.
-BLOCK_BYTES = 16 << 20
+#: Items of so many bytes are searched in one pass over the documents; more take more passes. An index takes some 60 times this.
+BLOCK_BYTES = 1 << 20
 
 _FOLD = np.full(256, 32, np.uint8)
 for _c in range(256):
     if _c >= 128 or chr(_c).isalnum():
         _FOLD[_c] = ord(chr(_c).lower()) if _c < 128 else _c
 _FACTOR, _BITS = np.uint64(0x9E3779B97F4A7C15), 22
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,6 +56,13 @@ def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, edges + GAP * np.arange(len(edges)), source
 
 
+def compared(text: str | None) -> np.ndarray:
+    """An item's compared bytes."""
+    raw = np.frombuffer((text or "").encode("utf-8"), np.uint8)
+    x = folded(raw, np.array([0, len(raw)]))[0][:-GAP]
+    return x[: len(x) - 1] if len(x) and x[-1] == 32 else x
+
+
 def qgrams(x: np.ndarray, q: int = Q) -> np.ndarray:
     """The q bytes (8 at most) from each position on as a number; the last q - 1 positions have none."""
     if len(x) < q:
@@ -81,12 +91,10 @@ class Windows:
     def __init__(self, items: list[tuple[int, str | None]], q: int = Q, window: int = WINDOW, edits: float = EDITS, stride: int = STRIDE):
         if int(window * edits) >= GAP:
             raise ValueError("a window's edit budget must be below GAP")
-        self.q, self.stride, self.step = q, stride, max(8, int(window * edits))
+        self.q, self.window, self.stride, self.step = q, window, stride, max(8, int(window * edits))
         self.items, texts, codes = [], [], []
         for item, text in items:
-            raw = np.frombuffer((text or "").encode("utf-8"), np.uint8)
-            x = folded(raw, np.array([0, len(raw)]))[0][:-GAP]
-            x = x[: len(x) - 1] if len(x) and x[-1] == 32 else x
+            x = compared(text)
             if len(x) < q:  # no q-gram, so nothing to search by
                 continue
             self.items.append(item)
@@ -102,16 +110,35 @@ class Windows:
         n = -(-self.last // stride) + 1
         self.base = np.cumsum(n) - n
         self.n = n
+        self.twin = self._twins()
         owner = np.repeat(np.arange(len(texts)), lengths - q + 1)
         places = np.concatenate([*(np.arange(len(c)) for c in codes), np.zeros(0, np.int64)])
         codes = np.concatenate([*codes, np.zeros(0, np.uint64)])
         order = np.argsort(codes, kind="stable")
-        self.owner, self.place = owner[order].astype(np.int64), places[order].astype(np.int64)
-        self.codes, self.first = np.unique(codes[order], return_index=True)
-        self.count = np.diff(np.r_[self.first, len(order)])
+        self.owner, self.place = owner[order].astype(np.int32), places[order].astype(np.int32)
+        self.codes, first = np.unique(codes[order], return_index=True)
+        self.first, self.count = first.astype(np.int32), np.diff(np.r_[first, len(order)]).astype(np.int32)
         self.table = np.zeros(1 << _BITS, bool)
         self.table[self._slots(self.codes)] = True
 
+    def _twins(self) -> np.ndarray:
+        """For each window the first one of the same bytes: what they are aligned as."""
+        window = np.arange(int(self.n.sum()))
+        if not len(window):
+            return window
+        item, start = self.item_of(window)
+        size, at = self.sizes[item], self.text_at[item] + start
+        power, inverse = (np.cumprod(np.r_[np.uint64(1), np.full(len(self.text), x, np.uint64)]) for x in (_FACTOR, _INVERSE))
+        sums = np.r_[np.uint64(0), np.cumsum((self.text.astype(np.uint64) + np.uint64(1)) * power[1:])]
+        key = (sums[at + size] - sums[at]) * inverse[at] + size.astype(np.uint64)
+        _, first, back = np.unique(key, return_index=True, return_inverse=True)
+        twin = first[back]
+        for part in np.array_split(np.flatnonzero((twin != window) & (size == size[twin])), max(1, len(window) >> 14)):
+            reach = np.arange(int(size[part].max(initial=0)))
+            mine, other = (self.text[np.minimum(x[:, None] + reach, len(self.text) - 1)] for x in (at[part], at[twin[part]]))
+            window[part[((mine == other) | (reach >= size[part][:, None])).all(axis=1)]] = -1  # equal hashes of other bytes stay apart
+        return np.where(window < 0, twin, np.arange(len(window)))
+
     def item_of(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The items of windows, and where in them the windows start."""
         item = np.searchsorted(self.base, window, "right") - 1
@@ -143,8 +170,8 @@ class Windows:
         known = self.codes[np.minimum(slot, len(self.codes) - 1)] == grams[at]
         at, slot = at[known], slot[known]
         counts = self.count[slot]
-        index = _runs(self.first[slot], counts)
-        item, place, at = self.owner[index], self.place[index], np.repeat(at, counts)
+        index = _runs(self.first[slot].astype(np.int64), counts)
+        item, place, at = self.owner[index].astype(np.int64), self.place[index].astype(np.int64), np.repeat(at, counts)
         # a match of a window is in a band of its item as well: what reaches no bound there is in no window that does
         found, n = self._counted(item, at - place)
         good = found[n >= self.bounds[found // _WIDTH]]
@@ -194,25 +221,45 @@ class Windows:
                 best[done], ends[done] = costs[done, lane], left[done] + lane + i + 1
         return best, ends
 
+    def _whole_words(self, x: np.ndarray, item: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether an item shorter than a window stands between word edges, give or take its edits; True for all others."""
+        good, padded = np.ones(len(item), bool), np.r_[np.zeros(GAP, np.uint8), x, np.zeros(2 * GAP, np.uint8)]
+        edge = (padded == 32) | (padded == 0)
+        for k in np.flatnonzero(self.last[item] == 0):
+            if self.sizes[item[k]] < self.window:
+                b, e, n = int(self.budgets[item[k]]), int(end[k]) + GAP, int(self.sizes[item[k]])
+                good[k] = edge[e - b : e + b + 1].any() and edge[max(0, e - n - 1 - b) : e - n + b].any()
+        return good
+
     def search(self, x: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, edits, start, end) of every window found in x; start is the earliest that the edits allow."""
+        """(item, edits, start, end) of every window found in x; start is the earliest that the edits allow. Equal windows are
+        aligned once."""
         out = []
         windows, bands = self.bands(x)
-        for i in range(0, len(windows), ALIGNED):
-            window = windows[i : i + ALIGNED]
-            best, ends = self.aligned(x, window, bands[i : i + ALIGNED])
-            item = self.item_of(window)[0]
-            good = np.flatnonzero(best <= self.budgets[item])
-            out += [(self.items[k], int(b), int(e - n - b), int(e)) for k, b, e, n in zip(item[good], best[good], ends[good], self.sizes[item[good]], strict=True)]
-        return out
+        keys, back = np.unique(self.twin[windows] * _WIDTH + bands + _MIDDLE, return_inverse=True)
+        if not len(keys):
+            return out
+        parts = [self.aligned(x, k // _WIDTH, k % _WIDTH - _MIDDLE) for k in np.split(keys, range(ALIGNED, len(keys), ALIGNED))]
+        best, ends = (np.concatenate(p)[back] for p in zip(*parts, strict=True))
+        item = self.item_of(windows)[0]
+        good = np.flatnonzero(best <= self.budgets[item])
+        good = good[self._whole_words(x, item[good], ends[good])]
+        return [(self.items[k], int(b), int(e - n - b), int(e)) for k, b, e, n in zip(item[good], best[good], ends[good], self.sizes[item[good]], strict=True)]
 
 
 _FOUND = "doc_id long, item_id long, edits long, n_windows long, start long, end long"
 
 
-def _search(index: Windows):
+@functools.lru_cache(maxsize=1)
+def _index(items: tuple[tuple[int, str], ...], q: int, window: int, edits: float) -> Windows:
+    """One for all tasks of a worker."""
+    return Windows(list(items), q, window, edits)
+
+
+def _search(*how):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        index = _index(*how)
+        for batch in slices(batches, "text", 1 << 20):
             data, offsets = byte_view(batch.column("text"))
             x, starts, source = folded(data, offsets)
             found: dict[tuple[int, int], list] = {}
@@ -220,7 +267,7 @@ def _search(index: Windows):
                 row = int(np.searchsorted(starts, end - 1, "right")) - 1
                 found.setdefault((row, item), []).append((edits, max(start, int(starts[row])), min(end, int(starts[row + 1]) - GAP)))
             rows, ids = [], batch.column("doc_id").to_pylist()
-            for (row, item), hits in sorted(found.items()):
+            for (row, item), hits in sorted(found.items(), key=lambda x: (x[0][0], x[0][1] is not None, x[0][1] or 0)):
                 points = np.r_[0, np.cumsum((data[offsets[row] : offsets[row + 1]] & 0xC0) != 0x80)]
                 first, last = (source[p] - offsets[row] for p in (min(h[1] for h in hits), max(h[2] for h in hits) - 1))
                 rows.append((ids[row], item, min(h[0] for h in hits), len(hits), int(points[first]), int(points[last + 1])))
@@ -230,48 +277,86 @@ def _search(index: Windows):
     return run
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, q: int = Q, window: int = WINDOW, edits: float = EDITS, column: str = "text") -> DataFrame:
-    """doc_id, item_id, edits, n_windows, start, end: the documents that hold a part of a benchmark item, a row for each item.
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, text, digest of the compared bytes (null if there are none)."""
 
-    A part is a window of the item (the whole of a shorter one) within the edit budget. edits: of the best window; start
-    and end: the code points over which windows of the item were found. Null or empty texts hold nothing; null or empty
-    items and those of fewer than q compared bytes are held by nothing; a null doc_id or item_id is reported as it is.
-    Repeated documents are reported each. Extra columns are ignored; an empty table gives an empty result.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("compared", pa.array([compared(t).tobytes() or None for t in batch.column("text").to_pylist()], pa.binary()))
+
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return items.transform(mapped, run, "item_id long, text string, compared binary").select("item_id", "text", F.sha2("compared", 256).alias("digest"))
 
-    The items are the query set: they are read in blocks of bounded size, each one pass over the documents, which stay
-    where they are. Nothing is shuffled.
-    """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
-    out = None
-    for index in _blocks(benchmark, q, window, edits):
-        found = docs.transform(mapped, _search(index), _FOUND)
-        out = found if out is None else out.unionByName(found)
-    return out
 
+def item_classes(benchmark: DataFrame) -> DataFrame:
+    """item_id, class_id: each item with the smallest id of the items whose compared bytes equal its own.
 
-def _blocks(benchmark: DataFrame, q: int = Q, window: int = WINDOW, edits: float = EDITS) -> Iterator[Windows]:
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    An item without compared bytes is in no class (null); so is one of a class without an id."""
+    items = _items(benchmark).drop("text")
+    return items.join(items.where("digest is not null").groupBy("digest").agg(F.min("item_id").alias("class_id")), "digest", "left").select("item_id", "class_id")
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[tuple[int, str], ...]]:
+    """One item of each class, in blocks of bounded size: all that is in the driver at a time."""
+    classes = _items(benchmark).where("digest is not null").groupBy("digest").agg(F.min("item_id").alias("item_id"), F.min("text").alias("text"))
+    classes = written(classes, "items")
+    size = classes.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
     for i in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i).orderBy("item_id", "text").collect()
-        yield Windows([tuple(r) for r in own], q, window, edits)
+        own = classes.where(F.pmod(F.xxhash64("digest"), F.lit(blocks)) == i).orderBy("item_id", "digest").collect()
+        yield tuple((r["item_id"], r["text"]) for r in own)
+    forget(classes)
+
 
+def contaminated(documents: DataFrame, benchmark: DataFrame, q: int = Q, window: int = WINDOW, edits: float = EDITS, column: str = "text") -> DataFrame:
+    """doc_id, item_id, edits, n_windows, start, end: the documents that hold a part of a benchmark item, a row for each item.
 
-def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows, with all their columns, that hold no part of a benchmark item; filtered where they are, pass by pass."""
+    A part is a window of the item within the edit budget, or the whole of a shorter item between word edges. Items of the
+    same compared bytes are searched as one: item_id is the smallest of theirs, item_classes() has the others. edits: of the
+    best window; start and end: the code points over which windows of the item were found. Null or empty texts hold
+    nothing; null or empty items and those of fewer than q compared bytes are held by nothing; a null doc_id or item_id is
+    reported as it is. Repeated documents are reported each. Extra columns are ignored; an empty table gives an empty
+    result.
 
-    def without(index: Windows):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text"):
-                x, starts, _ = folded(*byte_view(batch.column("text")))
-                keep = np.ones(len(batch), bool)
-                for _, _, _, end in index.search(x):
-                    keep[np.searchsorted(starts, end - 1, "right") - 1] = False
-                yield batch.filter(pa.array(keep))
+    The items are the query set: they are read in blocks of bounded size, each one pass over the documents, which stay
+    where they are. Documents are not shuffled. With more than one block, each pass is run and written before the next.
+    """
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
+    blocks = _blocks(benchmark)
+    out = docs.transform(mapped, _search(next(blocks), q, window, edits), _FOUND)
+    for k, items in enumerate(blocks):
+        out = out if k else written(out, "found")
+        out = out.unionByName(written(docs.transform(mapped, _search(items, q, window, edits), _FOUND), "found"))
+    return out
 
-        return run
 
-    for index in _blocks(benchmark):
-        documents = documents.transform(mapped, without(index), documents.schema)
-    return documents
+def clean(documents: DataFrame, benchmark: DataFrame, q: int = Q, window: int = WINDOW, edits: float = EDITS) -> DataFrame:
+    """The rows, with all their columns, whose text holds no part of a benchmark item (nulls and texts as contaminated()).
+
+    Items of one block filter the rows where they are. With more, the digests of the texts that a pass finds are written,
+    and rows of such texts are left out at the end."""
+
+    def held(batches: Iterator[pa.RecordBatch], how: tuple) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        index = _index(*how)
+        for batch in slices(batches, "text", 1 << 20):
+            x, starts, _ = folded(*byte_view(batch.column("text")))
+            hit = np.zeros(len(batch), bool)
+            for _, _, _, end in index.search(x):
+                hit[np.searchsorted(starts, end - 1, "right") - 1] = True
+            yield batch, hit
+
+    def without(*how):
+        return lambda batches: (batch.filter(pa.array(~hit)) for batch, hit in held(batches, how))
+
+    def within(*how):
+        return lambda batches: (batch.filter(pa.array(hit)) for batch, hit in held(batches, how))
+
+    blocks = _blocks(benchmark)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return documents.transform(mapped, without(first, q, window, edits), documents.schema)
+    texts, gone = documents.select("text"), None
+    for items in itertools.chain((first, second), blocks):
+        found = written(texts.transform(mapped, within(items, q, window, edits), texts.schema).select(F.sha2("text", 256).alias("digest")), "held")
+        gone = found if gone is None else gone.unionByName(found)
+    return documents.join(gone.distinct(), F.sha2("text", 256).eqNullSafe(F.col("digest")), "left_anti")

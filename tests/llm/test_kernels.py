@@ -458,5 +458,57 @@ def test_language_distances():
     assert preds[-3:] == ["und"] * 3 and scores[-3:] == [0.0] * 3
 
 
+def test_windows_by_edit_distance():
+    """Every window of an item within its edits of some stretch of the text is found, and nothing else is."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 7)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    items = [words(rng.randint(8, 20)) for _ in range(6)]
+    items.append(items[0][:40] + words(9))
+    size, share = 32, 0.07
+    index = decontam.Windows(list(enumerate(items)), window=size, edits=share, q=6)
+
+    def least(pattern, text):
+        row = [0] * (len(text) + 1)
+        for i, p in enumerate(pattern, 1):
+            new = [i]
+            for j, t in enumerate(text, 1):
+                new.append(min(row[j - 1] + (p != t), row[j] + 1, new[j - 1] + 1))
+            row = new
+        return min(row)
+
+    found = missed = 0
+    for _ in range(40):
+        source, a = rng.choice(items), rng.randrange(30)
+        part = list(source[a : a + rng.randint(28, 60)])
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(part))
+            part[at : at + 1] = rng.choice([[], [rng.choice("abcde")], [part[at], rng.choice("abcde")]])
+        text = f"{words(5)} {' '.join(''.join(part).split())} {words(5)}"
+        got = {h[0] for h in index.search(decontam.folded(*view([text]))[0])}
+        folded = decontam.compared(text).tobytes()
+        want = set()
+        for k, item in enumerate(items):
+            x = decontam.compared(item).tobytes()
+            if any(least(x[i : i + size], folded) <= int(size * share) for i in range(max(1, len(x) - size + 1))):
+                want.add(k)
+        assert got <= want
+        found, missed = found + len(want), missed + len(want - got)
+    assert found > 20 and not missed
+
+
+def test_equal_windows_are_aligned_once(monkeypatch):
+    rng = random.Random(22)
+    item = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    items = [(i, f"{item[: 150 + i % 7]} end{i}") for i in range(300)]
+    index = decontam.Windows(items)
+    aligned, plain = [], decontam.Windows.aligned
+    monkeypatch.setattr(decontam.Windows, "aligned", lambda self, x, w, b: aligned.append(len(w)) or plain(self, x, w, b))
+    assert {h[0] for h in index.search(decontam.folded(*view([item]))[0])} == set(range(300)) and sum(aligned) < 2000
+    short = decontam.Windows([(1, "continue"), (2, "no more")])
+    hits = lambda text: {h[0] for h in short.search(decontam.folded(*view([text]))[0])}
+    assert hits("they discontinued it") == set() and hits("to continue, so") == {1} and hits("continue") == {1} and hits("continues") == set()
+
+
 def test_digest_helpers():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0") and zlib.crc32(b"") == 0

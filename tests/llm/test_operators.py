@@ -188,7 +188,7 @@ def test_media(spark):
     assert all(r.error and r.payload_sha256 is None for r in media.media_features(broken).collect())
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
     items = [(i, " ".join(rng.choice(words) for _ in range(30))) for i in range(6)]
@@ -201,6 +201,15 @@ def test_decontamination(spark):
     kept = decontam.clean(documents(spark, texts), bench)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 5] and kept.columns == documents(spark, texts).columns
     assert decontam.contaminated(documents(spark, texts), bench.limit(0)).count() == 0
+    assert decontam.contaminated(documents(spark, texts).limit(0), bench).count() == 0
+    again = bench.unionByName(bench.where("item_id < 6").withColumn("text", F.upper("text")).withColumn("item_id", F.col("item_id") + 100)).unionByName(spark.createDataFrame([(None, items[0][1][::-1], "x"), (None, items[1][1][::-1], "x")], bench.schema))
+    assert {(r.item_id, r.class_id) for r in decontam.item_classes(again).where("item_id is not null").collect()} == {*((i + k, i) for i in range(6) for k in (0, 100)), (90, None), (91, None), (92, 92)}
+    want = sorted(map(repr, got))
+    assert sorted(map(repr, decontam.contaminated(documents(spark, texts), again).collect())) == want
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 300)  # many passes
+    assert sorted(map(repr, decontam.contaminated(documents(spark, texts), again).collect())) == want
+    kept = decontam.clean(documents(spark, texts), again)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 5] and kept.columns == documents(spark, texts).columns
 
 
 def test_html(spark):
