@@ -221,7 +221,8 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _undecided(buckets: DataFrame, groups: DataFrame) -> DataFrame:
     """The buckets whose members are in more than one component, with it as comp."""
     named = buckets.drop("comp").join(groups.select("node", F.col("root").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    # written, so that the join reads both sides as they lie and a hot key's partition can be split
+    several = written(named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"), "several")
     return named.join(several, "key", "left_semi").select(_MEMBER)
 
 
