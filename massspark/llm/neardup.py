@@ -295,8 +295,10 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias(column))
     signed = written(docs.transform(mapped, _sign(k, bands, rows, column), _SIGNED), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # written, so that a class of very many copies is a skewed join that can be split
+    classes = written(some.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     members = written(some.select("doc_id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "rep"), "members")
+    forget(classes)
     copies = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = members.where("doc_id = rep").select("doc_id").distinct()
     reps = signed.join(reps, "doc_id", "left_semi")
