@@ -6,27 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massspark.functions.chem import is_decoy_match, peptide_key
+from massspark.operators.staging import in_ranges, sums_before
 
 
 def q_map(scored: DataFrame, score: str = "score", decoy: str = "is_decoy") -> DataFrame:
     """score, q for each distinct score: the least rate decoys/targets at any worse key, by strictly better counts.
 
-    Rows are first counted per distinct score (with partial aggregates), so the one sorted window sees no more rows than
-    there are scores. Keys are the decoys' scores that some target beats. The sweep stops behind the first key whose rate
-    reaches 1; beyond the last key q is 1, or 0 where there is no decoy.
+    Rows are first counted per distinct score (with partial aggregates). Scores are dealt into ranges; each range's running
+    counts start from the sums of those before it, and the least rate behind a range comes from the ranges' minima, so no
+    task sees more than a range. Keys are the decoys' scores that some target beats. The sweep stops behind the first key
+    whose rate reaches 1; beyond the last key q is 1, or 0 where there is no decoy.
     """
     counts = scored.groupBy(F.col(score).cast("float").alias("score")).agg(F.count_if(~F.col(decoy)).alias("t"), F.count_if(F.col(decoy)).alias("d"))
-    order = Window.orderBy("score")
+    ranges = in_ranges(counts, "score")
+    order = Window.partitionBy("part").orderBy("score")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    better = counts.select("score", "d", (F.sum("t").over(upto) - F.col("t")).alias("targets"), (F.sum("d").over(upto) - F.col("d")).alias("decoys"), F.sum("d").over(Window.partitionBy()).alias("all_decoys"))
+    better = ranges.join(sums_before(ranges, ["t", "d"]), "part").select("part", "score", "d", (F.sum("t").over(upto) - F.col("t") + F.col("t_before")).alias("targets"), (F.sum("d").over(upto) - F.col("d") + F.col("d_before")).alias("decoys"))
     ratio = F.when(F.col("targets") <= F.col("decoys"), F.lit(1.0)).otherwise(F.col("decoys").cast("float") / F.col("targets").cast("float")).cast("float")
-    rate = F.when((F.col("d") > 0) & (F.col("targets") > 0), ratio)
-    rated = better.withColumn("rate", rate)
-    stopped = F.coalesce(F.sum(F.when(F.col("rate") >= 1, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) > 0
-    used = rated.withColumn("rate", F.when(stopped, F.lit(None).cast("float")).otherwise(F.col("rate")))
-    beyond = F.when(F.col("all_decoys") == 0, F.lit(0.0)).otherwise(F.lit(1.0)).cast("float")
-    worse = F.min("rate").over(order.rowsBetween(1, Window.unboundedFollowing))
-    return used.select("score", F.least(F.coalesce(worse, beyond), beyond).alias("q"))
+    rated = better.withColumn("rate", F.when((F.col("d") > 0) & (F.col("targets") > 0), ratio))
+    stopped = F.coalesce(F.max(F.col("rate") >= 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    rated = rated.select("part", "score", "d", "rate", F.when(~stopped, F.col("rate")).alias("used"))
+    ranges_of = rated.groupBy("part").agg(F.sum("d").alias("d"), F.max("rate").alias("most"), F.min("used").alias("least")).collect()  # a row for each range
+    beyond = 1.0 if any(r["d"] for r in ranges_of) else 0.0
+    last = min((r["part"] for r in ranges_of if (r["most"] or 0) >= 1), default=1 << 30)  # no rate counts behind the range of the stop
+    behind, after = beyond, []
+    for r in sorted(ranges_of, key=lambda r: -r["part"]):
+        after.append((r["part"], behind))
+        if r["part"] <= last and r["least"] is not None:
+            behind = min(behind, r["least"])
+    rows = rated.join(F.broadcast(scored.sparkSession.createDataFrame(after, "part int, behind float")), "part")
+    worse = F.min(F.when(F.col("part") <= last, F.col("used"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    return rows.select("score", F.least(F.coalesce(worse, "behind"), "behind").alias("q"))
 
 
 def best_per_peptide(scored: DataFrame) -> DataFrame:
@@ -78,7 +88,3 @@ def summary(matches: DataFrame) -> DataFrame:
     """matches, targets, and target identifications at 1 % and 5 % q."""
     hit = ~F.col("is_decoy")
     return matches.agg(F.count("*").alias("matches"), F.count_if(hit).alias("targets"), *[F.count_if(hit & (F.col("q_value") <= F.lit(x).cast("float"))).alias(f"ids_{int(x * 100)}") for x in (0.01, 0.05)])
-
-
-def accession_decoy(column: Column, prefix: str) -> Column:
-    return column.startswith(prefix)

@@ -225,42 +225,63 @@ def score_distribution(spectrum: Spectrum, whole: int, sinks: list[int], alphabe
         steps.append(scores)
     credit = CREDIT if flank is not None else 0
     never = -(1 << 40)
+    noms = np.asarray(alphabet.nominal)
     gain = np.zeros((len(steps), top + 1), np.int64)  # of a step into a node
-    for a, (nom, scores) in enumerate(zip(alphabet.nominal, steps, strict=True)):
+    for a, (nom, scores) in enumerate(zip(noms, steps, strict=True)):
         gain[a, nom:] = node[nom:] + scores
     gain[:, sinks] = 0
-    rest = np.full(top + 1 + int(alphabet.nominal.max()), never)
+    # nodes closer than the lightest residue do not lead to each other, so they are worked on together
+    block = int(noms.min())
+    rest = np.full(top + 1 + int(noms.max()), never)
     rest[sinks] = 0
     each = np.arange(len(steps))
-    for m in range(top - 1, -1, -1):
-        to = m + alphabet.nominal
-        rest[m] = max(rest[m], int((gain[each, np.minimum(to, top)] + rest[to]).max()))
+    for high in range(top, 0, -block):
+        m = np.arange(max(0, high - block), high)
+        to = m[:, None] + noms
+        rest[m] = np.maximum(rest[m], (gain[each, np.minimum(to, top)] + rest[to]).max(axis=1))
     if rest[0] < -(1 << 39):
         return None
     cut = None if threshold is None else min(threshold - credit, int(rest[0]))
-    found: list[tuple[int, np.ndarray] | None] = [None] * (top + 1)
-    found[0] = (0, np.ones(1))
-    for m in range(1, top + 1):
-        if rest[m] < -(1 << 39):
-            continue
-        parts = []
-        for nom, scores, p in zip(alphabet.nominal, steps, alphabet.probability, strict=True):
-            below = found[m - nom] if m >= nom else None
-            if below is not None:
-                parts.append((below[0] + (0 if m in is_sink else int(node[m] + scores[m - nom])), below[1], p))
-        if not parts:
-            continue
-        low, high = min(x[0] for x in parts), max(x[0] + len(x[1]) for x in parts)
+    low, high = np.zeros(top + 1, np.int64), np.zeros(top + 1, np.int64)  # scores of a node, the end left out
+    high[0] = 1
+    for first in range(1, top + 1, block):
+        m = np.arange(first, min(first + block, top + 1))
+        source = m[:, None] - noms
+        there = (source >= 0) & (high[source] > low[source])
+        step = gain[:, m].T
+        least = np.where(there, low[source] + step, -never).min(axis=1)
+        most = np.where(there, high[source] + step, never).max(axis=1)
         if cut is not None:
-            low = max(low, cut - int(rest[m]))
-        if high <= low:
+            least = np.maximum(least, cut - rest[m])
+        some = there.any(axis=1) & (rest[m] > -(1 << 39)) & (most > least)
+        low[m], high[m] = np.where(some, least, 0), np.where(some, most, 0)
+    width = int((high - low).max())
+    table = np.zeros((top + 1, 3 * width))  # zeros on either side, for scores that a node does not have
+    table[0, width] = 1.0
+    flat, lanes = table.reshape(-1), np.arange(width)
+    for first in range(1, top + 1, block):
+        m = np.arange(first, min(first + block, top + 1))
+        m = m[high[m] > low[m]]
+        if not len(m):
             continue
-        total = np.zeros(high - low)
-        for start, values, p in parts:
-            skip = max(0, low - start)
-            if skip < len(values):
-                total[start + skip - low : start + len(values) - low] += values[skip:] * p
-        found[m] = (low, total)
+        reach = int((high[m] - low[m]).max())
+        total = np.zeros((len(m), reach))
+        for a, (nom, p) in enumerate(zip(noms, alphabet.probability, strict=True)):
+            source = m - nom
+            rows = np.flatnonzero((source >= 0) & (high[np.maximum(source, 0)] > low[np.maximum(source, 0)]))
+            if not len(rows):
+                continue
+            source = source[rows]
+            at = np.clip(low[m[rows]] - gain[a, m[rows]] - low[source], -width, width) + width
+            part = flat[(source * 3 * width + at)[:, None] + lanes[:reach]]
+            part *= p
+            if len(rows) == len(m):
+                total += part
+            else:
+                total[rows] += part
+        total[lanes[:reach] >= (high[m] - low[m])[:, None]] = 0
+        table[m, width : width + reach] = total
+    found = [(int(low[m]), table[m, width : width + int(high[m] - low[m])]) if high[m] > low[m] else None for m in range(top + 1)]
     ends = [found[s] for s in sinks if found[s] is not None]
     if not ends:
         return None

@@ -14,6 +14,7 @@ from massspark.operators.digest import TRYPSIN, Digest, composition, digest
 from massspark.operators.fdr import assign_q_values
 from massspark.operators.matching import Mods, candidate_windows, candidates, last_by_scan, with_charges
 from massspark.operators.scoring import Alphabet, Spectrum, nominal, precursor_mass, score_distribution, tail
+from massspark.operators.staging import written
 from massspark.sources.model import Model
 
 
@@ -38,19 +39,26 @@ def _sites(mods: Mods):
     return letters
 
 
-def _sums(aa, delta) -> tuple[np.ndarray, np.ndarray]:
-    each = np.array([MASSES[a] for a in aa]) + np.asarray(delta, float)
+_MASS = np.full(128, np.nan)
+for _r, _m in MASSES.items():
+    _MASS[ord(_r)] = _m
+
+
+def _sums(peptide: str, delta) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of a peptide's nominal and accurate residue masses, with changes if there are any."""
+    each = _MASS[np.frombuffer(peptide.encode("ascii"), np.uint8)]
+    each = each if delta is None else each + np.asarray(delta, float)
     return np.cumsum(nominal(each)), np.cumsum(each)
 
 
-_SCORED = "spec_index long, charge int, candidate long, raw_score int, denovo_score int, spec_evalue double"
+_SCORED = "spec_index long, charge int, raw_score int, denovo_score int, spec_evalue double"
 
 
-def _kernel(model: Model, alphabet: Alphabet, isotopes: tuple[int, int], keep: int, flank: float | None, cleave_at: str):
-    """For one (spectrum, charge): the best candidates with the chance of their scores."""
+def _kernel(model: Model, alphabet: Alphabet, isotopes: tuple[int, int], keep: int, flank: float | None, cleave_at: str, carried: list[str]):
+    """For one (spectrum, charge): the best candidates, with what is carried along of them and the chance of their scores."""
 
     def run(key, spectrum: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"spec_index": [], "charge": [], "candidate": [], "raw_score": [], "denovo_score": [], "spec_evalue": []})
+        empty = pd.DataFrame({c: [] for c in ("spec_index", "charge", "raw_score", "denovo_score", "spec_evalue", *carried)})
         if not len(spectrum) or not len(found):
             return empty
         s = spectrum.iloc[0]
@@ -59,20 +67,22 @@ def _kernel(model: Model, alphabet: Alphabet, isotopes: tuple[int, int], keep: i
         whole = int(nominal(mass - np.float32(18.010565)))
         if not 50 <= whole <= 10_000:
             return empty
-        sums = [_sums(a, d) for a, d in zip(found["aa"], found["delta"], strict=True)]
+        sums = [_sums(a, d) for a, d in zip(found["letters"], found["delta"], strict=True)]
         top = max([whole - isotopes[0], *(int(n[-1]) for n, _ in sums)]) + 1
         scored = Spectrum(model, charge, mass, s["mz"], s["intensity"], top)
         raw = np.array([scored.raw_score(n, a) for n, a in sums]) + found["cleavage"].to_numpy()
-        rows = found[["candidate", "form"]].assign(raw=raw).sort_values(["raw", "form", "candidate"], ascending=[False, True, True])
+        rows = found[carried].assign(raw=raw)
         if keep:
-            forms = rows["form"].drop_duplicates().head(keep)
+            forms = rows.sort_values(["raw", "form"], ascending=[False, True])["form"].drop_duplicates().head(keep)
             rows = rows[rows["form"].isin(forms)]
         sinks = [whole - k for k in range(isotopes[0], isotopes[1] + 1)]
         made = score_distribution(scored, whole, sinks, alphabet, int(rows["raw"].min()), cleave_at, flank)
         if made is None:
             return empty
         low, chances, best = made
-        return pd.DataFrame({"spec_index": s["spec_index"], "charge": charge, "candidate": rows["candidate"], "raw_score": rows["raw"], "denovo_score": best, "spec_evalue": [tail(low, chances, int(r)) for r in rows["raw"]]})
+        chance = {r: tail(low, chances, int(r)) for r in rows["raw"].unique()}
+        out = {"spec_index": s["spec_index"], "charge": charge, "raw_score": rows["raw"], "denovo_score": best, "spec_evalue": rows["raw"].map(chance)}
+        return pd.DataFrame(out | {c: rows[c] for c in carried})
 
     return run
 
@@ -81,6 +91,14 @@ def _spectra(rows: DataFrame) -> DataFrame:
     return rows.select("spec_index", "charge", "precursor_mz", F.transform("peaks", lambda p: p["mz"]).alias("mz"), F.transform("peaks", lambda p: p["intensity"]).alias("intensity"))
 
 
+def _cogrouped(spectra: DataFrame, found: DataFrame, kernel, schema: str) -> DataFrame:
+    """The kernel over each (spectrum, charge) and its candidates. The number of partitions is given, since adaptive execution
+    goes by bytes and would put the few bytes of many dear distributions into one task."""
+    parts = int(spectra.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = _spectra(spectra).repartition(parts, "spec_index", "charge").groupBy("spec_index", "charge")
+    return left.cogroup(found.repartition(parts, "s", "z").groupBy("s", "z")).applyInPandas(kernel, schema)
+
+
 def search(spectra: DataFrame, proteins: DataFrame, model: Model, how: Search = Search()) -> DataFrame:
     """The best peptides of each spectrum with scores, E-values and q-values.
 
@@ -90,20 +108,23 @@ def search(spectra: DataFrame, proteins: DataFrame, model: Model, how: Search =
     enzyme = how.digest.enzyme
     flat = candidates(digest(proteins, how.digest), how.mods)
     flat = flat.withColumn("cleavage", search_cleavage(F.col("pre"), F.col("peptide"), F.col("prot_n"), (F.col("start") == 1) & (F.col("pre") == "M"), enzyme.cleave_at or "KR") if enzyme.cleave_at and enzyme.c_term else F.lit(0))
-    flat = flat.withColumn("sites", _sites(how.mods))
+    if how.mods.mods:
+        flat = flat.withColumn("sites", _sites(how.mods)).withColumns({"form": peptide_string(F.col("sites")), "delta": F.transform("sites", lambda x: x["delta"])})
+    else:
+        flat = flat.withColumns({"form": F.col("peptide"), "delta": F.lit(None).cast("array<double>")})
+    carried = ["form", "isotope", "mass", "accession", "start", "pre", "post"]
+    # written: they are counted as well as joined, and digestion is the dearer part
+    flat = written(flat.select("form", F.col("peptide").alias("letters"), "delta", "cleavage", "mass", "accession", "start", "pre", "post"), "candidates")
     charged = with_charges(spectra, *how.charges)
     pairs = candidate_windows(charged.select("spec_index", "charge", "precursor_mz"), flat, how.tolerance, how.isotopes)
-    form = peptide_string(F.col("sites"))
-    pairs = pairs.withColumns({"form": form, "candidate": F.xxhash64("accession", "start", "len", "isotope", "placement")})
-    pairs = pairs.withColumns({"aa": F.transform("sites", lambda x: x["aa"]), "delta": F.transform("sites", lambda x: x["delta"])})
     shares = {r["residue"]: r["frequency"] for r in composition(proteins).collect()}  # twenty rows
     alphabet = Alphabet(how.mods.fixed(), [(m.residues, m.mass) for _, m in how.mods.variable() if m.position == "any"], shares)
     cleave = enzyme.cleave_at if enzyme.c_term else ""
     flank = sum(shares[r] for r in cleave) if cleave else None
-    kernel = _kernel(model, alphabet, how.isotopes, how.matches, flank, cleave)
-    grouped = pairs.select(F.col("spec_index").alias("s"), F.col("charge").alias("z"), "candidate", "form", "cleavage", "aa", "delta").groupBy("s", "z")
-    scored = _spectra(charged).groupBy("spec_index", "charge").cogroup(grouped).applyInPandas(kernel, _SCORED)
-    hits = scored.join(pairs.drop("precursor_mz"), ["spec_index", "charge", "candidate"])
+    kernel = _kernel(model, alphabet, how.isotopes, how.matches, flank, cleave, carried)
+    grouped = pairs.select(F.col("spec_index").alias("s"), F.col("charge").alias("z"), "letters", "delta", "cleavage", *carried)
+    schema = _SCORED + ", form string, isotope int, mass double, accession string, start int, pre string, post string"
+    hits = _cogrouped(charged, grouped, kernel, schema)
     order = F.struct((-F.col("raw_score")).alias("r"), F.abs("isotope"), "mass", "accession", "start")
     rolled = hits.groupBy("spec_index", "charge", "form").agg(F.min_by(F.struct("raw_score", "denovo_score", "spec_evalue", "isotope", "mass", "pre", "post"), order).alias("best"), F.array_sort(F.collect_set("accession")).alias("proteins"))
     best = Window.partitionBy("spec_index").orderBy("best.spec_evalue", F.desc("best.raw_score"), "form", "charge")
@@ -116,7 +137,7 @@ def search(spectra: DataFrame, proteins: DataFrame, model: Model, how: Search =
         "spec_file", "spec_index", "title", "scan", "precursor_mz", "isotope", ((observed - F.col("mass")) / F.col("mass") * 1e6).alias("precursor_error"), "charge",
         F.concat("pre", F.lit("."), "form", F.lit("."), "post").alias("flanked"), "proteins", "denovo_score", "raw_score", "spec_evalue", (F.col("spec_evalue") * size).alias("evalue"),
     )
-    matches = out.withColumns({"score": F.col("spec_evalue").cast("float"), "peptide": peptide_key(F.col("flanked")), "is_decoy": is_decoy_match(F.col("proteins"), how.decoy_prefix)})
+    matches = written(out, "matches").withColumns({"score": F.col("spec_evalue").cast("float"), "peptide": peptide_key(F.col("flanked")), "is_decoy": is_decoy_match(F.col("proteins"), how.decoy_prefix)})
     return assign_q_values(matches).drop("score", "peptide").withColumnRenamed("flanked", "peptide")
 
 
@@ -133,12 +154,12 @@ def rescore(matches: DataFrame, spectra: DataFrame, model: Model, isotopes: tupl
     reason = F.when(F.col("spec_index").isNull(), "no spectrum").when(F.col("charge").isNull(), "no charge").when(F.col("sites").isNull(), "bad peptide")
     rows = rows.withColumn("status", reason)
     good = rows.where("status is null")
-    found = good.select(F.col("spec_index").alias("s"), F.col("charge").alias("z"), F.col("input_pos").alias("candidate"), F.col("peptide").alias("form"), "cleavage", F.transform("sites", lambda x: x["aa"]).alias("aa"), F.transform("sites", lambda x: x["delta"]).alias("delta"))
+    found = good.select(F.col("spec_index").alias("s"), F.col("charge").alias("z"), F.col("input_pos").alias("candidate"), "cleavage", F.array_join(F.transform("sites", lambda x: x["aa"]), "").alias("letters"), F.transform("sites", lambda x: x["delta"]).alias("delta"))
     units = good.select("spec_index", "charge", "precursor_mz", "peaks").dropDuplicates(["spec_index", "charge"])
     alphabet = Alphabet(frequency=frequency)
     flank = float(sum(p for r, p in zip(alphabet.residues, alphabet.probability, strict=True) if r in TRYPSIN.cleave_at))
-    kernel = _kernel(model, alphabet, isotopes, 0, flank, TRYPSIN.cleave_at)
-    scored = _spectra(units).groupBy("spec_index", "charge").cogroup(found.groupBy("s", "z")).applyInPandas(kernel, _SCORED)
+    kernel = _kernel(model, alphabet, isotopes, 0, flank, TRYPSIN.cleave_at, ["candidate"])
+    scored = _cogrouped(units, found, kernel, _SCORED + ", candidate long")
     out = rows.drop("sites", "cleavage", "peaks", "own_charge", "precursor_mz", "spec_index").join(scored.select(F.col("candidate").alias("input_pos"), "raw_score", "denovo_score", "spec_evalue"), "input_pos", "left")
     out = out.withColumn("status", F.coalesce("status", F.when(F.col("raw_score").isNull(), "no distribution").otherwise("scored")))
     return out.withColumn("evalue", F.col("spec_evalue") * db_size) if db_size else out

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from massspark.functions import chem
 from massspark.operators.matching import Ion, ion_kinds, ranked_peaks, strongest_match
+from massspark.operators.staging import written
 from massspark.sources.model import Fragment, Model
 
 
@@ -113,6 +114,8 @@ def train(spectra: DataFrame, how: Training = Training()) -> Model:
     The same spectra give the same bytes. Raises ValueError if no spectrum passes the screen.
     """
     kept = screened(spectra, how).where("reject_reason is null").select("spec_index", "charge", "mass", "sites", "seq", "peaks")
+    parts = int(spectra.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = written(kept.repartition(parts, "spec_index"), "kept")  # so many files that all cores share what is made of each row
     sizes = {r["charge"]: r["n"] for r in kept.groupBy("charge").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         raise ValueError("no annotated spectrum to train on")
@@ -132,6 +135,7 @@ def train(spectra: DataFrame, how: Training = Training()) -> Model:
     sites = _theoretical(kept, kinds, how)
     matched = strongest_match(sites, peaks, 1.0).join(ranks, ["spec_index", "mz", "intensity"]).groupBy("spec_index", "ion").agg(F.min("rank").alias("rank"), F.first("mz").alias("hit"))
     both = sites.join(matched, ["spec_index", "ion"], "left")
+    both = written(both.select("spec_index", "charge", "part", "segment", "decoy", "bond", "k", "mz", "hit", "rank"), "ions")
     bin_ = F.when(F.col("rank").isNull(), how.max_rank).otherwise(F.least("rank", F.lit(how.max_rank)) - 1)
     counts = both.groupBy("charge", "part", "segment", "decoy", "k", bin_.alias("bin")).agg(F.count("*").alias("n")).collect()
     order = sorted((c, s, float(np.float32(starts[c][p])), p) for c in sizes for s in range(how.segments) for p in range(len(starts[c])))
@@ -200,27 +204,3 @@ def _errors(both: DataFrame, kinds: list[Ion], order: list[tuple], how: Training
         norm = lambda x: ((x + how.error_prior) / (x.sum() + how.error_prior * width)).astype(np.float32)
         out.append((norm(signal), norm(noise), np.maximum((exist + 0.5) / (exist.sum() + 2), 1e-4).astype(np.float32)))
     return out
-
-
-def synthetic_spectra(peptides: DataFrame, background: int = 40) -> DataFrame:
-    """Annotated spectra of peptide strings (peptide): all y ions, three of four b ions at half intensity, and noise.
-
-    Everything follows from hashes of the peptide. The charge is 2 or 3; columns are those of read_mgf().
-    """
-    mass = chem.neutral_mass(F.col("peptide"))
-    charge = (2 + F.pmod(F.xxhash64("peptide", F.lit("z")), F.lit(2))).cast("int")
-
-    def share(*x) -> Column:
-        return F.pmod(F.xxhash64("peptide", *x), F.lit(100_000)) / 100_000.0
-
-    letters = chem.letters(F.col("peptide"))
-    sums = F.transform(F.sequence(F.lit(1), F.length("peptide") - 1), lambda i: F.aggregate(F.slice(letters, F.lit(1), i), F.lit(0.0), lambda a, r: a + F.element_at(chem.masses(), r)))
-    y = F.transform(sums, lambda p, i: F.struct((mass - p + chem.PROTON).alias("mz"), (F.lit(200.0) + 100 * share(F.lit("y"), i)).alias("intensity")))
-    b = F.filter(F.transform(sums, lambda p, i: F.struct((p + chem.PROTON).alias("mz"), F.when(share(F.lit("b"), i) < 0.75, F.lit(100.0) + 50 * share(F.lit("c"), i)).alias("intensity"))), lambda x: x["intensity"].isNotNull())
-    noise = F.transform(F.sequence(F.lit(1), F.lit(background)), lambda i: F.struct((F.lit(100.0) + share(F.lit("n"), i) * mass).alias("mz"), (F.lit(1.0) + 60 * share(F.lit("i"), i)).alias("intensity")))
-    order = Window.orderBy("peptide")
-    rows = peptides.select("peptide").distinct().where(chem.is_standard(F.col("peptide")) & (F.length("peptide") > 1))
-    return rows.select(
-        F.lit("synthetic").alias("spec_file"), (F.row_number().over(order) - 1).cast("long").alias("spec_index"), F.concat(F.lit("HCD "), "peptide").alias("title"), F.sha1("peptide").alias("scan"),
-        charge.alias("charge"), ((mass + charge * chem.PROTON) / charge).alias("precursor_mz"), F.array_sort(F.concat(y, b, noise)).alias("peaks"), F.col("peptide").alias("seq"),
-    )

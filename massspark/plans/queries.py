@@ -10,7 +10,7 @@ from massspark.functions import distributions as dist
 from massspark.operators import digest as dig
 from massspark.operators import fdr as fd
 from massspark.operators import matching as ma
-from massspark.plans.adaptors import MATCHES_SQL, PEAKS_SQL, PROTEINS_SQL, SHORT_PROTEINS_SQL, matches, peaks, proteins, short_proteins, table
+from massspark.plans.adaptors import MATCHES_SQL, PEAKS_SQL, PROTEINS_SQL, SHORT_PROTEINS_SQL, annotated, matches, model, peaks, proteins, short_proteins, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -357,57 +357,51 @@ def merge_distributions(spark, sf_dir):
     return dist.merged(_distributions(spark, sf_dir).withColumn("g", F.col("k") % 7), ["g"]).withColumn("p", F.round("p", 6))
 
 
-def _annotated(spark, sf_dir):
-    from massspark.operators.train import synthetic_spectra
-
-    return synthetic_spectra(dig.digest(short_proteins(spark, sf_dir), dig.Digest(max_missed=1)).select("peptide").distinct())
-
-
 @query()
 def synthetic_spectra(spark, sf_dir):
-    return _annotated(spark, sf_dir).withColumns({"peaks": F.md5(chem.canonical_peaks(F.col("peaks"))), "n_peaks": F.size("peaks"), "tic": F.round(chem.tic(F.col("peaks")), 4)})
+    return annotated(spark, sf_dir).withColumns({"peaks": F.md5(chem.canonical_peaks(F.col("peaks"))), "n_peaks": F.size("peaks"), "tic": F.round(chem.tic(F.col("peaks")), 4)})
 
 
 @query()
 def corpus_screen(spark, sf_dir):
     from massspark.operators.train import corpus_counts
 
-    return corpus_counts(_annotated(spark, sf_dir))
+    return corpus_counts(annotated(spark, sf_dir))
 
 
 @query()
 def train_model(spark, sf_dir):
-    """The trained model as one relation of its fragment frequencies."""
+    """The trained model as one relation of its fragment frequencies. Trains anew."""
     from massspark.operators.train import train
     from massspark.sources.model import tables
 
-    return tables(spark, train(_annotated(spark, sf_dir)))["fragments"]
+    return tables(spark, train(annotated(spark, sf_dir)))["fragments"]
 
 
 @query()
 def model_roundtrip(spark, sf_dir):
-    """Parts of the model after writing and reading its binary stream."""
-    from massspark.operators.train import train
+    """Every frequency table of the model after writing and reading its binary stream."""
     from massspark.sources.model import decode, encode, tables
 
-    return tables(spark, decode(encode(train(_annotated(spark, sf_dir)))))["partitions"]
+    t = tables(spark, decode(encode(model(spark, sf_dir))))
+    ranks, errors = (t[k].select("partition", F.lit(k).alias("table"), F.col(c).alias("kind"), "bin", "freq") for k, c in (("ranks", "ion"), ("errors", "kind")))
+    fragments = t["fragments"].select("partition", F.lit("fragments").alias("table"), F.col("name").alias("kind"), F.col("ion_idx").alias("bin"), F.col("frequency").alias("freq"))
+    partitions = t["partitions"].select("partition", F.lit("partitions").alias("table"), F.concat_ws("/", "charge", "seg").alias("kind"), F.lit(0).alias("bin"), F.col("parent_mass").alias("freq"))
+    return ranks.unionByName(errors).unionByName(fragments).unionByName(partitions)
 
 
 @query()
 def search(spark, sf_dir):
     """Planted peptides searched against targets and reversed decoys, with a model trained on them."""
     from massspark.operators.search import search as run
-    from massspark.operators.train import train
 
-    spectra = _annotated(spark, sf_dir)
-    return run(spectra.drop("seq"), dig.with_decoys(short_proteins(spark, sf_dir)), train(spectra))
+    return run(annotated(spark, sf_dir).drop("seq"), dig.with_decoys(short_proteins(spark, sf_dir)), model(spark, sf_dir))
 
 
 @query()
 def rescore(spark, sf_dir):
     from massspark.operators.search import rescore as run
-    from massspark.operators.train import train
 
-    spectra = _annotated(spark, sf_dir)
+    spectra = annotated(spark, sf_dir)
     rows = spectra.select(F.col("spec_index").alias("input_pos"), "scan", F.col("seq").alias("peptide"), "charge")
-    return run(rows, spectra, train(spectra), db_size=1000)
+    return run(rows, spectra, model(spark, sf_dir), db_size=1000)

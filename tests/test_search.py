@@ -11,6 +11,7 @@ from massspark.operators import digest as dig
 from massspark.operators import scoring as sc
 from massspark.operators import search as se
 from massspark.operators import train as tr
+from massspark.plans import adaptors as ad
 from massspark.sources import model as mo
 from massspark.sources import sinks, spectra, tables
 from massspark.streaming import spectra as stream
@@ -81,7 +82,7 @@ def test_formats(spark):
 def planted(spark):
     seqs = ["MAAGCDEFKLLNPQRSTVWYGHKEEDDPPAAR", "VLSPADKTNVKAAWGKVGAHAGEYGAEALERMFLSFPTTK", "TYFPHFDLSHGSAQVKGHGKKVADALTNAVAHVDDMPNALSALSDLHAHK", "GLSDGEWQQVLNVWGKVEADIAGHGQEVLIRLFTGHPETLEKFDK"]
     proteins = spark.createDataFrame([(f"P{i}", s, False) for i, s in enumerate(seqs)], "accession string, sequence string, is_decoy boolean")
-    rows = tr.synthetic_spectra(dig.digest(proteins, dig.Digest(max_missed=1)).select("peptide").distinct()).cache()
+    rows = ad.synthetic_spectra(dig.digest(proteins, dig.Digest(max_missed=1)).select("peptide").distinct()).cache()
     return proteins, rows, tr.train(rows)
 
 
