@@ -180,16 +180,6 @@ def floor_join(rows: DataFrame, table: DataFrame, by: list[str], on: str, values
     return merged.select("_own.*", F.col(f"_found.{on}").alias(f"floor_{on}"), *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
-def grouped_hits(scored: DataFrame) -> DataFrame:
-    """Hits by spectrum, charge and peptide string: the first candidate's score and flanks, and all proteins in its order."""
-    order = F.struct("isotope", "mass", "accession", "start")
-    rows = scored.withColumn("_order", order)
-    out = rows.groupBy("spec_index", "charge", "peptide").agg(
-        F.min_by("raw_score", "_order").alias("raw_score"), F.min_by("isotope", "_order").alias("isotope"), F.min_by("mass", "_order").alias("mass"),
-        F.transform(F.array_sort(F.collect_list(F.struct("_order", "accession"))), lambda x: x["accession"]).alias("proteins"))
-    return out
-
-
 def top_hits(hits: DataFrame, n: int, by: list[str], order: list[Column]) -> DataFrame:
     return hits.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
 
@@ -224,6 +214,11 @@ def ranked_peaks(peaks: DataFrame, ties: list[str]) -> DataFrame:
     return peaks.withColumn("rank", F.row_number().over(Window.partitionBy("spec_index").orderBy(F.desc("intensity"), F.desc("mz"), *ties)))
 
 
+def simple_rank(peaks: DataFrame, position: str) -> DataFrame:
+    """The same with ties in the order of the input."""
+    return peaks.withColumn("rank", F.row_number().over(Window.partitionBy("spec_index").orderBy(F.desc("intensity"), position)))
+
+
 def strongest_match(theoretical: DataFrame, peaks: DataFrame, width: float) -> DataFrame:
     """For each (spec_index, ion, low, high) the most intense peak inside, the greatest mz of equals; none if there is none."""
     bins = F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width)))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from massspark.functions.chem import fragmentation_method
 
+# Column names of the search report and of rescored lists.
 SEARCH_HEADER = "#SpecFile SpecID ScanNum FragMethod Precursor IsotopeError PrecursorError(ppm) Charge Peptide Protein DeNovoScore MSGFScore SpecEValue EValue QValue PepQValue".split()
+RESCORED_HEADER = "scan peptide charge raw_score denovo_score spec_evalue".split()
 
 
 def scientific(x: Column, upper: bool = True) -> Column:
@@ -34,20 +36,35 @@ def search_rows(matches: DataFrame, unroll: bool = False) -> DataFrame:
     return rows.select("spec_index", "spec_evalue", *[v.alias(n) for n, v in zip(SEARCH_HEADER, values, strict=True)])
 
 
-def tsv(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """value: the columns' strings with tabs between."""
-    return rows.select(F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]).alias("value"))
+def tsv(rows: DataFrame, columns: list[str]) -> Column:
+    """The columns' strings with tabs between."""
+    return F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])
 
 
 def write_report(rows: DataFrame, columns: list[str], order: list[str], path: str) -> None:
-    """A folder of text files whose names sort as their lines do, the header as the first. Sorting is by range: a file a task."""
-    spark = rows.sparkSession
-    head = spark.createDataFrame([("\t".join(columns),)], "value string")
-    tsv(rows.orderBy(*order), columns).write.mode("overwrite").text(f"{path}/rows")
-    head.coalesce(1).write.mode("overwrite").text(f"{path}/header")
+    """A folder of text files that, read in the order of their names, are the report: the header, then the rows in order.
 
+    Sorting is by range, so each task writes a file of its own."""
+    keys = [f"_key{i}" for i in range(len(order))]
+    lines = rows.select(F.lit(1).alias("_part"), *[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)], tsv(rows, columns).alias("value"))
+    head = rows.sparkSession.range(1).select(F.lit(0).alias("_part"), *[F.lit(None).cast(lines.schema[k].dataType).alias(k) for k in keys], F.lit("\t".join(columns)).alias("value"))
+    head.unionByName(lines).orderBy("_part", *keys).select("value").write.mode("overwrite").text(path)
 
-def rescored_rows(rescored: DataFrame) -> DataFrame:
-    """scan, peptide, charge, raw_score, denovo_score, spec_evalue and evalue if there is one, in the order of input."""
-    out = rescored.withColumn("spec_evalue", scientific(F.col("spec_evalue"), upper=False))
-    return out.withColumn("evalue", scientific(F.col("evalue"), upper=False)) if "evalue" in out.columns else out
+
+def write_search(matches: DataFrame, path: str, unroll: bool = False) -> None:
+    """The report of a search, the best E-values first."""
+    write_report(search_rows(matches, unroll), SEARCH_HEADER, ["spec_evalue", "spec_index", "Protein"], path)
+
+
+def write_rescored(rescored: DataFrame, path: str) -> None:
+    """The scored rows of a rescored match list in the order of the input."""
+    scored = rescored.where("status = 'scored'").withColumn("spec_evalue", scientific(F.col("spec_evalue"), upper=False))
+    more = ["evalue"] if "evalue" in rescored.columns else []
+    scored = scored.withColumn("evalue", scientific(F.col("evalue"), upper=False)) if more else scored
+    write_report(scored, [*RESCORED_HEADER, *more], ["input_pos"], path)
+
+
+def write_fdr(rows: DataFrame, order: str, path: str) -> None:
+    """What fdr() returns, in the order of a column that isn't written; rows without a score have NA."""
+    named = [c for c in rows.columns if c not in (order, "QValue", "PepQValue")]
+    write_report(rows.withColumns({c: shortest(F.col(c)) for c in ("QValue", "PepQValue")}), [*named, "QValue", "PepQValue"], [order], path)

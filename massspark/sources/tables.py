@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massspark.functions.chem import RESIDUES
@@ -13,19 +13,22 @@ from massspark.operators.matching import Mods
 def read_fasta(spark: SparkSession, path: str, decoy: str = "XXX_") -> DataFrame:
     """accession, description, sequence, is_decoy of a FASTA file or folder, with header and raw lines for writing back.
 
-    What stands before the first `>` is ignored. The accession is the header's first word; sequences lose white space and
-    become upper case; letters that are no residues stay.
+    What stands before the first `>` at a line's start is ignored. The accession is the header's first word; sequences lose
+    white space and become upper case; letters that are no residues stay. An entry of a header alone has an empty sequence,
+    one of a `>` alone an empty accession too.
     """
-    text = spark.read.option("lineSep", "\n>").text(path)
-    first = F.col("_metadata.file_block_start") == 0
-    entry = F.regexp_replace("value", "\r", "")
-    # the first piece of a file holds what precedes its first entry
-    entry = F.when(first & entry.startswith(">"), F.substring(entry, F.lit(2), F.lit(1 << 30))).otherwise(entry)
-    rows = text.select(entry.alias("entry"), (first & ~F.col("value").startswith(">") & ~F.contains("value", F.lit("\n"))).alias("before"))
+    text = spark.read.option("lineSep", "\n>").text(path).select("value", F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"))
+    # only the first piece of a file can hold what precedes its entries, or still has its `>`
+    firsts = text.groupBy("_file").agg(F.min(F.struct("_from", "_at")).alias("x")).select(F.col("x._at").alias("_at"), F.lit(True).alias("_first"))
+    rows = text.join(F.broadcast(firsts), "_at", "left")  # a row for each file
+    first = F.col("_first").isNotNull()
+    rows = rows.where(~first | F.col("value").startswith(">"))
+    entry = F.when(first, F.substring("value", F.lit(2), F.lit(1 << 30))).otherwise(F.col("value"))
+    rows = rows.select(F.regexp_replace(entry, "\r", "").alias("entry"))
     header = F.substring_index("entry", "\n", 1)
     body = F.when(F.contains("entry", F.lit("\n")), F.substring(F.col("entry"), F.length(header) + 2, F.lit(1 << 30))).otherwise("")
     accession = F.regexp_extract(header, r"^\s*(\S*)", 1)
-    return rows.where((F.col("entry") != "") & ~F.col("before")).select(
+    return rows.select(
         accession.alias("accession"), F.trim(F.regexp_replace(header, r"^\s*\S*", "")).alias("description"), F.upper(F.regexp_replace(body, r"\s", "")).alias("sequence"),
         (F.lit(bool(decoy)) & accession.startswith(decoy)).alias("is_decoy"), header.alias("header"), body.alias("body"),
     )
@@ -98,8 +101,3 @@ def read_mods(spark: SparkSession, path: str) -> Mods:
 def read_enzymes(spark: SparkSession, path: str) -> dict[str, Enzyme]:
     lines = [x.split("#")[0].strip() for x in _lines(spark, path)]
     return {e.name: e for e in (Enzyme.parse(x) for x in lines if x)}
-
-
-def numbered_lines(rows: DataFrame, order: list) -> DataFrame:
-    """rows with line, in an order, for sinks whose lines must stand in it."""
-    return rows.withColumn("line", F.row_number().over(Window.orderBy(*order)))

@@ -13,10 +13,11 @@ from massspark.sources.spectra import parsed
 
 
 def stream_mgf(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
-    """A streaming DataFrame of spectra; spec_index is the block's place in its task, so it is unique with spec_file and start."""
+    """A streaming DataFrame of spectra, as search() takes them. spec_index is a hash of the file and the block's text: a stream
+    has no running number, and equal blocks of a file are one spectrum."""
     reader = spark.readStream.format("text").schema("value string").option("lineSep", "END IONS").option("maxFilesPerTrigger", files_per_trigger)
     text = reader.load(folder)
-    return parsed(text.select(F.col("_metadata.file_path").alias("spec_file"), F.col("_metadata.file_modification_time").alias("arrived"), F.col("value").alias("block")))
+    return parsed(text.select(F.col("_metadata.file_path").alias("spec_file"), F.xxhash64("_metadata.file_path", "value").alias("spec_index"), F.col("_metadata.file_modification_time").alias("arrived"), F.col("value").alias("block")))
 
 
 def peak_counts(spectra: DataFrame, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
@@ -25,15 +26,22 @@ def peak_counts(spectra: DataFrame, window: str = "10 minutes", late: str = "1 h
 
 
 def search_stream(spectra: DataFrame, score: Callable[[DataFrame], DataFrame], matches: str, q_values: str, checkpoint: str) -> StreamingQuery:
-    """Score each micro-batch, append its matches under `matches`, and write the q-values of all so far to `q_values`.
+    """Score each micro-batch, append its matches under `matches`, and write the q-values of all so far under `q_values`.
 
-    A batch is a folder of its own, so a batch that is run again after a failure replaces what it had written. Rates are
-    global: each batch reads the accumulated matches once.
+    A batch is a folder of its own in both, so a batch that is run again after a failure replaces what it had written, and
+    readers of latest() see the last whole state meanwhile. Rates are global: each batch reads the accumulated matches.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         score(rows).write.mode("overwrite").parquet(f"{matches}/batch={number}")
         everything = rows.sparkSession.read.parquet(matches)
-        assign_q_values(everything).write.mode("overwrite").parquet(q_values)
+        assign_q_values(everything).write.mode("overwrite").parquet(f"{q_values}/upto={number}")
 
     return spectra.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, q_values: str) -> DataFrame:
+    """The matches with their q-values after the last batch that has been written whole."""
+    states = spark.read.parquet(q_values)
+    last = states.agg(F.max("upto")).first()[0]
+    return states.where(F.col("upto") == last).drop("upto")

@@ -54,6 +54,19 @@ def test_fasta(spark, tmp_path):
     (tmp_path / "x.fasta").write_text("junk\n>P1 some protein\nPEP\nTI de\n>XXX_P2\nAAA\n>P3\n")
     got = {r.accession: (r.description, r.sequence, r.is_decoy) for r in tables.read_fasta(spark, str(tmp_path / "x.fasta")).collect()}
     assert got == {"P1": ("some protein", "PEPTIDE", False), "XXX_P2": ("", "AAA", True), "P3": ("", "", False)}
+    (tmp_path / "many").mkdir()
+    for name, text in {"a": "junk1\njunk2\n>P1 x\nAA\n>P2\n>P3 y\r\nBB\r\n", "b": ">Q1\n>Q2\nC C\n>\nDD\n>>Q4 z\nE", "c": "", "d": "only junk\n", "e": "\n>R1\nF\n"}.items():
+        (tmp_path / "many" / f"{name}.fasta").write_text(text)
+    want = {("P1", "x", "AA"), ("P2", "", ""), ("P3", "y", "BB"), ("Q1", "", ""), ("Q2", "", "CC"), ("", "", "DD"), (">Q4", "z", "E"), ("R1", "", "F")}
+    for size in ("134217728", "9"):  # whole files, and blocks of nine bytes
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            got = [(r.accession, r.description, r.sequence) for r in tables.read_fasta(spark, str(tmp_path / "many")).collect()]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert len(got) == len(want) and set(got) == want, size
     entries = {r.entry for r in tables.with_decoy_entries(tables.read_fasta(spark, str(tmp_path / "x.fasta"))).where("block = 1").collect()}
     assert ">XXX_P1 some protein\ned ITPEP" in entries
 
@@ -181,5 +194,44 @@ def test_stream(spark, tmp_path):
 
     for n in (2, 4):
         stream.search_stream(stream.stream_mgf(spark, str(tmp_path / "in")), score, str(tmp_path / "matches"), str(tmp_path / "q"), str(tmp_path / "ckpt")).awaitTermination()
-        assert spark.read.parquet(str(tmp_path / "q")).count() == n
+        assert stream.latest(spark, str(tmp_path / "q")).count() == n
         (tmp_path / "in" / "b.mgf").write_text(MGF)
+
+
+def _lines(folder):
+    return "".join(p.read_text() for p in sorted(folder.glob("part-*"))).splitlines()
+
+
+def test_streamed_search_and_reports(spark, planted, tmp_path):
+    proteins, rows, model = planted
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.mgf").write_text("".join(r.block for r in spectra.to_mgf(rows.drop("seq").limit(12)).collect()))
+    everything = dig.with_decoys(proteins)
+    how = se.Search(digest=dig.Digest(max_missed=1))
+
+    def score(batch):
+        return se.search(batch, everything, model, how).select(F.col("spec_evalue").cast("float").alias("score"), "peptide", "is_decoy", "scan", "spec_index")
+
+    stream.search_stream(stream.stream_mgf(spark, str(tmp_path / "in")), score, str(tmp_path / "m"), str(tmp_path / "q"), str(tmp_path / "c")).awaitTermination()
+    streamed = stream.latest(spark, str(tmp_path / "q")).collect()
+    known = {r.scan: r.seq for r in rows.collect()}
+    assert len(streamed) == 12 == len({r.spec_index for r in streamed}) and sum(known[r.scan] == r.peptide[2:-2] for r in streamed) >= 11
+
+    found = se.search(rows.drop("seq"), everything, model, how).cache()
+    sinks.write_search(found, str(tmp_path / "report"), unroll=True)
+    lines = [x.split("\t") for x in _lines(tmp_path / "report")]
+    assert lines[0] == sinks.SEARCH_HEADER and len(lines) == 1 + sum(len(r.proteins) for r in found.collect())
+    values = [float(x[12]) for x in lines[1:]]
+    assert values == sorted(values) and all(x[1].startswith("index=") and x[3] == "HCD" and "E" in x[12] for x in lines[1:])
+    list_ = rows.select((100 - F.col("spec_index")).alias("input_pos"), "scan", F.col("seq").alias("peptide"), "charge")
+    scored = se.rescore(list_.unionByName(list_.limit(1).withColumns({"input_pos": F.lit(0).cast("long"), "scan": F.lit("none")})), rows, model)
+    sinks.write_rescored(scored, str(tmp_path / "rescored"))
+    lines = [x.split("\t") for x in _lines(tmp_path / "rescored")]
+    assert lines[0] == sinks.RESCORED_HEADER and [x[1] for x in lines[1:]] == [r.peptide for r in list_.orderBy("input_pos").collect()]
+    from massspark.operators.fdr import fdr
+
+    table = spark.createDataFrame([(0, "AAK", "P1", "1e-9"), (1, "CCK", "XXX_P2", "0.5"), (2, "DDK", "P3", "none")], "n long, Peptide string, Protein string, SpecEValue string")
+    sinks.write_fdr(fdr(table, "peptide", "protein", "specevalue"), "n", str(tmp_path / "fdr"))
+    lines = [x.split("\t") for x in _lines(tmp_path / "fdr")]
+    assert lines[0] == ["Peptide", "Protein", "SpecEValue", "QValue", "PepQValue"] and [x[0] for x in lines[1:]] == ["AAK", "CCK", "DDK"]
+    assert lines[1][3:] == ["0", "0"] and lines[3][3:] == ["NA", "NA"]
