@@ -44,11 +44,11 @@ SELECT accession, start, CAST(length(peptide) AS INTEGER) AS len, 2::INTEGER AS
 
 
 _TRYPTIC = "regexp_replace(sequence, '([KR])', '\\1|', 'g')"
-_PEPTIDES_SQL = _digest_sql(SHORT_PROTEINS_SQL, _TRYPTIC, 2)
+_PEPTIDES_SQL = _digest_sql(PROTEINS_SQL, _TRYPTIC, 2)
 
 
 def _peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dig.digest(short_proteins(spark, sf_dir), dig.Digest(max_missed=2))
+    return dig.digest(proteins(spark, sf_dir), dig.Digest(max_missed=2))
 
 
 @query(f"SELECT accession, length(sequence) AS n, md5(sequence) AS md5 FROM ({PROTEINS_SQL})")
@@ -338,6 +338,104 @@ def decoy_site_filter(spark, sf_dir):
     return ma.away_from(p, o, ["spec_index"], "bin").select("spec_index", "l_linenumber", "cents", "bin")
 
 
+_NOMINAL_SQL = f"CAST(round(CAST(CAST({{x}} AS FLOAT) * CAST({chem.NOMINAL} AS FLOAT) AS FLOAT)) AS INTEGER)"
+
+
+@query(f"""WITH m(residue, mass) AS (VALUES {_MASS_LIST}), d AS (SELECT DISTINCT peptide FROM ({_PEPTIDES_SQL})),
+r AS (SELECT peptide, CAST(unnest(range(1, length(peptide) + 1)) AS INTEGER) AS i, unnest(string_split(peptide, '')) AS residue FROM d)
+SELECT peptide, i, round(sum(mass) OVER w, 6) AS accurate, CAST(sum({_NOMINAL_SQL.format(x='mass')}) OVER w AS INTEGER) AS nominal FROM r JOIN m USING (residue) WINDOW w AS (PARTITION BY peptide ORDER BY i)""")
+def prefix_masses(spark, sf_dir):
+    sites = chem.residues(F.col("peptide"))
+    rows = _peptides(spark, sf_dir).select("peptide").distinct().select("peptide", F.posexplode(F.arrays_zip(chem.accurate_prefix_masses(sites).alias("a"), chem.nominal_prefix_masses(sites).alias("n"))).alias("i", "x"))
+    return rows.select("peptide", (F.col("i") + 1).alias("i"), F.round("x.a", 6).alias("accurate"), F.col("x.n").alias("nominal"))
+
+
+@query(f"""WITH m(residue, mass) AS (VALUES {_MASS_LIST}), d AS (SELECT DISTINCT peptide FROM ({_PEPTIDES_SQL})),
+r AS (SELECT peptide, unnest(string_split(peptide, '')) AS residue FROM d),
+x AS (SELECT peptide, sum(mass) + {chem.WATER!r} AS mass FROM r JOIN m USING (residue) GROUP BY peptide),
+t AS (SELECT peptide, mass, CAST(contains(peptide, 'M') AS INTEGER) AS has FROM x)
+SELECT regexp_replace(peptide, 'M', 'M+15.995') AS text, has AS n_mods, CAST(length(peptide) AS INTEGER) AS n, round(mass + 15.995 * has, 6) AS mass, 'K.' || regexp_replace(peptide, 'M', 'M+15.995') || '.-' AS again FROM t""")
+def annotated_peptides(spark, sf_dir):
+    """Peptides with an inline mass change, parsed, weighed and written again."""
+    rows = _peptides(spark, sf_dir).select("peptide").distinct()
+    text = F.when(F.contains("peptide", F.lit("M")), F.concat(F.substring_index("peptide", "M", 1), F.lit("M+15.995"), F.expr("substring(peptide, instr(peptide, 'M') + 1)"))).otherwise(F.col("peptide"))
+    rows = rows.select(text.alias("text")).withColumn("sites", chem.residues(F.col("text")))
+    mass = F.aggregate("sites", F.lit(chem.WATER), lambda a, x: a + chem.site_mass(x))
+    return rows.select("text", chem.num_mods(F.col("sites")).alias("n_mods"), F.size("sites").alias("n"), F.round(mass, 6).alias("mass"), chem.peptide_string(F.col("sites"), F.lit("K"), F.lit("-")).alias("again"))
+
+
+@query(f"""SELECT accession, start, len, CAST((CASE WHEN prot_n OR (start = 1 AND pre = 'M') OR pre IN ('K', 'R') THEN {chem.CREDIT} ELSE {chem.PENALTY} END) + (CASE WHEN right(peptide, 1) IN ('K', 'R') THEN {chem.CREDIT} ELSE {chem.PENALTY} END) AS INTEGER) AS searched,
+  CAST((CASE WHEN pre IN ('K', 'R', '-') THEN {chem.CREDIT} ELSE {chem.PENALTY} END) + (CASE WHEN right(peptide, 1) IN ('K', 'R') THEN {chem.CREDIT} ELSE {chem.PENALTY} END) AS INTEGER) AS rescored FROM ({_PEPTIDES_SQL})""")
+def cleavage_credit(spark, sf_dir):
+    p = _peptides(spark, sf_dir)
+    flanked = F.concat("pre", F.lit("."), "peptide", F.lit("."), "post")
+    after_met = (F.col("start") == 1) & (F.col("pre") == "M")
+    return p.select("accession", "start", "len", chem.search_cleavage(F.col("pre"), F.col("peptide"), F.col("prot_n"), after_met).alias("searched"), chem.rescore_cleavage(flanked).alias("rescored"))
+
+
+@query(f"""SELECT p_partkey, round((p_retailprice - k * {chem.ISOTOPE} - (p_retailprice - 0.01)) / (p_retailprice - 0.01) * 1e6, 4) AS ppm, abs(p_retailprice - (p_retailprice - 0.01)) <= (p_retailprice - 0.01) * 10.0 / 1e6 AS near,
+  round((p_retailprice - 0.01) - (p_retailprice - 0.01) * 10.0 / 1e6, 6) AS low, round((p_retailprice - 0.01) + (p_retailprice - 0.01) * 10.0 / 1e6, 6) AS high FROM (SELECT p_partkey, CAST(p_retailprice AS DOUBLE) AS p_retailprice, p_partkey % 3 AS k FROM part)""")
+def precursor_error(spark, sf_dir):
+    observed, k = F.col("p_retailprice").cast("double"), F.col("p_partkey") % 3
+    theoretical, tolerance = observed - 0.01, chem.Tolerance.parse("10ppm")
+    low, high = tolerance.bounds(theoretical)
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(chem.precursor_error_ppm(observed, theoretical, k), 4).alias("ppm"), tolerance.matches(theoretical, observed).alias("near"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@query(f"""SELECT p_partkey, CAST(p / z + {chem.PROTON} AS FLOAT) AS mz, CAST((CAST(CAST(p / z + {chem.PROTON} AS FLOAT) AS DOUBLE) - {chem.PROTON}) * z AS FLOAT) AS mass,
+  CAST(round(CAST(CAST(p AS FLOAT) * CAST({chem.HIGH_RESOLUTION} AS FLOAT) AS FLOAT)) AS INTEGER) AS fine, CAST(CAST(z + 100 AS FLOAT) / CAST({chem.NOMINAL} AS FLOAT) AS FLOAT) AS centre
+FROM (SELECT p_partkey, CAST(p_retailprice AS DOUBLE) AS p, CAST(1 + p_partkey % 3 AS INTEGER) AS z FROM part)""")
+def ion_positions(spark, sf_dir):
+    p, z = F.col("p_retailprice").cast("double"), (1 + F.col("p_partkey") % 3).cast("int")
+    mz = chem.ion_mz(p, chem.PROTON, z)
+    return table(spark, sf_dir, "part").select("p_partkey", mz.alias("mz"), chem.ion_mass(mz, chem.PROTON, z).alias("mass"), chem.high_resolution_bin(p).alias("fine"), chem.nominal_to_mass(z + 100).alias("centre"))
+
+
+@query(f"""WITH c(name, d) AS (VALUES ('', 0.0::DOUBLE), ('-H2O', -{chem.WATER!r}), ('-NH3', -({chem.ATOMS['N']!r} + 3 * {chem.ATOMS['H']!r})), ('-CO', -({chem.ATOMS['C']!r} + {chem.ATOMS['O']!r})), ('+i', {chem.ISOTOPE!r}), ('+2i', 2 * {chem.ISOTOPE!r})),
+k AS (SELECT side = 'b' AS is_prefix, z, side || name || '_' || z AS name, (d + CASE WHEN side = 'y' THEN {chem.WATER!r} ELSE 0 END) / z + {chem.PROTON} AS shift FROM c, (SELECT unnest(['b', 'y']) AS side), (SELECT unnest([1, 2, 3]) AS z))
+SELECT c_custkey, is_prefix, name, round(CAST(c_acctbal AS DOUBLE) / z + shift, 6) AS mz FROM customer JOIN k ON z <= 1 + c_custkey % 3""")
+def ion_kinds(spark, sf_dir):
+    """Each kind of ion that a charge allows, at a sum of residues (here a balance)."""
+    kinds = F.array(*[F.struct(F.lit(k.prefix).alias("is_prefix"), F.lit(k.charge).alias("z"), F.lit(k.name).alias("name"), F.lit(k.offset).alias("shift")) for k in ma.ion_kinds(3)])
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("sum"), F.explode(F.filter(kinds, lambda k: k["z"] <= 1 + F.col("c_custkey") % 3)).alias("k"))
+    return rows.select("c_custkey", "k.is_prefix", "k.name", F.round(F.col("sum") / F.col("k.z") + F.col("k.shift"), 6).alias("mz"))
+
+
+@query(f"SELECT spec_index, mz, intensity, cents, l_linenumber, CAST(row_number() OVER (PARTITION BY spec_index ORDER BY intensity DESC, l_linenumber, cents, l_partkey, l_suppkey, l_shipdate) AS INTEGER) AS rank FROM ({PEAKS_SQL})")
+def simple_rank(spark, sf_dir):
+    rows = peaks(spark, sf_dir).withColumn("position", F.struct("l_linenumber", "cents", "l_partkey", "l_suppkey", "l_shipdate"))
+    return ma.simple_rank(rows, "position").select("spec_index", "mz", "intensity", "cents", "l_linenumber", "rank")
+
+
+@query("""SELECT o_orderkey AS spec_index, CAST(unnest(CASE WHEN o_orderkey % 3 > 0 THEN [o_orderkey % 3] ELSE [2, 3] END) AS INTEGER) AS charge FROM orders WHERE o_orderkey % 5 <> 0""")
+def charge_expand(spark, sf_dir):
+    """Spectra with a precursor; those without a charge once for each charge of the range."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("spec_index"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 3).cast("int").alias("charge"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice").cast("double")).alias("precursor_mz"))
+    return ma.with_charges(o).select("spec_index", "charge")
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS scan, max(o_orderkey) AS spec_index, round(CAST(arg_max(o_totalprice, o_orderkey) AS DOUBLE), 2) AS precursor_mz FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1""")
+def last_by_scan(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("scan"), F.col("o_orderkey").alias("spec_index"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice").cast("double")).alias("precursor_mz"))
+    return ma.last_by_scan(o).select("scan", "spec_index", F.round("precursor_mz", 2).alias("precursor_mz"))
+
+
+_METHODS = "['scan UVPD', 'x EThcD', 'etd 5', 'CID.HCD', 'cid ETD', 'none']"
+
+
+@query(f"""SELECT p_partkey, CASE WHEN contains(t, 'HCD') THEN 'HCD' WHEN contains(t, 'CID') THEN 'CID' WHEN contains(t, 'ETD') THEN 'ETD' WHEN contains(t, 'UVPD') THEN 'UVPD' ELSE 'N/A' END AS method
+FROM (SELECT p_partkey, upper({_METHODS}[1 + p_partkey % 6]) AS t FROM part)""")
+def fragmentation_method(spark, sf_dir):
+    title = F.element_at(F.expr("array" + _METHODS.replace("[", "(").replace("]", ")")), (1 + F.col("p_partkey") % 6).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", chem.fragmentation_method(title).alias("method"))
+
+
+@query(f"""SELECT spec_index, md5(string_agg(printf('%.5f %.5f', CAST(mz AS DOUBLE), CAST(intensity AS DOUBLE)), chr(10) ORDER BY mz, intensity)) AS peaks, round(sum(CAST(intensity AS DOUBLE)), 4) AS tic FROM ({PEAKS_SQL}) GROUP BY spec_index""")
+def canonical_peaks(spark, sf_dir):
+    rows = peaks(spark, sf_dir).groupBy("spec_index").agg(F.array_sort(F.collect_list(F.struct(F.col("mz").cast("double").alias("mz"), F.col("intensity").cast("double").alias("intensity")))).alias("p"))
+    return rows.select("spec_index", F.md5(chem.canonical_peaks(F.col("p"))).alias("peaks"), F.round(chem.tic(F.col("p")), 4).alias("tic"))
+
+
 _DISTRIBUTIONS_SQL = "SELECT l_orderkey AS k, CAST(l_orderkey % 5 AS INTEGER) - 2 AS min_score, list(l_discount ORDER BY l_discount, l_quantity) AS probs FROM lineitem GROUP BY l_orderkey"
 
 
@@ -352,6 +450,12 @@ def tail_probability(spark, sf_dir):
     return _distributions(spark, sf_dir).select("k", F.round(p, 9).alias("p"), dist.max_score(F.col("min_score"), F.col("probs")).alias("beyond"))
 
 
+@query(f"""SELECT k, min_score - 11 AS low, CASE WHEN p > 0 THEN round(0.001 / p, 9) END AS relative FROM (SELECT k, min_score, round(coalesce(list_sum(probs), 0.0), 6) AS p FROM ({_DISTRIBUTIONS_SQL}))""")
+def distribution_error(spark, sf_dir):
+    p = F.round(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x), 6)
+    return _distributions(spark, sf_dir).select("k", dist.shifted(F.col("min_score"), F.lit(chem.PENALTY)).alias("low"), F.round(dist.relative_error(F.lit(0.001), p), 9).alias("relative"))
+
+
 @query(f"""SELECT k % 7 AS g, min_score + i::INTEGER AS score, round(sum(p), 6) AS p FROM (SELECT k, min_score, unnest(range(0, len(probs))) AS i, unnest(probs) AS p FROM ({_DISTRIBUTIONS_SQL})) GROUP BY 1, 2""")
 def merge_distributions(spark, sf_dir):
     return dist.merged(_distributions(spark, sf_dir).withColumn("g", F.col("k") % 7), ["g"]).withColumn("p", F.round("p", 6))
