@@ -266,11 +266,11 @@ def token_files(documents: DataFrame, path: str = VOCABULARY, end: int = END, co
     """
     kind = "<u2" if max(_encoder(path).tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
-    plain = written(docs.transform(mapped, _tokenise(path, end, kind), "doc_id long, ids binary"), "ids")
+    plain = written(docs.transform(mapped, _tokenise(path, end, kind), "doc_id long, ids binary"), "ids", "zstd")
     counts = plain.select("ids").transform(mapped, _count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # bounded by the vocabulary
     order = np.array([r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))], np.uint32)
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = plain.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids").withColumn("part", F.spark_partition_id())
-    blocks = written(ranges.transform(mapped, _blocks(order.astype("<u4").tobytes(), kind), "part int, before long, n_tokens long, block binary"), "blocks")
+    blocks = written(ranges.transform(mapped, _blocks(order.astype("<u4").tobytes(), kind), "part int, before long, n_tokens long, block binary"), "blocks", "zstd")
     forget(plain)
     return TokenFiles(blocks, order)
