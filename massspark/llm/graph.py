@@ -24,13 +24,16 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     before = _mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # the minima are written, so that a hub's partition is one of a plain join, which can be split
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # after the large star every v is below its u
         large = written(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        forget(least)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         small = written(small, "small-star")
+        forget(least)
         forget(large)
         forget(edges)
         edges, after = small, _mark(small)
