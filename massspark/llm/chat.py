@@ -24,38 +24,47 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, _UNESCAPED, "<$1|")
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """conv_id, leaf, place, node, rank, total: the nodes of every root-to-leaf path, root first.
+def paths(nodes: DataFrame, branches: int | None = None) -> DataFrame:
+    """conv_id, leaf, place, node, rank, total: the nodes of the `branches` best root-to-leaf paths (None: all), root first.
 
     nodes: conv_id, node, parent (null: a root), score. Branches of a conversation are ranked by the sum of scores, then by
     leaf. A parent that isn't there makes its child a root; null scores count 0. Nodes must be unique in a conversation, and
-    parents must not form rings (a ring has no leaf and gives no path; a leaf below one is an error).
+    parents must not form rings (a ring or a leaf below one is an error).
 
-    Self-joins first find the ancestors 1, 2, 4, ... steps up, for as long as a node has one; then each leaf's path is
-    filled in, the longest steps first, every round at most doubling its nodes. So a conversation of n turns takes about
-    2 log n joins, and no more rows are made than the paths have.
+    Self-joins find the ancestor 1, 2, 4, ... steps up, with the score and the number of nodes before it, for as long as a
+    node has one; so every leaf's total and depth are known before any path is listed. Only the chosen leaves' paths are then
+    filled in, the longest steps first, every round at most doubling their nodes. A conversation of n turns takes about
+    2 log n joins of n rows at most and, beyond those, no more rows than the chosen paths have.
     """
     kind = nodes.schema["conv_id"].dataType
     key = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv_id")  # joins and windows see null ids as one
-    known = written(nodes.select(key, "node", F.col("parent").alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "nodes")
-    parents = known.select("conv_id", F.col("node").alias("up"))
-    steps, most = [written(known.where("up is not null").select("conv_id", "node", "up").join(parents, ["conv_id", "up"], "left_semi").select("conv_id", "node", "up"), "steps")], known.count()
-    while not steps[-1].isEmpty():
+    known = written(nodes.select(key, "node", F.col("parent").alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("depth")), "nodes")
+    parents = known.select("conv_id", F.col("node").alias("up"), F.lit(True).alias("there"))
+    first = known.join(parents, ["conv_id", "up"], "left").select("conv_id", "node", F.when(F.col("there"), F.col("up")).alias("up"), "total", "depth")
+    steps, done, most = [written(first, "steps")], [], known.count()
+    while not steps[-1].where("up is not null").isEmpty():
         if 1 << len(steps) > 2 * most + 2:
             raise ValueError("parents form a ring")
-        further = steps[-1].select("conv_id", F.col("node").alias("up"), F.col("up").alias("next"))
-        steps.append(written(steps[-1].join(further, ["conv_id", "up"]).select("conv_id", "node", F.col("next").alias("up")), "steps"))
-    inner = steps[0].select("conv_id", F.col("up").alias("node")).distinct()
-    found = known.join(inner, ["conv_id", "node"], "left_anti").select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("height"))
+        above = steps[-1]
+        for ended in done:
+            above = above.unionByName(ended)
+        above = above.select("conv_id", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("depth").alias("deeper"))
+        done.append(steps[-1].where("up is null"))
+        further = steps[-1].where("up is not null").join(above, ["conv_id", "up"])
+        steps.append(written(further.select("conv_id", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("depth") + F.col("deeper")).alias("depth")), "steps"))
+    ended = steps[-1]
+    for more in done:
+        ended = ended.unionByName(more)
+    inner = steps[0].where("up is not null").select("conv_id", F.col("up").alias("node")).distinct()
+    leaves = ended.join(inner, ["conv_id", "node"], "left_anti").withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("total"), "node")))
+    if branches is not None:
+        leaves = leaves.where(F.col("rank") <= branches)
+    found = leaves.select("conv_id", F.col("node").alias("leaf"), "node", (F.col("depth") - 1).alias("place"), "rank", "total")
     for k in range(len(steps) - 2, -1, -1):
-        more = found.join(steps[k], ["conv_id", "node"]).select("conv_id", "leaf", F.col("up").alias("node"), (F.col("height") + (1 << k)).alias("height"))
+        up = steps[k].where("up is not null").select("conv_id", "node", "up")
+        more = found.join(up, ["conv_id", "node"]).select("conv_id", "leaf", F.col("up").alias("node"), (F.col("place") - (1 << k)).alias("place"), "rank", "total")
         found = written(found.unionByName(more), "paths")
-    path = Window.partitionBy("conv_id", "leaf")
-    found = found.join(known.select("conv_id", "node", "score"), ["conv_id", "node"])
-    totals = found.groupBy("conv_id", "leaf").agg(F.sum("score").alias("total"))
-    ranks = totals.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("total"), "leaf")))
-    placed = found.join(ranks, ["conv_id", "leaf"])
-    return placed.select(F.when(F.col("conv_id") != "", F.col("conv_id")).cast(kind).alias("conv_id"), "leaf", (F.max("height").over(path) - F.col("height")).alias("place"), "node", "rank", "total")
+    return found.select(F.when(F.col("conv_id") != "", F.col("conv_id")).cast(kind).alias("conv_id"), "leaf", "place", "node", "rank", "total")
 
 
 def formatted(turns: DataFrame) -> DataFrame:
@@ -107,7 +116,7 @@ def format_best(nodes: DataFrame, branches: int = 1) -> DataFrame:
 
     nodes: conv_id, node, parent, score, role, text. With more than one branch, leaf tells the conversations apart.
     """
-    chosen = paths(nodes).where(F.col("rank") <= branches)
+    chosen = paths(nodes, branches)
     text = nodes.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "role", "text")
     turns = chosen.join(text, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n"))).select(F.struct("conv_id", "leaf").alias("conv_id"), "place", "role", "text")
     return formatted(turns).select("conv_id.conv_id", "conv_id.leaf", "formatted")

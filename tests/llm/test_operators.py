@@ -251,6 +251,15 @@ def test_branches(spark):
     for c in range(4):
         order = sorted((-t, leaf) for (d, leaf), (_, t) in want.items() if d == c)
         assert [leaf for _, leaf in order] == [k[1] for k, v in sorted(((k, v) for k, v in got.items() if k[0] == c), key=lambda x: x[1][0]["rank"])]
+    best = chat.paths(df, 2).collect()
+    assert {(r.conv_id, r.leaf, r.place, r.node, r["rank"], r.total) for r in best} == {(*k, r.place, r.node, r["rank"], r.total) for k, v in got.items() for r in v if r["rank"] <= 2}
     assert chat.format_best(df, branches=2).count() == sum(min(2, sum(k[0] == c for k in want)) for c in range(4))
     with pytest.raises(ValueError, match="ring"):
         chat.paths(spark.createDataFrame([(1, 1, 2, 0.0), (1, 2, 1, 0.0), (1, 3, 1, 0.0)], "conv_id long, node long, parent long, score double")).count()
+
+
+def test_comb_lists_only_chosen_paths(spark):
+    n = 3000  # a spine of even nodes, each with a leaf of its own: all paths together would have over two million nodes
+    comb = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("node"), F.when(F.col("id") > 0, F.when(F.col("id") % 2 == 1, F.col("id") - 1).otherwise(F.col("id") - 2)).alias("parent"), F.lit(1.0).alias("score"))
+    got = sorted((r.place, r.node) for r in chat.paths(comb, 1).collect())
+    assert got == list(enumerate([*range(0, n, 2), n - 1]))
