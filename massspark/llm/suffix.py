@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ LENGTH, GRAM = 100, 32
 HOT = 50_000
 #: Bytes that are suffix-sorted at once (whole anchors), and digests of segments that a task remembers.
 CHUNK_BYTES, SEEN = 4 << 20, 300_000
+#: Text bytes whose anchors are found in one NumPy pass, so that its arrays stay in the cache.
+PIECE_BYTES = 1 << 19
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LOW = np.uint64(0xFFFFFFFF)
@@ -66,13 +69,18 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return starts, (least[starts] & _LOW).astype(np.int64), h
 
 
+def _heads(x: np.ndarray) -> np.ndarray:
+    """Whether each element differs from the one before it."""
+    return np.r_[True, x[1:] != x[:-1]] if len(x) else np.zeros(0, bool)
+
+
 def _distinct(owner: np.ndarray) -> np.ndarray:
-    return owner[np.r_[True, owner[1:] != owner[:-1]]] if len(owner) else owner
+    return owner[_heads(owner)]
 
 
 def _gram_counts(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", PIECE_BYTES):
             _, owner, h = anchors(*byte_view(batch.column("text")), length, gram)
             found, n = np.unique(h[_distinct(owner)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["gram", "n"])
@@ -82,7 +90,7 @@ def _gram_counts(length: int, gram: int):
 
 def _gram_places(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", PIECE_BYTES):
             data, offsets = byte_view(batch.column("text"))
             _, owner, h = anchors(data, offsets, length, gram)
             at = _distinct(owner)
@@ -107,7 +115,7 @@ def _candidates(data, offsets, places, length, gram):
 def _segments(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # rows come by ascending id, so the first of equal segments is the earliest
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", PIECE_BYTES):
             data, offsets = byte_view(batch.column("text"))
             ids = batch.column("id").to_numpy()
             starts, owner, h, hot = _candidates(data, offsets, batch.column("places").to_pylist(), length, gram)
@@ -235,9 +243,14 @@ def first_strings(segments: list[bytes], ids: np.ndarray, starts: np.ndarray, le
 
 def _earliest(length: int):
     def found(rows):
-        grams, ids, starts, segments = rows
-        ids, starts = np.array(ids, np.int64), np.array(starts, np.int64)
-        segment, offset = first_strings(segments, ids, starts, length)
+        rows = pa.Table.from_batches(rows).combine_chunks()
+        ids, starts = (rows.column(c).to_numpy() for c in ("id", "start"))
+        equal = rows.column("segment").combine_chunks().dictionary_encode()
+        codes = equal.indices.to_numpy()
+        by = np.lexsort((starts, ids, codes))
+        by = by[_heads(codes[by])]  # of equal segments only the earliest has first strings
+        ids, starts = ids[by], starts[by]
+        segment, offset = first_strings(equal.dictionary.to_pylist(), ids, starts, length)
         place = starts[segment] + offset
         new = np.r_[True, (segment[1:] != segment[:-1]) | (place[1:] != place[:-1] + 1)] if len(place) else np.zeros(0, bool)
         first = np.flatnonzero(new)
@@ -245,16 +258,18 @@ def _earliest(length: int):
         return pa.RecordBatch.from_arrays([pa.array(ids[segment[first]]), pa.array(place[first]), pa.array(place[last] + 1)], ["id", "from", "to"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = ([], [], [], []), 0
+        rows, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "id", "start", "segment")), strict=True):
-                if size >= CHUNK_BYTES and row[0] != rows[0][-1]:
-                    yield found(rows)
-                    rows, size = ([], [], [], []), 0
-                for x, v in zip(rows, row, strict=True):
-                    x.append(v)
-                size += len(row[3])
-        if rows[0]:
+            heads = np.flatnonzero(_heads(batch.column("gram").to_numpy()))
+            if rows and len(heads) and rows[-1].column("gram")[-1] == batch.column("gram")[0]:
+                heads = heads[1:]
+            if size >= CHUNK_BYTES and len(heads):  # a chunk ends with an anchor
+                yield found([*rows, batch.slice(0, heads[0])])
+                rows, size, batch = [], 0, batch.slice(heads[0])
+            if len(batch):
+                rows.append(batch)
+                size += pc.sum(pc.binary_length(batch.column("segment"))).as_py()
+        if rows:
             yield found(rows)
 
     return run
@@ -267,7 +282,7 @@ def _removed(length: int, gram: int):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", PIECE_BYTES):
             data, offsets = byte_view(batch.column("text"))
             starts = _candidates(data, offsets, batch.column("places").to_pylist(), length, gram)[0]
             cover = np.zeros(len(data) + 1, np.int32)
@@ -309,7 +324,7 @@ def repeated_strings(documents: DataFrame, length: int = LENGTH, gram: int = GRA
     flags = written(flags, "flags")
     forget(counts)
     flagged = docs.join(flags.hint("merge"), "id", "left")
-    segments = flagged.where("places is not null").transform(mapped, _segments(length, gram), "gram long, id long, start long, segment binary")
+    segments = flagged.where("places is not null").sortWithinPartitions("id").transform(mapped, _segments(length, gram), "gram long, id long, start long, segment binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = segments.repartition(parts, "gram").sortWithinPartitions("gram").transform(mapped, _earliest(length), "id long, `from` long, `to` long")
     kept = kept.groupBy("id").agg(F.collect_list(F.struct("from", "to")).alias("kept"))
