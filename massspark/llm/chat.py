@@ -31,38 +31,42 @@ def paths(nodes: DataFrame, branches: int | None = None) -> DataFrame:
     leaf. A parent that isn't there makes its child a root; null scores count 0. Nodes must be unique in a conversation, and
     parents must not form rings (a ring or a leaf below one is an error).
 
-    Self-joins find the ancestor 1, 2, 4, ... steps up, with the score and the number of nodes before it, for as long as a
-    node has one; so every leaf's total and depth are known before any path is listed. Only the chosen leaves' paths are then
-    filled in, the longest steps first, every round at most doubling their nodes. A conversation of n turns takes about
-    2 log n joins of n rows at most and, beyond those, no more rows than the chosen paths have.
+    Self-joins find the ancestors 1, 2, 4, ... steps up with the scores below them, for as long as a node has one. Each leaf
+    then climbs to its root, the longest steps first, which gives its total and depth before any path is listed. Only the
+    chosen leaves' paths are filled in, every round at most doubling their nodes. A conversation of n turns takes about
+    3 log n joins of n rows at most and, beyond those, no more rows than the chosen paths have.
     """
     kind = nodes.schema["conv_id"].dataType
     key = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv_id")  # joins and windows see null ids as one
-    known = written(nodes.select(key, "node", F.col("parent").alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("depth")), "nodes")
-    parents = known.select("conv_id", F.col("node").alias("up"), F.lit(True).alias("there"))
-    first = known.join(parents, ["conv_id", "up"], "left").select("conv_id", "node", F.when(F.col("there"), F.col("up")).alias("up"), "total", "depth")
-    steps, done, most = [written(first, "steps")], [], known.count()
-    while not steps[-1].where("up is not null").isEmpty():
+    known = written(nodes.select(key, "node", F.col("parent").alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "nodes")
+    parents = known.select("conv_id", F.col("node").alias("up"))
+    steps, most = [written(known.where("up is not null").join(parents, ["conv_id", "up"], "left_semi").select("conv_id", "node", "up", "score"), "steps")], known.count()
+    while not steps[-1].isEmpty():
         if 1 << len(steps) > 2 * most + 2:
             raise ValueError("parents form a ring")
-        above = steps[-1]
-        for ended in done:
-            above = above.unionByName(ended)
-        above = above.select("conv_id", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("depth").alias("deeper"))
-        done.append(steps[-1].where("up is null"))
-        further = steps[-1].where("up is not null").join(above, ["conv_id", "up"])
-        steps.append(written(further.select("conv_id", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("depth") + F.col("deeper")).alias("depth")), "steps"))
-    ended = steps[-1]
-    for more in done:
-        ended = ended.unionByName(more)
-    inner = steps[0].where("up is not null").select("conv_id", F.col("up").alias("node")).distinct()
-    leaves = ended.join(inner, ["conv_id", "node"], "left_anti").withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("total"), "node")))
+        further = steps[-1].select("conv_id", F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"))
+        steps.append(written(steps[-1].join(further, ["conv_id", "up"]).select("conv_id", "node", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score")), "steps"))
+    steps.pop()
+    leaves = known.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("place"))
+    if steps:
+        inner = steps[0].select("conv_id", F.col("up").alias("node")).distinct()
+        leaves = leaves.join(inner, ["conv_id", "node"], "left_anti")
+    for k, step in reversed(list(enumerate(steps))):
+        climbed = leaves.join(step.withColumnRenamed("score", "more"), ["conv_id", "node"], "left")
+        leaves = climbed.select(
+            "conv_id",
+            "leaf",
+            F.coalesce("up", "node").alias("node"),
+            (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
+            (F.col("place") + F.when(F.col("up").isNotNull(), 1 << k).otherwise(0)).alias("place"),
+        )
+    leaves = leaves.join(known.select("conv_id", "node", "score"), ["conv_id", "node"]).withColumn("total", F.col("total") + F.col("score"))
+    leaves = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("total"), "leaf")))
     if branches is not None:
         leaves = leaves.where(F.col("rank") <= branches)
-    found = leaves.select("conv_id", F.col("node").alias("leaf"), "node", (F.col("depth") - 1).alias("place"), "rank", "total")
-    for k in range(len(steps) - 2, -1, -1):
-        up = steps[k].where("up is not null").select("conv_id", "node", "up")
-        more = found.join(up, ["conv_id", "node"]).select("conv_id", "leaf", F.col("up").alias("node"), (F.col("place") - (1 << k)).alias("place"), "rank", "total")
+    found = written(leaves.select("conv_id", "leaf", F.col("leaf").alias("node"), "place", "rank", "total"), "leaves")
+    for k, step in reversed(list(enumerate(steps))):
+        more = found.join(step, ["conv_id", "node"]).select("conv_id", "leaf", F.col("up").alias("node"), (F.col("place") - (1 << k)).alias("place"), "rank", "total")
         found = written(found.unionByName(more), "paths")
     return found.select(F.when(F.col("conv_id") != "", F.col("conv_id")).cast(kind).alias("conv_id"), "leaf", "place", "node", "rank", "total")
 
