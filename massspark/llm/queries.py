@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massspark.llm import chat, decontam, htmltext, langid, media, packing, secrets, suffix, tokens
+from massspark.llm import audit, chat, decontam, htmltext, langid, media, packing, quality, secrets, suffix, tokens, whitening
 from massspark.llm.common import table
 from massspark.llm.neardup import near_duplicates
 
@@ -56,6 +56,19 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.score(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
@@ -67,10 +80,14 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_media_columns": op9_media_columns,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_quality_classifier": op12_quality_classifier,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE_SQL = {
     "op5_length_buckets": packing.pack_sql(),
+    "op11_filter_audit": audit.audit_sql(),
     "op7_chat_format": f"""
 WITH rows_ AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '{_HOSTILE}'), (-1, 1, 'assistant', '{_HOSTILE}'))
