@@ -5,12 +5,13 @@ proteins: accession, sequence (upper case), and optionally description and is_de
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from massspark.functions.chem import RESIDUES, is_standard
+from massspark.functions.chem import RESIDUES, is_standard, letters
 
 
 @dataclass(frozen=True)
@@ -63,90 +64,84 @@ class Digest:
     cleave_initiator_met: bool = True
 
 
-def _flanks(protein: Column, start: Column, length: Column) -> list[Column]:
-    """pre, post, prot_n, prot_c of a span; `-` stands beyond a protein's ends."""
-    end = start + length
-    pre = F.when(start == 0, "-").otherwise(F.substring(protein, start.cast("int"), F.lit(1)))
-    post = F.when(end == F.length(protein), "-").otherwise(F.substring(protein, (end + 1).cast("int"), F.lit(1)))
-    return [pre.alias("pre"), post.alias("post"), (start == 0).alias("prot_n"), (end == F.length(protein)).alias("prot_c")]
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def digest(proteins: DataFrame, params: Digest = Digest()) -> DataFrame:
     """accession, start, len, n_termini, peptide, pre, post, prot_n, prot_c of every peptide of standard residues."""
-    if not params.enzyme.cleave_at:
-        return _spans(proteins, params, F.lit(True))
-    if params.min_termini < 2:
-        return _semi(proteins, params)
+    if not params.enzyme.cleave_at or params.min_termini < 2:
+        return _substrings(proteins, params)
     return _full(proteins, params)
 
 
-def _fragments(params: Digest) -> Column:
-    """The pieces between neighbouring cuts. A leading M that isn't cut off anyway is a piece of its own."""
-    e = params.enzyme
-    marked = F.regexp_replace("sequence", f"([{e.cleave_at}])", "$1|" if e.c_term else "|$1")
-    if params.cleave_initiator_met:
-        marked = F.regexp_replace(marked, r"^M(?!\|)", "M|")
-    return F.filter(F.split(marked, r"\|"), lambda x: x != "")
+def _cuts(residues: Column, params: Digest) -> Column:
+    """Cut positions inside and at the ends, ascending. The one behind a leading M counts as inside."""
+    n, shift = F.size(residues), 1 if params.enzyme.c_term else 0
+    inner = F.filter(F.transform(residues, lambda r, i: F.when(F.contains(F.lit(params.enzyme.cleave_at), r), i + shift).otherwise(-1)), lambda i: i >= 0)
+    met = F.when((F.get(residues, F.lit(0)) == "M") & (n > 1) & F.lit(params.cleave_initiator_met), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.concat(F.array(F.lit(0)), met, inner, F.array(n)))
 
 
 def _full(proteins: DataFrame, params: Digest) -> DataFrame:
-    """Runs of pieces: each piece with those after it that can still fit the length, so the work per protein is linear."""
+    """Runs of pieces between cuts: each piece with those after it that still fit the length.
+
+    All is done inside a protein's row, in work linear in its length: no shuffle, and accessions may repeat.
+    """
     most = params.max_len if params.max_missed is None else min(params.max_missed + 1, params.max_len)
-    by = Window.partitionBy("accession").orderBy("i")
-    pieces = proteins.select("accession", F.posexplode(_fragments(params)).alias("i", "piece"))
-    pieces = pieces.select(
-        "accession", "i",
-        F.coalesce(F.sum(F.length("piece")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"),
-        F.collect_list("piece").over(by.rowsBetween(0, most)).alias("run"),
-        F.substring(F.lag("piece").over(by), -1, 1).alias("before"),
-    )
-    spans = pieces.select("accession", "start", "run", "before", F.explode(F.sequence(F.lit(1), F.least(F.size("run"), F.lit(most)))).alias("k"))
-    spans = spans.withColumn("peptide", F.array_join(F.slice("run", F.lit(1), F.col("k")), ""))
-    after = F.substring(F.try_element_at("run", F.col("k") + 1), 1, 1)
-    good = F.length("peptide").between(params.min_len, params.max_len) & is_standard(F.col("peptide"))
-    return spans.where(good).select(
-        "accession", F.col("start").cast("int").alias("start"), F.length("peptide").alias("len"), F.lit(2).alias("n_termini"), "peptide",
-        F.coalesce("before", F.lit("-")).alias("pre"), F.coalesce(after, F.lit("-")).alias("post"), F.col("before").isNull().alias("prot_n"), after.isNull().alias("prot_c"),
-    )
-
-
-def _cuts(params: Digest) -> Column:
-    """Cut positions inside and at the ends, ascending."""
-    at = F.expr("sequence(1, length(sequence) - 1)")
-    letter = (lambda i: F.substring("sequence", i, F.lit(1))) if params.enzyme.c_term else (lambda i: F.substring("sequence", i + 1, F.lit(1)))
-    inner = F.filter(at, lambda i: F.instr(F.lit(params.enzyme.cleave_at), letter(i)) > 0)
-    inner = F.when(F.length("sequence") > 1, inner).otherwise(F.array().cast("array<int>"))
-    met = F.array(F.lit(1)) if params.cleave_initiator_met else F.array().cast("array<int>")
-    initiator = F.when(F.col("sequence").startswith("M") & (F.length("sequence") > 1), met).otherwise(F.array().cast("array<int>"))
-    return F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), initiator, inner, F.array(F.length("sequence")))))
-
-
-def _semi(proteins: DataFrame, params: Digest) -> DataFrame:
-    """Every span with enough ends at cuts. Cuts up to and with the end count as missed, one more than the limit stops."""
-    rows = proteins.where(F.length("sequence") > 0).select("accession", "sequence", _cuts(params).alias("cuts"))
-    at_cut = F.array_contains("cuts", F.col("start")).cast("int") + F.array_contains("cuts", F.col("start") + F.col("len")).cast("int")
-    spans = _starts(rows, params).withColumn("n_termini", at_cut).where(F.col("n_termini") >= params.min_termini)
-    if params.max_missed is not None:
-        inner = F.expr(f"size(filter(cuts, c -> c > start and c <= start + len and c < length(sequence))) <= {params.max_missed + 1}")
-        spans = spans.where(inner)
-    return _shaped(spans)
-
-
-def _spans(proteins: DataFrame, params: Digest, keep: Column) -> DataFrame:
-    rows = proteins.where(F.length("sequence") > 0).select("accession", "sequence")
-    return _shaped(_starts(rows, params).where(keep).withColumn("n_termini", F.lit(2)))
-
-
-def _starts(rows: DataFrame, params: Digest) -> DataFrame:
-    starts = rows.select("*", F.explode(F.expr("sequence(0, length(sequence) - 1)")).alias("start"))
-    lengths = F.expr(f"sequence({params.min_len}, least({params.max_len}, length(sequence) - start))")
-    return starts.where(F.length("sequence") - F.col("start") >= params.min_len).select("*", F.explode(lengths).alias("len"))
-
-
-def _shaped(spans: DataFrame) -> DataFrame:
-    peptide = F.expr("substring(sequence, start + 1, len)")
-    rows = spans.withColumn("peptide", peptide).where(is_standard(F.col("peptide")))
-    return rows.select("accession", "start", "len", "n_termini", "peptide", *_flanks(F.col("sequence"), F.col("start"), F.col("len")))
+
+    def spans(residues: Column, cuts: Column) -> Column:
+        n = F.size(residues)
+
+        def span(i: Column, k: Column) -> Column:
+            start, end = F.get(cuts, i), F.get(cuts, i + k)
+            return F.struct(
+                start.alias("start"), (end - start).alias("len"), F.array_join(F.slice(residues, start + 1, end - start), "").alias("peptide"),
+                F.coalesce(F.get(residues, start - 1), F.lit("-")).alias("pre"), F.coalesce(F.get(residues, end), F.lit("-")).alias("post"), (start == 0).alias("prot_n"), (end == n).alias("prot_c"),
+            )
+
+        def own(i: Column) -> Column:
+            ks = F.filter(F.sequence(F.lit(1), F.least(F.lit(most), F.size(cuts) - 1 - i)), lambda k: (F.get(cuts, i + k) - F.get(cuts, i)).between(params.min_len, params.max_len))
+            return F.transform(ks, lambda k: span(i, k))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), own))
+
+    found = _let(letters(F.col("sequence")), lambda r: _let(_cuts(r, params), lambda c: spans(r, c)))
+    rows = proteins.where(F.length("sequence") > 0).select("accession", F.explode(found).alias("x")).select("accession", "x.*")
+    return rows.where(is_standard(F.col("peptide"))).select("accession", "start", "len", F.lit(2).alias("n_termini"), "peptide", "pre", "post", "prot_n", "prot_c")
+
+
+def _substrings(proteins: DataFrame, params: Digest) -> DataFrame:
+    """Every span, or with an enzyme those with enough ends at cuts: each start with the residues that a span from it can reach.
+
+    Cuts up to and with the end count as missed, one more than the limit stops.
+    """
+    e = params.enzyme
+
+    def starts(residues: Column) -> Column:
+        n = F.size(residues)
+        at = F.when(n >= params.min_len, F.sequence(F.lit(0), n - params.min_len)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(i.alias("start"), F.coalesce(F.get(residues, i - 1), F.lit("-")).alias("pre"), F.array_join(F.slice(residues, i + 1, params.max_len + 1), "").alias("ahead"), (n - i).alias("left")))
+
+    rows = proteins.where(F.length("sequence") > 0).select("accession", F.explode(_let(letters(F.col("sequence")), starts)).alias("x")).select("accession", "x.*")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(params.min_len), F.least(F.lit(params.max_len), F.col("left")))).alias("len"))
+    rows = rows.withColumns({"peptide": F.expr("substring(ahead, 1, len)"), "prot_n": F.col("start") == 0, "prot_c": F.col("len") == F.col("left")})
+    rows = rows.withColumn("post", F.when(F.col("prot_c"), "-").otherwise(F.expr("substring(ahead, len + 1, 1)")))
+    if e.cleave_at:
+        cleaved = lambda x: F.contains(F.lit(e.cleave_at), x)
+        many = lambda x: F.length(x) - F.length(F.translate(x, e.cleave_at, ""))
+        first, last, met = F.substring("ahead", 1, 1), F.substring("peptide", -1, 1), F.lit(params.cleave_initiator_met)
+        left = F.col("prot_n") | cleaved(F.col("pre") if e.c_term else first) | (met & (F.col("start") == 1) & (F.col("pre") == "M"))
+        initiator = met & F.col("prot_n") & (first == "M") & (F.col("left") > 1)
+        right = F.col("prot_c") | cleaved(last if e.c_term else F.col("post")) | (initiator & (F.col("len") == 1))
+        inside = many(F.col("peptide")) - (F.col("prot_c") & cleaved(last)).cast("int") if e.c_term else many(F.expr("substring(ahead, 2, len)"))
+        inside = inside + (initiator & ~cleaved(F.lit("M") if e.c_term else F.substring("ahead", 2, 1))).cast("int")
+        rows = rows.withColumn("n_termini", left.cast("int") + right.cast("int")).where(F.col("n_termini") >= params.min_termini)
+        rows = rows if params.max_missed is None else rows.where(inside <= params.max_missed + 1)
+    else:
+        rows = rows.withColumn("n_termini", F.lit(2))
+    return rows.where(is_standard(F.col("peptide"))).select("accession", "start", "len", "n_termini", "peptide", "pre", "post", "prot_n", "prot_c")
 
 
 def with_decoys(proteins: DataFrame, prefix: str = "XXX_") -> DataFrame:

@@ -18,19 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _proteins(rows: DataFrame, letter: str, key: str) -> DataFrame:
+def _proteins(rows: DataFrame, accession: Column) -> DataFrame:
     sequence = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
-    return rows.select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("accession"), sequence.alias("sequence"), F.lit(False).alias("is_decoy"))
+    return rows.select(accession.alias("accession"), sequence.alias("sequence"), F.lit(False).alias("is_decoy"))
 
 
-def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
+def proteins(spark: SparkSession, sf_dir: str, accession: Column | None = None) -> DataFrame:
     """Whole document texts, letters only."""
-    return _proteins(table(spark, sf_dir, "documents"), "D", "doc_id")
+    return _proteins(table(spark, sf_dir, "documents"), F.concat(F.lit("D"), F.col("doc_id").cast("string")) if accession is None else accession)
 
 
 def short_proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole benchmark texts, for what looks at every substring."""
-    return _proteins(table(spark, sf_dir, "benchmark"), "B", "item_id")
+    return _proteins(table(spark, sf_dir, "benchmark"), F.concat(F.lit("B"), F.col("item_id").cast("string")))
 
 
 def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from massspark.functions import chem
 from massspark.operators import digest as dig
 from massspark.operators import matching as ma
+from massspark.operators import staging
 
 
 def one(spark, column, **values):
@@ -75,6 +76,33 @@ def test_full_digestion(spark, missed):
             assert r.prot_n == (r.start == 0) and r.prot_c == (r.start + r.len == len(s))
 
 
+def test_repeated_accessions_stay_apart(spark):
+    df = spark.createDataFrame([("A", "GGGGGGGKAAAAAAK", False), ("A", "CCCCCCCK", False), (None, "DDDDDDDK", False)], "accession string, sequence string, is_decoy boolean").repartition(1)
+    out = dig.digest(df, dig.Digest(max_missed=0))
+    assert {(r.accession, r.start, r.peptide, r.pre, r.post) for r in out.collect()} == {("A", 0, "GGGGGGGK", "-", "A"), ("A", 8, "AAAAAAK", "K", "-"), ("A", 0, "CCCCCCCK", "-", "-"), (None, 0, "DDDDDDDK", "-", "-")}
+    plan = spark._jvm.PythonSQLUtils.explainString(dig.digest(df, dig.Digest())._jdf.queryExecution(), "simple")
+    assert plan.count("Exchange") == 1 and "Window" not in plan  # the test's own repartition
+
+
+@pytest.mark.parametrize("spec", ["K", "KM", "D"])
+def test_semi_and_missed_against_brute_force(spark, spec):
+    rng = random.Random(len(spec))
+    c_term = spec != "D"
+    enzyme = dig.Enzyme("x", spec, c_term)
+    for seq in ["M", "MK", "KM", *("".join(rng.choice("MMKDAG") for _ in range(rng.randrange(1, 25))) for _ in range(6))]:
+        n = len(seq)
+        cuts = {0, n} | {i + c_term for i, c in enumerate(seq) if c in spec and 0 < i + c_term < n} | ({1} if seq[0] == "M" and n > 1 else set())
+        for missed in (None, 0, 1):
+            got = {(r.start, r.len, r.n_termini, r.peptide, r.pre, r.post) for r in dig.digest(proteins(spark, seq), dig.Digest(enzyme, missed, 1, 8, 1)).collect()}
+            want = set()
+            for s in range(n):
+                for e in range(s + 1, min(n, s + 8) + 1):
+                    ends, inner = (s in cuts) + (e in cuts), sum(s < c <= e and c < n for c in cuts)
+                    if ends and (missed is None or inner <= missed + 1):
+                        want.add((s, e - s, ends, seq[s:e], seq[s - 1] if s else "-", seq[e] if e < n else "-"))
+            assert got == want, (seq, missed)
+
+
 def test_unspecific_and_semi(spark):
     seq = "MAKCDERGHI"
     spans = {(s, e) for s in range(10) for e in range(s + 3, min(s + 6, 10) + 1)}
@@ -128,7 +156,7 @@ def test_range_join(spark):
 def test_floor_join(spark):
     table = spark.createDataFrame([(1, 10, "a"), (1, 20, "b"), (2, 5, "c")], "k long, at long, v string")
     rows = spark.createDataFrame([(1, 1, 9), (2, 1, 10), (3, 1, 25), (4, 2, 7), (5, 3, 7)], "id long, k long, at long")
-    got = ma.floor_join(rows, table, ["k"], "at", ["v"]).collect()
+    got = staging.floor_join(rows, table, ["k"], "at", ["v"]).collect()
     assert {r.id: r.v for r in got} == {1: None, 2: "a", 3: "b", 4: "c", 5: None}
 
 
