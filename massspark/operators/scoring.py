@@ -6,12 +6,16 @@ how spectra are grouped.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 import numpy as np
 
 from massspark.functions.chem import CREDIT, MASSES, NOMINAL, PENALTY, RESIDUES, WATER
 from massspark.sources.model import Model
 
 F32 = np.float32
+#: The rest of a node that leads to no sink.
+NEVER = -(1 << 40)
 # Single-precision charge carrier and spacings of first and second isotopes.
 CARRIER, STEP, SECOND = F32(1.00727649), F32(13.00335483 - 12.0), F32(14.003241 - 13.00335483)
 
@@ -199,62 +203,136 @@ class Alphabet:
         self.probability = np.array([(frequency or {}).get(r, 0.05) for r in self.residues])
 
 
-def score_distribution(spectrum: Spectrum, whole: int, sinks: list[int], alphabet: Alphabet, threshold: int | None = None, cleave_at: str = "KR", flank: float | None = None):
-    """(least score, probabilities, best score) over all residue strings that end in a sink; None if none does.
+@dataclass(frozen=True)
+class Graph:
+    """Residue strings as ways over nominal masses: node 0 is the start, node m + noms[a] follows node m by residue a.
 
-    Nodes are nominal suffix masses. Probabilities of a node are those of the nodes a residue below it, shifted by the
-    node's and the step's score; steps into a sink score nothing. Given a threshold, scores that cannot reach it any more
-    are dropped: what is kept at or above it is the same to the last bit. flank: the chance that the residue before the
-    peptide is a cleavage site, credited or not.
+    gain[a, m]: the score of the step by residue a into node m, nothing into a sink. rest[m]: the most that can still be had from node
+    m to a sink, NEVER where none is reached; it goes on behind the last node.
     """
+
+    noms: np.ndarray
+    probability: np.ndarray
+    gain: np.ndarray
+    sinks: list[int]
+    rest: np.ndarray
+
+    @property
+    def top(self) -> int:
+        return max(self.sinks)
+
+    @property
+    def block(self) -> int:
+        """Nodes closer than the lightest residue do not lead to each other, so they are worked on together."""
+        return int(self.noms.min())
+
+    @classmethod
+    def of(cls, noms, probability, gain: np.ndarray, sinks: list[int]) -> Graph:
+        noms, gain, sinks = np.asarray(noms, np.int64), gain.copy(), sorted(set(sinks))
+        top, block = max(sinks), int(noms.min())
+        gain[:, sinks] = 0
+        rest = np.full(top + 1 + int(noms.max()), NEVER)
+        rest[sinks] = 0
+        each = np.arange(len(noms))
+        for high in range(top, 0, -block):
+            m = np.arange(max(0, high - block), high)
+            to = m[:, None] + noms
+            rest[m] = np.maximum(rest[m], (gain[each, np.minimum(to, top)] + rest[to]).max(axis=1))
+        return cls(noms, np.asarray(probability, float), gain, sinks, rest)
+
+    def reached(self, at=slice(None)) -> np.ndarray:
+        return self.rest[at] > NEVER // 2
+
+
+@dataclass(frozen=True)
+class Distribution:
+    """The chances of the scores from low on, and the best score of all. What a tail at valid_from or above lacks is at most error."""
+
+    low: int
+    chances: np.ndarray
+    best: int
+    valid_from: int = -(1 << 31)
+    error: float = 0.0
+
+
+def merge(found: list[Distribution]) -> Distribution | None:
+    """Distributions added score by score: valid from where all of them are, errors added, the best of the best."""
+    if not found:
+        return None
+    low, high = min(d.low for d in found), max(d.low + len(d.chances) for d in found)
+    chances = np.zeros(high - low)
+    for d in found:
+        chances[d.low - low : d.low - low + len(d.chances)] += d.chances
+    return Distribution(low, chances, max(d.best for d in found), max(d.valid_from for d in found), sum(d.error for d in found))
+
+
+def flanked(d: Distribution, flank: float) -> Distribution:
+    """With the residue before the peptide: its credit with the chance flank, else its penalty."""
+    wide = np.zeros(len(d.chances) + CREDIT - PENALTY)
+    wide[CREDIT - PENALTY :] += d.chances * flank
+    wide[: len(d.chances)] += d.chances * (1.0 - flank)
+    return replace(d, low=d.low + PENALTY, chances=wide, best=d.best + CREDIT)
+
+
+def build_graph(spectrum: Spectrum, whole: int, sinks: list[int], alphabet: Alphabet, cleave_at: str = "KR") -> Graph | None:
+    """Nodes are nominal suffix masses, sinks those above 0; None if there is none."""
     sinks = sorted({s for s in sinks if s > 0})
     if not sinks:
         return None
-    top, is_sink = max(sinks), set(sinks)
+    top = max(sinks)
     node = np.zeros(top + 1, np.int64)
     inner = np.arange(1, top + 1)
     inner = inner[inner <= whole]
     node[inner] = half_up(spectrum.prefix[whole - inner] + spectrum.suffix[inner])
-    node[sinks] = 0
-    steps = []
-    for nom, acc, r in zip(alphabet.nominal, alphabet.accurate, alphabet.residues, strict=True):
+    gain = np.zeros((len(alphabet.nominal), top + 1), np.int64)
+    for a, (nom, acc, r) in enumerate(zip(alphabet.nominal, alphabet.accurate, alphabet.residues, strict=True)):
         now = np.arange(nom, top + 1)
         scores = spectrum.edge_scores(spectrum.node_mass[now], spectrum.node_mass[now - nom], np.full(len(now), acc))
         if len(scores):
             scores[0] += (CREDIT if r in cleave_at else PENALTY) if cleave_at else 0
-        steps.append(scores)
-    credit = CREDIT if flank is not None else 0
-    never = -(1 << 40)
-    noms = np.asarray(alphabet.nominal)
-    gain = np.zeros((len(steps), top + 1), np.int64)  # of a step into a node
-    for a, (nom, scores) in enumerate(zip(noms, steps, strict=True)):
         gain[a, nom:] = node[nom:] + scores
-    gain[:, sinks] = 0
-    # nodes closer than the lightest residue do not lead to each other, so they are worked on together
-    block = int(noms.min())
-    rest = np.full(top + 1 + int(noms.max()), never)
-    rest[sinks] = 0
-    each = np.arange(len(steps))
-    for high in range(top, 0, -block):
-        m = np.arange(max(0, high - block), high)
-        to = m[:, None] + noms
-        rest[m] = np.maximum(rest[m], (gain[each, np.minimum(to, top)] + rest[to]).max(axis=1))
-    if rest[0] < -(1 << 39):
-        return None
-    cut = None if threshold is None else min(threshold - credit, int(rest[0]))
-    low, high = np.zeros(top + 1, np.int64), np.zeros(top + 1, np.int64)  # scores of a node, the end left out
+    return Graph.of(alphabet.nominal, alphabet.probability, gain, sinks)
+
+
+def score_distribution(spectrum: Spectrum, whole: int, sinks: list[int], alphabet: Alphabet, threshold: int | None = None, cleave_at: str = "KR", flank: float | None = None):
+    """(least score, probabilities, best score) over all residue strings that end in a sink; None if none does. See distribution()."""
+    graph = build_graph(spectrum, whole, sinks, alphabet, cleave_at)
+    d = distribution(graph, threshold, flank) if graph is not None else None
+    return None if d is None else (d.low, d.chances, d.best)
+
+
+def score_windows(graph: Graph, cut: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Each node's scores [low, high), without those that cannot end at the cut or above; equal where there are none."""
+    top, block, noms, gain, rest = graph.top, graph.block, graph.noms, graph.gain, graph.rest
+    low, high = np.zeros(top + 1, np.int64), np.zeros(top + 1, np.int64)
     high[0] = 1
     for first in range(1, top + 1, block):
         m = np.arange(first, min(first + block, top + 1))
         source = m[:, None] - noms
         there = (source >= 0) & (high[source] > low[source])
         step = gain[:, m].T
-        least = np.where(there, low[source] + step, -never).min(axis=1)
-        most = np.where(there, high[source] + step, never).max(axis=1)
+        least = np.where(there, low[source] + step, -NEVER).min(axis=1)
+        most = np.where(there, high[source] + step, NEVER).max(axis=1)
         if cut is not None:
             least = np.maximum(least, cut - rest[m])
-        some = there.any(axis=1) & (rest[m] > -(1 << 39)) & (most > least)
+        some = there.any(axis=1) & graph.reached(m) & (most > least)
         low[m], high[m] = np.where(some, least, 0), np.where(some, most, 0)
+    return low, high
+
+
+def distribution(graph: Graph, threshold: int | None = None, flank: float | None = None) -> Distribution | None:
+    """The distribution over all residue strings that end in a sink; None if none does.
+
+    Probabilities of a node are those of the nodes a residue below it, shifted by the step's score. Given a threshold, scores
+    that cannot reach it any more are dropped: what is kept at or above it is the same to the last bit. flank: the chance that
+    the residue before the peptide is a cleavage site, credited or not.
+    """
+    top, block, noms, gain = graph.top, graph.block, graph.noms, graph.gain
+    if not graph.reached(0):
+        return None
+    best = int(graph.rest[0])
+    cut = None if threshold is None else min(threshold - (CREDIT if flank is not None else 0), best)
+    low, high = score_windows(graph, cut)
     width = int((high - low).max())
     table = np.zeros((top + 1, 3 * width))  # zeros on either side, for scores that a node does not have
     table[0, width] = 1.0
@@ -266,7 +344,7 @@ def score_distribution(spectrum: Spectrum, whole: int, sinks: list[int], alphabe
             continue
         reach = int((high[m] - low[m]).max())
         total = np.zeros((len(m), reach))
-        for a, (nom, p) in enumerate(zip(noms, alphabet.probability, strict=True)):
+        for a, (nom, p) in enumerate(zip(noms, graph.probability, strict=True)):
             source = m - nom
             rows = np.flatnonzero((source >= 0) & (high[np.maximum(source, 0)] > low[np.maximum(source, 0)]))
             if not len(rows):
@@ -281,20 +359,12 @@ def score_distribution(spectrum: Spectrum, whole: int, sinks: list[int], alphabe
                 total[rows] += part
         total[lanes[:reach] >= (high[m] - low[m])[:, None]] = 0
         table[m, width : width + reach] = total
-    found = [(int(low[m]), table[m, width : width + int(high[m] - low[m])]) if high[m] > low[m] else None for m in range(top + 1)]
-    ends = [found[s] for s in sinks if found[s] is not None]
-    if not ends:
+    ends = [Distribution(int(low[m]), table[m, width : width + int(high[m] - low[m])], best) for m in graph.sinks if high[m] > low[m]]
+    merged = merge(ends)
+    if merged is None:
         return None
-    low, high = min(e[0] for e in ends), max(e[0] + len(e[1]) for e in ends)
-    merged = np.zeros(high - low)
-    for start, values in ends:
-        merged[start - low : start - low + len(values)] += values
-    if flank is not None:
-        wide = np.zeros(len(merged) + CREDIT - PENALTY)
-        wide[CREDIT - PENALTY :] += merged * flank
-        wide[: len(merged)] += merged * (1.0 - flank)
-        low, merged = low + PENALTY, wide
-    return low, merged, int(rest[0]) + credit
+    merged = replace(merged, best=best, valid_from=merged.valid_from if threshold is None else threshold)
+    return merged if flank is None else flanked(merged, flank)
 
 
 def tail(low: int, probabilities: np.ndarray, score: int) -> float:
