@@ -101,24 +101,36 @@ def _own_sites(i: int, m: Mod) -> Column:
     return F.transform(F.filter(F.sequence(F.lit(0), end), fits), lambda p: F.struct(p.alias("pos"), F.lit(i).alias("mod"), F.lit(m.mass).alias("mass")))
 
 
+def _form_count(most: int) -> Column:
+    """How many forms the sites allow: sets of up to `most` of them with one to a residue, counted residue by residue."""
+    many = F.transform(F.array_distinct(F.transform("_sites", lambda s: s["pos"])), lambda p: F.size(F.filter("_sites", lambda s: s["pos"] == p)).cast("double"))
+    start = F.array(*[F.lit(float(k == 0)) for k in range(most + 1)])
+    sums = F.aggregate(many, start, lambda e, c: F.transform(e, lambda x, k: x + F.when(k > 0, c * F.get(e, k - 1)).otherwise(0.0)))
+    return F.aggregate(sums, F.lit(0.0), lambda a, x: a + x).cast("long")
+
+
 def placements(peptides: DataFrame, mods: Mods) -> DataFrame:
-    """peptides with placement (array of pos, mod) and delta: a row for each form, the plain one included.
+    """peptides with placement (array of pos, mod), delta and skipped: a row for each form, the plain one included.
 
-    Sets of up to `most` sites with one modification to a residue, grown a site at a time; a peptide has MAX_FORMS forms
-    at most, in depth-first order of its sites. Rows need an id of their own only as far as a caller wants to join them.
+    Sets of up to `most` sites with one modification to a residue, grown a site at a time. A peptide has MAX_FORMS forms at most,
+    in depth-first order of its sites; skipped is how many more there are. A form that has MAX_FORMS forms of as many sites before
+    it is not among the first ones, so no more than that many (and what one form grows to) are made of each number of sites.
     """
+    most = min(mods.most, MAX_PLACED)
     empty = F.array().cast("array<struct<i:int,pos:int,mod:int,mass:double>>")
-    rows = peptides.withColumn("_sites", _sites(mods)).withColumn("_level", F.array(empty)).withColumn("_forms", F.array(empty))
-    for _ in range(min(mods.most, MAX_PLACED)):
-        grown = F.flatten(F.transform("_level", lambda form: F.transform(
-            F.filter(F.transform(F.col("_sites"), lambda s, i: F.struct(i.alias("i"), s["pos"].alias("pos"), s["mod"].alias("mod"), s["mass"].alias("mass"))),
-                     lambda s: (F.coalesce(F.try_element_at(form, F.lit(-1))["i"], F.lit(-1)) < s["i"]) & ~F.exists(form, lambda x: x["pos"] == s["pos"])),
-            lambda s: F.concat(form, F.array(s)))))
-        rows = rows.withColumn("_level", grown).withColumn("_forms", F.concat("_forms", "_level"))
+    sites = F.transform(_sites(mods), lambda s, i: F.struct(i.alias("i"), s["pos"].alias("pos"), s["mod"].alias("mod"), s["mass"].alias("mass")))
+    rows = peptides.withColumn("_sites", sites).withColumns({"_level": F.array(empty), "_forms": F.array(empty), "_count": _form_count(most)})
+    last = lambda form: F.coalesce(F.try_element_at(form, F.lit(-1))["i"], F.lit(-1))
+    grows = lambda form: F.filter("_sites", lambda s: (last(form) < s["i"]) & ~F.exists(form, lambda x: x["pos"] == s["pos"]))
+    for _ in range(most):
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"))
+        enough = F.aggregate("_level", start, lambda a, form: F.when(a["n"] < MAX_FORMS, F.struct((a["n"] + F.size(grows(form))).alias("n"), (a["k"] + 1).alias("k"))).otherwise(a))["k"]
+        grown = F.flatten(F.transform(F.slice("_level", F.lit(1), enough), lambda form: F.transform(grows(form), lambda s: F.concat(form, F.array(s)))))
+        rows = rows.withColumn("_level", F.slice(grown, 1, MAX_FORMS)).withColumn("_forms", F.concat("_forms", "_level"))
     order = F.array_sort(F.transform("_forms", lambda form: F.struct(F.transform(form, lambda s: s["i"]).alias("by"), form.alias("form"))))
-    forms = rows.withColumn("_form", F.explode(F.slice(order, 1, MAX_FORMS))).withColumn("_form", F.col("_form.form"))
+    forms = rows.withColumn("skipped", F.greatest(F.col("_count") - MAX_FORMS, F.lit(0))).withColumn("_form", F.explode(F.slice(order, 1, MAX_FORMS))).withColumn("_form", F.col("_form.form"))
     delta = F.aggregate("_form", F.lit(0.0), lambda a, s: a + s["mass"])
-    return forms.withColumns({"placement": F.transform("_form", lambda s: F.struct(s["pos"].alias("pos"), s["mod"].alias("mod"))), "delta": delta}).drop("_sites", "_level", "_forms", "_form")
+    return forms.withColumns({"placement": F.transform("_form", lambda s: F.struct(s["pos"].alias("pos"), s["mod"].alias("mod"))), "delta": delta}).drop("_sites", "_level", "_forms", "_form", "_count")
 
 
 def candidates(peptides: DataFrame, mods: Mods = Mods()) -> DataFrame:
@@ -167,19 +179,6 @@ def last_by_scan(spectra: DataFrame) -> DataFrame:
     return best.select("scan", "s.*")
 
 
-def floor_join(rows: DataFrame, table: DataFrame, by: list[str], on: str, values: list[str]) -> DataFrame:
-    """Rows with the values of the table's greatest `on` that isn't above their own, among equal `by`: an as-of join.
-
-    Both are merged into one sorted window per `by`; no pair of a row and a smaller key is listed.
-    """
-    keys = table.select(*by, F.col(on).alias("_at"), F.lit(0).alias("_row"), F.struct(on, *values).alias("_found"))
-    own = rows.select(*by, F.col(on).alias("_at"), F.lit(1).alias("_row"), F.struct(*rows.columns).alias("_own"))
-    both = keys.unionByName(own, allowMissingColumns=True)
-    order = Window.partitionBy(*by).orderBy("_at", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = both.withColumn("_found", F.last("_found", ignorenulls=True).over(order)).where("_row = 1")
-    return merged.select("_own.*", F.col(f"_found.{on}").alias(f"floor_{on}"), *[F.col(f"_found.{v}").alias(v) for v in values])
-
-
 def top_hits(hits: DataFrame, n: int, by: list[str], order: list[Column]) -> DataFrame:
     return hits.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
 

@@ -12,12 +12,35 @@ from pyspark.sql import functions as F
 from massspark.functions.chem import ISOTOPE, MASSES, PROTON, Tolerance, is_decoy_match, peptide_key, peptide_string, residues, rescore_cleavage, search_cleavage
 from massspark.operators.digest import TRYPSIN, Digest, composition, digest
 from massspark.operators.fdr import assign_q_values
-from massspark.operators.matching import Mods, candidate_windows, candidates, last_by_scan, with_charges
-from massspark.operators.scoring import Alphabet, Spectrum, nominal, precursor_mass, score_distribution, tail
+from massspark.operators.mass_index import MassIndex
+from massspark.operators.matching import Mods, candidate_windows, candidates, isotope_windows, last_by_scan, with_charges
+from massspark.operators.scoring import Alphabet, Spectrum, build_graph, distribution, nominal, precursor_mass, tail
 from massspark.operators.staging import written
+from massspark.operators.tails import certified, saddlepoint
 from massspark.sources.model import Model
 
 
+@dataclass(frozen=True)
+class Tails:
+    """What is made of score distributions besides the exact tail.
+
+    estimate: the columns spec_estimate and spec_bound, a saddlepoint estimate and a bound, beside it. cap or share: pruning with
+    loss, as certified() does it; the tail then may be too small by the column spec_error at most.
+    """
+
+    estimate: bool = False
+    cap: int | None = None
+    share: float | None = None
+
+    @property
+    def lossy(self) -> bool:
+        return self.cap is not None or self.share is not None
+
+    @property
+    def columns(self) -> list[str]:
+        return ["spec_estimate", "spec_bound"] * self.estimate + ["spec_error"] * self.lossy
+
+
 @dataclass(frozen=True)
 class Search:
     tolerance: Tolerance = Tolerance(10.0)
@@ -27,6 +50,7 @@ class Search:
     digest: Digest = Digest(max_missed=2)
     mods: Mods = Mods()
     decoy_prefix: str = "XXX_"
+    tails: Tails = Tails()
 
 
 def _sites(mods: Mods):
@@ -54,11 +78,11 @@ def _sums(peptide: str, delta) -> tuple[np.ndarray, np.ndarray]:
 _SCORED = "spec_index long, charge int, raw_score int, denovo_score int, spec_evalue double"
 
 
-def _kernel(model: Model, alphabet: Alphabet, isotopes: tuple[int, int], keep: int, flank: float | None, cleave_at: str, carried: list[str]):
+def _kernel(model: Model, alphabet: Alphabet, isotopes: tuple[int, int], keep: int, flank: float | None, cleave_at: str, carried: list[str], tails: Tails):
     """For one (spectrum, charge): the best candidates, with what is carried along of them and the chance of their scores."""
 
     def run(key, spectrum: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c: [] for c in ("spec_index", "charge", "raw_score", "denovo_score", "spec_evalue", *carried)})
+        empty = pd.DataFrame({c: [] for c in ("spec_index", "charge", "raw_score", "denovo_score", "spec_evalue", *tails.columns, *carried)})
         if not len(spectrum) or not len(found):
             return empty
         s = spectrum.iloc[0]
@@ -76,12 +100,18 @@ def _kernel(model: Model, alphabet: Alphabet, isotopes: tuple[int, int], keep: i
             forms = rows.sort_values(["raw", "form"], ascending=[False, True])["form"].drop_duplicates().head(keep)
             rows = rows[rows["form"].isin(forms)]
         sinks = [whole - k for k in range(isotopes[0], isotopes[1] + 1)]
-        made = score_distribution(scored, whole, sinks, alphabet, int(rows["raw"].min()), cleave_at, flank)
+        graph = build_graph(scored, whole, sinks, alphabet, cleave_at)
+        worst = int(rows["raw"].min())
+        made = None if graph is None else certified(graph, worst, flank, tails.cap, tails.share) if tails.lossy else distribution(graph, worst, flank)
         if made is None:
             return empty
-        low, chances, best = made
-        chance = {r: tail(low, chances, int(r)) for r in rows["raw"].unique()}
-        out = {"spec_index": s["spec_index"], "charge": charge, "raw_score": rows["raw"], "denovo_score": best, "spec_evalue": rows["raw"].map(chance)}
+        chance = {r: tail(made.low, made.chances, int(r)) for r in rows["raw"].unique()}
+        out = {"spec_index": s["spec_index"], "charge": charge, "raw_score": rows["raw"], "denovo_score": made.best, "spec_evalue": rows["raw"].map(chance)}
+        if tails.estimate:
+            saddles = {r: saddlepoint(graph, int(r), flank) for r in rows["raw"].unique()}
+            out |= {"spec_estimate": rows["raw"].map(lambda r: saddles[r].estimate), "spec_bound": rows["raw"].map(lambda r: saddles[r].bound)}
+        if tails.lossy:
+            out["spec_error"] = made.error
         return pd.DataFrame(out | {c: rows[c] for c in carried})
 
     return run
@@ -99,12 +129,8 @@ def _cogrouped(spectra: DataFrame, found: DataFrame, kernel, schema: str) -> Dat
     return left.cogroup(found.repartition(parts, "s", "z").groupBy("s", "z")).applyInPandas(kernel, schema)
 
 
-def search(spectra: DataFrame, proteins: DataFrame, model: Model, how: Search = Search()) -> DataFrame:
-    """The best peptides of each spectrum with scores, E-values and q-values.
-
-    proteins holds targets and decoys. Candidates meet spectra in a join by mass bins; those of one spectrum and charge are
-    scored together, so its tables and distribution are made once. Equal peptides of several proteins are one match.
-    """
+def search_candidates(proteins: DataFrame, how: Search = Search()) -> DataFrame:
+    """form, letters, delta, cleavage, mass, accession, start, pre, post of every form of every peptide: what an index is built of."""
     enzyme = how.digest.enzyme
     flat = candidates(digest(proteins, how.digest), how.mods)
     flat = flat.withColumn("cleavage", search_cleavage(F.col("pre"), F.col("peptide"), F.col("prot_n"), (F.col("start") == 1) & (F.col("pre") == "M"), enzyme.cleave_at or "KR") if enzyme.cleave_at and enzyme.c_term else F.lit(0))
@@ -112,37 +138,50 @@ def search(spectra: DataFrame, proteins: DataFrame, model: Model, how: Search =
         flat = flat.withColumn("sites", _sites(how.mods)).withColumns({"form": peptide_string(F.col("sites")), "delta": F.transform("sites", lambda x: x["delta"])})
     else:
         flat = flat.withColumns({"form": F.col("peptide"), "delta": F.lit(None).cast("array<double>")})
+    return flat.select("form", F.col("peptide").alias("letters"), "delta", "cleavage", "mass", "accession", "start", "pre", "post")
+
+
+def search(spectra: DataFrame, proteins: DataFrame, model: Model, how: Search = Search(), index: MassIndex | None = None) -> DataFrame:
+    """The best peptides of each spectrum with scores, E-values and q-values.
+
+    proteins holds targets and decoys. Candidates meet spectra in a join by mass bins or, where an index of search_candidates()
+    is given, by a sweep over it, which saves digesting for every search. Those of one spectrum and charge are scored together, so
+    its tables and distribution are made once. Equal peptides of several proteins are one match.
+    """
+    enzyme = how.digest.enzyme
     carried = ["form", "isotope", "mass", "accession", "start", "pre", "post"]
-    # written: they are counted as well as joined, and digestion is the dearer part
-    flat = written(flat.select("form", F.col("peptide").alias("letters"), "delta", "cleavage", "mass", "accession", "start", "pre", "post"), "candidates")
     charged = with_charges(spectra, *how.charges)
-    pairs = candidate_windows(charged.select("spec_index", "charge", "precursor_mz"), flat, how.tolerance, how.isotopes)
+    asked = charged.select("spec_index", "charge", "precursor_mz")
+    if index is None:  # written: they are counted as well as joined, and digestion is the dearer part
+        flat = written(search_candidates(proteins, how), "candidates")
+        pairs, size = candidate_windows(asked, flat, how.tolerance, how.isotopes), flat.count()
+    else:
+        pairs, size = index.matches(isotope_windows(asked, how.tolerance, how.isotopes), "low", "high"), index.count()
     shares = {r["residue"]: r["frequency"] for r in composition(proteins).collect()}  # twenty rows
     alphabet = Alphabet(how.mods.fixed(), [(m.residues, m.mass) for _, m in how.mods.variable() if m.position == "any"], shares)
     cleave = enzyme.cleave_at if enzyme.c_term else ""
     flank = sum(shares[r] for r in cleave) if cleave else None
-    kernel = _kernel(model, alphabet, how.isotopes, how.matches, flank, cleave, carried)
+    kernel = _kernel(model, alphabet, how.isotopes, how.matches, flank, cleave, carried, how.tails)
     grouped = pairs.select(F.col("spec_index").alias("s"), F.col("charge").alias("z"), "letters", "delta", "cleavage", *carried)
-    schema = _SCORED + ", form string, isotope int, mass double, accession string, start int, pre string, post string"
+    schema = _SCORED + "".join(f", {c} double" for c in how.tails.columns) + ", form string, isotope int, mass double, accession string, start int, pre string, post string"
     hits = _cogrouped(charged, grouped, kernel, schema)
     order = F.struct((-F.col("raw_score")).alias("r"), F.abs("isotope"), "mass", "accession", "start")
-    rolled = hits.groupBy("spec_index", "charge", "form").agg(F.min_by(F.struct("raw_score", "denovo_score", "spec_evalue", "isotope", "mass", "pre", "post"), order).alias("best"), F.array_sort(F.collect_set("accession")).alias("proteins"))
+    rolled = hits.groupBy("spec_index", "charge", "form").agg(F.min_by(F.struct("raw_score", "denovo_score", "spec_evalue", *how.tails.columns, "isotope", "mass", "pre", "post"), order).alias("best"), F.array_sort(F.collect_set("accession")).alias("proteins"))
     best = Window.partitionBy("spec_index").orderBy("best.spec_evalue", F.desc("best.raw_score"), "form", "charge")
     top = rolled.withColumn("place", F.row_number().over(best)).where(F.col("place") <= how.matches)
     about = spectra.select("spec_file", "spec_index", "title", "scan", "precursor_mz")
-    size = flat.count()
     out = top.select("spec_index", "charge", "form", "best.*", "proteins").join(about, "spec_index")
     observed = (F.col("precursor_mz") - PROTON) * F.col("charge") - F.col("isotope") * ISOTOPE
     out = out.select(
         "spec_file", "spec_index", "title", "scan", "precursor_mz", "isotope", ((observed - F.col("mass")) / F.col("mass") * 1e6).alias("precursor_error"), "charge",
-        F.concat("pre", F.lit("."), "form", F.lit("."), "post").alias("flanked"), "proteins", "denovo_score", "raw_score", "spec_evalue", (F.col("spec_evalue") * size).alias("evalue"),
+        F.concat("pre", F.lit("."), "form", F.lit("."), "post").alias("flanked"), "proteins", "denovo_score", "raw_score", "spec_evalue", *how.tails.columns, (F.col("spec_evalue") * size).alias("evalue"),
     )
     matches = written(out, "matches").withColumns({"score": F.col("spec_evalue").cast("float"), "peptide": peptide_key(F.col("flanked")), "is_decoy": is_decoy_match(F.col("proteins"), how.decoy_prefix)})
     return assign_q_values(matches).drop("score", "peptide").withColumnRenamed("flanked", "peptide")
 
 
-def rescore(matches: DataFrame, spectra: DataFrame, model: Model, isotopes: tuple[int, int] = (0, 0), frequency: dict[str, float] | None = None, db_size: int | None = None) -> DataFrame:
-    """A match list (input_pos, scan, peptide, charge, ...) with status, raw_score, denovo_score, spec_evalue[, evalue].
+def rescore(matches: DataFrame, spectra: DataFrame, model: Model, isotopes: tuple[int, int] = (0, 0), frequency: dict[str, float] | None = None, db_size: int | None = None, tails: Tails = Tails()) -> DataFrame:
+    """A match list (input_pos, scan, peptide, charge, ...) with status, raw_score, denovo_score, spec_evalue[, evalue] and the columns of tails.
 
     status: scored, or the first reason against it: no spectrum, no charge, bad peptide, no distribution. Every row and
     column of the input stays, in its order by input_pos, so that the result can go on to fdr().
@@ -158,8 +197,8 @@ def rescore(matches: DataFrame, spectra: DataFrame, model: Model, isotopes: tupl
     units = good.select("spec_index", "charge", "precursor_mz", "peaks").dropDuplicates(["spec_index", "charge"])
     alphabet = Alphabet(frequency=frequency)
     flank = float(sum(p for r, p in zip(alphabet.residues, alphabet.probability, strict=True) if r in TRYPSIN.cleave_at))
-    kernel = _kernel(model, alphabet, isotopes, 0, flank, TRYPSIN.cleave_at, ["candidate"])
-    scored = _cogrouped(units, found, kernel, _SCORED + ", candidate long")
-    out = rows.drop("sites", "cleavage", "peaks", "own_charge", "precursor_mz", "spec_index").join(scored.select(F.col("candidate").alias("input_pos"), "raw_score", "denovo_score", "spec_evalue"), "input_pos", "left")
+    kernel = _kernel(model, alphabet, isotopes, 0, flank, TRYPSIN.cleave_at, ["candidate"], tails)
+    scored = _cogrouped(units, found, kernel, _SCORED + "".join(f", {c} double" for c in tails.columns) + ", candidate long")
+    out = rows.drop("sites", "cleavage", "peaks", "own_charge", "precursor_mz", "spec_index").join(scored.select(F.col("candidate").alias("input_pos"), "raw_score", "denovo_score", "spec_evalue", *tails.columns), "input_pos", "left")
     out = out.withColumn("status", F.coalesce("status", F.when(F.col("raw_score").isNull(), "no distribution").otherwise("scored")))
     return out.withColumn("evalue", F.col("spec_evalue") * db_size) if db_size else out

@@ -10,29 +10,46 @@ from pyspark.sql import functions as F
 
 from massspark.functions import chem
 from massspark.operators.matching import Ion, ion_kinds, ranked_peaks, strongest_match
-from massspark.operators.staging import written
+from massspark.operators.staging import placed, written
 from massspark.sources.model import Fragment, Model
 
 
 def quantile_starts(rows: DataFrame, by: list[str], value: str, ties: list[str], parts: int) -> DataFrame:
     """by, part, value: where each of `parts` groups of equal counts starts, exactly, in the order of value and ties."""
-    key = Window.partitionBy(*by)
-    placed = rows.withColumn("_at", F.row_number().over(key.orderBy(value, *ties)) - 1).withColumn("_n", F.count("*").over(key))
-    starts = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).where(F.col("_at") == F.floor(F.col("part") * F.col("_n") / parts))
+    starts = placed(rows.select(*by, value, *ties), by, [value, *ties]).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).where(F.col("place") == F.floor(F.col("part") * F.col("size") / parts))
     return starts.select(*by, "part", value).distinct()
 
 
-def upper_median(value: Column) -> Column:
-    """The element n / 2, rounded down, of the sorted values."""
-    sorted_ = F.sort_array(F.collect_list(value))
-    return F.element_at(sorted_, F.floor(F.count(value) / 2).cast("int") + 1)
+def upper_median(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, n, upper_median: the element n / 2, rounded down, of a group's sorted values, nulls left out."""
+    found = placed(rows.where(F.col(value).isNotNull()).select(*by, value), by, [value])
+    return found.where(F.col("place") == F.floor(F.col("size") / 2)).select(*by, F.col("size").alias("n"), F.col(value).alias("upper_median"))
 
 
 def spearman(rows: DataFrame, by: str, x: str, y: str, tie: str) -> DataFrame:
-    """by, rho: the correlation of ranks, ties broken by another column."""
-    key = Window.partitionBy(by)
-    ranked = rows.select(by, F.row_number().over(key.orderBy(x, tie)).alias("x"), F.row_number().over(key.orderBy(y, tie)).alias("y"))
-    return ranked.groupBy(by).agg(F.corr("x", "y").alias("rho"))
+    """by, rho: the correlation of ranks, ties broken by another column. Each rank is found over ranges of values."""
+    first = placed(rows.select(by, x, y, tie), [by], [x, tie]).select(by, y, tie, F.col("place").alias("_x"))
+    both = placed(first, [by], [y, tie])
+    return both.groupBy(by).agg(F.corr("_x", "place").alias("rho"))
+
+
+def calibration(rows: DataFrame, by: list[str], claimed: str, decoy: str, bins: int) -> DataFrame:
+    """by, bin, n, low, high, claimed, observed: the claimed chances of error against the observed share of decoys.
+
+    Rows of a group are dealt into bins of equal counts by falling confidence (rising claimed chance, then decoys last); bin k has the
+    places from k n / bins on. observed is the share of decoys, claimed the mean. Null chances are left out.
+    """
+    found = placed(rows.where(F.col(claimed).isNotNull()).select(*by, claimed, decoy), by, [claimed, decoy])
+    own = found.groupBy(*by, F.floor(F.col("place") * bins / F.col("size")).cast("int").alias("bin"))
+    return own.agg(F.count("*").alias("n"), F.min(claimed).alias("low"), F.max(claimed).alias("high"), F.avg(claimed).alias("claimed"), F.avg(F.col(decoy).cast("double")).alias("observed"))
+
+
+def median_gap(rows: DataFrame, by: list[str], unit: str, score: str, decoy: str) -> DataFrame:
+    """by, n, median_gap: the upper median over units of the best target's score minus the best decoy's; higher is better. Units
+    that lack either are left out."""
+    gap = F.max(F.when(~F.col(decoy), F.col(score))) - F.max(F.when(F.col(decoy), F.col(score)))
+    gaps = rows.groupBy(*by, unit).agg(gap.alias("gap"))
+    return upper_median(gaps, by, "gap").withColumnRenamed("upper_median", "median_gap")
 
 
 @dataclass(frozen=True)
