@@ -9,15 +9,24 @@ from massspark.functions.chem import is_decoy_match, peptide_key
 from massspark.operators.staging import in_ranges, sums_before
 
 
+def score_counts(scored: DataFrame, score: str = "score", decoy: str = "is_decoy") -> DataFrame:
+    """score (single precision), t, d: targets and decoys of each distinct score."""
+    return scored.groupBy(F.col(score).cast("float").alias("score")).agg(F.count_if(~F.col(decoy)).alias("t"), F.count_if(F.col(decoy)).alias("d"))
+
+
 def q_map(scored: DataFrame, score: str = "score", decoy: str = "is_decoy") -> DataFrame:
-    """score, q for each distinct score: the least rate decoys/targets at any worse key, by strictly better counts.
+    """score, q for each distinct score. Rows are counted per distinct score first (with partial aggregates)."""
+    return q_map_of(score_counts(scored, score, decoy))
+
 
-    Rows are first counted per distinct score (with partial aggregates). Scores are dealt into ranges; each range's running
+def q_map_of(counts: DataFrame) -> DataFrame:
+    """score, q of counts (score, t, d): the least rate decoys/targets at any worse key, by strictly better counts.
+
+    Scores are dealt into ranges; each range's running
     counts start from the sums of those before it, and the least rate behind a range comes from the ranges' minima, so no
     task sees more than a range. Keys are the decoys' scores that some target beats. The sweep stops behind the first key
     whose rate reaches 1; beyond the last key q is 1, or 0 where there is no decoy.
     """
-    counts = scored.groupBy(F.col(score).cast("float").alias("score")).agg(F.count_if(~F.col(decoy)).alias("t"), F.count_if(F.col(decoy)).alias("d"))
     ranges = in_ranges(counts, "score")
     order = Window.partitionBy("part").orderBy("score")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -34,7 +43,7 @@ def q_map(scored: DataFrame, score: str = "score", decoy: str = "is_decoy") -> D
         after.append((r["part"], behind))
         if r["part"] <= last and r["least"] is not None:
             behind = min(behind, r["least"])
-    rows = rated.join(F.broadcast(scored.sparkSession.createDataFrame(after, "part int, behind float")), "part")
+    rows = rated.join(F.broadcast(counts.sparkSession.createDataFrame(after, "part int, behind float")), "part")
     worse = F.min(F.when(F.col("part") <= last, F.col("used"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     return rows.select("score", F.least(F.coalesce(worse, "behind"), "behind").alias("q"))
 
@@ -51,8 +60,12 @@ def assign_q_values(matches: DataFrame) -> DataFrame:
     """
     scored = matches.where("score is not null")
     best = best_per_peptide(scored)
+    return with_q_values(matches, q_map(scored), best, q_map(best))
+
+
+def with_q_values(matches: DataFrame, psm_q: DataFrame, best: DataFrame, pep_q: DataFrame) -> DataFrame:
+    """matches with q_value and pep_q_value out of the maps (score, q) of matches and of peptides' bests (peptide, is_decoy, score)."""
     pep_score = best.groupBy("peptide").agg(F.coalesce(F.min(F.when(~F.col("is_decoy"), F.col("score"))), F.min("score")).alias("best"))
-    psm_q, pep_q = q_map(scored), q_map(best)
     rows = matches.withColumn("score_f", F.col("score").cast("float")).join(pep_score, "peptide", "left")
     rows = rows.join(psm_q.select(F.col("score").alias("score_f"), F.col("q").alias("q_value")), "score_f", "left")
     rows = rows.join(pep_q.select(F.col("score").alias("best"), F.col("q").alias("pep_q_value")), "best", "left")

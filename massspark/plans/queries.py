@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from massspark.functions import distributions as dist
 from massspark.operators import digest as dig
 from massspark.operators import fdr as fd
 from massspark.operators import matching as ma
+from massspark.operators import staging
+from massspark.operators.mass_index import build_index
 from massspark.plans.adaptors import MATCHES_SQL, PEAKS_SQL, PROTEINS_SQL, SHORT_PROTEINS_SQL, annotated, matches, model, peaks, proteins, short_proteins, table
 
 QUERIES: dict = {}
@@ -32,11 +36,11 @@ _STANDARD = f"regexp_matches(peptide, '^[{chem.RESIDUES}]+$')"
 
 def _digest_sql(source: str, cut: str, missed: int) -> str:
     """Full digestion: pieces by a split, runs of pieces by a window's list."""
-    return f"""WITH p AS ({source}),
-f AS (SELECT accession, [x FOR x IN string_split(regexp_replace({cut}, '^M([^|])', 'M|\\1'), '|') IF x <> ''] AS f FROM p),
-u AS (SELECT accession, unnest(range(1, len(f) + 1)) AS i, unnest(f) AS piece FROM f),
-w AS (SELECT accession, i, piece, coalesce(sum(length(piece)) OVER (PARTITION BY accession ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-  list(piece) OVER (PARTITION BY accession ORDER BY i ROWS BETWEEN CURRENT ROW AND {missed + 1} FOLLOWING) AS run, lag(piece) OVER (PARTITION BY accession ORDER BY i) AS before FROM u),
+    return f"""WITH p AS (SELECT *, row_number() OVER () AS row FROM ({source})),
+f AS (SELECT row, accession, [x FOR x IN string_split(regexp_replace({cut}, '^M([^|])', 'M|\\1'), '|') IF x <> ''] AS f FROM p),
+u AS (SELECT row, accession, unnest(range(1, len(f) + 1)) AS i, unnest(f) AS piece FROM f),
+w AS (SELECT accession, i, piece, coalesce(sum(length(piece)) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+  list(piece) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN CURRENT ROW AND {missed + 1} FOLLOWING) AS run, lag(piece) OVER (PARTITION BY row ORDER BY i) AS before FROM u),
 s AS (SELECT accession, CAST(start AS INTEGER) AS start, array_to_string(run[1:k], '') AS peptide, before, run[k + 1] AS after
   FROM w, (SELECT unnest(range(1, {missed + 2})) AS k) WHERE k <= len(run))
 SELECT accession, start, CAST(length(peptide) AS INTEGER) AS len, 2::INTEGER AS n_termini, peptide, coalesce(right(before, 1), '-') AS pre, coalesce(left(after, 1), '-') AS post,
@@ -94,6 +98,16 @@ def digest_nterm_enzyme(spark, sf_dir):
     return dig.digest(proteins(spark, sf_dir), dig.Digest(dig.Enzyme.parse("AspN"), max_missed=1))
 
 
+_REPEATED_SQL = PROTEINS_SQL.replace("'D' || doc_id", "'L' || coalesce(lang, '')")
+
+
+@query(_digest_sql(_REPEATED_SQL, _TRYPTIC, 1))
+def digest_repeated_accessions(spark, sf_dir):
+    """All documents of a language under one accession."""
+    rows = proteins(spark, sf_dir, F.concat(F.lit("L"), F.coalesce("lang", F.lit(""))))
+    return dig.digest(rows, dig.Digest(max_missed=1))
+
+
 _SPANS = f"""WITH p AS ({SHORT_PROTEINS_SQL}), s AS (SELECT accession, sequence, CAST(unnest(range(0, length(sequence))) AS INTEGER) AS start FROM p),
 l AS (SELECT accession, sequence, start, CAST(unnest(range(6, least(40, length(sequence) - start) + 1)) AS INTEGER) AS len FROM s),
 e AS (SELECT *, substr(sequence, start + 1, len) AS peptide FROM l)"""
@@ -198,6 +212,14 @@ def candidate_window_join(spark, sf_dir):
     return ma.range_join(_windows(spark, sf_dir).drop("mass"), parts, "low", "high", "mass", 100).select("spec_index", "isotope", "p_partkey")
 
 
+@query(ORACLE_SQL["candidate_window_join"])
+def candidate_index_join(spark, sf_dir):
+    """The same by a mass-ordered index, written in ranges and swept."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.round(F.col("p_retailprice") * 1000).cast("bigint").alias("mass"))
+    index = build_index(parts, f"{staging.shared_dir(spark)}/mass-index-{uuid.uuid4().hex}", "mass")
+    return index.matches(_windows(spark, sf_dir).drop("mass"), "low", "high").select("spec_index", "isotope", "p_partkey")
+
+
 _TIES = ["l_partkey", "l_suppkey", "cents", "l_linenumber", "l_shipdate"]
 
 
@@ -228,7 +250,7 @@ SELECT s_suppkey, s_acctbal, t.at AS floor_at, t.c_custkey FROM supplier ASOF LE
 def partition_floor_join(spark, sf_dir):
     keys = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("at")).agg(F.min("c_custkey").alias("c_custkey"))
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("at"), "s_acctbal")
-    return ma.floor_join(rows, keys, ["k"], "at", ["c_custkey"]).select("s_suppkey", "s_acctbal", "floor_at", "c_custkey")
+    return staging.floor_join(rows, keys, ["k"], "at", ["c_custkey"]).select("s_suppkey", "s_acctbal", "floor_at", "c_custkey")
 
 
 @query(f"SELECT spec_index, mz, intensity FROM (SELECT *, row_number() OVER (PARTITION BY spec_index ORDER BY intensity DESC, mz DESC, {', '.join(_TIES)}) AS rn FROM ({PEAKS_SQL})) WHERE rn <= 2")
@@ -311,7 +333,7 @@ def quantile_partitions(spark, sf_dir):
 def precursor_offset_median(spark, sf_dir):
     from massspark.operators.train import upper_median
 
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"), upper_median(F.col("c_acctbal")).alias("upper_median"))
+    return upper_median(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), "c_acctbal"), ["k"], "c_acctbal")
 
 
 @query(f"""WITH b AS (SELECT peptide, min(score) FILTER (NOT is_decoy) AS t, min(score) FILTER (is_decoy) AS d FROM ({MATCHES_SQL}) GROUP BY 1)
@@ -456,9 +478,36 @@ def distribution_error(spark, sf_dir):
     return _distributions(spark, sf_dir).select("k", dist.shifted(F.col("min_score"), F.lit(chem.PENALTY)).alias("low"), F.round(dist.relative_error(F.lit(0.001), p), 9).alias("relative"))
 
 
-@query(f"""SELECT k % 7 AS g, min_score + i::INTEGER AS score, round(sum(p), 6) AS p FROM (SELECT k, min_score, unnest(range(0, len(probs))) AS i, unnest(probs) AS p FROM ({_DISTRIBUTIONS_SQL})) GROUP BY 1, 2""")
+_CERTIFIED_SQL = f"SELECT k % 7 AS g, min_score, probs, CAST(k % 11 AS INTEGER) AS valid_from, (k % 16) / 1024.0 AS error, CAST(k % 29 AS INTEGER) AS best FROM ({_DISTRIBUTIONS_SQL})"
+
+
+@query(f"""WITH d AS ({_CERTIFIED_SQL}), s AS (SELECT g, min_score + i::INTEGER AS score, sum(p) AS p FROM (SELECT g, min_score, unnest(range(0, len(probs))) AS i, unnest(probs) AS p FROM d) GROUP BY ALL),
+a AS (SELECT g, unnest(range(min(score), max(score) + 1)) AS score FROM s GROUP BY g),
+f AS (SELECT a.g, min(a.score)::INTEGER AS min_score, list(round(coalesce(p, 0.0), 6) ORDER BY a.score) AS probs FROM a LEFT JOIN s ON a.g = s.g AND a.score = s.score GROUP BY a.g)
+SELECT g, min_score, probs, max(valid_from) AS valid_from, CAST(sum(error) AS DOUBLE) AS error, max(best) AS best FROM f JOIN (SELECT g, valid_from, error, best FROM d) USING (g) GROUP BY ALL""")
 def merge_distributions(spark, sf_dir):
-    return dist.merged(_distributions(spark, sf_dir).withColumn("g", F.col("k") % 7), ["g"]).withColumn("p", F.round("p", 6))
+    rows = _distributions(spark, sf_dir).select((F.col("k") % 7).alias("g"), "min_score", "probs", (F.col("k") % 11).cast("int").alias("valid_from"), ((F.col("k") % 16) / 1024.0).alias("error"), (F.col("k") % 29).cast("int").alias("best"))
+    return dist.merged(rows, ["g"]).withColumn("probs", F.transform("probs", lambda p: F.round(p, 6)))
+
+
+@query("""WITH r AS (SELECT c_mktsegment AS g, round((c_acctbal + 1000) / 11000, 6) AS claimed, c_custkey % 3 = 0 AS decoy FROM customer),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY claimed, decoy) - 1 AS place, count(*) OVER (PARTITION BY g) AS size FROM r)
+SELECT g, CAST(place * 10 // size AS INTEGER) AS bin, count(*) AS n, min(claimed) AS low, max(claimed) AS high, round(avg(claimed), 6) AS claimed, round(avg(CASE WHEN decoy THEN 1.0 ELSE 0.0 END), 6) AS observed FROM p GROUP BY 1, 2""")
+def eval_calibration(spark, sf_dir):
+    from massspark.operators.train import calibration
+
+    rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("g"), F.round((F.col("c_acctbal") + 1000) / 11000, 6).alias("claimed"), (F.col("c_custkey") % 3 == 0).alias("decoy"))
+    return calibration(rows, ["g"], "claimed", "decoy", 10).withColumns({c: F.round(c, 6) for c in ("claimed", "observed")})
+
+
+@query(f"""WITH b AS (SELECT score_group AS g, peptide, max(CASE WHEN NOT is_decoy THEN -score END) - max(CASE WHEN is_decoy THEN -score END) AS gap FROM (SELECT *, hash_group AS score_group FROM (SELECT *, match_id % 3 AS hash_group FROM ({MATCHES_SQL}))) GROUP BY 1, 2),
+l AS (SELECT g, list_sort(list(gap)) AS v FROM b WHERE gap IS NOT NULL GROUP BY g)
+SELECT g, len(v)::BIGINT AS n, round(v[len(v) // 2 + 1]::DOUBLE, 4) AS median_gap FROM l""")
+def eval_median_gap(spark, sf_dir):
+    from massspark.operators.train import median_gap
+
+    rows = matches(spark, sf_dir).select((F.col("match_id") % 3).alias("g"), "peptide", (-F.col("score")).alias("score"), "is_decoy")
+    return median_gap(rows, ["g"], "peptide", "score", "is_decoy").withColumn("median_gap", F.round(F.col("median_gap").cast("double"), 4))
 
 
 @query()
@@ -509,3 +558,14 @@ def rescore(spark, sf_dir):
     spectra = annotated(spark, sf_dir)
     rows = spectra.select(F.col("spec_index").alias("input_pos"), "scan", F.col("seq").alias("peptide"), "charge")
     return run(rows, spectra, model(spark, sf_dir), db_size=1000)
+
+
+@query()
+def rescore_estimates(spark, sf_dir):
+    """Rescoring with certified pruning, saddlepoint estimates beside it: the exact tail lies in [spec_evalue, spec_evalue + spec_error]."""
+    from massspark.operators.search import Tails
+    from massspark.operators.search import rescore as run
+
+    spectra = annotated(spark, sf_dir)
+    rows = spectra.select(F.col("spec_index").alias("input_pos"), "scan", F.col("seq").alias("peptide"), "charge")
+    return run(rows, spectra, model(spark, sf_dir), tails=Tails(estimate=True, cap=20, share=1e-3))

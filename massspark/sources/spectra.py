@@ -38,13 +38,19 @@ def parsed(blocks: DataFrame) -> DataFrame:
 def read_mgf(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Spectra of MGF files or folders with spec_file and spec_index, which counts from 0 in a file in file order.
 
-    A file is one partition or a few; blocks of one file are numbered by their partitions' order in it.
+    A file is read in as many splits as it takes. A spectrum's number is its place in its split plus the spectra in the splits
+    before: what is summed over a file has a row for each split, and spectra stay where they were read.
     """
     text = spark.read.option("lineSep", "END IONS").text(paths if isinstance(paths, list) else [paths])
     named = text.select(F.col("_metadata.file_path").alias("spec_file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("block"))
-    order = Window.partitionBy("spec_file").orderBy("_from", "_at")
-    rows = parsed(named).withColumn("spec_index", (F.row_number().over(order) - 1).cast("long"))
-    return rows.select("spec_file", "spec_index", "title", "scan", "charge", "precursor_mz", "peaks", "seq")
+    sound = F.contains("block", F.lit("BEGIN IONS"))
+    # ids of a split's blocks follow each other; blocks that are no spectrum (most often a file's end) are no number's
+    splits = named.groupBy("spec_file", "_from").agg(F.min("_at").alias("_first"), F.count_if(sound).alias("_n"), F.collect_list(F.when(~sound, F.col("_at"))).alias("_none"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("spec_file").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.withColumn("_before", before)
+    rows = parsed(named.where(sound)).join(splits, ["spec_file", "_from"])
+    number = F.col("_at") - F.col("_first") + F.col("_before") - F.size(F.filter("_none", lambda x: x < F.col("_at")))
+    return rows.select("spec_file", number.cast("long").alias("spec_index"), "title", "scan", "charge", "precursor_mz", "peaks", "seq")
 
 
 def indexed(spectra: DataFrame) -> DataFrame:

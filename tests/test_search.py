@@ -11,6 +11,8 @@ from massspark.operators import digest as dig
 from massspark.operators import scoring as sc
 from massspark.operators import search as se
 from massspark.operators import train as tr
+from massspark.operators.fdr import assign_q_values
+from massspark.operators.mass_index import build_index, open_index
 from massspark.plans import adaptors as ad
 from massspark.sources import model as mo
 from massspark.sources import sinks, spectra, tables
@@ -175,6 +177,17 @@ def test_search_finds_planted(planted):
     assert all(abs(r.precursor_error) < 1e-3 and not r.proteins[0].startswith("XXX_") for r in hits)
 
 
+def test_search_by_index(spark, planted, tmp_path):
+    proteins, rows, model = planted
+    how = se.Search(digest=dig.Digest(max_missed=1))
+    everything = dig.with_decoys(proteins)
+    index = build_index(se.search_candidates(everything, how), str(tmp_path / "index"), "mass")
+    names = ["spec_index", "charge", "peptide", "raw_score", "spec_evalue", "evalue", "q_value", "proteins"]
+    plain = sorted(map(tuple, se.search(rows.drop("seq"), everything, model, how).select(names).collect()))
+    for found in (index, open_index(spark, str(tmp_path / "index"))):
+        assert sorted(map(tuple, se.search(rows.drop("seq"), everything, model, how, index=found).select(names).collect())) == plain
+
+
 def test_rescore(spark, planted):
     _, rows, model = planted
     good = rows.select(F.col("spec_index").alias("input_pos"), "scan", F.col("seq").alias("peptide"), F.lit(None).cast("int").alias("charge"), F.lit("kept").alias("extra"))
@@ -185,17 +198,67 @@ def test_rescore(spark, planted):
     assert len(scored) == rows.count() and all(r.evalue == pytest.approx(100 * r.spec_evalue) for r in scored)
 
 
+def test_tails_beside_the_exact_one(planted):
+    _, rows, model = planted
+    list_ = rows.select(F.col("spec_index").alias("input_pos"), "scan", F.col("seq").alias("peptide"), "charge")
+    exact = {r.input_pos: r for r in se.rescore(list_, rows, model, tails=se.Tails(estimate=True)).collect()}
+    lossy = {r.input_pos: r for r in se.rescore(list_, rows, model, tails=se.Tails(cap=3, share=0.01)).collect()}
+    assert exact.keys() == lossy.keys() and any(lossy[i].spec_error > 0 for i in lossy)
+    for i, e in exact.items():
+        p = lossy[i]
+        assert (p.raw_score, p.denovo_score, p.status) == (e.raw_score, e.denovo_score, "scored")
+        assert p.spec_evalue <= e.spec_evalue * (1 + 1e-9) and e.spec_evalue <= (p.spec_evalue + p.spec_error) * (1 + 1e-9)
+        assert e.spec_evalue <= e.spec_bound * (1 + 1e-9)
+    off = [abs(np.log10(e.spec_estimate / e.spec_evalue)) for e in exact.values()]
+    assert np.median(off) <= 0.1 and max(off) <= 0.75
+    proteins = dig.with_decoys(planted[0])
+    how = se.Search(digest=dig.Digest(max_missed=1), tails=se.Tails(estimate=True, cap=10))
+    found = se.search(rows.drop("seq"), proteins, model, how).collect()
+    assert found and all(r.spec_error >= 0 and r.spec_estimate <= r.spec_bound for r in found)
+
+
+def test_one_file_over_many_splits(spark, tmp_path):
+    blocks = [f"BEGIN IONS\nTITLE=t{i}\nPEPMASS={300 + i}\n" + "".join(f"{100 + k} {k}\n" for k in range(i % 7)) + "END IONS\n" for i in range(120)]
+    blocks.insert(50, "stray\nEND IONS\n")
+    (tmp_path / "a.mgf").write_text("# head\n" + "".join(blocks) + "tail\n")
+    (tmp_path / "b.mgf").write_text("".join(blocks[:9]))
+    (tmp_path / "c.mgf").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = spectra.read_mgf(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 3
+        got = sorted((r.spec_file[-5:], r.spec_index, r.title) for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted([("a.mgf", i, f"t{i}") for i in range(120)] + [("b.mgf", i, f"t{i}") for i in range(9)])
+
+
 def test_stream(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.mgf").write_text(MGF)
+    """After every batch the stream's q-values are those of all matches at once, and no batch reads the matches before it."""
+    rng = np.random.default_rng(3)
+    for name in ("in", "m", "s"):
+        (tmp_path / name).mkdir()
+    folder, matches, state = str(tmp_path / "in"), str(tmp_path / "m"), str(tmp_path / "s")
 
     def score(rows):
-        return rows.select(F.col("precursor_mz").cast("float").alias("score"), F.col("title").alias("peptide"), F.lit(False).alias("is_decoy"))
-
-    for n in (2, 4):
-        stream.search_stream(stream.stream_mgf(spark, str(tmp_path / "in")), score, str(tmp_path / "matches"), str(tmp_path / "q"), str(tmp_path / "ckpt")).awaitTermination()
-        assert stream.latest(spark, str(tmp_path / "q")).count() == n
-        (tmp_path / "in" / "b.mgf").write_text(MGF)
+        name = F.col("title")
+        return rows.select(F.col("precursor_mz").cast("float").alias("score"), F.substring_index(name, "/", 1).alias("peptide"), name.endswith("d").alias("is_decoy"), "title")
+
+    seen = []
+    for n in range(4):
+        new = [(f"P{rng.integers(12)}/{n}.{i}{rng.choice(['t', 't', 'd'])}", float(rng.integers(1, 30)) / 2) for i in range(25)]
+        seen += new
+        (tmp_path / "in" / f"{n}.mgf").write_text("".join(f"BEGIN IONS\nTITLE={t}\nPEPMASS={s}\n100 1\nEND IONS\n" for t, s in new))
+        stream.search_stream(stream.stream_mgf(spark, folder), score, matches, state, str(tmp_path / "ckpt")).awaitTermination()
+        got = {r.title: (r.q_value, r.pep_q_value) for r in stream.latest(spark, matches, state).collect()}
+        every = spark.createDataFrame([(float(s), t.split("/")[0], t.endswith("d"), t) for t, s in seen], "score float, peptide string, is_decoy boolean, title string")
+        assert got == {r.title: (r.q_value, r.pep_q_value) for r in assign_q_values(every).collect()}
+        if n == 1:  # a batch that is run again replaces what it wrote
+            spark.createDataFrame([(1.0, "P1", False, "old")], "score float, peptide string, is_decoy boolean, title string").write.parquet(f"{matches}/batch=77")
+            assert "old" not in {r.title for r in stream.latest(spark, matches, state).collect()}
+    assert len(list((tmp_path / "s" / "counts").glob("upto=*"))) == 2
 
 
 def _lines(folder):
@@ -213,7 +276,7 @@ def test_streamed_search_and_reports(spark, planted, tmp_path):
         return se.search(batch, everything, model, how).select(F.col("spec_evalue").cast("float").alias("score"), "peptide", "is_decoy", "scan", "spec_index")
 
     stream.search_stream(stream.stream_mgf(spark, str(tmp_path / "in")), score, str(tmp_path / "m"), str(tmp_path / "q"), str(tmp_path / "c")).awaitTermination()
-    streamed = stream.latest(spark, str(tmp_path / "q")).collect()
+    streamed = stream.latest(spark, str(tmp_path / "m"), str(tmp_path / "q")).collect()
     known = {r.scan: r.seq for r in rows.collect()}
     assert len(streamed) == 12 == len({r.spec_index for r in streamed}) and sum(known[r.scan] == r.peptide[2:-2] for r in streamed) >= 11
 
