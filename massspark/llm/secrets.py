@@ -36,8 +36,15 @@ _HEX_RUN = bytes(97 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 _B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
 _B64_RUN = bytes(97 if chr(i) in _B64 else 32 for i in range(256))
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-#: Signs escaped over and over: levels that would show nothing but themselves are undone at once, all but the last.
-_CHAIN = re.compile(r"%(?:25){4,}(?=[0-9A-Fa-f]{2})|&(?:#38;){4,}(?=#)|&(?:#[xX]26;){4,}(?=#)|\\(?:u005[cC]){4,}(?=[uUx])|\\(?:x5[cC]){4,}(?=[uUx])")
+#: What follows a sign in an escape, and escapes of the signs themselves, with which chains of escapes begin.
+_TAILS = {
+    "%": re.compile(r"[0-9A-Fa-f]{2}"),
+    "\\": re.compile(r"u\{[0-9a-fA-F]{1,6}\}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|x[0-9a-fA-F]{2}"),
+    "&": re.compile(r"#[0-9]{1,7};|#[xX][0-9a-fA-F]{1,6};"),
+}
+_SIGN = re.compile(r"%(?:25|26|5[cC])|\\(?:u00|u\{0{0,4}|U000000|x)(?:25|26|5[cC])|&#(?:0*(?:37|38|92)|[xX]0*(?:25|26|5[cC]));")
+#: Escapes of signs that are undone at once, all but the last.
+_LEVELS = 4
 _ESCAPE = re.compile(r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u\{[0-9a-fA-F]{1,6}\}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\x[0-9a-fA-F]{2}|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};")
 #: Escapes that writers of byte strings use beside _ESCAPE; they are undone where compressed bytes may lie under them.
 _SHORT = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "v": "\v", "a": "\a", "0": "\0", "\\": "\\", "'": "'", '"': '"', "/": "/"}
@@ -51,15 +58,20 @@ _AT_BREAK = re.compile(_BREAK)
 _MAGIC = r"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|[\x50-\x5f]\x2a\x4d\x18"
 _PACKED, _PACKED_BYTES = re.compile(_MAGIC), re.compile(_MAGIC.encode("ascii"), re.S)
 _WIDE = re.compile("[^\x00-\xff]")
-#: Bytes without any of these hold neither a secret nor a further layer.
-_WORTH = re.compile(rb"(?i:passw|secret|token|key)|AKIA|[0-9a-f]{16}|%[0-9A-Fa-f]{2}|\\|&#|[A-Za-z0-9+/_-]{16}|[\n\0]|" + _MAGIC.encode("ascii"), re.S)
+#: Bytes without any of these hold neither a secret nor a further layer: every secret has 12 letters or signs on end, which stand
+#: as they are, escaped or in base64, with breaks between or a zero beside each, or inside compressed bytes.
+_UNIT, _GAP = rb"[A-Za-z0-9+/_.=%\\&#;{}-]", rb"[\x20\t\r\n]"
+_WORTH_RUNS = rb"(?:%b%b{0,4}){12}|(?:%b\0(?:%b\0){0,4}){12}|(?:\0%b(?:\0%b){0,4}){12}|" % (_UNIT, _GAP, _UNIT, _GAP, _UNIT, _GAP)
 #: Compressed data is put in its place in the text up to this many bytes. What unfolds to more is scanned in windows of
 #: about this size, cut where no secret and no layer can reach across, and only its first and last EDGE bytes are put there.
 WINDOW, EDGE = 8 << 20, 1 << 16
+#: The same for members that together unfold to more than a window, each of them scanned as a layer of its own.
+SHORT_EDGE = 1 << 12
 _SAFE = re.compile(rb"[^A-Za-z0-9+/_.=\-\"':%&#;{}\\\s\x80-\xff\0]|\0{4}")
 _PIECE = 1 << 20
 #: What compressed bytes, a character each, start with in UTF-8.
 _MARKS = tuple(x.encode("utf-8") for x in ("\x1f\x8b\x08", "x\x01", "x^", "x\x9c", "x\xda", "BZh", "7zXZ", "(\xb5/\xfd", "*M\x18"))
+_WORTH = re.compile(_WORTH_RUNS + _MAGIC.encode("ascii") + b"|" + b"|".join(re.escape(x) for x in _MARKS if not x.isascii()), re.S)
 
 
 def find(text: str, raw: bytes | None = None) -> list[tuple[int, str, int]]:
@@ -257,7 +269,7 @@ def _unpacked(layer: _Layer) -> Iterator[_Layer]:
     """The layer with compressed bytes, a character each, replaced by the texts they hold."""
     if not _PACKED.search(layer.text):
         return
-    data, found, at = layer.text.encode("latin-1", "replace"), [], 0
+    data, found, at, total = layer.text.encode("latin-1", "replace"), [], 0, 0
     wide = [m.start() for m in _WIDE.finditer(layer.text)]
     while m := _PACKED.search(layer.text, at):
         stop = bisect.bisect_left(wide, m.start())
@@ -283,19 +295,39 @@ def _unpacked(layer: _Layer) -> Iterator[_Layer]:
                         yield _Layer(text, *(np.broadcast_to(np.int64(x), len(text)) for x in layer.span(m.start(), members.stop)))
             found.append((m.start(), members.end or members.stop, first + b"\0" + last))
         elif members.end and size:
-            found.append((m.start(), members.end, b"".join(parts)))
+            inner, total = b"".join(parts), total + size
+            if total > WINDOW:  # all together would be too much for one layer, so this one has layers of its own
+                for text, _ in _readings(inner):
+                    yield _Layer(text, *(np.broadcast_to(np.int64(x), len(text)) for x in layer.span(m.start(), members.end)))
+                inner = inner if size <= 2 * SHORT_EDGE else inner[:SHORT_EDGE] + b"\0" + inner[-SHORT_EDGE:]
+            found.append((m.start(), members.end, inner))
         at = max(m.end(), members.end or 0) if size else m.end()
-    for a, b, inner in found:
-        for text, _ in _readings(inner):
-            yield layer.replaced([(a, b, text, None)])
-    if len(found) > 1:
-        yield layer.replaced([(a, b, next(_readings(inner))[0], None) for a, b, inner in found])
+    # all members at once, each read in each of its ways: replaced one by one they would be found again in each other's layers
+    texts = [[text for text, _ in _readings(inner)] for *_, inner in found]
+    for k in range(max(map(len, texts), default=0)):
+        yield layer.replaced([(a, b, own[min(k, len(own) - 1)], None) for (a, b, _), own in zip(found, texts, strict=True)])
+
+
+def _chains(text: str) -> list[tuple[int, int, str, None]]:
+    """Runs of escapes of escapes, of whatever kinds, as pieces: each becomes the sign of its last escape, in one pass."""
+    out, at = [], 0
+    while m := _SIGN.search(text, at):
+        sign, end, levels = text[m.start()], m.start() + 1, 0
+        while tail := _TAILS[sign].match(text, end):
+            new = chr(int(tail.group(), 16)) if sign == "%" else _unescaped(sign + tail.group())
+            if new not in _TAILS:
+                break
+            sign, end, levels = new, tail.end(), levels + 1
+        if levels >= _LEVELS:
+            out.append((m.start(), end, sign, None))
+        at = max(m.end(), end)
+    return out
 
 
 def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
     """The layers right below one, each made when it is asked for."""
     text = layer.text
-    chains = [(m.start(), m.end(), m.group()[0], None) for m in _CHAIN.finditer(text)]
+    chains = _chains(text)
     if chains:
         yield layer.replaced(chains)
         return

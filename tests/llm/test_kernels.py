@@ -1,8 +1,11 @@
 """The operators' inner functions against plain versions."""
 
+import base64
+import gzip
 import hashlib
 import itertools
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -512,3 +515,51 @@ def test_equal_windows_are_aligned_once(monkeypatch):
 
 def test_digest_helpers():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0") and zlib.crc32(b"") == 0
+
+
+def _gz(text):
+    return gzip.compress(text.encode(), mtime=0)
+
+
+@pytest.mark.parametrize("n", [2, 12, 1000])
+def test_many_members_are_opened_once(n):
+    members = [f"note {i} password=abcdefghijklmn{i:04d} end" for i in range(n)]
+    text = " ".join("".join(f"%{b:02x}" for b in _gz(m)) for m in members)
+    for t in (text, "x " + base64.b64encode(b"".join(_gz(m) for m in members)).decode() + " y"):
+        start = time.time()
+        _, every, layers = secrets.scan(t)
+        assert len({k for _, k, _ in every}) == 1 and layers <= 60 and time.time() - start < 20
+    assert len({(s, e) for s, _, e in secrets.scan(text)[1]}) == n  # each at its own place
+
+
+def test_members_too_large_together(monkeypatch):
+    monkeypatch.setattr(secrets, "WINDOW", 3000)
+    monkeypatch.setattr(secrets, "SHORT_EDGE", 50)
+    inner = ["x " * 500 + f"password=abcdefghijklmn{i} " + "y " * 300 for i in range(4)]
+    text = " - ".join("".join(f"%{b:02x}" for b in _gz(m)) for m in inner)
+    assert len(secrets.scan(text)[1]) == 4
+
+
+@pytest.mark.parametrize("signs", ["%\\", "%&", "\\&", "%\\&", "%%\\"])
+def test_mixed_chains_are_linear(signs):
+    ways = {"%": lambda c: f"%{ord(c):02X}", "\\": lambda c: f"\\x{ord(c):02x}", "&": lambda c: f"&#{ord(c)};"}
+    levels = 0
+    head = ways[signs[0]]("p")  # an escaped letter whose sign is escaped over and over
+    while len(head) < 3000:
+        head = ways[signs[levels % len(signs)]](head[0]) + head[1:]
+        levels += 1
+    chain = head + "assword=abcdefghijklmnop"
+    text = " ".join([chain] * 100)
+    start = time.time()
+    _, every, _ = secrets.scan(text)
+    assert len(every) == 100 and time.time() - start < 20
+
+
+def test_random_base64_is_cheap():
+    raw = np.random.default_rng(1).integers(0, 256, 300_000, dtype=np.uint8).tobytes()
+    start = time.time()
+    secrets.scan("data " + base64.b64encode(raw).decode())
+    assert time.time() - start < 3
+    hidden = raw[:5000] + b" password=abcdefghijklmnop " + raw[5000:9000]
+    for body in (hidden, raw[:5001] + "password=abcdefghijklmnop".encode("utf-16-le") + raw[:100], raw[:77] + b"%70assword=abcdefgh%69jklmnop " + raw[:50], raw[:77] + b"pass\\u0077ord=abcdefghijklmnop" + raw[:50]):
+        assert secrets.scan("data " + base64.b64encode(body).decode())[1]
