@@ -1,8 +1,7 @@
 """Benchmark decontamination: q-gram lemma filter over diagonal bands, then banded alignment.
 
 Texts and items are compared as lower-cased bytes with every run of blanks and punctuation as one blank. An item is searched
-by its windows from every byte on (STRIDE apart), so a leak of WINDOW + STRIDE - 1 compared bytes, wherever it was cut, holds
-a whole one; what is shorter than a window is found only where it is the whole item. A window of w bytes with at most e
+by its windows from every byte on, so a leak of WINDOW compared bytes, wherever it was cut, holds a whole one; what is shorter than a window is found only where it is the whole item. A window of w bytes with at most e
 edits shares w + 1 - q - q e q-grams with its match, all on diagonals at most e apart: hits are counted in bands two steps
 wide, a step (at least e) apart, and only bands that reach the bound are aligned.
 """
@@ -10,6 +9,7 @@ wide, a step (at least e) apart, and only bands that reach the bound are aligned
 from __future__ import annotations
 
 import functools
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -22,10 +22,11 @@ from massspark.llm.common import byte_view, forget, mapped, slices, written
 
 #: Bytes of a q-gram and of a window, and edits allowed as a share of a window.
 Q, WINDOW, EDITS = 8, 100, 0.08
-#: Bytes from one window of an item to the next.
-STRIDE = 1
 #: Windows that are aligned at once.
 ALIGNED = 1 << 13
+#: Pairs of a text's and an item's q-gram that are counted at once. A text with more is taken in stretches, and stretches of equal
+#: bytes once; a stretch is a multiple of the bands' step and of most short periods.
+HITS, STRETCH, MARGIN = 1 << 20, 5040, 64
 #: Zeros between texts: more than a window's edits, so that nothing matches across.
 GAP = 16
 #: Items of so many bytes are searched in one pass over the documents; more take more passes. An index takes some 60 times this.
@@ -86,12 +87,13 @@ def _runs(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """The index of a block of items. Only q-grams of items are stored; windows are counted from where a q-gram stands."""
+    """The index of a block of items. Windows of equal bytes, of whatever items, are one class, which its first window stands for;
+    only q-grams of first windows are stored, so an item of one repeated unit has no more of them than a unit and a window."""
 
-    def __init__(self, items: list[tuple[int, str | None]], q: int = Q, window: int = WINDOW, edits: float = EDITS, stride: int = STRIDE):
+    def __init__(self, items: list[tuple[int, str | None]], q: int = Q, window: int = WINDOW, edits: float = EDITS):
         if int(window * edits) >= GAP:
             raise ValueError("a window's edit budget must be below GAP")
-        self.q, self.window, self.stride, self.step = q, window, stride, max(8, int(window * edits))
+        self.q, self.window, self.step = q, window, max(8, int(window * edits))
         self.items, texts, codes = [], [], []
         for item, text in items:
             x = compared(text)
@@ -107,13 +109,26 @@ class Windows:
         self.budgets = np.minimum((self.sizes * edits).astype(np.int64), (self.sizes - q) // q)
         self.bounds = self.sizes + 1 - q - q * self.budgets
         self.last = lengths - self.sizes
-        n = -(-self.last // stride) + 1
-        self.base = np.cumsum(n) - n
-        self.n = n
-        self.twin = self._twins()
+        self.n = self.last + 1
+        self.base = np.cumsum(self.n) - self.n
+        twin = self._twins()
+        self.first_of_class = twin == np.arange(len(twin))
+        # by class: the items that have it, and how many windows of each
+        owners = np.repeat(np.arange(len(texts)), self.n)
+        pairs, self.class_n = np.unique(twin * max(1, len(texts)) + owners, return_counts=True)
+        self.class_of, self.class_item = pairs // max(1, len(texts)), pairs % max(1, len(texts))
         owner = np.repeat(np.arange(len(texts)), lengths - q + 1)
         places = np.concatenate([*(np.arange(len(c)) for c in codes), np.zeros(0, np.int64)])
         codes = np.concatenate([*codes, np.zeros(0, np.uint64)])
+        self.first_code = codes[np.flatnonzero(places <= self.last[owner])] if len(codes) else codes  # of each window
+        firsts = np.flatnonzero(self.first_of_class)
+        item, start = self.item_of(firsts)
+        begin = start + (np.cumsum(lengths - q + 1) - (lengths - q + 1))[item] if len(firsts) else firsts
+        cover = np.zeros(len(codes) + 1, np.int64)
+        np.add.at(cover, begin, 1)
+        np.add.at(cover, begin + self.sizes[item] - q + 1, -1)
+        kept = np.cumsum(cover[:-1]) > 0
+        codes, owner, places = codes[kept], owner[kept], places[kept]
         order = np.argsort(codes, kind="stable")
         self.owner, self.place = owner[order].astype(np.int32), places[order].astype(np.int32)
         self.codes, first = np.unique(codes[order], return_index=True)
@@ -142,17 +157,14 @@ class Windows:
     def item_of(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The items of windows, and where in them the windows start."""
         item = np.searchsorted(self.base, window, "right") - 1
-        return item, np.minimum((window - self.base[item]) * self.stride, self.last[item])
+        return item, window - self.base[item]
 
     @staticmethod
     def _slots(codes: np.ndarray) -> np.ndarray:
         return (codes * _FACTOR) >> np.uint64(64 - _BITS)
 
-    def bands(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, band) that reach the bound; band b spans the diagonals [b step, (b + 2) step)."""
-        nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not len(self.items) or len(x) < self.q:
-            return nothing
+    def _hits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of x whose q-gram an item has, near enough to others to be a match, and the q-gram's number."""
         grams = qgrams(x, self.q)
         hit = self.table[self._slots(grams)]
         # a match has its q-grams inside a stretch of a window and its edits
@@ -161,38 +173,65 @@ class Windows:
         full = sums[np.minimum(np.arange(len(grams)) + span, len(grams))] - sums[:-1] >= least
         near = np.zeros(len(grams) + 1, np.int32)
         starts = np.flatnonzero(full)
-        if not len(starts):
-            return nothing
         np.add.at(near, starts, 1)
         np.add.at(near, np.minimum(starts + span, len(grams)), -1)
         at = np.flatnonzero(hit & (np.cumsum(near[:-1]) > 0))
         slot = np.searchsorted(self.codes, grams[at])
         known = self.codes[np.minimum(slot, len(self.codes) - 1)] == grams[at]
-        at, slot = at[known], slot[known]
+        return at[known], slot[known]
+
+    def bands(self, at: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, band) of those hits that reach the bound, first windows of their classes only; band b spans the diagonals
+        [b step, (b + 2) step).
+
+        Hits are sorted by item, band and place, so what a window holds is a difference of two places in that order: no hit is
+        listed for every window that it is in.
+        """
         counts = self.count[slot]
         index = _runs(self.first[slot].astype(np.int64), counts)
         item, place, at = self.owner[index].astype(np.int64), self.place[index].astype(np.int64), np.repeat(at, counts)
+        band = (at - place) // self.step + _MIDDLE
         # a match of a window is in a band of its item as well: what reaches no bound there is in no window that does
-        found, n = self._counted(item, at - place)
-        good = found[n >= self.bounds[found // _WIDTH]]
-        key = item * _WIDTH + (at - place) // self.step + _MIDDLE
-        known = np.isin(key, good) | np.isin(key - 1, good)
-        item, place, at = item[known], place[known], at[known]
-        low = np.minimum(-(-np.maximum(place + self.q - self.sizes[item], 0) // self.stride), self.n[item] - 1)
-        high = np.where(place >= self.last[item], self.n[item] - 1, place // self.stride)
+        key = item * _WIDTH + band
+        groups, inverse, n = np.unique(np.concatenate([key, key - 1]), return_inverse=True, return_counts=True)
+        good = n >= self.bounds[groups // _WIDTH]
+        kept = good[inverse]
+        if not kept.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        number = np.cumsum(good) - 1
+        groups, group, place = groups[good], number[inverse[kept]], np.concatenate([place, place])[kept]
+        wide = int(self.last.max()) + self.window + 1
+        order = np.sort(group * wide + place)
+        own = np.unique(order)
+        group, place = own // wide, own % wide
+        item = groups[group] // _WIDTH
+        low, high = np.maximum(place + self.q - self.sizes[item], 0), np.minimum(place, self.last[item])
+        low[1:] = np.where(group[1:] == group[:-1], np.maximum(low[1:], high[:-1] + 1), low[1:])  # windows that no earlier hit has listed
         counts = np.maximum(high - low + 1, 0)
-        window = _runs(self.base[item] + low, counts)
-        item = np.repeat(item, counts)
-        start = np.minimum((window - self.base[item]) * self.stride, self.last[item])
-        found, n = self._counted(window, np.repeat(at - place, counts) + start)
-        window = found // _WIDTH
-        good = n >= self.bounds[self.item_of(window)[0]]
-        return window[good], found[good] % _WIDTH - _MIDDLE
-
-    def _counted(self, owner: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of (owner, band) and the hits in each."""
-        key = owner * _WIDTH + diagonal // self.step + _MIDDLE
-        return np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        start, group = _runs(low, counts), np.repeat(group, counts)
+        item = groups[group] // _WIDTH
+        first = self.first_of_class[self.base[item] + start]
+        start, group, item = start[first], group[first], item[first]
+        held = np.searchsorted(order, group * wide + start + self.sizes[item] - self.q, "right") - np.searchsorted(order, group * wide + start, "left")
+        good = held >= self.bounds[item]
+        return self.base[item[good]] + start[good], groups[group[good]] % _WIDTH - _MIDDLE
+
+    def _exact(self, x: np.ndarray, window: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """Where in x each (window, band) ends that stands there byte for byte, the first place of the band; -1 if there is none."""
+        item, start = self.item_of(window)
+        size, ends = self.sizes[item], np.full(len(window), -1)
+        grams = qgrams(x, self.q)
+        for lane in range(2 * self.step):
+            to = start + band * self.step + lane
+            some = np.flatnonzero((ends < 0) & (to >= 0) & (to + size <= len(x)))
+            some = some[grams[to[some]] == self.first_code[window[some]]]
+            for part in np.array_split(some, max(1, len(some) // ALIGNED)):
+                reach = np.arange(int(size[part].max(initial=0)))
+                mine = x[np.minimum(to[part][:, None] + reach, len(x) - 1)]
+                equal = mine == self.text[np.minimum((self.text_at[item[part]] + start[part])[:, None] + reach, len(self.text) - 1)]
+                same = (equal | (reach >= size[part][:, None])).all(axis=1)
+                ends[part[same]] = (to + size)[part[same]]
+        return ends
 
     def aligned(self, x: np.ndarray, window: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The least edits of each (window, band) on its diagonals and those an edit budget around, and where in x it ends."""
@@ -202,7 +241,7 @@ class Windows:
         sizes = self.sizes[item]
         slack = int(self.budgets[item].max())
         width, rows = 2 * self.step + 2 * slack, int(sizes.max())
-        left = band * self.step - slack
+        left = start + band * self.step - slack
         padded = np.concatenate([np.zeros(rows + width + abs(int(min(0, left.min()))), np.uint8), x, np.zeros(rows + 2 * width, np.uint8)])
         shift = len(padded) - len(x) - (rows + 2 * width)
         places = np.arange(rows)
@@ -231,20 +270,63 @@ class Windows:
                 good[k] = edge[e - b : e + b + 1].any() and edge[max(0, e - n - 1 - b) : e - n + b].any()
         return good
 
-    def search(self, x: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, edits, start, end) of every window found in x; start is the earliest that the edits allow. Equal windows are
-        aligned once."""
-        out = []
-        windows, bands = self.bands(x)
-        keys, back = np.unique(self.twin[windows] * _WIDTH + bands + _MIDDLE, return_inverse=True)
-        if not len(keys):
-            return out
-        parts = [self.aligned(x, k // _WIDTH, k % _WIDTH - _MIDDLE) for k in np.split(keys, range(ALIGNED, len(keys), ALIGNED))]
-        best, ends = (np.concatenate(p)[back] for p in zip(*parts, strict=True))
-        item = self.item_of(windows)[0]
+    def _found(self, x: np.ndarray, at: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Rows of (window, edits, start, end) that those hits lead to; start is the earliest that the edits allow."""
+        window, band = self.bands(at, slot)
+        item = self.item_of(window)[0]
+        end = self._exact(x, window, band)
+        best = np.where(end >= 0, 0, np.int64(1) << 40)
+        rest = np.flatnonzero(end < 0)
+        for part in (rest[i : i + ALIGNED] for i in range(0, len(rest), ALIGNED)):
+            best[part], end[part] = self.aligned(x, window[part], band[part])
         good = np.flatnonzero(best <= self.budgets[item])
-        good = good[self._whole_words(x, item[good], ends[good])]
-        return [(self.items[k], int(b), int(e - n - b), int(e)) for k, b, e, n in zip(item[good], best[good], ends[good], self.sizes[item[good]], strict=True)]
+        good = good[self._whole_words(x, item[good], end[good])]
+        return np.stack([window[good], best[good], end[good] - best[good] - self.sizes[item[good]], end[good]], axis=1)
+
+    def found(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows of (window, edits, start, end), stretch by stretch of x; one may come twice where stretches meet."""
+        if not len(self.items) or len(x) < self.q:
+            return
+        at, slot = self._hits(x)
+        sums = np.r_[0, np.cumsum(self.count[slot], dtype=np.int64)]
+        if sums[-1] <= HITS:
+            if len(at):
+                yield self._found(x, at, slot)
+            return
+        reach = int(self.sizes.max()) + 2 * self.step  # what the hits of one window and band span
+        known: dict[bytes, np.ndarray] = {}
+        work = [(a, a + STRETCH) for a in range(0, len(x), STRETCH)][::-1]
+        while work:
+            a, b = work.pop()
+            i, j = np.searchsorted(at, [a, b + reach])
+            if sums[j] - sums[i] > HITS and b - a > MARGIN:
+                middle = a + (b - a) // 2 // self.step * self.step
+                work += [(middle, b), (a, middle)]
+                continue
+            if i == j:
+                continue
+            whole = MARGIN <= a and b + reach + 2 * MARGIN <= len(x)
+            mark = hashlib.blake2b(x[max(0, a - MARGIN) : b + reach + 2 * MARGIN], digest_size=16).digest() + bytes([a % self.step]) if whole else None
+            rows = known.get(mark)
+            if rows is None:
+                rows = self._found(x, at[i:j], slot[i:j]) - [0, 0, a, a]
+                if whole:
+                    known[mark] = rows
+            yield rows + [0, 0, a, a]
+
+    def by_item(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For rows of found(): which row, an item that has its window, and how many windows of the item are equal to it."""
+        low, high = np.searchsorted(self.class_of, rows[:, 0], "left"), np.searchsorted(self.class_of, rows[:, 0], "right")
+        at = _runs(low, high - low)
+        return np.repeat(np.arange(len(rows)), high - low), self.class_item[at], self.class_n[at]
+
+    def search(self, x: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item, edits, start, end) of every window found in x, one for each item that has it."""
+        out = set()
+        for rows in self.found(x):
+            which, item, _ = self.by_item(rows)
+            out |= {(self.items[k], *map(int, rows[r, 1:])) for r, k in zip(which, item, strict=True)}
+        return sorted(out, key=lambda h: (h[0] is not None, h))
 
 
 _FOUND = "doc_id long, item_id long, edits long, n_windows long, start long, end long"
@@ -256,21 +338,56 @@ def _index(items: tuple[tuple[int, str], ...], q: int, window: int, edits: float
     return Windows(list(items), q, window, edits)
 
 
+def _regions(index: Windows, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(row, item, edits, windows, start, end) for each row and item found in the rows' compared bytes, edges inside the row."""
+    parts = []
+    for found in index.found(x):
+        row = np.searchsorted(starts, found[:, 3] - 1, "right") - 1
+        which, item, n = index.by_item(found)
+        f = found[which]
+        table = np.stack([row[which], item, f[:, 1], f[:, 0], n, np.maximum(f[:, 2], starts[row[which]]), np.minimum(f[:, 3], starts[row[which] + 1] - GAP)], axis=1)
+        # a window found in two bands or stretches counts once
+        table = table[np.lexsort((table[:, 2], table[:, 3], table[:, 1], table[:, 0]))]
+        parts.append(table)
+        if sum(map(len, parts)) > 1 << 18:
+            parts = [_merged(np.concatenate(parts))]
+    if not parts:
+        return np.zeros((0, 6), np.int64)
+    table = _merged(np.concatenate(parts))
+    first = np.flatnonzero(np.r_[True, (np.diff(table[:, :2], axis=0) != 0).any(axis=1)]) if len(table) else np.zeros(0, int)
+    if not len(first):
+        return np.zeros((0, 6), np.int64)
+    return np.stack([table[first, 0], table[first, 1], np.minimum.reduceat(table[:, 2], first), np.add.reduceat(table[:, 4], first), np.minimum.reduceat(table[:, 5], first), np.maximum.reduceat(table[:, 6], first)], axis=1)
+
+
+def _merged(table: np.ndarray) -> np.ndarray:
+    """One line for each row, item and window: the fewest edits, and from the first to the last place."""
+    table = table[np.lexsort((table[:, 3], table[:, 1], table[:, 0]))]
+    if not len(table):
+        return table
+    first = np.flatnonzero(np.r_[True, (np.diff(table[:, [0, 1, 3]], axis=0) != 0).any(axis=1)])
+    out = table[first]
+    out[:, 2], out[:, 5], out[:, 6] = np.minimum.reduceat(table[:, 2], first), np.minimum.reduceat(table[:, 5], first), np.maximum.reduceat(table[:, 6], first)
+    return out
+
+
 def _search(*how):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(*how)
         for batch in slices(batches, "text", 1 << 20):
             data, offsets = byte_view(batch.column("text"))
             x, starts, source = folded(data, offsets)
-            found: dict[tuple[int, int], list] = {}
-            for item, edits, start, end in index.search(x):
-                row = int(np.searchsorted(starts, end - 1, "right")) - 1
-                found.setdefault((row, item), []).append((edits, max(start, int(starts[row])), min(end, int(starts[row + 1]) - GAP)))
             rows, ids = [], batch.column("doc_id").to_pylist()
-            for (row, item), hits in sorted(found.items(), key=lambda x: (x[0][0], x[0][1] is not None, x[0][1] or 0)):
-                points = np.r_[0, np.cumsum((data[offsets[row] : offsets[row + 1]] & 0xC0) != 0x80)]
-                first, last = (source[p] - offsets[row] for p in (min(h[1] for h in hits), max(h[2] for h in hits) - 1))
-                rows.append((ids[row], item, min(h[0] for h in hits), len(hits), int(points[first]), int(points[last + 1])))
+            regions: dict[tuple, list[int]] = {}
+            for row, item, edits, n, start, end in _regions(index, x, starts).tolist():
+                own = regions.setdefault((row, index.items[item]), [edits, 0, start, end])
+                own[:] = min(own[0], edits), own[1] + n, min(own[2], start), max(own[3], end)
+            points, of = None, None
+            for (row, item), (edits, n, start, end) in sorted(regions.items(), key=lambda x: (x[0][0], x[0][1] is not None, x[0][1] or 0)):
+                if row != of:
+                    points, of = np.r_[0, np.cumsum((data[offsets[row] : offsets[row + 1]] & 0xC0) != 0x80)], row
+                first, last = (source[p] - offsets[row] for p in (start, end - 1))
+                rows.append((ids[row], item, edits, n, int(points[first]), int(points[last + 1])))
             columns = zip(*rows, strict=True) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in _FOUND.split(", ")])
 
@@ -313,7 +430,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, q: int = Q, window:
 
     A part is a window of the item within the edit budget, or the whole of a shorter item between word edges. Items of the
     same compared bytes are searched as one: item_id is the smallest of theirs, item_classes() has the others. edits: of the
-    best window; start and end: the code points over which windows of the item were found. Null or empty texts hold
+    best window; n_windows: the item's windows that were found; start and end: the code points over which they lie. Null or empty texts hold
     nothing; null or empty items and those of fewer than q compared bytes are held by nothing; a null doc_id or item_id is
     reported as it is. Repeated documents are reported each. Extra columns are ignored; an empty table gives an empty
     result.
@@ -341,8 +458,10 @@ def clean(documents: DataFrame, benchmark: DataFrame, q: int = Q, window: int =
         for batch in slices(batches, "text", 1 << 20):
             x, starts, _ = folded(*byte_view(batch.column("text")))
             hit = np.zeros(len(batch), bool)
-            for _, _, _, end in index.search(x):
-                hit[np.searchsorted(starts, end - 1, "right") - 1] = True
+            for rows in index.found(x):
+                hit[np.searchsorted(starts, rows[:, 3] - 1, "right") - 1] = True
+                if hit.all():
+                    break
             yield batch, hit
 
     def without(*how):

@@ -4,10 +4,14 @@ import base64
 import gzip
 import hashlib
 import itertools
+import os
 import random
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -563,3 +567,58 @@ def test_random_base64_is_cheap():
     hidden = raw[:5000] + b" password=abcdefghijklmnop " + raw[5000:9000]
     for body in (hidden, raw[:5001] + "password=abcdefghijklmnop".encode("utf-16-le") + raw[:100], raw[:77] + b"%70assword=abcdefgh%69jklmnop " + raw[:50], raw[:77] + b"pass\\u0077ord=abcdefghijklmnop" + raw[:50]):
         assert secrets.scan("data " + base64.b64encode(body).decode())[1]
+
+
+def _bounded(code):
+    """Run code in a process of its own that may take 700 MB (libraries with it) and 60 s."""
+    head = "import resource, sys, time, random\nresource.setrlimit(resource.RLIMIT_DATA, (900 << 20, 900 << 20))\nimport numpy as np\nfrom massspark.llm import decontam\n"
+    env = os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parents[2]), "OPENBLAS_NUM_THREADS": "1"}
+    subprocess.run([sys.executable, "-c", head + code], check=True, timeout=120, env=env)
+
+
+@pytest.mark.parametrize("unit,item,text", [("ab ", 300, 1 << 20), ("a", 2000, 1 << 20), ("lorem ", 1000, 1 << 20), ("ab ", 1 << 18, 1 << 18), ("abcdefghijk", 900, 1 << 20)])
+def test_repeated_units_are_bounded(unit, item, text):
+    _bounded(f"""
+unit = {unit!r}
+index = decontam.Windows([(1, (unit * {item})[:{item}]), (2, "other words than those")])
+raw = np.frombuffer((("zz " + unit * {text})[:{text}]).encode(), np.uint8)
+x, starts, _ = decontam.folded(raw, np.array([0, len(raw)]))
+start = time.time()
+(row, which, edits, n, a, b), = decontam._regions(index, x, starts)
+assert (row, which, edits, n) == (0, 0, 0, index.n[0]) and a <= 4 and b >= len(x) - decontam.GAP - 12, (a, b, len(x))
+assert time.time() - start < 40
+""")
+
+
+def test_dump_of_items_is_bounded():
+    _bounded("""
+rng = random.Random(1)
+items = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(3000)) for _ in range(300)]
+index = decontam.Windows(list(enumerate(items)))
+raw = np.frombuffer(" ".join(items).encode(), np.uint8)
+x, starts, _ = decontam.folded(raw, np.array([0, len(raw)]))
+start = time.time()
+found = decontam._regions(index, x, starts)
+assert sorted(found[:, 1].tolist()) == list(range(300)) and (found[:, 2] == 0).all() and (found[:, 3] == index.n[found[:, 1]]).all()
+assert time.time() - start < 40
+""")
+
+
+@pytest.mark.parametrize("hits", [1 << 20, 40])
+def test_windows_by_plain_counts(monkeypatch, hits):
+    """Every window with its edits, whether texts are taken whole or in stretches, against every place by edit distance."""
+    monkeypatch.setattr(decontam, "HITS", hits)
+    rng = random.Random(12)
+    items = ["abab" * 12, "".join(rng.choice("abc") for _ in range(60)), "xyz" * 15 + "abab" * 6]
+    index = decontam.Windows(list(enumerate(items)), window=24, edits=0.09, q=5)
+    for t in range(12):
+        text = "".join(rng.choice([rng.choice(items)[: rng.randrange(10, 60)], "q" * rng.randrange(9), "zz"]) for _ in range(8))
+        x = decontam.folded(*view([text]))[0]
+        got = {}
+        for k, e, a, b in index.search(x):
+            got.setdefault(k, set()).add(e)
+        body = x[: -decontam.GAP].tobytes()
+        for k, item in enumerate(items):
+            raw = item.encode()
+            exact = any(raw[w : w + 24] in body for w in range(len(raw) - 23))
+            assert (0 in got.get(k, ())) == exact
