@@ -17,6 +17,7 @@ from massspark.operators.matching import Mods, candidate_windows, candidates, is
 from massspark.operators.scoring import Alphabet, Spectrum, build_graph, distribution, nominal, precursor_mass, tail
 from massspark.operators.staging import written
 from massspark.operators.tails import certified, saddlepoint
+from massspark.sources.bundled import resolve_model
 from massspark.sources.model import Model
 
 
@@ -141,13 +142,15 @@ def search_candidates(proteins: DataFrame, how: Search = Search()) -> DataFrame:
     return flat.select("form", F.col("peptide").alias("letters"), "delta", "cleavage", "mass", "accession", "start", "pre", "post")
 
 
-def search(spectra: DataFrame, proteins: DataFrame, model: Model, how: Search = Search(), index: MassIndex | None = None) -> DataFrame:
+def search(spectra: DataFrame, proteins: DataFrame, model: Model | str | None = None, how: Search = Search(), index: MassIndex | None = None) -> DataFrame:
     """The best peptides of each spectrum with scores, E-values and q-values.
 
     proteins holds targets and decoys. Candidates meet spectra in a join by mass bins or, where an index of search_candidates()
     is given, by a sweep over it, which saves digesting for every search. Those of one spectrum and charge are scored together, so
-    its tables and distribution are made once. Equal peptides of several proteins are one match.
+    its tables and distribution are made once. Equal peptides of several proteins are one match. Without a model or the path of
+    one, the bundled one is taken; model_source tells which it was.
     """
+    model, source = resolve_model(spectra.sparkSession, model)
     enzyme = how.digest.enzyme
     carried = ["form", "isotope", "mass", "accession", "start", "pre", "post"]
     charged = with_charges(spectra, *how.charges)
@@ -174,18 +177,20 @@ def search(spectra: DataFrame, proteins: DataFrame, model: Model, how: Search =
     observed = (F.col("precursor_mz") - PROTON) * F.col("charge") - F.col("isotope") * ISOTOPE
     out = out.select(
         "spec_file", "spec_index", "title", "scan", "precursor_mz", "isotope", ((observed - F.col("mass")) / F.col("mass") * 1e6).alias("precursor_error"), "charge",
-        F.concat("pre", F.lit("."), "form", F.lit("."), "post").alias("flanked"), "proteins", "denovo_score", "raw_score", "spec_evalue", *how.tails.columns, (F.col("spec_evalue") * size).alias("evalue"),
+        F.concat("pre", F.lit("."), "form", F.lit("."), "post").alias("flanked"), "proteins", "denovo_score", "raw_score", "spec_evalue", *how.tails.columns, (F.col("spec_evalue") * size).alias("evalue"), F.lit(source).alias("model_source"),
     )
     matches = written(out, "matches").withColumns({"score": F.col("spec_evalue").cast("float"), "peptide": peptide_key(F.col("flanked")), "is_decoy": is_decoy_match(F.col("proteins"), how.decoy_prefix)})
     return assign_q_values(matches).drop("score", "peptide").withColumnRenamed("flanked", "peptide")
 
 
-def rescore(matches: DataFrame, spectra: DataFrame, model: Model, isotopes: tuple[int, int] = (0, 0), frequency: dict[str, float] | None = None, db_size: int | None = None, tails: Tails = Tails()) -> DataFrame:
+def rescore(matches: DataFrame, spectra: DataFrame, model: Model | str | None = None, isotopes: tuple[int, int] = (0, 0), frequency: dict[str, float] | None = None, db_size: int | None = None, tails: Tails = Tails()) -> DataFrame:
     """A match list (input_pos, scan, peptide, charge, ...) with status, raw_score, denovo_score, spec_evalue[, evalue] and the columns of tails.
 
     status: scored, or the first reason against it: no spectrum, no charge, bad peptide, no distribution. Every row and
-    column of the input stays, in its order by input_pos, so that the result can go on to fdr().
+    column of the input stays, in its order by input_pos, so that the result can go on to fdr(). model as in search(), without a
+    column that names it, as rows go on to be written as they came.
     """
+    model, _ = resolve_model(spectra.sparkSession, model)
     known = last_by_scan(spectra).select("scan", "spec_index", "precursor_mz", "peaks", F.col("charge").alias("own_charge"))
     rows = matches.join(known, "scan", "left").withColumn("charge", F.coalesce("charge", "own_charge"))
     core = F.regexp_replace(F.regexp_replace("peptide", r"^[A-Za-z_-]\.", ""), r"\.[A-Za-z_-]$", "")

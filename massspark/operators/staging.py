@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; where it is unset, as in tests, a temporary one is set."""
+    """The folder that all executors see: spark.checkpoint.dir. Where it is unset and all is on one machine, as in tests, a temporary
+    one is set; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="massspark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")

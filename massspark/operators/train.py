@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from massspark.functions import chem
 from massspark.operators.matching import Ion, ion_kinds, ranked_peaks, strongest_match
 from massspark.operators.staging import placed, written
-from massspark.sources.model import Fragment, Model
+from massspark.sources.model import Fragment, Model, encode
 
 
 def quantile_starts(rows: DataFrame, by: list[str], value: str, ties: list[str], parts: int) -> DataFrame:
@@ -130,7 +131,21 @@ def train(spectra: DataFrame, how: Training = Training()) -> Model:
 
     The same spectra give the same bytes. Raises ValueError if no spectrum passes the screen.
     """
-    kept = screened(spectra, how).where("reject_reason is null").select("spec_index", "charge", "mass", "sites", "seq", "peaks")
+    return train_with_report(spectra, how)[0]
+
+
+#: The reasons of screened(), in the order in which they are looked for.
+REASONS = ("no annotation", "no charge", "few peaks", "bad peptide", "length", "not tryptic", "mass mismatch")
+
+
+def train_with_report(spectra: DataFrame, how: Training = Training()) -> tuple[Model, dict]:
+    """train(), and a report of it for JSON: what was read, rejected and kept, and what each partition of the model rests on.
+
+    The counts of the screen are observed while the spectra that are kept are written, not counted by jobs of their own.
+    """
+    seen = Observation()
+    counted = [F.count("*").alias("read"), *[F.count_if(F.col("reject_reason") == r).alias(r) for r in REASONS], F.count_if(F.col("reject_reason").isNull()).alias("kept"), F.coalesce(F.sum(F.when(F.col("reject_reason").isNull(), F.size("peaks"))), F.lit(0)).alias("peaks")]
+    kept = screened(spectra, how).observe(seen, *counted).where("reject_reason is null").select("spec_index", "charge", "mass", "sites", "seq", "peaks")
     parts = int(spectra.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = written(kept.repartition(parts, "spec_index"), "kept")  # so many files that all cores share what is made of each row
     sizes = {r["charge"]: r["n"] for r in kept.groupBy("charge").agg(F.count("*").alias("n")).collect()}
@@ -183,7 +198,27 @@ def train(spectra: DataFrame, how: Training = Training()) -> Model:
         model.fragments.append([x[0] for x in own])
         model.ranks.append(np.array([smooth(x[1]) for x in own] + [smooth(noise)]) if own else None)
     model.errors = _errors(both, kinds, order, how)
-    return model
+    return model, _report(model, seen.get, {(r["charge"], r["part"]): r["n"] for r in kept.groupBy("charge", "part").agg(F.count("*").alias("n")).collect()}, order)
+
+
+def _report(model: Model, seen: dict, spectra: dict[tuple[int, int], int], order: list[tuple]) -> dict:
+    ions: dict[str, int] = {}
+    detail = []
+    for (c, s, m, p), own in zip(order, model.fragments, strict=True):
+        for f in own:
+            ions[f.name] = ions.get(f.name, 0) + 1
+        main = max(own, key=lambda f: f.frequency).name if own else None
+        detail.append({"charge": c, "parent_mass": m, "segment": s, "spectra": spectra[c, p], "main_ion": main, "ions": [{"name": f.name, "frequency": f.frequency} for f in own]})
+    return {
+        "spectra": {"read": seen["read"], "rejected": {r: seen[r] for r in REASONS}, "kept": seen["kept"], "peaks": seen["peaks"]},
+        "model": {"bytes": len(encode(model)), "partitions": len(model.partitions), "max_rank": model.max_rank, "precursor_offsets": len(model.precursors), "ion_types": dict(sorted(ions.items(), key=lambda x: (-x[1], x[0])))},
+        "partitions": detail,
+    }
+
+
+def write_report(spark: SparkSession, report: dict, path: str) -> None:
+    """As a folder with one text file of JSON, which any store takes."""
+    spark.createDataFrame([(json.dumps(report, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def _pooled(row: np.ndarray) -> np.ndarray:

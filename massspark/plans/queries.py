@@ -569,3 +569,22 @@ def rescore_estimates(spark, sf_dir):
     spectra = annotated(spark, sf_dir)
     rows = spectra.select(F.col("spec_index").alias("input_pos"), "scan", F.col("seq").alias("peptide"), "charge")
     return run(rows, spectra, model(spark, sf_dir), tails=Tails(estimate=True, cap=20, share=1e-3))
+
+
+@query()
+def training_report(spark, sf_dir):
+    """The partitions of a training report, with the counts of its screen. Trains anew."""
+    from massspark.operators.train import train_with_report
+
+    report = train_with_report(annotated(spark, sf_dir))[1]
+    seen = report["spectra"]
+    rows = [(p["charge"], p["parent_mass"], p["segment"], p["spectra"], p["main_ion"], len(p["ions"]), seen["read"], seen["kept"]) for p in report["partitions"]]
+    return spark.createDataFrame(rows, "charge int, parent_mass double, segment int, spectra long, main_ion string, ions int, spectra_read long, spectra_kept long")
+
+
+@query()
+def search_bundled(spark, sf_dir):
+    """The planted peptides searched with the bundled model, without training."""
+    from massspark.operators.search import search as run
+
+    return run(annotated(spark, sf_dir).drop("seq"), dig.with_decoys(short_proteins(spark, sf_dir)))

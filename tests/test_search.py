@@ -1,6 +1,7 @@
 """Sources, sinks, the model's stream, training, scores against enumeration, and search end to end."""
 
 import itertools
+import json
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from massspark.operators import train as tr
 from massspark.operators.fdr import assign_q_values
 from massspark.operators.mass_index import build_index, open_index
 from massspark.plans import adaptors as ad
+from massspark.sources import bundled
 from massspark.sources import model as mo
 from massspark.sources import sinks, spectra, tables
 from massspark.streaming import spectra as stream
@@ -115,6 +117,37 @@ def test_model_stream(spark, planted, tmp_path):
     assert mo.encode(tr.train(planted[1])) == data  # the same spectra, the same bytes
 
 
+def test_training_report(spark, planted, tmp_path):
+    rows = planted[1].withColumn("seq", F.when(F.col("spec_index") == 0, None).when(F.col("spec_index") == 1, "PEPTIDEA").otherwise(F.col("seq")))
+    model, report = tr.train_with_report(rows)
+    counts = {r.reason: r.n for r in tr.corpus_counts(rows).collect()}
+    seen = report["spectra"]
+    assert seen["read"] == rows.count() and seen["kept"] == counts.pop("kept") and {r: n for r, n in seen["rejected"].items() if n} == counts
+    relations = mo.tables(spark, model)
+    assert report["model"]["bytes"] == len(mo.encode(model)) and report["model"]["partitions"] == relations["partitions"].count() == len(report["partitions"])
+    assert report["model"]["precursor_offsets"] == relations["precursors"].count()
+    assert report["model"]["ion_types"] == {r.name: r["count"] for r in relations["fragments"].groupBy("name").count().collect()}
+    assert sum(p["spectra"] for p in report["partitions"] if p["segment"] == 0) == seen["kept"] == sum(n for _, n in model.charges)
+    tr.write_report(spark, report, str(tmp_path / "report"))
+    assert json.loads(spark.read.text(str(tmp_path / "report"), wholetext=True).first()[0]) == report
+
+
+def test_models_have_a_source(spark, planted, tmp_path, monkeypatch):
+    proteins, rows, model = planted
+    shipped, source = bundled.resolve_model(spark)
+    assert bundled.NAME in source and len(shipped.partitions) > 1 and mo.decode(mo.encode(shipped)).partitions == shipped.partitions
+    mo.write_model(spark, model, str(tmp_path / "table"))
+    (tmp_path / "stream.param").write_bytes(mo.encode(model))
+    for path in ("table", "stream.param"):
+        found, source = bundled.resolve_model(spark, str(tmp_path / path))
+        assert mo.encode(found) == mo.encode(model) and source == str(tmp_path / path)
+    found = se.search(rows.drop("seq"), dig.with_decoys(proteins), how=se.Search(digest=dig.Digest(max_missed=1))).join(rows.select("spec_index", "seq"), "spec_index").collect()
+    assert {r.model_source for r in found} == {bundled.resolve_model(spark)[1]} and sum(r.peptide[2:-2] == r.seq for r in found) >= 0.9 * len(found)
+    monkeypatch.setattr(bundled, "DIGEST", "0" * 64)
+    with pytest.raises(ValueError, match="digest"):
+        bundled.bundled_model()
+
+
 def test_trained_scores(planted):
     model = planted[2]
     for own, rows in zip(model.fragments, model.ranks, strict=True):
