@@ -37,7 +37,8 @@ def paths(nodes: DataFrame, branches: int | None = None) -> DataFrame:
     3 log n joins of n rows at most and, beyond those, no more rows than the chosen paths have.
     """
     kind = nodes.schema["conv_id"].dataType
-    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv_id")  # joins and windows see null ids as one
+    # joins and windows see null ids as one, and as another than an empty string
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("conv_id")
     known = written(nodes.select(key, "node", F.col("parent").alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "nodes")
     parents = known.select("conv_id", F.col("node").alias("up"))
     steps, most = [written(known.where("up is not null").join(parents, ["conv_id", "up"], "left_semi").select("conv_id", "node", "up", "score"), "steps")], known.count()
@@ -68,7 +69,7 @@ def paths(nodes: DataFrame, branches: int | None = None) -> DataFrame:
     for k, step in reversed(list(enumerate(steps))):
         more = found.join(step, ["conv_id", "node"]).select("conv_id", "leaf", F.col("up").alias("node"), (F.col("place") - (1 << k)).alias("place"), "rank", "total")
         found = written(found.unionByName(more), "paths")
-    return found.select(F.when(F.col("conv_id") != "", F.col("conv_id")).cast(kind).alias("conv_id"), "leaf", "place", "node", "rank", "total")
+    return found.select(F.when(F.col("conv_id") != "", F.expr("substring(conv_id, 2)")).cast(kind).alias("conv_id"), "leaf", "place", "node", "rank", "total")
 
 
 def formatted(turns: DataFrame) -> DataFrame:

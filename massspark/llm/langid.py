@@ -157,7 +157,11 @@ def identify(documents: DataFrame, profiles: dict[str, np.ndarray], profile: int
 
 
 def recognised(documents: DataFrame, profiles: dict[str, np.ndarray], least: float, profile: int = PROFILE) -> DataFrame:
-    """The rows, with all their columns, whose text is in a learned language with a score of `least` or more."""
+    """The rows, with all their columns, whose text is in a learned language with a score of `least` or more.
+
+    A null text or one without a letter is in none, and without any learned language no row is left. Repeated rows are judged
+    each; a null doc_id or lang does not matter; an empty table gives an empty result.
+    """
     predict = _predictor(profiles, profile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,8 @@ from massspark.llm.graph import components
 
 #: 40 bands of 5 slots: a pair at similarity 0.8 shares no bucket with probability (1 - 0.8^5)^40 = 1.2e-7.
 BANDS, ROWS = 40, 5
-#: Pivots of an undecided bucket that each round compares with the bucket's other members.
+#: Pivots of an undecided bucket that the first round compares with the bucket's other members; each round takes twice as many,
+#: so rounds grow with the log of a bucket.
 PIVOTS = 512
 #: Longs of a parity sketch, of every set and of those that stay undecided.
 _SKETCH, _WIDE = [f"p{i}" for i in range(4)], [f"p{i}" for i in range(16)]
@@ -244,11 +245,11 @@ def _hubs(named: DataFrame) -> DataFrame:
     return top.select("key", (-F.col("top.minus")).alias("pivot"), *[F.col(f"top.{c}").alias(f"pivot_{c}") for c in _OF_PIVOT])
 
 
-def _strangers(named: DataFrame) -> DataFrame:
-    """PIVOTS members of each bucket, of its smallest components first: when all but the largest have gone, it is decided."""
+def _strangers(named: DataFrame, most: int) -> DataFrame:
+    """`most` members of each bucket, of its smallest components first: when all but the largest have gone, it is decided."""
     share = named.groupBy("key", "comp").agg(F.count("*").alias("share"))
     order = Window.partitionBy("key").orderBy("share", "node")
-    placed = named.join(share, ["key", "comp"]).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= PIVOTS)
+    placed = named.join(share, ["key", "comp"]).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most)
     return placed.select("key", F.col("node").alias("pivot"), *[F.col(c).alias(f"pivot_{c}") for c in _OF_PIVOT])
 
 
@@ -319,8 +320,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
         forget(rest)
         rest = written(_undecided(prefixes, groups), "undecided")
         forget(prefixes)
+    most = PIVOTS
     while not rest.isEmpty():
-        pivots = written(_strangers(rest), "pivots")
+        pivots, most = written(_strangers(rest, most), "pivots"), 2 * most
         found = linked(_pairs(rest, pivots, percent, _WIDE), sets, percent)
         if not found.isEmpty():
             links = links.unionByName(found)

@@ -231,6 +231,31 @@ def test_chat(spark):
     assert chat.format_best(chat.trees(turns.limit(0))).count() == 0
 
 
+def test_null_and_empty_conversation_ids(spark):
+    rows = [(None, 0, "user", "of none"), ("", 0, "user", "of the empty"), ("=", 0, "user", "of the sign"), ("a", 0, "user", "of a")]
+    turns = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    read = {r.conv_id: [t.text for t in r.turns] for r in chat.parsed(chat.format_best(chat.trees(turns)).select("conv_id", "formatted")).collect()}
+    assert read == {c: [t] for c, _, _, t in rows}
+
+
+def test_near_duplicates_of_many_edits(spark, monkeypatch):
+    """Texts that all share most of their shingles and link with few: every pair is decided, in rounds that double."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(w if rng.random() > 0.06 else f"x{rng.randrange(10**6)}" for w in base) for _ in range(120)]
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(57)} for t in texts]
+    want = components(len(texts), [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(a & b) >= 80 * len(a | b)])
+    monkeypatch.setattr(neardup, "PIVOTS", 8)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(spark, texts), 4, 80).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (3, "other words than these here")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect())
+    assert got == [(1, 4, 1, True), (1, 4, 1, True), (2, 4, 1, False), (3, 0, 3, True), (3, 2, 3, True)]
+
+
 def test_branches(spark):
     rng = random.Random(3)
     nodes = [(c, n, None if n == 0 else rng.randrange(max(0, n - 3), n), float(rng.randrange(5)), "user", f"{c}.{n}") for c in range(4) for n in range(40)]

@@ -46,3 +46,30 @@ def test_stages(spark):
         before = after
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in packed} == set(before)
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls in every column, empty and repeated rows, clashing columns and empty tables go through all stages."""
+    prose = {"en": "the cat and the dog went over the hill with all of their old friends and came home", "de": "der hund und die katze gingen mit allen alten freunden den berg hinauf und wieder heim"}
+    rows = [(i, " ".join(prose[x].split()[(i * 7 + k * 3) % 13] + f" n{i}" for k in range(12)), x, "s", 1) for i in range(40) for x in ["en" if i % 2 else "de"]]
+    rows += [(100, None, "en", None, None), (101, "", None, "s", 0), (102, "12 34 !", "en", "s", 7), (None, "password=abcdefghijklmnop the cat and the dog", None, None, None), rows[3], (103, rows[3][1], "de", "s", 3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key long, part string, comp long, id int"
+    docs = spark.createDataFrame([(*r, 1, "x", 2, 3) for r in rows], schema).repartition(2)
+    spark.createDataFrame([(1, prose["en"] + " and then some more"), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, str(tmp_path))
+        assert after.columns == docs.columns and [f.dataType for f in after.schema] == [f.dataType for f in docs.schema]
+        assert stage(spark, before.limit(0), str(tmp_path)).count() == 0
+        before = after
+    kept = before.collect()
+    ids = [r.doc_id for r in kept]
+    assert not {100, 101, 102, 103} & set(ids) and ids.count(3) == 2 and None in ids  # a group's first document stays, with the rows of its id
+    assert next(r for r in kept if r.doc_id is None).text.startswith("[SECRET]") and all(r.n_chars == len(r.text) and r.id == 3 for r in kept)
+    packed = corpus_pipeline.STAGES[-1][1](spark, before, str(tmp_path)).collect()
+    assert len(packed) == len(kept) and corpus_pipeline.STAGES[-1][1](spark, before.limit(0), str(tmp_path)).count() == 0
+
+
+def test_language_stage_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some words", None, "s", 10)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.language_id(spark, docs, "").count() == 0
