@@ -20,29 +20,36 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the profiles know."""
+    """Documents in a language that the profiles know; they are learned from docs as they come, held-out ones left out.
+
+    Null texts and texts without a letter are rejected. Without any row that has doc_id, text and lang nothing is learned, and
+    every document is rejected.
+    """
     return langid.recognised(docs, langid.fit(docs), LEAST_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near duplicates: five-word shingles, similarity 0.8."""
+    """One document, that of the smallest doc_id, of each group of near duplicates: five-word shingles, similarity 0.8.
+
+    Null and blank texts are near nothing, and rows without doc_id stay. Rows of one doc_id are one document.
+    """
     gone = near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no part of a benchmark item."""
+    """Documents that hold no part of a benchmark item; null and empty texts and items hold nothing."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with every secret masked, n_chars counted anew."""
+    """The documents with every secret masked, n_chars counted anew; both stay null where the text is."""
     masked = secrets.redacted(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def length_buckets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A bucket, batch and slot for each document."""
+    """A bucket, batch and slot for each row; a null text has the length of an empty one."""
     return packing.pack(docs, packing.byte_tokens())
 
 
