@@ -30,6 +30,8 @@ BANDS, ROWS = 40, 5
 PIVOTS = 512
 #: Longs of a parity sketch, of every set and of those that stay undecided.
 _SKETCH, _WIDE = [f"p{i}" for i in range(4)], [f"p{i}" for i in range(16)]
+#: Values that a hash draws from.
+_DRAWS = 1 << 30
 _MEMBER = ["key", "node", "size", "common", "place", "sketch", "weight", "comp"]
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -227,6 +229,21 @@ def _undecided(buckets: DataFrame, groups: DataFrame) -> DataFrame:
     return named.join(several, "key", "left_semi").select(_MEMBER)
 
 
+def _joined(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """The components (node, root) after further links: these are read as links of roots, and only they are searched anew."""
+    if found.isEmpty():
+        return groups
+    ends = found
+    for end in ("a", "b"):
+        ends = ends.join(groups.select(F.col("node").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    tops = written(components(ends.where("a <> b"), "a", "b"), "tops")
+    moved = groups.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    out = written(moved.unionByName(tops.join(groups, "node", "left_anti")), "groups")
+    forget(tops)
+    forget(groups)
+    return out
+
+
 def _buckets(keyed: DataFrame, about: DataFrame) -> DataFrame:
     """The members (key, node, what is known about it, weight, comp) of all buckets of two members or more. weight: the members of all buckets of a node;
     a text from which copies were made meets more of them than the copies meet of each other, so it makes the best pivot."""
@@ -246,11 +263,22 @@ def _hubs(named: DataFrame) -> DataFrame:
 
 
 def _strangers(named: DataFrame, most: int) -> DataFrame:
-    """`most` members of each bucket, of its smallest components first: when all but the largest have gone, it is decided."""
-    share = named.groupBy("key", "comp").agg(F.count("*").alias("share"))
-    order = Window.partitionBy("key").orderBy("share", "node")
-    placed = named.join(share, ["key", "comp"]).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most)
-    return placed.select("key", F.col("node").alias("pivot"), *[F.col(c).alias(f"pivot_{c}") for c in _OF_PIVOT])
+    """About `most` members of each bucket, of its smallest components first: when all but the largest have gone, it is decided.
+    A bucket of no more gives all. Components of one size are counted together before anything is ordered, and a bucket of
+    n members has at most sqrt(2 n) sizes; of the last size that has room a hash draws as many as fit on average."""
+    share = written(named.groupBy("key", "comp").agg(F.count("*").alias("share")), "shares")
+    before = Window.partitionBy("key").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = share.groupBy("key", "share").agg(F.sum("share").alias("members"))
+    room = sizes.withColumn("room", most - F.coalesce(F.sum("members").over(before), F.lit(0))).where("room > 0")
+    last = written(room.groupBy("key").agg(F.max(F.struct("share", "room", "members")).alias("last")), "last-sizes")
+    # both written, so that a hot bucket's partition is one of plain joins, which can be split
+    placed = written(named.join(share, ["key", "comp"]), "shared")
+    draw = F.pmod(F.xxhash64("key", "node", F.lit(most)), F.lit(_DRAWS)) * F.col("last.members") < F.col("last.room") * _DRAWS
+    chosen = placed.join(last, "key").where((F.col("share") < F.col("last.share")) | ((F.col("share") == F.col("last.share")) & draw))
+    out = written(chosen.select("key", F.col("node").alias("pivot"), *[F.col(c).alias(f"pivot_{c}") for c in _OF_PIVOT]), "pivots")
+    for df in (share, last, placed):
+        forget(df)
+    return out
 
 
 def _pairs(named: DataFrame, pivots: DataFrame, percent: int, sketch: list[str]) -> DataFrame:
@@ -320,16 +348,14 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
         forget(rest)
         rest = written(_undecided(prefixes, groups), "undecided")
         forget(prefixes)
-    most = PIVOTS
+    most, groups = PIVOTS, written(groups, "groups")
     while not rest.isEmpty():
-        pivots, most = written(_strangers(rest, most), "pivots"), 2 * most
+        pivots, most = _strangers(rest, most), 2 * most
         found = linked(_pairs(rest, pivots, percent, _WIDE), sets, percent)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            groups = components(links.unionByName(copies), "a", "b")
+        groups = _joined(groups, found)
         following = written(_undecided(rest.drop("comp").join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti"), groups), "undecided")
-        forget(pivots)
-        forget(rest)
+        for df in (pivots, found, rest):
+            forget(df)
         rest = following
     forget(rest)
     result = signed.select("doc_id", "n_shingles").join(groups.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")

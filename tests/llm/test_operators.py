@@ -250,6 +250,38 @@ def test_near_duplicates_of_many_edits(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_further_links_join_components(spark):
+    rng = random.Random(4)
+    first, further = ([(rng.randrange(60), rng.randrange(60)) for _ in range(n)] for n in (20, 25))
+    table = [spark.createDataFrame(rows, "a long, b long") for rows in (first, further)]
+    want = {r.node: r.root for r in graph.components(table[0].unionByName(table[1]), "a", "b").collect()}
+    groups = neardup.written(graph.components(table[0], "a", "b"), "groups")
+    assert {r.node: r.root for r in neardup._joined(groups, table[1]).collect()} == want
+    assert neardup._joined(groups, table[1].limit(0)) is groups
+
+
+def test_strangers_are_of_the_smallest_components(spark):
+    sketch = ", ".join(f"{p} long" for p in neardup._WIDE)
+    schema = f"key long, node long, size long, common long, place long, sketch struct<{sketch}>, weight long, comp long"
+    zeros = (0,) * len(neardup._WIDE)
+    # bucket 1: 900 lone members, one component of 40 and one of 3,000; bucket 2: two members
+    comps = [(1, i, i) for i in range(900)] + [(1, i, 900) for i in range(900, 940)] + [(1, i, 1000) for i in range(1000, 4000)] + [(2, 1, 1), (2, 2, 2)]
+    named = spark.createDataFrame([(k, n, 9, 9, 1, zeros, 0, c) for k, n, c in comps], schema)
+
+    def chosen(most):
+        rows = neardup._strangers(named, most).collect()
+        assert len({(r.key, r.pivot) for r in rows}) == len(rows)
+        assert {r.pivot for r in rows if r.key == 2} == {1, 2}
+        return {r.pivot for r in rows if r.key == 1}
+
+    few = chosen(300)
+    assert 200 < len(few) < 400 and max(few) < 900  # drawn from the lone members alone
+    assert chosen(940) == set(range(940))
+    more = chosen(2440)
+    assert set(range(940)) < more and 1200 < len(more) - 940 < 1800
+    assert len(chosen(5000)) == 3940
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (3, "other words than these here")]
     got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect())
