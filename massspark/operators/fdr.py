@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import groupby
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from massspark.functions.chem import is_decoy_match, peptide_key
-from massspark.operators.staging import in_ranges, sums_before
+from massspark.operators.staging import group_ranges
 
 
 def score_counts(scored: DataFrame, score: str = "score", decoy: str = "is_decoy") -> DataFrame:
@@ -20,32 +22,47 @@ def q_map(scored: DataFrame, score: str = "score", decoy: str = "is_decoy") -> D
 
 
 def q_map_of(counts: DataFrame) -> DataFrame:
-    """score, q of counts (score, t, d): the least rate decoys/targets at any worse key, by strictly better counts.
+    """score, q of counts (score, t, d): see q_maps()."""
+    return q_maps(counts.select(F.lit(0).alias("map"), "score", "t", "d")).drop("map")
+
+
+def q_maps(counts: DataFrame) -> DataFrame:
+    """map, score, q of counts (map, score, t, d), several maps in one pass: the least rate decoys/targets at any worse key, by
+    strictly better counts.
 
-    Scores are dealt into ranges; each range's running
-    counts start from the sums of those before it, and the least rate behind a range comes from the ranges' minima, so no
+    Scores are dealt into ranges by map and score; each range's running
+    counts start from the sums of those before it in its map, and the least rate behind a range comes from the ranges' minima, so no
     task sees more than a range. Keys are the decoys' scores that some target beats. The sweep stops behind the first key
     whose rate reaches 1; beyond the last key q is 1, or 0 where there is no decoy.
     """
-    ranges = in_ranges(counts, "score")
-    order = Window.partitionBy("part").orderBy("score")
+    ranges, before = group_ranges(counts, ["map"], ["score"]), []
+    each = sorted(ranges.groupBy("map", "part").agg(F.sum("t").alias("t"), F.sum("d").alias("d")).collect(), key=lambda r: (r["map"], r["part"]))  # a row for each range
+    for _, parts in groupby(each, key=lambda r: r["map"]):
+        t = d = 0
+        for r in parts:
+            before.append((r["map"], r["part"], t, d))
+            t, d = t + r["t"], d + r["d"]
+    order = Window.partitionBy("map", "part").orderBy("score")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    better = ranges.join(sums_before(ranges, ["t", "d"]), "part").select("part", "score", "d", (F.sum("t").over(upto) - F.col("t") + F.col("t_before")).alias("targets"), (F.sum("d").over(upto) - F.col("d") + F.col("d_before")).alias("decoys"))
+    starts = F.broadcast(counts.sparkSession.createDataFrame(before, "map int, part int, t_before long, d_before long"))
+    better = ranges.join(starts, ["map", "part"]).select("map", "part", "score", "d", (F.sum("t").over(upto) - F.col("t") + F.col("t_before")).alias("targets"), (F.sum("d").over(upto) - F.col("d") + F.col("d_before")).alias("decoys"))
     ratio = F.when(F.col("targets") <= F.col("decoys"), F.lit(1.0)).otherwise(F.col("decoys").cast("float") / F.col("targets").cast("float")).cast("float")
     rated = better.withColumn("rate", F.when((F.col("d") > 0) & (F.col("targets") > 0), ratio))
     stopped = F.coalesce(F.max(F.col("rate") >= 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    rated = rated.select("part", "score", "d", "rate", F.when(~stopped, F.col("rate")).alias("used"))
-    ranges_of = rated.groupBy("part").agg(F.sum("d").alias("d"), F.max("rate").alias("most"), F.min("used").alias("least")).collect()  # a row for each range
-    beyond = 1.0 if any(r["d"] for r in ranges_of) else 0.0
-    last = min((r["part"] for r in ranges_of if (r["most"] or 0) >= 1), default=1 << 30)  # no rate counts behind the range of the stop
-    behind, after = beyond, []
-    for r in sorted(ranges_of, key=lambda r: -r["part"]):
-        after.append((r["part"], behind))
-        if r["part"] <= last and r["least"] is not None:
-            behind = min(behind, r["least"])
-    rows = rated.join(F.broadcast(counts.sparkSession.createDataFrame(after, "part int, behind float")), "part")
-    worse = F.min(F.when(F.col("part") <= last, F.col("used"))).over(order.rowsBetween(1, Window.unboundedFollowing))
-    return rows.select("score", F.least(F.coalesce(worse, "behind"), "behind").alias("q"))
+    rated = rated.select("map", "part", "score", "d", "rate", F.when(~stopped, F.col("rate")).alias("used"))
+    found = sorted(rated.groupBy("map", "part").agg(F.sum("d").alias("d"), F.max("rate").alias("most"), F.min("used").alias("least")).collect(), key=lambda r: (r["map"], -r["part"]))
+    after = []
+    for _, parts in groupby(found, key=lambda r: r["map"]):
+        parts = list(parts)
+        behind = 1.0 if any(r["d"] for r in parts) else 0.0
+        last = min((r["part"] for r in parts if (r["most"] or 0) >= 1), default=1 << 30)  # no rate counts behind the range of the stop
+        for r in parts:
+            after.append((r["map"], r["part"], behind, r["part"] <= last))
+            if r["part"] <= last and r["least"] is not None:
+                behind = min(behind, r["least"])
+    rows = rated.join(F.broadcast(counts.sparkSession.createDataFrame(after, "map int, part int, behind float, counted boolean")), ["map", "part"])
+    worse = F.min(F.when(F.col("counted"), F.col("used"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    return rows.select("map", "score", F.least(F.coalesce(worse, "behind"), "behind").alias("q"))
 
 
 def best_per_peptide(scored: DataFrame) -> DataFrame:
@@ -60,7 +77,8 @@ def assign_q_values(matches: DataFrame) -> DataFrame:
     """
     scored = matches.where("score is not null")
     best = best_per_peptide(scored)
-    return with_q_values(matches, q_map(scored), best, q_map(best))
+    maps = q_maps(score_counts(scored).withColumn("map", F.lit(0)).unionByName(score_counts(best).withColumn("map", F.lit(1))))
+    return with_q_values(matches, maps.where("map = 0"), best, maps.where("map = 1"))
 
 
 def with_q_values(matches: DataFrame, psm_q: DataFrame, best: DataFrame, pep_q: DataFrame) -> DataFrame:

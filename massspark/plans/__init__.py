@@ -1 +1,3 @@
-"""See the modules."""
+"""Named queries: queries holds the registry, reports adds those that go through files."""
+
+from massspark.plans import queries, reports  # noqa: F401

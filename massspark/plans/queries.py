@@ -30,7 +30,7 @@ def query(sql: str | None = None):
     return register
 
 
-_MASS_LIST = ", ".join(f"('{r}', {m!r}::DOUBLE)" for r, m in chem.MASSES.items())
+MASS_LIST = ", ".join(f"('{r}', {m!r}::DOUBLE)" for r, m in chem.MASSES.items())
 _STANDARD = f"regexp_matches(peptide, '^[{chem.RESIDUES}]+$')"
 
 
@@ -48,10 +48,10 @@ SELECT accession, start, CAST(length(peptide) AS INTEGER) AS len, 2::INTEGER AS
 
 
 _TRYPTIC = "regexp_replace(sequence, '([KR])', '\\1|', 'g')"
-_PEPTIDES_SQL = _digest_sql(PROTEINS_SQL, _TRYPTIC, 2)
+PEPTIDES_SQL = _digest_sql(PROTEINS_SQL, _TRYPTIC, 2)
 
 
-def _peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
+def peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dig.digest(proteins(spark, sf_dir), dig.Digest(max_missed=2))
 
 
@@ -67,13 +67,13 @@ def aa_composition(spark, sf_dir):
     return dig.composition(proteins(spark, sf_dir)).withColumn("frequency", F.round("frequency", 9))
 
 
-@query(f"""WITH m(residue, mass) AS (VALUES {_MASS_LIST}), d AS (SELECT DISTINCT peptide FROM ({_PEPTIDES_SQL})),
+@query(f"""WITH m(residue, mass) AS (VALUES {MASS_LIST}), d AS (SELECT DISTINCT peptide FROM ({PEPTIDES_SQL})),
 r AS (SELECT peptide, unnest(string_split(peptide, '')) AS residue FROM d),
 x AS (SELECT peptide, sum(mass) + {chem.WATER!r} AS mass FROM r JOIN m USING (residue) GROUP BY peptide)
 SELECT peptide, round(mass, 6) AS mass, round((mass + 2 * {chem.PROTON}) / 2, 6) AS mz2 FROM x""")
 def peptide_mass(spark, sf_dir):
     mass = chem.neutral_mass(F.col("peptide"))
-    return _peptides(spark, sf_dir).select("peptide").distinct().select("peptide", F.round(mass, 6).alias("mass"), F.round(chem.mz(mass, 2), 6).alias("mz2"))
+    return peptides(spark, sf_dir).select("peptide").distinct().select("peptide", F.round(mass, 6).alias("mass"), F.round(chem.mz(mass, 2), 6).alias("mz2"))
 
 
 @query(f"""SELECT spec_index, l_linenumber, cents, CAST(round(CAST(CAST(mz AS FLOAT) * CAST(0.999497 AS FLOAT) AS FLOAT)) AS INTEGER) AS nominal,
@@ -141,14 +141,14 @@ def decoy_union_sanity(spark, sf_dir):
 
 
 def _ladder_sql(suffix: bool) -> str:
-    return f"""WITH m(residue, mass) AS (VALUES {_MASS_LIST}), d AS (SELECT DISTINCT peptide FROM ({_PEPTIDES_SQL})),
+    return f"""WITH m(residue, mass) AS (VALUES {MASS_LIST}), d AS (SELECT DISTINCT peptide FROM ({PEPTIDES_SQL})),
 r AS (SELECT peptide, CAST(unnest(range(1, length(peptide) + 1)) AS INTEGER) AS i, unnest(string_split({'reverse(peptide)' if suffix else 'peptide'}, '')) AS residue FROM d),
 s AS (SELECT peptide, i, {chem.WATER if suffix else 0.0!r} + sum(mass) OVER (PARTITION BY peptide ORDER BY i) AS mass FROM r JOIN m USING (residue))
 SELECT peptide, i, round(mass + {chem.PROTON}, 5) AS mz1, round((mass + 2 * {chem.PROTON}) / 2, 5) AS mz2 FROM s WHERE i < length(peptide)"""
 
 
 def _ladder(spark, sf_dir, suffix):
-    rows = ma.ladder(_peptides(spark, sf_dir).select("peptide").distinct(), suffix)
+    rows = ma.ladder(peptides(spark, sf_dir).select("peptide").distinct(), suffix)
     return rows.withColumns({"mz1": F.round("mz1", 5), "mz2": F.round("mz2", 5)})
 
 
@@ -166,15 +166,15 @@ _MODS = ma.Mods.parse("NumMods=2\nC2H3N1O1,C,fix,any,Carbamidomethyl\nO1,M,opt,a
 _C, _O, _A = (m.mass for m in _MODS.mods)
 
 
-@query(f"""WITH m(residue, mass) AS (VALUES {_MASS_LIST}), d AS (SELECT DISTINCT peptide FROM ({_PEPTIDES_SQL})),
+@query(f"""WITH m(residue, mass) AS (VALUES {MASS_LIST}), d AS (SELECT DISTINCT peptide FROM ({PEPTIDES_SQL})),
 r AS (SELECT peptide, unnest(string_split(peptide, '')) AS residue FROM d)
 SELECT peptide, round(sum(mass) + {chem.WATER!r} + {_C!r} * count(*) FILTER (residue = 'C'), 6) AS mass FROM r JOIN m USING (residue) GROUP BY peptide""")
 def fixed_mod_mass(spark, sf_dir):
     plain = ma.Mods(tuple(m for m in _MODS.mods if m.fixed))
-    return ma.candidates(_peptides(spark, sf_dir).dropDuplicates(["peptide"]), plain).select("peptide", F.round("mass", 6).alias("mass"))
+    return ma.candidates(peptides(spark, sf_dir).dropDuplicates(["peptide"]), plain).select("peptide", F.round("mass", 6).alias("mass"))
 
 
-@query(f"""WITH d AS (SELECT DISTINCT peptide FROM ({_PEPTIDES_SQL})),
+@query(f"""WITH d AS (SELECT DISTINCT peptide FROM ({PEPTIDES_SQL})),
 o AS (SELECT peptide, CAST(unnest(range(0, length(peptide))) AS INTEGER) AS pos FROM d),
 s AS (SELECT peptide, pos, 1 AS mod, {_O!r} AS mass FROM o WHERE substr(peptide, pos + 1, 1) = 'M' UNION ALL SELECT peptide, 0, 2, {_A!r} FROM d),
 x AS (SELECT peptide, '' AS placed, CAST(0 AS DOUBLE) AS delta FROM d
@@ -182,7 +182,7 @@ x AS (SELECT peptide, '' AS placed, CAST(0 AS DOUBLE) AS delta FROM d
   UNION ALL SELECT a.peptide, a.pos || ':' || a.mod || ',' || b.pos || ':' || b.mod, a.mass + b.mass FROM s a JOIN s b USING (peptide) WHERE a.pos <> b.pos AND (a.mod, a.pos) < (b.mod, b.pos))
 SELECT peptide, placed, round(delta, 6) AS delta FROM x""")
 def var_mod_placements(spark, sf_dir):
-    forms = ma.placements(_peptides(spark, sf_dir).dropDuplicates(["peptide"]), _MODS)
+    forms = ma.placements(peptides(spark, sf_dir).dropDuplicates(["peptide"]), _MODS)
     placed = F.array_join(F.transform("placement", lambda s: F.concat_ws(":", s["pos"].cast("string"), s["mod"].cast("string"))), ",")
     return forms.select("peptide", placed.alias("placed"), F.round("delta", 6).alias("delta"))
 
@@ -269,28 +269,28 @@ def is_decoy_all(spark, sf_dir):
     return m.groupBy("peptide").agg(F.count("*").alias("n"), F.collect_set("protein").alias("p")).select("peptide", "n", chem.is_decoy_match(F.col("p"), "XXX_").alias("is_decoy"))
 
 
-_QMAP = """{n}_c AS (SELECT score, count(*) FILTER (NOT is_decoy) AS t, count(*) FILTER (is_decoy) AS d FROM {src} GROUP BY score),
+QMAP_SQL = """{n}_c AS (SELECT score, count(*) FILTER (NOT is_decoy) AS t, count(*) FILTER (is_decoy) AS d FROM {src} GROUP BY score),
 {n}_b AS (SELECT score, d, (sum(t) OVER w) - t AS tb, (sum(d) OVER w) - d AS db, sum(d) OVER () AS nd FROM {n}_c WINDOW w AS (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 {n}_r AS (SELECT *, CASE WHEN d > 0 AND tb > 0 THEN CASE WHEN tb <= db THEN CAST(1 AS FLOAT) ELSE CAST(CAST(db AS FLOAT) / CAST(tb AS FLOAT) AS FLOAT) END END AS rate FROM {n}_b),
 {n}_s AS (SELECT *, CASE WHEN coalesce(sum(CASE WHEN rate >= 1 THEN 1 ELSE 0 END) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 THEN NULL ELSE rate END AS used FROM {n}_r),
 {n} AS (SELECT score, least(coalesce(min(used) OVER (ORDER BY score ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), CAST(CASE WHEN nd = 0 THEN 0 ELSE 1 END AS FLOAT)), CAST(CASE WHEN nd = 0 THEN 0 ELSE 1 END AS FLOAT)) AS q FROM {n}_s)"""
-_FDR = f"""WITH m AS ({MATCHES_SQL}), best AS (SELECT peptide, is_decoy, min(score) AS score FROM m GROUP BY 1, 2),
+FDR_SQL = f"""WITH m AS ({MATCHES_SQL}), best AS (SELECT peptide, is_decoy, min(score) AS score FROM m GROUP BY 1, 2),
 pep AS (SELECT peptide, coalesce(min(score) FILTER (NOT is_decoy), min(score)) AS best FROM best GROUP BY 1),
-{_QMAP.format(n='psm_q', src='m')}, {_QMAP.format(n='pep_q', src='best')},
+{QMAP_SQL.format(n='psm_q', src='m')}, {QMAP_SQL.format(n='pep_q', src='best')},
 z AS (SELECT match_id, m.score, m.peptide, m.is_decoy, psm_q.q AS q_value, pep_q.q AS pep_q_value FROM m JOIN psm_q ON psm_q.score = m.score JOIN pep USING (peptide) JOIN pep_q ON pep_q.score = pep.best)"""
 
 
-@query(f"{_FDR} SELECT match_id, q_value FROM z")
+@query(f"{FDR_SQL} SELECT match_id, q_value FROM z")
 def psm_qvalue(spark, sf_dir):
     return fd.assign_q_values(matches(spark, sf_dir)).select("match_id", "q_value")
 
 
-@query(f"{_FDR} SELECT match_id, pep_q_value FROM z")
+@query(f"{FDR_SQL} SELECT match_id, pep_q_value FROM z")
 def peptide_qvalue(spark, sf_dir):
     return fd.assign_q_values(matches(spark, sf_dir)).select("match_id", "pep_q_value")
 
 
-@query(f"{_FDR} SELECT count(*) AS matches, count(*) FILTER (NOT is_decoy) AS targets, count(*) FILTER (NOT is_decoy AND q_value <= CAST(0.01 AS FLOAT)) AS ids_1, count(*) FILTER (NOT is_decoy AND q_value <= CAST(0.05 AS FLOAT)) AS ids_5 FROM z")
+@query(f"{FDR_SQL} SELECT count(*) AS matches, count(*) FILTER (NOT is_decoy) AS targets, count(*) FILTER (NOT is_decoy AND q_value <= CAST(0.01 AS FLOAT)) AS ids_1, count(*) FILTER (NOT is_decoy AND q_value <= CAST(0.05 AS FLOAT)) AS ids_5 FROM z")
 def ids_at_fdr(spark, sf_dir):
     return fd.summary(fd.assign_q_values(matches(spark, sf_dir)))
 
@@ -363,23 +363,23 @@ def decoy_site_filter(spark, sf_dir):
 _NOMINAL_SQL = f"CAST(round(CAST(CAST({{x}} AS FLOAT) * CAST({chem.NOMINAL} AS FLOAT) AS FLOAT)) AS INTEGER)"
 
 
-@query(f"""WITH m(residue, mass) AS (VALUES {_MASS_LIST}), d AS (SELECT DISTINCT peptide FROM ({_PEPTIDES_SQL})),
+@query(f"""WITH m(residue, mass) AS (VALUES {MASS_LIST}), d AS (SELECT DISTINCT peptide FROM ({PEPTIDES_SQL})),
 r AS (SELECT peptide, CAST(unnest(range(1, length(peptide) + 1)) AS INTEGER) AS i, unnest(string_split(peptide, '')) AS residue FROM d)
 SELECT peptide, i, round(sum(mass) OVER w, 6) AS accurate, CAST(sum({_NOMINAL_SQL.format(x='mass')}) OVER w AS INTEGER) AS nominal FROM r JOIN m USING (residue) WINDOW w AS (PARTITION BY peptide ORDER BY i)""")
 def prefix_masses(spark, sf_dir):
     sites = chem.residues(F.col("peptide"))
-    rows = _peptides(spark, sf_dir).select("peptide").distinct().select("peptide", F.posexplode(F.arrays_zip(chem.accurate_prefix_masses(sites).alias("a"), chem.nominal_prefix_masses(sites).alias("n"))).alias("i", "x"))
+    rows = peptides(spark, sf_dir).select("peptide").distinct().select("peptide", F.posexplode(F.arrays_zip(chem.accurate_prefix_masses(sites).alias("a"), chem.nominal_prefix_masses(sites).alias("n"))).alias("i", "x"))
     return rows.select("peptide", (F.col("i") + 1).alias("i"), F.round("x.a", 6).alias("accurate"), F.col("x.n").alias("nominal"))
 
 
-@query(f"""WITH m(residue, mass) AS (VALUES {_MASS_LIST}), d AS (SELECT DISTINCT peptide FROM ({_PEPTIDES_SQL})),
+@query(f"""WITH m(residue, mass) AS (VALUES {MASS_LIST}), d AS (SELECT DISTINCT peptide FROM ({PEPTIDES_SQL})),
 r AS (SELECT peptide, unnest(string_split(peptide, '')) AS residue FROM d),
 x AS (SELECT peptide, sum(mass) + {chem.WATER!r} AS mass FROM r JOIN m USING (residue) GROUP BY peptide),
 t AS (SELECT peptide, mass, CAST(contains(peptide, 'M') AS INTEGER) AS has FROM x)
 SELECT regexp_replace(peptide, 'M', 'M+15.995') AS text, has AS n_mods, CAST(length(peptide) AS INTEGER) AS n, round(mass + 15.995 * has, 6) AS mass, 'K.' || regexp_replace(peptide, 'M', 'M+15.995') || '.-' AS again FROM t""")
 def annotated_peptides(spark, sf_dir):
     """Peptides with an inline mass change, parsed, weighed and written again."""
-    rows = _peptides(spark, sf_dir).select("peptide").distinct()
+    rows = peptides(spark, sf_dir).select("peptide").distinct()
     text = F.when(F.contains("peptide", F.lit("M")), F.concat(F.substring_index("peptide", "M", 1), F.lit("M+15.995"), F.expr("substring(peptide, instr(peptide, 'M') + 1)"))).otherwise(F.col("peptide"))
     rows = rows.select(text.alias("text")).withColumn("sites", chem.residues(F.col("text")))
     mass = F.aggregate("sites", F.lit(chem.WATER), lambda a, x: a + chem.site_mass(x))
@@ -387,9 +387,9 @@ def annotated_peptides(spark, sf_dir):
 
 
 @query(f"""SELECT accession, start, len, CAST((CASE WHEN prot_n OR (start = 1 AND pre = 'M') OR pre IN ('K', 'R') THEN {chem.CREDIT} ELSE {chem.PENALTY} END) + (CASE WHEN right(peptide, 1) IN ('K', 'R') THEN {chem.CREDIT} ELSE {chem.PENALTY} END) AS INTEGER) AS searched,
-  CAST((CASE WHEN pre IN ('K', 'R', '-') THEN {chem.CREDIT} ELSE {chem.PENALTY} END) + (CASE WHEN right(peptide, 1) IN ('K', 'R') THEN {chem.CREDIT} ELSE {chem.PENALTY} END) AS INTEGER) AS rescored FROM ({_PEPTIDES_SQL})""")
+  CAST((CASE WHEN pre IN ('K', 'R', '-') THEN {chem.CREDIT} ELSE {chem.PENALTY} END) + (CASE WHEN right(peptide, 1) IN ('K', 'R') THEN {chem.CREDIT} ELSE {chem.PENALTY} END) AS INTEGER) AS rescored FROM ({PEPTIDES_SQL})""")
 def cleavage_credit(spark, sf_dir):
-    p = _peptides(spark, sf_dir)
+    p = peptides(spark, sf_dir)
     flanked = F.concat("pre", F.lit("."), "peptide", F.lit("."), "post")
     after_met = (F.col("start") == 1) & (F.col("pre") == "M")
     return p.select("accession", "start", "len", chem.search_cleavage(F.col("pre"), F.col("peptide"), F.col("prot_n"), after_met).alias("searched"), chem.rescore_cleavage(flanked).alias("rescored"))

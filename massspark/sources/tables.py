@@ -42,20 +42,34 @@ def with_decoy_entries(fasta: DataFrame, prefix: str = "XXX_") -> DataFrame:
     return fasta.select(F.lit(0).alias("block"), target.alias("entry")).unionByName(fasta.select(F.lit(1).alias("block"), decoy.alias("entry")))
 
 
+def _table(spark: SparkSession, path: str) -> tuple[str | None, DataFrame]:
+    """The first line of a tab-separated file, or of the first file of a folder by name, and all other lines (value) that hold text.
+
+    A folder is one table: its other files go on where the one before ends. Lines that equal the first are headers again, as in
+    files that were written one by one. Blank lines count for nothing.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    for name in sorted(lines.inputFiles()):
+        head = spark.read.text(name).where((F.trim("value") != "") & (F.col("_metadata.file_block_start") == 0)).first()
+        if head is not None:
+            return head[0], lines
+    return None, lines
+
+
 def read_matches(spark: SparkSession, path: str) -> DataFrame:
     """input_pos, scan, peptide, charge and all other columns of a tab-separated match list.
 
     The first line is a header if it has the word peptide; else the columns are scan, peptide and charge. Rows without
     scan or peptide are skipped; a list without rows is an error.
     """
-    head = spark.read.text(path).where(F.trim("value") != "").first()
+    head, lines = _table(spark, path)
     if head is None:
         raise ValueError(f"{path}: no matches")
-    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("input_pos", F.monotonically_increasing_id())
+    lines = lines.withColumn("input_pos", F.monotonically_increasing_id())
     cells = F.split("value", "\t")
-    if "peptide" in head[0].lower():
-        names = [n.strip().lstrip("#").lower() for n in head[0].split("\t")]
-        rows = lines.where(F.col("value") != head[0])
+    if "peptide" in head.lower():
+        names = [n.strip().lstrip("#").lower() for n in head.split("\t")]
+        rows = lines.where(F.col("value") != head)
     else:
         names, rows = ["scan", "peptide", "charge"], lines
     names = ["scan" if n in ("scannum", "scans") else n for n in names]
@@ -65,9 +79,13 @@ def read_matches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """Every column of a tab-separated file with a header, as strings; a leading # of the header goes."""
-    rows = spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(path)
-    return rows.toDF(*[c.lstrip("#").strip() for c in rows.columns])
+    """Every column of a tab-separated table with a header, as strings, empty cells as nulls; a leading # of the header goes."""
+    head, lines = _table(spark, path)
+    if head is None:
+        raise ValueError(f"{path}: no header")
+    cells = F.split("value", "\t")
+    names = [n.lstrip("#").strip() for n in head.split("\t")]
+    return lines.where(F.col("value") != head).select(*[F.nullif(F.try_element_at(cells, F.lit(i + 1)), F.lit("")).alias(n) for i, n in enumerate(names)])
 
 
 def _lines(spark: SparkSession, path: str) -> list[str]:

@@ -1,9 +1,11 @@
 """q-values against a plain sweep, over the awkward shapes and random ties."""
 
 import random
+from functools import reduce
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 
 from massspark.operators import fdr
 
@@ -69,3 +71,24 @@ def test_fdr_table(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "score float, peptide string, is_decoy boolean")
     assert fdr.assign_q_values(empty).count() == 0
+
+
+def test_several_maps_in_one_pass(spark):
+    """Maps share the ranges, but nothing of their counts; a map without decoys stands beside one that stops."""
+    names = ["no decoys", "stop", "spike", "random 1", "all decoys better"]
+    rows = [(i, float(x), is_decoy) for i, n in enumerate(names) for is_decoy in (False, True) for x in CASES[n][is_decoy]]
+    scored = spark.createDataFrame(rows, "map int, score float, is_decoy boolean")
+    parts = [fdr.score_counts(scored.where(f"map = {i}")).selectExpr(f"{i} AS map", "score", "t", "d") for i in range(len(names))]
+    counts = reduce(DataFrame.unionByName, parts)
+    got = {}
+    for r in fdr.q_maps(counts).collect():
+        got.setdefault(names[r["map"]], {})[r.score] = r.q
+    for n in names:
+        targets, decoys = CASES[n]
+        q = sweep(targets, decoys)
+        assert got[n] == {float(s): float(q(s)) for s in {*targets, *decoys}}
+
+
+def test_no_scores(spark):
+    rows = spark.createDataFrame([(None, "A", False)], "score float, peptide string, is_decoy boolean")
+    assert [(r.q_value, r.pep_q_value) for r in fdr.assign_q_values(rows).collect()] == [(None, None)]
