@@ -36,7 +36,7 @@ def decoy_fasta(spark, sf_dir):
     rows = proteins(spark, sf_dir, F.concat(F.lit("D"), F.col("doc_id").cast("string"), F.lit(" "), F.coalesce("lang", F.lit(""))))
     plain, both = _folder(spark, "fasta"), _folder(spark, "decoys")
     rows.select(F.concat(F.lit(">"), "accession", F.lit("\n"), F.regexp_replace("sequence", "(.{60})", "$1\n"))).write.text(plain)
-    with_decoy_entries(read_fasta(spark, plain)).orderBy("block").select("entry").write.text(both)
+    with_decoy_entries(read_fasta(spark, plain)).select("entry").write.text(both)  # a union keeps its sides in order, so the decoys are in the later files
     return read_fasta(spark, both).select("accession", "description", "is_decoy", F.length("sequence").alias("n"), F.md5("sequence").alias("sequence"))
 
 
