@@ -164,3 +164,14 @@ def test_strongest_match(spark):
     ions = spark.createDataFrame([(1, 0, 10.0, 12.0), (1, 1, 50.0, 51.0)], "spec_index long, ion int, low double, high double")
     peaks = spark.createDataFrame([(1, 10.0, 5.0), (1, 12.0, 5.0), (1, 11.0, 4.0), (2, 50.5, 9.0)], "spec_index long, mz double, intensity double")
     assert [tuple(r) for r in ma.strongest_match(ions, peaks, 1.0).collect()] == [(1, 0, 12.0, 5.0)]
+
+
+def test_repeated_rows_are_not_broadcast(spark):
+    """A table of a few bytes by Spark's estimate, whose rows are repeated before the join."""
+    rows = spark.range(20).selectExpr("id AS spec_index", "explode(sequence(0, 10)) AS ion", "0.0D AS low", "9.0D AS high", "id % 3 AS bin")
+    peaks = spark.range(20).selectExpr("id AS spec_index", "CAST(id % 12 AS DOUBLE) AS mz", "1.0D AS intensity", "id % 5 AS bin")
+    got = ma.strongest_match(rows, peaks, 1.0)
+    far = ma.away_from(peaks, rows.select("spec_index", "bin"), ["spec_index"], "bin")
+    for df in (got, far):
+        assert "Broadcast" not in spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    assert got.count() == 11 * sum(i % 12 <= 9 for i in range(20)) and far.count() == sum(abs(i % 3 - i % 5) > 1 for i in range(20))
