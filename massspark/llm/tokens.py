@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from massspark.llm.common import byte_view, forget, mapped, slices, written
+from massspark.llm.common import byte_view, forget, mapped, runs, slices, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
@@ -38,11 +38,6 @@ _SOLID = np.ones(256, bool)
 _SOLID[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = False
 
 
-def runs(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """first, first + 1 and so on, so many of each."""
-    return np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-
-
 class Encoder:
     """Ids of whole texts. A byte-level tokenizer's own pattern cuts at a blank before a word, whatever stands beside, so
     texts are cut there and each distinct word goes through the tokenizer once; other tokenizers get the texts as they are.
