@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +176,44 @@ def test_repeated_rows_are_not_broadcast(spark):
     for df in (got, far):
         assert "Broadcast" not in spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
     assert got.count() == 11 * sum(i % 12 <= 9 for i in range(20)) and far.count() == sum(abs(i % 3 - i % 5) > 1 for i in range(20))
+
+
+def test_digestion_of_any_letters(spark, monkeypatch):
+    """Sequences that aren't all ASCII, enzymes of both sides, and batches of a few starts."""
+    rng = random.Random(11)
+    seqs = ["\u00c4K", "K\u20acR\U0001f600", *("".join(rng.choice("MKDAG\u00c4\u20ac\U0001f600") for _ in range(rng.randrange(70))) for _ in range(30))]
+    monkeypatch.setattr(dig, "STARTS", 5)
+    monkeypatch.setattr(dig, "TEXT_BYTES", 100)
+    for enzyme, at in ((dig.TRYPSIN, 1), (dig.Enzyme.parse("AspN"), 0)):
+        got = dig.digest(proteins(spark, *seqs), dig.Digest(enzyme, 1, 1, 9)).collect()
+        for i, s in enumerate(seqs):
+            cuts = sorted({0, len(s), *(j + at for j, c in enumerate(s) if c in enzyme.cleave_at), *([1] if s[:1] == "M" else [])})
+            spans = {(a, b) for j, a in enumerate(cuts) for b in cuts[j + 1 : j + 3] if b - a <= 9 and set(s[a:b]) <= set(chem.RESIDUES)}
+            want = {(a, b - a, s[a:b], s[a - 1] if a else "-", s[b] if b < len(s) else "-", a == 0, b == len(s)) for a, b in spans}
+            own = [(r.start, r.len, r.peptide, r.pre, r.post, r.prot_n, r.prot_c) for r in got if r.accession == f"P{i}"]
+            assert set(own) == want and len(own) == len(want), s
+
+
+def test_long_sequences_take_linear_work(spark):
+    """12 MB of text, and sums over 8,000 residues."""
+    rng = random.Random(12)
+    one_, long = spark.range(1), "".join(rng.choice(chem.RESIDUES) for _ in range(8000))
+    text = one_.select(F.lit("P").alias("accession"), F.repeat(F.lit(long), 1500).alias("sequence"), F.lit(False).alias("is_decoy"))
+    peptide = one_.select(F.concat(F.lit(long), F.substring(F.col("id").cast("string"), 1, 0)).alias("peptide"))
+    start = time.time()
+    assert dig.digest(text, dig.Digest(max_missed=2)).count() > 100_000
+    digested = time.time()
+    assert digested - start < 12
+    sums = list(itertools.accumulate(chem.MASSES[r] for r in long))
+    sites = peptide.withColumn("s", chem.residues(F.col("peptide")))
+    row = sites.select(chem.accurate_prefix_masses(F.col("s")).alias("a"), chem.nominal_prefix_masses(F.col("s")).alias("n")).first()
+    assert row.a == pytest.approx(sums) and len(row.n) == 8000
+    assert [r.mz1 for r in ma.ladder(peptide).orderBy("i").collect()] == pytest.approx([x + chem.PROTON for x in sums[:-1]])
+    assert time.time() - digested < 30
+
+
+def test_plain_and_changed_residues(spark):
+    rows = spark.createDataFrame([("aK",), ("AK\n",), ("A+1.5K",), ("A+1.5.2K",), ("A+K",), ("AB",), ("B+1K",), ("\u00c4K",), (None,)], "p string").select("p", chem.residues(F.col("p")).alias("s")).collect()
+    got = {r.p: r.s and [(x.aa, x.delta) for x in r.s] for r in rows}
+    plain = [("A", 0.0), ("K", 0.0)]
+    assert got == {"aK": plain, "AK\n": plain, "A+1.5K": [("A", 1.5), ("K", 0.0)], "A+1.5.2K": None, "A+K": None, "AB": None, "B+1K": None, "\u00c4K": None, None: None}
