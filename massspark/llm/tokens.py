@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,11 +37,16 @@ _LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=
 #: Bytes that start no white space (of Unicode, too): a blank before one of them starts a word.
 _SOLID = np.ones(256, bool)
 _SOLID[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = False
+#: ASCII letters, digits and other signs; the apostrophe and what else may go with both sides have none.
+_CLASS = np.zeros(256, np.uint8)
+for _of, _signs in enumerate((string.ascii_letters, string.digits, string.punctuation.replace("'", "")), 1):
+    _CLASS[[ord(c) for c in _signs]] = _of
 
 
 class Encoder:
     """Ids of whole texts. A byte-level tokenizer's own pattern cuts at a blank before a word, whatever stands beside, so
-    texts are cut there and each distinct word goes through the tokenizer once; other tokenizers get the texts as they are.
+    texts are cut there, and where ASCII letters, digits and signs meet, which the pattern never keeps together. Each distinct
+    word goes through the tokenizer once; other tokenizers get the texts as they are.
     Texts that hold a special token's string are never cut."""
 
     def __init__(self, path: str):
@@ -48,6 +54,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         how = json.loads(self.tokenizer.to_str())
         self.cuts = (how.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not how.get("normalizer") and not how["pre_tokenizer"].get("add_prefix_space")
+        self.classes = self.cuts and how["pre_tokenizer"].get("use_regex", True)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # a blank's stand-in in byte-level vocabularies
@@ -95,6 +102,8 @@ class Encoder:
         if self.cuts and len(data):
             first[:-2] = (data[:-1] == 32) & _SOLID[data[1:]]
             first[offsets[1:] - 1] = False  # a text's last byte, whatever the next text starts with
+            kind = _CLASS[data]
+            first[1:-1] |= self.classes & (kind[:-1] != kind[1:]) & (kind[:-1] > 0) & (kind[1:] > 0)
             for special in self.specials:
                 for row in np.flatnonzero(pc.fill_null(pc.match_substring(column, special), False).to_numpy(zero_copy_only=False)):
                     first[offsets[row] : offsets[row + 1]] = False

@@ -622,3 +622,16 @@ def test_windows_by_plain_counts(monkeypatch, hits):
             raw = item.encode()
             exact = any(raw[w : w + 24] in body for w in range(len(raw) - 23))
             assert (0 in got.get(k, ())) == exact
+
+
+def test_encoder_cuts_where_classes_meet():
+    rng = random.Random(17)
+    encoder = tokens.Encoder(tokens.VOCABULARY)
+    parts = ["a", "Bc", "don", "'", "'s", "'ll", "S", "7", "42", ".", ",", "(", "_", "$", "-", " ", "  ", "\n", "\t", "\u00e9", "\u00a0", "\u4e2d", "\u0664", "\u3000", "</s>", "\x00"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    ids, ends = encoder.encode(pa.array(texts))
+    for text, a, b, want in zip(texts, ends[:-1], ends[1:], encoder.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert list(ids[a:b]) == want.ids, text
+    few = tokens.Encoder(tokens.VOCABULARY)
+    few.encode(pa.array([" ".join(f"{w}{a}{n}{b}" for w in ("ab", "cd", "ef") for a in ",.;" for n in range(30) for b in "!?)")]))
+    assert len(few.words) < 100
