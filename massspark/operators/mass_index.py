@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from massspark.operators.arrow import mapped
 from massspark.operators.staging import floor_join, written
 
 #: Intervals that are swept over a range at once; a range of more is swept several times, by tasks of their own.
 SWEPT = 20_000
+#: Candidates of a range about, where the number of ranges isn't given, and matches of a batch.
+IN_RANGE, EMITTED = 20_000, 50_000
 
 
 @dataclass(frozen=True)
@@ -47,13 +51,16 @@ class MassIndex:
         at_high = at_high.where("part is not null").withColumnRenamed("part", "_last").drop("_at", "floor__at")
         both = floor_join(at_high.withColumn("_at", F.col(low).cast("double")), starts.select("_g", "_at", "first"), ["_g"], "_at", ["first"])
         each = both.withColumn("part", F.explode(F.sequence(F.coalesce("first", F.lit(0)), F.col("_last"))))
+        # an interval in the gap behind a range, or behind all of them, does not touch it
+        tops = F.broadcast(self.bounds.select("part", F.col("high").alias("_top")))  # a row for each range
+        each = each.join(tops, "part").where(F.col(low).cast("double") <= F.col("_top"))
         return each.select(*intervals.columns, "part")
 
     def matches(self, intervals: DataFrame, low: str, high: str) -> DataFrame:
         """The intervals' rows with those of the index whose value lies inside: what range_join() gives.
 
         Only the folders of touched ranges are read. Ranges and their intervals meet in tasks of SWEPT intervals; each sorts its
-        range and finds the ends of all intervals by bisection. Intervals with a null end or the wrong way round have no match.
+        range, finds the ends of all intervals by bisection and hands out EMITTED matches at a time. Intervals with a null end or the wrong way round have no match.
         """
         spread = written(self.parts_of(intervals, low, high), "swept")
         sizes = spread.groupBy("part").agg(F.ceil(F.count("*") / SWEPT).cast("int").alias("_chunks"))
@@ -65,26 +72,36 @@ class MassIndex:
         if len(own) < len(intervals.columns):
             raise ValueError(f"columns of both: {sorted(set(intervals.columns) & set(names))}")
         left = spread.join(sizes, "part").withColumn("_chunk", F.pmod(F.monotonically_increasing_id(), F.col("_chunks")).cast("int"))
-        right = rows.join(sizes, "part").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-
-        def sweep(found: pd.DataFrame, range_: pd.DataFrame) -> pd.DataFrame:
-            range_ = range_.sort_values(value, kind="stable")
-            masses = range_[value].to_numpy(dtype=float)
-            first, last = np.searchsorted(masses, found[low].to_numpy(dtype=float), "left"), np.searchsorted(masses, found[high].to_numpy(dtype=float), "right")
-            n = np.maximum(last - first, 0)
-            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            a, b = found[own].iloc[np.repeat(np.arange(len(found)), n)].reset_index(drop=True), range_[names].iloc[at].reset_index(drop=True)
-            return pd.concat([a, b], axis=1)
+        left = left.groupBy(*key).agg(F.collect_list(F.struct(*own)).alias("_left"))
+        right = rows.groupBy("part").agg(F.collect_list(F.struct(*names)).alias("_right"))  # IN_RANGE rows or so
+        right = right.join(sizes, "part").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+
+        def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for found, range_ in zip(batch.column("_left"), batch.column("_right"), strict=True):
+                    found, range_ = found.values, range_.values
+                    masses = range_.field(value).to_numpy(zero_copy_only=False).astype(float)
+                    order = np.argsort(masses, kind="stable")
+                    ends = [found.field(c).to_numpy(zero_copy_only=False).astype(float) for c in (low, high)]
+                    first, last = (np.searchsorted(masses[order], x, side) for x, side in zip(ends, ("left", "right"), strict=True))
+                    n = np.maximum(last - first, 0)
+                    upto = np.cumsum(n)
+                    for start in range(0, int(n.sum()), EMITTED):
+                        at = np.arange(start, min(start + EMITTED, upto[-1]))
+                        own_at = np.searchsorted(upto, at, "right")
+                        in_range = order[first[own_at] + at - (upto - n)[own_at]]
+                        yield pa.RecordBatch.from_arrays([*(found.field(c).take(pa.array(own_at)) for c in own), *(range_.field(c).take(pa.array(in_range)) for c in names)], [*own, *names])
 
         schema = StructType([*(intervals.schema[c] for c in own), *(rows.schema[c] for c in names)])
-        return left.select(*own, *key).groupBy(*key).cogroup(right.select(*names, *key).groupBy(*key)).applyInPandas(sweep, schema)
+        return mapped(left.join(right.hint("merge"), key).select("_left", "_right"), sweep, schema)
 
 
 def build_index(rows: DataFrame, path: str, value: str, ranges: int | None = None) -> MassIndex:
     """Write rows with a value into ranges of about equal size; equal values may be in several. Rows without a value are left out."""
     spark = rows.sparkSession
-    parts = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tied = rows.where(F.col(value).isNotNull()).withColumn("_tie", F.monotonically_increasing_id())
+    rows_in = rows.where(F.col(value).isNotNull())
+    parts = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows_in.count() // IN_RANGE))
+    tied = rows_in.withColumn("_tie", F.monotonically_increasing_id())
     dealt = tied.repartitionByRange(parts, value, "_tie").withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", value)
     dealt.drop("_tie").write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
     schema = StructType([*rows.schema.fields, StructField("part", IntegerType())])

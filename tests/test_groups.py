@@ -138,3 +138,15 @@ def test_mass_index(spark, tmp_path, monkeypatch):
     assert mi.build_index(rows.limit(0), str(tmp_path / "e"), "mass").matches(asked, "low", "high").count() == 0
     with pytest.raises(ValueError, match="mass"):
         index.matches(asked.withColumn("mass", F.lit(1)), "low", "high")
+
+
+def test_sweep_hands_out_few_matches_at_a_time(spark, tmp_path, monkeypatch):
+    """Equal masses and wide intervals: each batch is bounded, and an interval behind all candidates meets none of them."""
+    monkeypatch.setattr(mi, "EMITTED", 7)
+    monkeypatch.setattr(mi, "IN_RANGE", 10)
+    index = mi.build_index(spark.range(60).selectExpr("id", "CAST(id % 3 AS DOUBLE) AS mass"), str(tmp_path / "i"), "mass")
+    assert index.bounds.count() >= 6
+    asked = spark.createDataFrame([(0, 1.0, 1.0), (1, 0.0, 9.0), (2, 5.0, 9.0), (3, 1.2, 1.8)], "q int, low double, high double")
+    got = sorted((r.q, r.id) for r in index.matches(asked, "low", "high").collect())
+    assert got == sorted([(0, i) for i in range(60) if i % 3 == 1] + [(1, i) for i in range(60)])
+    assert {r.q for r in index.parts_of(asked, "low", "high").collect()} <= {0, 1, 3} and index.parts_of(asked.where("q = 2"), "low", "high").count() == 0
