@@ -140,7 +140,7 @@ _SHORT = "regexp_replace(CAST({x} AS VARCHAR), '\\.0$', '')"
   printf('%.4f', q) AS "PrecursorError(ppm)", CAST(2 + k % 2 AS VARCHAR) AS Charge, 'K.PEPTIDE.R' AS Peptide, unnest(['P' || p, 'S' || s]) AS Protein, CAST(p AS VARCHAR) AS DeNovoScore, CAST(s AS VARCHAR) AS MSGFScore,
   {_SCI.format(x='q / 1e12')} AS SpecEValue, {_SCI.format(x='q * 1000')} AS EValue, {_SHORT.format(x='d')} AS QValue, {_SHORT.format(x='d')} AS PepQValue FROM ({_REPORT_SQL})""")
 def search_report(spark, sf_dir):
-    """Matches as the sixteen columns of a search report, a row for each protein, written in order and read back."""
+    """Matches as the sixteen columns of a search report, a row for each protein, written in order as compressed text and read back."""
     key, path = F.col("l_orderkey"), _folder(spark, "report")
     rows = table(spark, sf_dir, "lineitem").select(
         F.lit("file").alias("spec_file"), key.alias("spec_index"), F.when(key % 2 == 0, key.cast("string")).alias("scan"), F.when(key % 3 == 0, "etd 3").otherwise("none").alias("title"),
@@ -149,7 +149,7 @@ def search_report(spark, sf_dir):
         F.col("l_partkey").alias("denovo_score"), F.col("l_suppkey").alias("raw_score"), (F.col("l_quantity").cast("double") / 1e12).alias("spec_evalue"), (F.col("l_quantity").cast("double") * 1000).alias("evalue"),
         F.col("l_discount").cast("float").alias("q_value"), F.col("l_discount").cast("float").alias("pep_q_value"),
     )
-    sinks.write_search(rows, path, unroll=True)
+    sinks.write_search(rows, path, unroll=True, compression="snappy")
     return read_tsv(spark, path)
 
 

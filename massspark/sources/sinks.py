@@ -41,19 +41,19 @@ def tsv(rows: DataFrame, columns: list[str]) -> Column:
     return F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])
 
 
-def write_report(rows: DataFrame, columns: list[str], order: list[str], path: str) -> None:
+def write_report(rows: DataFrame, columns: list[str], order: list[str], path: str, compression: str | None = None) -> None:
     """A folder of text files that, read in the order of their names, are the report: the header, then the rows in order.
 
-    Sorting is by range, so each task writes a file of its own."""
+    Sorting is by range, so each task writes a file of its own. compression: as Spark's text writer takes it, such as gzip; none by default."""
     keys = [f"_key{i}" for i in range(len(order))]
     lines = rows.select(F.lit(1).alias("_part"), *[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)], tsv(rows, columns).alias("value"))
     head = rows.sparkSession.range(1).select(F.lit(0).alias("_part"), *[F.lit(None).cast(lines.schema[k].dataType).alias(k) for k in keys], F.lit("\t".join(columns)).alias("value"))
-    head.unionByName(lines).orderBy("_part", *keys).select("value").write.mode("overwrite").text(path)
+    head.unionByName(lines).orderBy("_part", *keys).select("value").write.mode("overwrite").text(path, compression=compression)
 
 
-def write_search(matches: DataFrame, path: str, unroll: bool = False) -> None:
+def write_search(matches: DataFrame, path: str, unroll: bool = False, compression: str | None = None) -> None:
     """The report of a search, the best E-values first."""
-    write_report(search_rows(matches, unroll), SEARCH_HEADER, ["spec_evalue", "spec_index", "Protein"], path)
+    write_report(search_rows(matches, unroll), SEARCH_HEADER, ["spec_evalue", "spec_index", "Protein"], path, compression)
 
 
 def write_rescored(rescored: DataFrame, path: str) -> None:

@@ -34,3 +34,15 @@ def test_empty(spark, tmp_path):
     for read in (tables.read_tsv, tables.read_matches):
         with pytest.raises(ValueError):
             read(spark, str(tmp_path / "a.tsv"))
+
+
+def test_compressed_report(spark, tmp_path):
+    rows = spark.range(300).selectExpr("id", "CAST(id * 3 AS STRING) AS scan", "'K.PEP.R' AS peptide")
+    sizes = []
+    for compression in (None, "gzip"):
+        path = tmp_path / f"report-{compression}"
+        sinks.write_report(rows, ["scan", "peptide"], ["id"], str(path), compression)
+        assert all(p.suffix == (".gz" if compression else ".txt") for p in path.glob("part-*"))
+        assert sorted(int(r.scan) for r in tables.read_tsv(spark, str(path)).collect()) == [i * 3 for i in range(300)]
+        sizes.append(sum(p.stat().st_size for p in path.glob("part-*")))
+    assert sizes[1] < sizes[0] / 2
